@@ -1,0 +1,71 @@
+"""Per-text helper: every occurrence of every pattern, with byte positions.
+
+This is the only per-row Python in the matching path (positions cannot be had
+from a native function for many patterns at once). It runs inside Spark tasks
+via ``mapInPandas``/UDTF over Arrow batches; Spark partitions the texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+try:  # optional C automaton; a plain scan is used without it
+    import ahocorasick  # type: ignore
+except ImportError:  # pragma: no cover
+    ahocorasick = None
+
+# ASCII-only upper-casing of bytes (other bytes unchanged).
+FOLD = bytes.maketrans(b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+class ByteMatcher:
+    """Finds all (overlapping) occurrences of many byte patterns in one pass.
+
+    Patterns are ``(pattern_id, bytes, nocase)``. The search runs on
+    ASCII-folded bytes; a case-sensitive pattern then also has to equal the
+    original bytes at the hit (the case rule). Duplicated patterns each report.
+    """
+
+    def __init__(self, patterns: Iterable[tuple[int, bytes, bool]]):
+        groups: dict[bytes, list[tuple[int, bytes, bool]]] = {}
+        for pid, raw, nocase in patterns:
+            if raw:
+                groups.setdefault(raw.translate(FOLD), []).append((pid, raw, bool(nocase)))
+        self._groups = groups
+        self._automaton = None
+        if ahocorasick is not None and groups:
+            a = ahocorasick.Automaton()
+            for key, entries in groups.items():
+                a.add_word(key.decode("latin-1"), (len(key), entries))
+            a.make_automaton()
+            self._automaton = a
+
+    def find(self, data: bytes) -> Iterator[tuple[int, int, int]]:
+        """Yield ``(pattern_id, idx, n)`` for each hit; ``idx`` is the byte start."""
+        if not data or not self._groups:
+            return
+        folded = data.translate(FOLD)
+        if self._automaton is not None:
+            hits = ((end - n + 1, n, entries)
+                    for end, (n, entries) in self._automaton.iter(folded.decode("latin-1")))
+        else:
+            hits = self._scan(folded)
+        for idx, n, entries in hits:
+            for pid, raw, nocase in entries:
+                if nocase or data[idx:idx + n] == raw:
+                    yield pid, idx, n
+
+    def _scan(self, folded: bytes):
+        for key, entries in self._groups.items():
+            n, start = len(key), folded.find(key)
+            while start >= 0:
+                yield start, n, entries
+                start = folded.find(key, start + 1)
+
+
+def to_bytes(value) -> bytes:
+    if value is None:
+        return b""
+    if isinstance(value, (bytes, bytearray, memoryview)):
+        return bytes(value)
+    return str(value).encode("utf-8")

@@ -7,8 +7,10 @@ full sort key instead, so a hot key is spread over many tasks, and stitch the
 partitions together with a per-partition summary that has one row per
 partition (bounded by the partition count, never by the data).
 
-The sorted rows are written to the checkpoint folder once, so the two passes
-see the same partitions and the lineage is cut before the second pass.
+The sorted rows are written to the checkpoint folder once, with the number of
+the range partition they landed in, so both passes see the same partitions
+(also when the result is later unioned, which renumbers tasks) and the lineage
+is cut before the second pass.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from lexigate.session import ensure_checkpoint_dir
 
 _KEY = "__lx_key"
+_PID = "__lx_pid"
 
 
 def _sorted_checkpoint(df: DataFrame, order_cols: Sequence[str],
@@ -31,14 +33,18 @@ def _sorted_checkpoint(df: DataFrame, order_cols: Sequence[str],
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn(_PID, F.spark_partition_id()))
     return ranged.checkpoint(eager=True)
 
 
 def _partition_counts(df: DataFrame) -> dict[int, int]:
-    rows = (df.groupBy(F.spark_partition_id().alias("pid"))
-            .agg(F.count(F.lit(1)).alias("n")).collect())
-    return {r["pid"]: r["n"] for r in rows}
+    rows = df.groupBy(_PID).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r[_PID]: r["n"] for r in rows}
+
+
+def _pid_of(pdf: pd.DataFrame):
+    return int(pdf[_PID].iloc[0])
 
 
 def global_ordinal(df: DataFrame, order_cols: Sequence[str], name: str = "ordinal",
@@ -54,17 +60,20 @@ def global_ordinal(df: DataFrame, order_cols: Sequence[str], name: str = "ordina
     for pid in sorted(counts):
         offsets[pid] = running
         running += counts[pid]
-    schema = T.StructType(ranged.schema.fields + [T.StructField(name, T.LongType(), False)])
+    fields = [f for f in ranged.schema.fields if f.name != _PID]
+    schema = T.StructType(fields + [T.StructField(name, T.LongType(), False)])
 
     def number(batches):
-        start = offsets.get(TaskContext.get().partitionId(), 0)
         seen = 0
         for pdf in batches:
+            if pdf.empty:
+                continue
+            start = offsets.get(_pid_of(pdf), 0)
             m = len(pdf)
             pdf[name] = pd.Series(range(start + seen + 1, start + seen + m + 1),
                                   index=pdf.index, dtype="int64")
             seen += m
-            yield pdf
+            yield pdf.drop(columns=[_PID])
 
     return ranged.mapInPandas(number, schema)
 
@@ -83,11 +92,11 @@ def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     summary_schema = "pid INT, n LONG, first_key STRING, last_key STRING, n_last LONG"
 
     def summarize(batches):
-        pid = TaskContext.get().partitionId()
-        n, first, last, n_last = 0, None, None, 0
+        pid, n, first, last, n_last = None, 0, None, None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
+            pid = _pid_of(pdf)
             keys = pdf[_KEY]
             if first is None:
                 first = keys.iloc[0]
@@ -96,10 +105,11 @@ def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
             n_last = n_last + run if (run == len(pdf) and tail == last) else run
             last = tail
             n += len(pdf)
-        yield pd.DataFrame([{"pid": pid, "n": n, "first_key": first,
-                             "last_key": last, "n_last": n_last}])
+        if pid is not None:
+            yield pd.DataFrame([{"pid": pid, "n": n, "first_key": first,
+                                 "last_key": last, "n_last": n_last}])
 
-    parts = sorted(ranged.select(_KEY).mapInPandas(summarize, summary_schema).collect(),
+    parts = sorted(ranged.select(_PID, _KEY).mapInPandas(summarize, summary_schema).collect(),
                    key=lambda r: r["pid"])
     carry: dict[int, int] = {}
     run_key, run_n = None, 0
@@ -112,16 +122,18 @@ def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
         else:
             run_key, run_n = r["last_key"], r["n_last"]
 
-    out_fields = [f for f in ranged.schema.fields if f.name != _KEY]
+    out_fields = [f for f in ranged.schema.fields if f.name not in (_KEY, _PID)]
     schema = T.StructType(out_fields + [T.StructField(name, T.LongType(), False)])
     first_keys = {r["pid"]: r["first_key"] for r in parts}
 
     def number(batches):
-        pid = TaskContext.get().partitionId()
-        prev_key, prev_n = first_keys.get(pid), carry.get(pid, 0)
+        prev_key, prev_n, started = None, 0, False
         for pdf in batches:
             if pdf.empty:
                 continue
+            if not started:
+                pid = _pid_of(pdf)
+                prev_key, prev_n, started = first_keys.get(pid), carry.get(pid, 0), True
             keys = pdf[_KEY]
             new_group = (keys != keys.shift(1)).to_numpy()
             new_group[0] = keys.iloc[0] != prev_key
@@ -131,6 +143,6 @@ def group_ordinal(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
                 within[group_no == 0] += prev_n
             pdf[name] = within.astype("int64")
             prev_key, prev_n = keys.iloc[-1], int(within[-1])
-            yield pdf.drop(columns=[_KEY])
+            yield pdf.drop(columns=[_KEY, _PID])
 
     return ranged.mapInPandas(number, schema)

@@ -15,7 +15,7 @@ from lexigate.sources import fixtures, tables
 DST_MULTIPLIER = 2654435761          # spreads page ids over the 32-bit address space
 ADDRESS_SPACE = 4294967296           # 2**32
 CHUNK_BYTES = 1024                   # read size of the content fetcher
-PAYLOAD_VARIANTS = 11                # header variants of the captured payloads
+PAYLOAD_VARIANTS = 32                # payload variants; 0-10 each break one rule
 HOST_PATTERN = r"^[a-z]+://([^/?#]*)"
 PATH_PATTERN = r"^[a-z]+://[^/?#]*([^#]*)"        # request path: query kept, fragment cut
 PAGE_PATH_PATTERN = r"^[a-z]+://[^/?#]*([^?#]*)"  # stored page path: no query string
@@ -65,33 +65,44 @@ def bench_policy_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
         "keyword")
 
 
-def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URL requests from ``pages.url`` with repeats.
-
-    Every page gives one request; pages with a query string give an exact
-    repeat, pages with a fragment give a repeat to another address.
-    """
+def _page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.pages(spark, sf_dir, "page_id", "url")
-    base = p.select(
+    return p.select(
         "page_id", "url",
         F.regexp_extract("url", HOST_PATTERN, 1).alias("host"),
         F.regexp_extract("url", PATH_PATTERN, 1).alias("path"),
         ((F.col("page_id") * DST_MULTIPLIER) % ADDRESS_SPACE).alias("dst"))
-    cols = lambda k, dst: [(F.col("page_id") * 4 + k).alias("req_id"),
-                           F.lit(1).cast("tinyint").alias("method"),
-                           dst.alias("dst"), "host", "path"]
-    return (base.select(*cols(0, F.col("dst")))
-            .unionByName(base.filter(F.col("url").contains("?"))
-                         .select(*cols(1, F.col("dst"))))
+
+
+def _request_cols(k: int, dst):
+    return [(F.col("page_id") * 4 + k).alias("req_id"),
+            F.lit(1).cast("tinyint").alias("method"), dst.alias("dst"), "host", "path"]
+
+
+def url_requests_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first wave: one GET request per page."""
+    return _page_urls(spark, sf_dir).select(*_request_cols(0, F.col("dst")))
+
+
+def url_requests_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second wave: pages with a query string are requested again (same key),
+    pages with a fragment are requested from another address (new key)."""
+    base = _page_urls(spark, sf_dir)
+    return (base.filter(F.col("url").contains("?")).select(*_request_cols(1, F.col("dst")))
             .unionByName(base.filter(F.col("url").contains("#"))
-                         .select(*cols(2, (F.col("dst") + 1) % ADDRESS_SPACE))))
+                         .select(*_request_cols(2, (F.col("dst") + 1) % ADDRESS_SPACE))))
+
+
+def url_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URL requests from ``pages.url``: both waves."""
+    return url_requests_first(spark, sf_dir).unionByName(url_requests_again(spark, sf_dir))
 
 
 def http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured request payloads with IP/TCP header fields, one per URL request.
 
-    The header fields and payload shape vary with ``req_id % 11`` so every
-    filter rule has rows that fail it.
+    The header fields and payload shape vary with ``req_id % 32``: variants
+    0-10 each break one filter or extraction rule, the others are plain GETs.
     """
     r = url_requests(spark, sf_dir)
     v = F.col("req_id") % PAYLOAD_VARIANTS
@@ -122,11 +133,13 @@ def http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page bodies keyed by (host, path); the stored path has no query string,
-    so requests that carry one find no content."""
-    p = tables.pages(spark, sf_dir, "url", "html")
-    return p.select(F.regexp_extract("url", HOST_PATTERN, 1).alias("host"),
-                    F.regexp_extract("url", PAGE_PATH_PATTERN, 1).alias("path"),
-                    "html")
+    so requests that carry one find no content. Several pages on one key keep
+    the body of the lowest page id (an aggregate, combined map-side)."""
+    p = tables.pages(spark, sf_dir, "page_id", "url", "html")
+    keyed = p.select(F.regexp_extract("url", HOST_PATTERN, 1).alias("host"),
+                     F.regexp_extract("url", PAGE_PATH_PATTERN, 1).alias("path"),
+                     "page_id", "html")
+    return keyed.groupBy("host", "path").agg(F.min_by("html", "page_id").alias("html"))
 
 
 # ---------------------------------------------------------------------------
@@ -155,26 +168,32 @@ SQL = {
         "unnest(range(1, len(l) + 1)) AS pos FROM (SELECT item_id, "
         f"list_filter(string_split(translate(text, {_WS_SQL}, ',,,,'), ','), "
         "lambda x: x <> '') AS l FROM benchmark))"),
-    "url_requests": (
-        "WITH b AS (SELECT page_id, url, "
+    "url_requests_first": (
+        f"SELECT page_id * 4 AS req_id, CAST(1 AS TINYINT) AS method, "
+        f"(page_id * {DST_MULTIPLIER}) % {ADDRESS_SPACE} AS dst, "
+        f"regexp_extract(url, '{HOST_PATTERN}', 1) AS host, "
+        f"regexp_extract(url, '{PATH_PATTERN}', 1) AS path FROM pages"),
+    "url_requests_again": (
+        f"SELECT page_id * 4 + 1 AS req_id, CAST(1 AS TINYINT) AS method, "
+        f"(page_id * {DST_MULTIPLIER}) % {ADDRESS_SPACE} AS dst, "
         f"regexp_extract(url, '{HOST_PATTERN}', 1) AS host, "
-        f"regexp_extract(url, '{PATH_PATTERN}', 1) AS path, "
-        f"(page_id * {DST_MULTIPLIER}) % {ADDRESS_SPACE} AS dst FROM pages) "
-        "SELECT page_id * 4 AS req_id, CAST(1 AS TINYINT) AS method, dst, host, path FROM b "
-        "UNION ALL SELECT page_id * 4 + 1, CAST(1 AS TINYINT), dst, host, path FROM b "
-        "WHERE contains(url, '?') "
-        f"UNION ALL SELECT page_id * 4 + 2, CAST(1 AS TINYINT), (dst + 1) % {ADDRESS_SPACE}, "
-        "host, path FROM b WHERE contains(url, '#')"),
+        f"regexp_extract(url, '{PATH_PATTERN}', 1) AS path FROM pages WHERE contains(url, '?') "
+        f"UNION ALL SELECT page_id * 4 + 2, CAST(1 AS TINYINT), "
+        f"((page_id * {DST_MULTIPLIER}) % {ADDRESS_SPACE} + 1) % {ADDRESS_SPACE}, "
+        f"regexp_extract(url, '{HOST_PATTERN}', 1), "
+        f"regexp_extract(url, '{PATH_PATTERN}', 1) FROM pages WHERE contains(url, '#')"),
+    "url_requests": "SELECT * FROM url_requests_first UNION ALL SELECT * FROM url_requests_again",
     "page_content": (
         f"SELECT regexp_extract(url, '{HOST_PATTERN}', 1) AS host, "
-        f"regexp_extract(url, '{PAGE_PATH_PATTERN}', 1) AS path, html FROM pages"),
+        f"regexp_extract(url, '{PAGE_PATH_PATTERN}', 1) AS path, arg_min(html, page_id) AS html "
+        "FROM pages GROUP BY ALL"),
 }
 
 _CRLF = f"{_CR} || {_LF}"
 SQL["http_payloads"] = (
-    "WITH r AS (SELECT req_id, dst, req_id % 11 AS v, "
-    "CASE WHEN req_id % 11 = 7 THEN path || repeat('a', 2048) ELSE path END AS path, "
-    "CASE WHEN req_id % 11 = 10 THEN repeat(host, 12) ELSE host END AS host "
+    f"WITH r AS (SELECT req_id, dst, req_id % {PAYLOAD_VARIANTS} AS v, "
+    "CASE WHEN v = 7 THEN path || repeat('a', 2048) ELSE path END AS path, "
+    "CASE WHEN v = 10 THEN repeat(host, 12) ELSE host END AS host "
     "FROM url_requests), "
     "p AS (SELECT *, CASE "
     f"WHEN v = 0 THEN 'POST ' || path || ' HTTP/1.1' || {_CRLF} || 'Host: ' || host || {_CRLF} || {_CRLF} "
@@ -190,7 +209,8 @@ SQL["http_payloads"] = (
     "END AS total_len, dst, payload FROM p")
 
 # Dependencies between the CTEs above (a CTE must come after what it reads).
-SQL_DEPENDS = {"http_payloads": ["url_requests"]}
+SQL_DEPENDS = {"http_payloads": ["url_requests"],
+               "url_requests": ["url_requests_first", "url_requests_again"]}
 
 
 def with_ctes(body: str, *names: str) -> str:
