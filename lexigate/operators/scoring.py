@@ -31,7 +31,7 @@ def category_hits(hit_cats: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def url_verdict(cat_hits: DataFrame, totals: DataFrame, subjects: DataFrame,
                 id_col: str = "doc_id", threshold: int = DEFAULT_THRESHOLD,
                 bounded: bool = True) -> DataFrame:
-    """One category code per subject, 0 when none qualifies.
+    """One category code per subject (its other columns kept), 0 when none qualifies.
 
     ``pct = hits * 100 div total_words``; a category qualifies when
     ``pct > threshold``; the highest pct wins, ties go to the smallest code.
@@ -43,8 +43,9 @@ def url_verdict(cat_hits: DataFrame, totals: DataFrame, subjects: DataFrame,
               .filter(F.col("pct") > threshold))
     best = scored.groupBy(id_col).agg(
         F.max_by("category", F.struct(F.col("pct"), -F.col("category"))).alias("type"))
-    return (subjects.select(id_col).join(best, id_col, "left")
-            .select(id_col, F.coalesce("type", F.lit(0)).cast("int").alias("type")))
+    keep = [c for c in subjects.columns if c != "type"]
+    return (subjects.select(*keep).join(best, id_col, "left")
+            .select(*keep, F.coalesce("type", F.lit(0)).cast("int").alias("type")))
 
 
 def valid_verdicts(verdicts: DataFrame) -> DataFrame:

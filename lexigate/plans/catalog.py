@@ -84,7 +84,7 @@ def doc_verdicts(spark, sf):
     _, _, idx, totals, pats = word_dictionary(spark)
     hits = M.keyword_hits(docs, pats)
     ch = S.category_hits(S.hit_categories(hits, idx))
-    return S.url_verdict(ch, totals, docs)
+    return S.url_verdict(ch, totals, docs.select("doc_id"))
 
 
 def request_verdicts(spark, sf):
@@ -101,9 +101,10 @@ def request_verdicts(spark, sf):
         F.col("text").isNotNull())
     hits = M.keyword_hits(bodies, pats, id_col="req_id")
     ch = S.category_hits(S.hit_categories(hits, idx, id_col="req_id"), id_col="req_id")
-    verdict = S.url_verdict(ch, totals, with_content, id_col="req_id")
-    return (with_content.select("req_id", "method", "dst", "host", "path")
-            .join(verdict, "req_id"))
+    # A request without content keeps type 0: the verdict is joined back to the
+    # requests, not to the (wide) content rows.
+    return S.url_verdict(ch, totals, reqs.select("req_id", "method", "dst", "host", "path"),
+                         id_col="req_id")
 
 
 def occ_of(spark, sf, pats, keep=None):
