@@ -48,20 +48,30 @@ def _split_ranged(patterns: DataFrame):
     return p.filter(free), p.filter(~free)
 
 
-def _with_folds(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("__text_f", ascii_fold(text))
+def ci_literal_regex(col) -> F.Column:
+    """``(?i)`` + the quoted literal. Java's ``(?i)`` without UNICODE_CASE folds
+    ASCII letters only, exactly the matcher's case rule."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(col, F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
+                      F.lit("\\E"))
+    return F.concat(F.lit("(?i)"), quoted)
 
 
 def _case_match(text: str) -> F.Column:
-    # Folded text is computed once per document, folded pattern once per pattern.
-    return (F.when(F.col("nocase"), F.contains(F.col("__text_f"), F.col("__pat_f")))
+    # No folded copy of the text is made: case-insensitive patterns are found
+    # with an ASCII-only case-insensitive literal regex.
+    return (F.when(F.col("nocase"), F.regexp_like(F.col(text), F.col("__pat_rx")))
             .otherwise(F.contains(F.col(text), F.col("pattern"))))
 
 
+def _pattern_build_side(patterns: DataFrame) -> DataFrame:
+    p = _pattern_side(patterns)
+    return p.withColumn("__pat_f", ascii_fold("pattern")).withColumn(
+        "__pat_rx", ci_literal_regex(F.col("pattern")))
+
+
 def _contains_join(docs, patterns, id_col, text, how):
-    p = F.broadcast(_pattern_side(patterns).withColumn("__pat_f", ascii_fold("pattern")))
-    d = _with_folds(docs.select(id_col, text), text)
-    return d.join(p, _case_match(text), how)
+    p = F.broadcast(_pattern_build_side(patterns))
+    return docs.select(id_col, text).join(p, _case_match(text), how)
 
 
 def _window_join(docs, ranged, id_col, text):
@@ -190,21 +200,35 @@ def _grams(col, q: int) -> F.Column:
 
 
 def _anchor_hits(docs, patterns, id_col, text, q: int = ANCHOR_Q):
-    """Equi-join on q-grams of the folded text, no broadcast of either big side."""
-    p = _pattern_side(patterns).withColumn("__pat_f", ascii_fold("pattern"))
+    """Equi-join on q-grams of the folded text; neither big side is broadcast.
+
+    Only grams that occur in some pattern are kept from the texts (semi join),
+    each pattern is anchored on its rarest gram (exact document frequency), and
+    candidates are verified with the case rule.
+    """
+    p = _pattern_build_side(patterns)
     d = docs.select(id_col, text)
-    doc_grams = d.select(id_col, F.explode(_grams(ascii_fold(text), q)).alias("gram"))
-    # Document frequency of each gram; partial aggregation before the shuffle.
-    gram_df = doc_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # Pattern-sized sides (grams, anchors: at most a few per pattern) are
+    # broadcast only when the pattern table itself is proven small.
+    small = patterns_are_small(patterns)
+
+    def side(df):
+        return F.broadcast(df) if small else df
+
     long_p = p.filter(F.char_length("__pat_f") >= q)
     pat_grams = long_p.select("pattern_id", F.explode(_grams(F.col("__pat_f"), q)).alias("gram"))
+    gram_set = side(pat_grams.select("gram").distinct())
+    doc_grams = (d.select(id_col, F.explode(_grams(ascii_fold(text), q)).alias("gram"))
+                 .join(gram_set, "gram", "left_semi"))
+    # Document frequency per gram: partial aggregation before the shuffle.
+    gram_df = doc_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     anchors = (pat_grams.join(gram_df, "gram")
                .groupBy("pattern_id").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram")))
-    cand = doc_grams.join(anchors, "gram").select(id_col, "pattern_id")
-    verified = (cand.join(long_p, "pattern_id")
-                .join(_with_folds(d, text), id_col)
+    cand = doc_grams.join(side(anchors), "gram").select(id_col, "pattern_id")
+    verified = (cand.join(side(long_p), "pattern_id")
+                .join(d, id_col)
                 .filter(_case_match(text)).select(id_col, "pattern_id"))
-    short_p = p.filter(F.char_length("__pat_f") < q).drop("__pat_f")
+    short_p = p.filter(F.char_length("__pat_f") < q).drop("__pat_f", "__pat_rx")
     if patterns_are_small(short_p):
         short = _contains_join(docs, short_p, id_col, text, "inner").select(id_col, "pattern_id")
     else:  # pragma: no cover - bounded by the alphabet in practice
@@ -282,13 +306,14 @@ def occurrence_counts(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_i
                       text: str = "text") -> DataFrame:
     """Occurrences per (document, pattern), native: ``regexp_count`` of a
     look-ahead (overlaps counted). Case rule applied; no position rule."""
-    p = F.broadcast(_pattern_side(patterns).withColumn("__pat_f", ascii_fold("pattern")))
-    d = _with_folds(docs.select(id_col, text), text)
-    # Quote with \\Q..\\E; a literal \\E inside the word is closed and re-opened.
-    rx = F.concat(F.lit("(?=\\Q"), F.replace(F.col("__q"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
-                  F.lit("\\E)"))
-    joined = d.join(p, _case_match(text)).withColumn(
-        "__q", F.when(F.col("nocase"), F.col("__pat_f")).otherwise(F.col("pattern")))
-    source = F.when(F.col("nocase"), F.col("__text_f")).otherwise(F.col(text))
+    p = F.broadcast(_pattern_build_side(patterns).withColumn(
+        "__count_rx", F.concat(
+            F.lit("(?="),
+            F.when(F.col("nocase"), F.col("__pat_rx")).otherwise(
+                F.concat(F.lit("\\Q"), F.replace(F.col("pattern"), F.lit("\\E"),
+                                                   F.lit("\\E\\\\E\\Q")), F.lit("\\E"))),
+            F.lit(")"))))
+    joined = docs.select(id_col, text).join(p, _case_match(text))
     return joined.select(id_col, "pattern_id",
-                         F.regexp_count(source, rx).cast("bigint").alias("occurrences"))
+                         F.regexp_count(F.col(text), F.col("__count_rx")).cast("bigint")
+                         .alias("occurrences"))

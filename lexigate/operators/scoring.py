@@ -41,8 +41,11 @@ def url_verdict(cat_hits: DataFrame, totals: DataFrame, subjects: DataFrame,
     scored = (cat_hits.join(side, "cat_index")
               .withColumn("pct", F.expr("(hits * 100) div total_words"))
               .filter(F.col("pct") > threshold))
-    best = scored.groupBy(id_col).agg(
-        F.max_by("category", F.struct(F.col("pct"), -F.col("category"))).alias("type"))
+    # Highest pct, then smallest 16-bit code, packed in one long so the
+    # aggregate stays a (map-side combined) hash aggregate.
+    packed = F.col("pct").cast("long") * 65536 + (65535 - F.col("category"))
+    best = (scored.groupBy(id_col).agg(F.max(packed).alias("best"))
+            .select(id_col, (65535 - F.col("best") % 65536).cast("int").alias("type")))
     keep = [c for c in subjects.columns if c != "type"]
     return (subjects.select(*keep).join(best, id_col, "left")
             .select(*keep, F.coalesce("type", F.lit(0)).cast("int").alias("type")))

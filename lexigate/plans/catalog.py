@@ -23,7 +23,7 @@ from lexigate.operators import requests as R
 from lexigate.operators import scoring as S
 from lexigate.operators import sequence as Q
 from lexigate.plans import oracle as O
-from lexigate.session import ensure_checkpoint_dir
+from lexigate.session import ensure_checkpoint_dir, small_table
 from lexigate.sources import derived, fixtures, sinks
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -56,12 +56,24 @@ def out(df: DataFrame) -> DataFrame:
 # shared building blocks (Spark side)
 # ---------------------------------------------------------------------------
 
+_SMALL_CACHE: dict = {}
+
+
 def word_dictionary(spark):
-    """The fixed word dictionary: categories, tokens, index, totals, patterns."""
-    cats = D.categories(fixtures.word_dictionary(spark), bounded=True)
-    toks = D.dictionary_tokens(cats)
-    idx = D.keyword_index(toks, bounded=True)
-    return cats, toks, idx, D.category_totals(cats, toks), D.service_patterns(idx)
+    """The fixed word dictionary: categories, tokens, index, totals, patterns.
+
+    Bounded, so each table is evaluated once (size-checked) and kept as a local
+    relation: every plan that uses it broadcasts a few rows instead of
+    re-deriving the dictionary.
+    """
+    key = (spark.sparkContext.applicationId, "word_dictionary")
+    if key not in _SMALL_CACHE:
+        cats = D.categories(fixtures.word_dictionary(spark), bounded=True)
+        toks = D.dictionary_tokens(cats)
+        idx = D.keyword_index(toks, bounded=True)
+        tables = (cats, toks, idx, D.category_totals(cats, toks), D.service_patterns(idx))
+        _SMALL_CACHE[key] = tuple(small_table(t) for t in tables)
+    return _SMALL_CACHE[key]
 
 
 def doc_dictionary(spark, sf):
@@ -71,8 +83,11 @@ def doc_dictionary(spark, sf):
 
 
 def fixture_policy_patterns(spark):
-    return D.policy_patterns(fixtures.policies(spark), fixtures.policy_keywords(spark),
-                             bounded=True)
+    key = (spark.sparkContext.applicationId, "policy_patterns")
+    if key not in _SMALL_CACHE:
+        _SMALL_CACHE[key] = small_table(D.policy_patterns(
+            fixtures.policies(spark), fixtures.policy_keywords(spark), bounded=True))
+    return _SMALL_CACHE[key]
 
 
 def test_policy_patterns(spark):

@@ -76,3 +76,15 @@ def check_broadcastable(df: DataFrame, rows: int | None = None,
         return rows <= limit_rows
     size = estimated_bytes(df)
     return size is not None and size <= limit_bytes
+
+
+def small_table(df: DataFrame, limit_rows: int = BROADCAST_ROWS_LIMIT) -> DataFrame:
+    """Evaluate a side proven small once and keep it as a local relation.
+
+    Reads at most ``limit_rows + 1`` rows; raises when the side is larger, so a
+    table that grows with the data is never pulled to the driver.
+    """
+    rows = df.limit(limit_rows + 1).collect()
+    if len(rows) > limit_rows:
+        raise ValueError(f"side has more than {limit_rows} rows; not small")
+    return df.sparkSession.createDataFrame(rows, df.schema)
