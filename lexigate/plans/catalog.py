@@ -68,14 +68,28 @@ def word_dictionary(spark):
     """
     key = (spark.sparkContext.applicationId, "word_dictionary")
     if key not in _SMALL_CACHE:
-        cats = D.categories(fixtures.word_dictionary(spark), bounded=True)
-        toks = D.dictionary_tokens(cats)
-        idx = D.keyword_index(toks, bounded=True)
-        tables = (cats, toks, idx, D.category_totals(cats, toks), D.service_patterns(idx))
-        _SMALL_CACHE[key] = tuple(small_table(t) for t in tables)
+        _SMALL_CACHE[key] = small_dictionary(fixtures.word_dictionary(spark))
     return _SMALL_CACHE[key]
 
 
+def small_dictionary(dictionary: DataFrame):
+    """Categories, tokens, index, totals and patterns of a dictionary proven small."""
+    cats = D.categories(dictionary, bounded=True)
+    toks = D.dictionary_tokens(cats)
+    idx = D.keyword_index(toks, bounded=True)
+    tables = (cats, toks, idx, D.category_totals(cats, toks), D.service_patterns(idx))
+    return tuple(small_table(t) for t in tables)
+
+
+def verdicts_with(tables, subjects: DataFrame, id_col: str = "doc_id",
+                  text: str = "text") -> DataFrame:
+    """Category verdict per subject with the given (small) dictionary tables."""
+    _, _, idx, totals, pats = tables
+    hits = M.keyword_hits(subjects.select(id_col, text), pats, id_col=id_col, text=text)
+    ch = S.category_hits(S.hit_categories(hits, idx, id_col=id_col), id_col=id_col)
+    return S.url_verdict(ch, totals, subjects.select(id_col), id_col=id_col)
+
+
 def doc_dictionary(spark, sf):
     """The document-derived dictionary (grows with the data): categories, tokens."""
     cats = D.categories(derived.doc_dictionary(spark, sf), bounded=False)
@@ -95,11 +109,7 @@ def test_policy_patterns(spark):
 
 
 def doc_verdicts(spark, sf):
-    docs = derived.docs(spark, sf)
-    _, _, idx, totals, pats = word_dictionary(spark)
-    hits = M.keyword_hits(docs, pats)
-    ch = S.category_hits(S.hit_categories(hits, idx))
-    return S.url_verdict(ch, totals, docs.select("doc_id"))
+    return verdicts_with(word_dictionary(spark), derived.docs(spark, sf))
 
 
 def request_verdicts(spark, sf):

@@ -103,10 +103,11 @@ def with_(ctes: list[tuple[str, str]], body: str, *base: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
-def word_dictionary_ctes() -> list[tuple[str, str]]:
-    return [("wcats", cats("word_dictionary")), ("wtok", tokens("wcats")),
-            ("wids", word_ids("wtok")), ("widx", keyword_index("wtok", "wids")),
-            ("wtot", totals("wcats", "wtok")), ("wpats", service_patterns("wids"))]
+def word_dictionary_ctes(source: str = "word_dictionary", w: str = "w"
+                         ) -> list[tuple[str, str]]:
+    return [(f"{w}cats", cats(source)), (f"{w}tok", tokens(f"{w}cats")),
+            (f"{w}ids", word_ids(f"{w}tok")), (f"{w}idx", keyword_index(f"{w}tok", f"{w}ids")),
+            (f"{w}tot", totals(f"{w}cats", f"{w}tok")), (f"{w}pats", service_patterns(f"{w}ids"))]
 
 
 def doc_dictionary_ctes() -> list[tuple[str, str]]:
@@ -125,18 +126,20 @@ def policy_pattern_ctes(pol: str, kw: str, name: str = "ppats") -> list[tuple[st
         "ON s.group_name = g.name"))]
 
 
-def verdict_ctes(subjects: str, id_col: str, text: str, threshold: int = 70
+def verdict_ctes(subjects: str, id_col: str, text: str, threshold: int = 70,
+                 source: str = "word_dictionary", w: str = "w", v: str = "v"
                  ) -> list[tuple[str, str]]:
-    return word_dictionary_ctes() + [
-        ("vh", hits(subjects, "wpats", id_col, text)),
-        ("vhc", f"SELECT h.{id_col}, k.cat_index FROM vh h JOIN widx k ON h.pattern_id = k.iid"),
-        ("vch", f"SELECT {id_col}, cat_index, CAST(count(*) AS BIGINT) AS hits FROM vhc "
-                f"GROUP BY {id_col}, cat_index"),
-        ("vsc", f"SELECT c.{id_col}, t.category, (c.hits * 100) // t.total_words AS pct "
-                f"FROM vch c JOIN wtot t ON c.cat_index = t.cat_index "
-                f"WHERE (c.hits * 100) // t.total_words > {threshold}"),
-        ("vbest", f"SELECT {id_col}, arg_max(category, (pct, -category)) AS type FROM vsc "
-                  f"GROUP BY {id_col}"),
-        ("verdicts", f"SELECT s.{id_col}, CAST(COALESCE(b.type, 0) AS BIGINT) AS type "
-                     f"FROM {subjects} s LEFT JOIN vbest b ON s.{id_col} = b.{id_col}"),
+    return word_dictionary_ctes(source, w) + [
+        (f"{v}h", hits(subjects, f"{w}pats", id_col, text)),
+        (f"{v}hc", f"SELECT h.{id_col}, k.cat_index FROM {v}h h JOIN {w}idx k "
+                   "ON h.pattern_id = k.iid"),
+        (f"{v}ch", f"SELECT {id_col}, cat_index, CAST(count(*) AS BIGINT) AS hits FROM {v}hc "
+                   f"GROUP BY {id_col}, cat_index"),
+        (f"{v}sc", f"SELECT c.{id_col}, t.category, (c.hits * 100) // t.total_words AS pct "
+                   f"FROM {v}ch c JOIN {w}tot t ON c.cat_index = t.cat_index "
+                   f"WHERE (c.hits * 100) // t.total_words > {threshold}"),
+        (f"{v}best", f"SELECT {id_col}, arg_max(category, (pct, -category)) AS type FROM {v}sc "
+                     f"GROUP BY {id_col}"),
+        (f"{v}erdicts", f"SELECT s.{id_col}, CAST(COALESCE(b.type, 0) AS BIGINT) AS type "
+                        f"FROM {subjects} s LEFT JOIN {v}best b ON s.{id_col} = b.{id_col}"),
     ]
