@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexigate.functions import atoi, category_code, split_tokens
 from lexigate.operators.ordinal import global_ordinal, group_ordinal
+from lexigate.session import materialize
 
 
 def _ordinal(df: DataFrame, order_cols, name: str, bounded: bool) -> DataFrame:
@@ -41,9 +42,15 @@ def categories(dictionary: DataFrame, bounded: bool = False) -> DataFrame:
     d = dictionary.select(
         "id", "keywordlist",
         category_code(atoi("grouptype"), atoi("groupid")).alias("category"))
-    return (_ordinal(d, ["id"], "cat_index", bounded)
-            .select(F.col("cat_index").cast("int").alias("cat_index"), "id",
-                    F.col("category").cast("int").alias("category"), "keywordlist"))
+    if bounded:
+        numbered = _ordinal(d, ["id"], "cat_index", True)
+    else:
+        # Number the (narrow) ids only, then join the rows back on id: the
+        # keyword lists are shuffled once instead of sorted, written and re-read.
+        ids = _ordinal(d.select("id"), ["id"], "cat_index", False)
+        numbered = d.join(ids, "id")
+    return numbered.select(F.col("cat_index").cast("int").alias("cat_index"), "id",
+                           F.col("category").cast("int").alias("category"), "keywordlist")
 
 
 def dictionary_tokens(cats: DataFrame) -> DataFrame:
@@ -57,12 +64,12 @@ def dictionary_tokens(cats: DataFrame) -> DataFrame:
 def keyword_ids(tokens: DataFrame, bounded: bool = False) -> DataFrame:
     """Distinct words with a dense 1-based ``iid`` in first-appearance order,
     plus ``cat_num`` (list length, duplicates kept)."""
-    words = tokens.groupBy("word").agg(
-        F.min(F.struct("cat_index", "pos")).alias("first"),
-        F.count(F.lit(1)).alias("cat_num"))
-    words = words.select("word", "cat_num", F.col("first.cat_index").alias("first_cat"),
-                         F.col("first.pos").alias("first_pos"))
-    return (_ordinal(words, ["first_cat", "first_pos"], "iid", bounded)
+    # (cat_index, pos) packed in one long keeps this a map-side combined hash
+    # aggregate (both are positive 32-bit ints).
+    first = F.col("cat_index").cast("long") * (1 << 32) + F.col("pos")
+    words = tokens.groupBy("word").agg(F.min(first).alias("first"),
+                                       F.count(F.lit(1)).alias("cat_num"))
+    return (_ordinal(words, ["first"], "iid", bounded)
             .select(F.col("iid").cast("int").alias("iid"), "word", "cat_num"))
 
 
@@ -73,6 +80,9 @@ def keyword_index(tokens: DataFrame, bounded: bool = False) -> DataFrame:
     in the word's list (first-seen order, duplicates kept). The list of a hot
     word is never gathered into one row or one task.
     """
+    if not bounded:
+        # two ordinals read the tokens: derive them once, then scan the copy
+        tokens = materialize(tokens.select("word", "cat_index", "pos"), "tokens")
     ids = keyword_ids(tokens, bounded)
     entries = _within(tokens.select("word", "cat_index", "pos"), ["word"],
                       ["cat_index", "pos"], "k", bounded)

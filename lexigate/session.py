@@ -88,3 +88,13 @@ def small_table(df: DataFrame, limit_rows: int = BROADCAST_ROWS_LIMIT) -> DataFr
     if len(rows) > limit_rows:
         raise ValueError(f"side has more than {limit_rows} rows; not small")
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage: write ``df`` once as a table in the shared checkpoint
+    folder and scan it (one job; a reliable RDD checkpoint would compute it twice)."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
