@@ -7,6 +7,9 @@ Strategies for hit pairs (all return the same rows):
 * ``regex``    - one trie-factored look-ahead regex per case class, evaluated
   natively by ``regexp_extract_all``; the longest pattern at each position is
   extracted and its prefixes among the patterns are recovered by a join.
+* ``automaton`` - the (size-checked) patterns are shipped to the tasks and each
+  text is scanned once by an Aho-Corasick automaton inside ``mapInPandas``;
+  distinct hits per text are emitted, rules applied. For many patterns.
 * ``anchor``   - no broadcast: texts are exploded into their distinct q-grams
   and equi-joined (shuffle) with each pattern's rarest q-gram, then verified.
   Scales on both sides; used when the pattern side is too big to broadcast.
@@ -24,6 +27,8 @@ from lexigate.operators.bytematch import ByteMatcher, to_bytes
 from lexigate.session import BROADCAST_ROWS_LIMIT
 
 ANCHOR_Q = 3
+CONTAINS_PATTERNS_LIMIT = 64   # above this, one trie-regex pass per text beats a
+                               # nested-loop join testing every pattern
 
 
 def patterns_are_small(patterns: DataFrame, limit: int = BROADCAST_ROWS_LIMIT) -> bool:
@@ -100,9 +105,14 @@ def keyword_hits(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
                  text: str = "text", strategy: str = "auto") -> DataFrame:
     """Distinct (document, pattern) pairs where the pattern occurs under its case
     and position rules."""
+    if strategy == "automaton":
+        return _automaton_hits(docs, patterns, id_col, text)
     small = patterns_are_small(patterns)
     if strategy == "auto":
-        strategy = "contains" if small else "anchor"
+        if patterns_are_small(patterns, CONTAINS_PATTERNS_LIMIT):
+            strategy = "contains"
+        else:
+            strategy = "regex" if small else "anchor"
     free, ranged = _split_ranged(patterns)
     if strategy == "contains":
         if not small:
@@ -168,29 +178,35 @@ def _trie_regex(words: list[str]) -> str:
 
 
 def _regex_hits(docs, patterns, id_col, text):
+    """Trie regex per case class; each text's distinct longest matches are cut
+    into their prefixes (all per row) and equi-joined to the patterns."""
     if not patterns_are_small(patterns):
         raise ValueError("regex strategy needs a small pattern side")
     p = _pattern_side(patterns).withColumn("__pat_f", ascii_fold("pattern"))
     rows = p.select("pattern", "__pat_f", "nocase").collect()
     d = docs.select(id_col, text)
     parts = []
-    for nocase, col_name, source in ((False, "pattern", F.col(text)),
-                                     (True, "__pat_f", ascii_fold(text))):
+    for nocase, col_name, flags in ((False, "pattern", ""), (True, "__pat_f", "(?i)")):
         words = sorted({r[col_name] for r in rows if bool(r["nocase"]) == nocase})
         if not words:
             continue
-        longest = d.select(id_col, F.explode(F.array_distinct(
-            F.regexp_extract_all(source, F.lit(_trie_regex(words)), 1))).alias("__longest"))
-        longest = longest.filter(F.col("__longest") != "")
-        side = F.broadcast(p.filter(F.col("nocase") == F.lit(nocase)))
-        parts.append(longest.join(side, F.startswith(F.col("__longest"), F.col(col_name)))
-                     .select(id_col, "pattern_id"))
+        rx = flags + _trie_regex(words)
+        longest = F.filter(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rx), 1)),
+                           lambda x: x != F.lit(""))
+        if nocase:
+            longest = F.transform(longest, lambda x: ascii_fold(x))
+        prefixes = F.array_distinct(F.flatten(F.transform(longest, lambda w: F.transform(
+            F.sequence(F.lit(1), F.char_length(w)), lambda i: F.substring(w, F.lit(1), i)))))
+        found = d.select(id_col, F.explode(prefixes).alias("__prefix"))
+        side = F.broadcast(p.filter(F.col("nocase") == F.lit(nocase))
+                           .select("pattern_id", F.col(col_name).alias("__prefix")))
+        parts.append(found.join(side, "__prefix").select(id_col, "pattern_id"))
     if not parts:
         return d.select(id_col, F.lit(None).cast("int").alias("pattern_id")).limit(0)
     out = parts[0]
     for extra in parts[1:]:
         out = out.unionByName(extra)
-    return out.distinct()
+    return out
 
 
 # -- anchor strategy ------------------------------------------------------------
@@ -317,3 +333,46 @@ def occurrence_counts(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_i
     return joined.select(id_col, "pattern_id",
                          F.regexp_count(F.col(text), F.col("__count_rx")).cast("bigint")
                          .alias("occurrences"))
+
+
+HIT_SCHEMA_FIELDS = [T.StructField("pattern_id", T.IntegerType(), False)]
+
+
+def _automaton_hits(docs, patterns, id_col, text):
+    """Distinct hits per text from one automaton pass, case and position rules
+    applied in the task (a text emits each pattern at most once)."""
+    p = _pattern_side(patterns)
+    if not patterns_are_small(p):
+        raise ValueError("pattern side too large to ship to the tasks; use 'anchor'")
+    rows = p.collect()
+    plist = [(int(r["pattern_id"]), r["pattern"].encode("utf-8"), bool(r["nocase"]))
+             for r in rows]
+    ranges = {int(r["pattern_id"]): (int(r["offset"]), int(r["depth"])) for r in rows
+              if r["offset"] != 0 or r["depth"] != 0}
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType, True)]
+                          + HIT_SCHEMA_FIELDS)
+
+    def in_range(idx, n, offset, depth):
+        return (offset >= 0 and depth >= 0 and (offset == 0 or offset <= idx)
+                and (depth == 0 or offset + depth >= idx + n))
+
+    def run(batches):
+        import pandas as pd
+        matcher = ByteMatcher(plist)
+        for pdf in batches:
+            ids, pids = [], []
+            for key, value in zip(pdf[id_col].tolist(), pdf[text].tolist()):
+                seen = set()
+                for pid, idx, n in matcher.find(to_bytes(value)):
+                    if pid in seen:
+                        continue
+                    rule = ranges.get(pid)
+                    if rule is not None and not in_range(idx, n, *rule):
+                        continue
+                    seen.add(pid)
+                    ids.append(key)
+                    pids.append(pid)
+            yield pd.DataFrame({id_col: ids, "pattern_id": pids},
+                               columns=[id_col, "pattern_id"]).astype({"pattern_id": "int32"})
+
+    return docs.select(id_col, text).mapInPandas(run, schema)

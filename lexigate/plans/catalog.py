@@ -723,3 +723,35 @@ def q_match_strategy_anchor(spark, sf):
 def q_match_strategy_counts(spark, sf):
     pats = fixtures.patterns(spark).filter((F.col("offset") == 0) & (F.col("depth") == 0))
     return out(M.occurrence_counts(derived.docs(spark, sf), pats))
+
+
+BENCH_WORD_HITS = BPP + [("bh", O.hits("docs", "bpp"))]
+
+
+def _bench_word_patterns(spark, sf):
+    return D.policy_patterns(derived.bench_policies(spark, sf),
+                             derived.bench_policy_keywords(spark, sf), bounded=False)
+
+
+@query("match_strategy_automaton", _sql(BENCH_WORD_HITS, "SELECT doc_id, pattern_id FROM bh",
+                                        "docs", "bench_policies", "bench_policy_keywords"))
+def q_match_strategy_automaton(spark, sf):
+    """Hits of a large dictionary (every word of every benchmark item)."""
+    pats = _bench_word_patterns(spark, sf)
+    return out(M.keyword_hits(derived.docs(spark, sf), pats, strategy="automaton"))
+
+
+@query("match_strategy_anchor_words", _sql(BENCH_WORD_HITS, "SELECT doc_id, pattern_id FROM bh",
+                                           "docs", "bench_policies", "bench_policy_keywords"))
+def q_match_strategy_anchor_words(spark, sf):
+    """The same large dictionary through the shuffle (q-gram) strategy."""
+    pats = _bench_word_patterns(spark, sf)
+    return out(M.keyword_hits(derived.docs(spark, sf), pats, strategy="anchor"))
+
+
+@query("match_strategy_regex_words", _sql(BENCH_WORD_HITS, "SELECT doc_id, pattern_id FROM bh",
+                                          "docs", "bench_policies", "bench_policy_keywords"))
+def q_match_strategy_regex_words(spark, sf):
+    """The same large dictionary through one native trie regex per text."""
+    pats = _bench_word_patterns(spark, sf)
+    return out(M.keyword_hits(derived.docs(spark, sf), pats, strategy="regex"))

@@ -98,3 +98,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when it has fewer partitions than the
+    cluster's parallelism (a small table in one row group reads as one task).
+
+    Large inputs already have many splits and are returned unchanged, so this
+    never adds a shuffle of a big table.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

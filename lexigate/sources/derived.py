@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.session import ensure_checkpoint_dir
+from lexigate.session import ensure_checkpoint_dir, spread
 from lexigate.sources import fixtures, tables
 
 # The derivation constants.
@@ -26,7 +26,9 @@ WHITESPACE = " \n\t\r"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.documents(spark, sf_dir, "doc_id", "text")
+    """``(doc_id, text)``; per-text matching is CPU-bound, so a scan with fewer
+    splits than cores is spread first."""
+    return spread(tables.documents(spark, sf_dir, "doc_id", "text"))
 
 
 def doc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
