@@ -241,9 +241,11 @@ def _anchor_hits(docs, patterns, id_col, text, q: int = ANCHOR_Q):
     anchors = (pat_grams.join(gram_df, "gram")
                .groupBy("pattern_id").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram")))
     cand = doc_grams.join(side(anchors), "gram").select(id_col, "pattern_id")
-    verified = (cand.join(side(long_p), "pattern_id")
-                .join(d, id_col)
-                .filter(_case_match(text)).select(id_col, "pattern_id"))
+    # The check is part of the join condition, so a joined row (with the whole
+    # text) is only built for a verified hit, not for every candidate.
+    c = cand.join(side(long_p), "pattern_id").withColumnRenamed(id_col, "__cid")
+    verified = (c.join(d, (F.col("__cid") == F.col(id_col)) & _case_match(text))
+                .select(id_col, "pattern_id"))
     short_p = p.filter(F.char_length("__pat_f") < q).drop("__pat_f", "__pat_rx")
     if patterns_are_small(short_p):
         short = _contains_join(docs, short_p, id_col, text, "inner").select(id_col, "pattern_id")
