@@ -42,10 +42,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only if unset.
+    """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only an unconfigured (local/test) session gets a fresh temporary one.
+    On a cluster the setting names a shared folder and is used as is; it must be
+    set, since a machine-local folder would not survive an executor loss. Only a
+    local-mode session (tests, benchmark) without the setting gets a fresh
+    scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -53,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     base = os.environ.get("TMPDIR", "/tmp")
     path = tempfile.mkdtemp(prefix="lexigate-ckpt-", dir=base)
     sc.setCheckpointDir(path)
