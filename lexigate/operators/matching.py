@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigate.functions import ascii_fold, case_rule, position_rule
+from lexigate.functions import ascii_fold, position_rule
 from lexigate.functions.text import regex_quote
 from lexigate.operators.bytematch import ByteMatcher, to_bytes
-from lexigate.session import BROADCAST_ROWS_LIMIT
+from lexigate.session import BROADCAST_BYTES_LIMIT, BROADCAST_ROWS_LIMIT
 
 ANCHOR_Q = 3
 CONTAINS_PATTERNS_LIMIT = 64   # above this, one trie-regex pass per text beats a
@@ -32,8 +32,14 @@ CONTAINS_PATTERNS_LIMIT = 64   # above this, one trie-regex pass per text beats
 
 
 def patterns_are_small(patterns: DataFrame, limit: int = BROADCAST_ROWS_LIMIT) -> bool:
-    """Proven size bound: counts at most ``limit + 1`` pattern rows."""
-    return patterns.limit(limit + 1).count() <= limit
+    """Proven size bound: at most ``limit`` rows and at most the broadcast byte
+    limit of pattern text (reads at most ``limit + 1`` rows)."""
+    if "pattern" not in patterns.columns:
+        return patterns.limit(limit + 1).count() <= limit
+    r = (patterns.limit(limit + 1)
+         .agg(F.count(F.lit(1)).alias("n"),
+              F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("b")).first())
+    return r["n"] <= limit and r["b"] <= BROADCAST_BYTES_LIMIT
 
 
 def _pattern_side(patterns: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexigate.session import ensure_checkpoint_dir, materialize
 

@@ -81,13 +81,17 @@ def small_dictionary(dictionary: DataFrame):
     return tuple(small_table(t) for t in tables)
 
 
-def verdicts_with(tables, subjects: DataFrame, id_col: str = "doc_id",
-                  text: str = "text") -> DataFrame:
-    """Category verdict per subject with the given (small) dictionary tables."""
+def verdicts_with(tables, texts: DataFrame, id_col: str = "doc_id", text: str = "text",
+                  subjects: DataFrame | None = None) -> DataFrame:
+    """Category verdict per subject with the given (small) dictionary tables.
+
+    ``subjects`` (default: the ids of ``texts``) is every id that gets a verdict.
+    """
     _, _, idx, totals, pats = tables
-    hits = M.keyword_hits(subjects.select(id_col, text), pats, id_col=id_col, text=text)
+    hits = M.keyword_hits(texts.select(id_col, text), pats, id_col=id_col, text=text)
     ch = S.category_hits(S.hit_categories(hits, idx, id_col=id_col), id_col=id_col)
-    return S.url_verdict(ch, totals, subjects.select(id_col), id_col=id_col)
+    subjects = subjects if subjects is not None else texts.select(id_col)
+    return S.url_verdict(ch, totals, subjects, id_col=id_col)
 
 
 def doc_dictionary(spark, sf):
@@ -109,7 +113,8 @@ def test_policy_patterns(spark):
 
 
 def doc_verdicts(spark, sf):
-    return verdicts_with(word_dictionary(spark), derived.docs(spark, sf))
+    return verdicts_with(word_dictionary(spark), derived.docs(spark, sf),
+                         subjects=derived.doc_ids(spark, sf))
 
 
 def request_verdicts(spark, sf):
@@ -519,7 +524,7 @@ def q_policy_percent(spark, sf):
     "docs", "policies", "policy_keywords"))
 def q_policy_decision(spark, sf):
     pct = S.policy_percent(S.policy_hits(_policy_occ(spark, sf)))
-    return out(S.policy_decision(pct, derived.docs(spark, sf)))
+    return out(S.policy_decision(pct, derived.doc_ids(spark, sf)))
 
 
 @query("url_verdict", _sql(O.verdict_ctes("docs", "doc_id", "text"),

@@ -63,25 +63,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of a plan, or None when unknown."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - depends on JVM internals of the build
-        return None
-
-
-def check_broadcastable(df: DataFrame, rows: int | None = None,
-                        limit_bytes: int = BROADCAST_BYTES_LIMIT,
-                        limit_rows: int = BROADCAST_ROWS_LIMIT) -> bool:
-    """True when a side is proven small: by counted rows, else by estimate."""
-    if rows is not None:
-        return rows <= limit_rows
-    size = estimated_bytes(df)
-    return size is not None and size <= limit_bytes
-
-
 def small_table(df: DataFrame, limit_rows: int = BROADCAST_ROWS_LIMIT) -> DataFrame:
     """Evaluate a side proven small once and keep it as a local relation.
 
@@ -91,6 +72,8 @@ def small_table(df: DataFrame, limit_rows: int = BROADCAST_ROWS_LIMIT) -> DataFr
     rows = df.limit(limit_rows + 1).collect()
     if len(rows) > limit_rows:
         raise ValueError(f"side has more than {limit_rows} rows; not small")
+    if sum(len(repr(r)) for r in rows) > BROADCAST_BYTES_LIMIT:
+        raise ValueError(f"side is larger than {BROADCAST_BYTES_LIMIT} bytes; not small")
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 

@@ -31,6 +31,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(tables.documents(spark, sf_dir, "doc_id", "text"))
 
 
+def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id`` alone (a narrow scan; nothing to spread)."""
+    return tables.documents(spark, sf_dir, "doc_id")
+
+
 def doc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A large dictionary in the ``urlkeyword`` shape, one row per document.
 
