@@ -73,23 +73,32 @@ def keyword_ids(tokens: DataFrame, bounded: bool = False) -> DataFrame:
             .select(F.col("iid").cast("int").alias("iid"), "word", "cat_num"))
 
 
-def keyword_index(tokens: DataFrame, bounded: bool = False) -> DataFrame:
+SALT_ROWS = 100_000  # entries per (word, salt) bucket when joining a hot word
+
+
+def keyword_index(tokens: DataFrame, bounded: bool = False,
+                  salt_rows: int = SALT_ROWS) -> DataFrame:
     """Equal words merged over all categories, in long form.
 
     One row per (word, entry of its category list): ``k`` is the 1-based place
     in the word's list (first-seen order, duplicates kept). The list of a hot
-    word is never gathered into one row or one task.
+    word is never gathered into one row or one task: entries are joined to the
+    word ids on (word, (k - 1) div salt_rows), the id row being repeated once
+    per bucket of its word, so no join key holds more than ``salt_rows`` entries.
     """
-    if not bounded:
-        # two ordinals read the tokens: derive them once, then scan the copy
-        tokens = materialize(tokens.select("word", "cat_index", "pos"), "tokens")
-    ids = keyword_ids(tokens, bounded)
-    entries = _within(tokens.select("word", "cat_index", "pos"), ["word"],
-                      ["cat_index", "pos"], "k", bounded)
-    ids_side = F.broadcast(ids) if bounded else ids
-    return (entries.join(ids_side, "word")
-            .select("iid", "word", "cat_num", F.col("k").cast("int").alias("k"),
-                    "cat_index"))
+    cols = ["iid", "word", "cat_num", F.col("k").cast("int").alias("k"), "cat_index"]
+    if bounded:
+        ids = keyword_ids(tokens, True)
+        entries = _within(tokens.select("word", "cat_index", "pos"), ["word"],
+                          ["cat_index", "pos"], "k", True)
+        return entries.join(F.broadcast(ids), "word").select(*cols)
+    # two ordinals read the tokens: derive them once, then scan the copy
+    tokens = materialize(tokens.select("word", "cat_index", "pos"), "tokens")
+    ids = keyword_ids(tokens, False).withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.expr(f"(cat_num - 1) div {salt_rows}"))))
+    entries = _within(tokens, ["word"], ["cat_index", "pos"], "k", False).withColumn(
+        "__salt", F.expr(f"(k - 1) div {salt_rows}"))
+    return entries.join(ids, ["word", "__salt"]).select(*cols)
 
 
 def keyword_lists(index: DataFrame, bounded: bool) -> DataFrame:

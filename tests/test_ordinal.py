@@ -46,3 +46,16 @@ def test_ordinal_survives_union(spark):
     b = global_ordinal(df, ["uid"], "r", partitions=5)
     u = a.unionByName(b)
     assert u.filter("r <> uid + 1").count() == 0
+
+
+def test_keyword_index_salted_join(spark):
+    """Hot words joined in buckets give the same index as the plain join."""
+    from lexigate.operators import dictionary as D
+    rows = [(i + 1, "1", "1", ",".join(["the"] * 9 + ["a", "the", "b"])) for i in range(5)]
+    d = spark.createDataFrame(rows, "id long, groupid string, grouptype string, "
+                                    "keywordlist string")
+    toks = D.dictionary_tokens(D.categories(d, bounded=False))
+    small = sorted(map(tuple, D.keyword_index(toks, bounded=False, salt_rows=4).collect()))
+    plain = sorted(map(tuple, D.keyword_index(toks, bounded=True).collect()))
+    assert small == plain
+    assert max(r[3] for r in small) == 50  # "the": 10 entries in each of 5 lists
