@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexigate.functions import atoi, category_code, split_tokens
 from lexigate.operators.ordinal import global_ordinal, group_ordinal
-from lexigate.session import materialize
+from lexigate.session import BROADCAST_ROWS_LIMIT, materialize
 
 
 def _ordinal(df: DataFrame, order_cols, name: str, bounded: bool) -> DataFrame:
@@ -194,11 +194,15 @@ def policy_patterns(policies: DataFrame, keywords: DataFrame, bounded: bool = Fa
         if not empty.isEmpty():
             raise ValueError("policy with no keyword: " + str(empty.first()["name"]))
     sizes = keywords.groupBy("group_name").agg(F.count(F.lit(1)).alias("content_num"))
-    joined = (policies.select(F.col("id").alias("policy_id"), F.col("name").alias("policy"),
+    # One row per policy (with its size); the keyword side may hold a hot group,
+    # so the policy side is broadcast when proven small instead of shuffled.
+    groups = (policies.select(F.col("id").alias("policy_id"), F.col("name").alias("policy"),
                               "percent")
-              .join(keywords.select(F.col("id").alias("keyword_id"), "group_name", "keyword"),
-                    F.col("policy") == F.col("group_name"))
-              .join(sizes, "group_name"))
+              .join(sizes, F.col("policy") == F.col("group_name")).drop("group_name"))
+    if bounded or policies.limit(BROADCAST_ROWS_LIMIT + 1).count() <= BROADCAST_ROWS_LIMIT:
+        groups = F.broadcast(groups)
+    joined = (keywords.select(F.col("id").alias("keyword_id"), "group_name", "keyword")
+              .join(groups, F.col("policy") == F.col("group_name")))
     numbered = _ordinal(joined, ["policy_id", "keyword_id"], "pattern_id", bounded)
     return pattern_table(numbered, "pattern_id", "keyword",
                          extra=["policy", "percent", "content_num"])
