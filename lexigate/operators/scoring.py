@@ -15,9 +15,10 @@ def doc_keyword_set(hits: DataFrame, id_col: str = "doc_id",
 
 
 def hit_categories(hits: DataFrame, index: DataFrame, id_col: str = "doc_id",
-                   bounded: bool = True) -> DataFrame:
+                   bounded: bool = False) -> DataFrame:
     """Each distinct hit keyword fans out to every entry of its category list
-    (a word listed twice in one category contributes twice)."""
+    (a word listed twice in one category contributes twice). ``bounded``: the
+    index is proven small and is broadcast."""
     side = index.select(F.col("iid").alias("pattern_id"), "cat_index")
     side = F.broadcast(side) if bounded else side
     return hits.select(id_col, "pattern_id").join(side, "pattern_id")
@@ -30,7 +31,7 @@ def category_hits(hit_cats: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def url_verdict(cat_hits: DataFrame, totals: DataFrame, subjects: DataFrame,
                 id_col: str = "doc_id", threshold: int = DEFAULT_THRESHOLD,
-                bounded: bool = True) -> DataFrame:
+                bounded: bool = False) -> DataFrame:
     """One category code per subject (its other columns kept), 0 when none qualifies.
 
     ``pct = hits * 100 div total_words``; a category qualifies when

@@ -89,9 +89,10 @@ def verdicts_with(tables, texts: DataFrame, id_col: str = "doc_id", text: str =
     """
     _, _, idx, totals, pats = tables
     hits = M.keyword_hits(texts.select(id_col, text), pats, id_col=id_col, text=text)
-    ch = S.category_hits(S.hit_categories(hits, idx, id_col=id_col), id_col=id_col)
+    ch = S.category_hits(S.hit_categories(hits, idx, id_col=id_col, bounded=True),
+                         id_col=id_col)
     subjects = subjects if subjects is not None else texts.select(id_col)
-    return S.url_verdict(ch, totals, subjects, id_col=id_col)
+    return S.url_verdict(ch, totals, subjects, id_col=id_col, bounded=True)
 
 
 def doc_dictionary(spark, sf):
@@ -130,11 +131,12 @@ def request_verdicts(spark, sf):
     bodies = with_content.select("req_id", F.col("html").alias("text")).filter(
         F.col("text").isNotNull())
     hits = M.keyword_hits(bodies, pats, id_col="req_id")
-    ch = S.category_hits(S.hit_categories(hits, idx, id_col="req_id"), id_col="req_id")
+    ch = S.category_hits(S.hit_categories(hits, idx, id_col="req_id", bounded=True),
+                         id_col="req_id")
     # A request without content keeps type 0: the verdict is joined back to the
     # requests, not to the (wide) content rows.
     return S.url_verdict(ch, totals, reqs.select("req_id", "method", "dst", "host", "path"),
-                         id_col="req_id")
+                         id_col="req_id", bounded=True)
 
 
 def occ_of(spark, sf, pats, keep=None):
@@ -445,7 +447,8 @@ def q_inflight_completion(spark, sf):
     "docs", "word_dictionary"))
 def q_hit_categories(spark, sf):
     _, _, idx, _, pats = word_dictionary(spark)
-    return out(S.hit_categories(M.keyword_hits(derived.docs(spark, sf), pats), idx))
+    hits = M.keyword_hits(derived.docs(spark, sf), pats)
+    return out(S.hit_categories(hits, idx, bounded=True))
 
 
 # ---------------------------------------------------------------------------
@@ -489,7 +492,7 @@ def q_doc_keyword_set(spark, sf):
 def q_category_hits(spark, sf):
     _, _, idx, _, pats = word_dictionary(spark)
     hits = M.keyword_hits(derived.docs(spark, sf), pats)
-    return out(S.category_hits(S.hit_categories(hits, idx)))
+    return out(S.category_hits(S.hit_categories(hits, idx, bounded=True)))
 
 
 POLICY_OCC = FPP + [("pocc", O.occurrences("docs", "fpp", extra="policy, percent, content_num"))]
