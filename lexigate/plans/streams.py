@@ -24,6 +24,7 @@ from lexigate.streaming import runner
 
 # Fixed values of the stream stand-ins.
 EPOCH = "2024-01-01 00:00:00"
+EPOCH_SECONDS = 1704067200   # the same instant, UTC
 HOLD_SECONDS = 3600          # in-flight time of a request key
 SESSION_GAP = "30 minutes"   # idle time that finishes a key's activity
 WAIT_SECONDS = 5             # how long a request waits for its content
@@ -38,7 +39,7 @@ WORD_DICTIONARY_V2_ROWS = [
 
 
 def _epoch_plus(seconds_col) -> F.Column:
-    return F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + seconds_col)
+    return F.timestamp_seconds(F.lit(EPOCH_SECONDS) + seconds_col)
 
 
 def _read_back(spark, path):

@@ -25,9 +25,12 @@ def pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with ``ts`` as a session-zone TIMESTAMP (stored as TIMESTAMP_NTZ)."""
+    """Events with ``ts`` as a TIMESTAMP instant (stored as TIMESTAMP_NTZ, read as
+    UTC wall-clock time whatever the session time zone)."""
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    utc = F.convert_timezone(F.lit("UTC"), F.lit(tz), F.col("ts")).cast("timestamp")
     return (read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
-            .withColumn("ts", F.col("ts").cast("timestamp")))
+            .withColumn("ts", utc))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
