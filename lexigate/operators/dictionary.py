@@ -73,7 +73,7 @@ def keyword_ids(tokens: DataFrame, bounded: bool = False) -> DataFrame:
             .select(F.col("iid").cast("int").alias("iid"), "word", "cat_num"))
 
 
-SALT_ROWS = 100_000  # entries per (word, salt) bucket when joining a hot word
+SALT_ROWS = 100_000  # entries per (word, bucket) join key for a hot word
 
 
 def keyword_index(tokens: DataFrame, bounded: bool = False,
@@ -82,9 +82,14 @@ def keyword_index(tokens: DataFrame, bounded: bool = False,
 
     One row per (word, entry of its category list): ``k`` is the 1-based place
     in the word's list (first-seen order, duplicates kept). The list of a hot
-    word is never gathered into one row or one task: entries are joined to the
-    word ids on (word, (k - 1) div salt_rows), the id row being repeated once
-    per bucket of its word, so no join key holds more than ``salt_rows`` entries.
+    word is never gathered into one row or one task.
+
+    Unbounded dictionaries: every entry gets its global position ``g`` in
+    (word, cat_index, pos) order (range-partitioned, written once); one hash
+    aggregate per word gives its first position, list length and first
+    appearance; ``k = g - first + 1``. The per-word row is joined back on
+    (word, g div salt_rows), repeated once per bucket its entries span, so no
+    join key holds more than ``salt_rows`` entries, however hot the word.
     """
     cols = ["iid", "word", "cat_num", F.col("k").cast("int").alias("k"), "cat_index"]
     if bounded:
@@ -92,13 +97,18 @@ def keyword_index(tokens: DataFrame, bounded: bool = False,
         entries = _within(tokens.select("word", "cat_index", "pos"), ["word"],
                           ["cat_index", "pos"], "k", True)
         return entries.join(F.broadcast(ids), "word").select(*cols)
-    # two ordinals read the tokens: derive them once, then scan the copy
-    tokens = materialize(tokens.select("word", "cat_index", "pos"), "tokens")
-    ids = keyword_ids(tokens, False).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.expr(f"(cat_num - 1) div {salt_rows}"))))
-    entries = _within(tokens, ["word"], ["cat_index", "pos"], "k", False).withColumn(
-        "__salt", F.expr(f"(k - 1) div {salt_rows}"))
-    return entries.join(ids, ["word", "__salt"]).select(*cols)
+    g = global_ordinal(tokens.select("word", "cat_index", "pos"),
+                       ["word", "cat_index", "pos"], "g")
+    first = F.col("cat_index").cast("long") * (1 << 32) + F.col("pos")
+    words = g.groupBy("word").agg(F.min("g").alias("g0"), F.count(F.lit(1)).alias("cat_num"),
+                                  F.min(first).alias("first"))
+    ids = global_ordinal(words, ["first"], "iid").withColumn(
+        "__b", F.explode(F.sequence(F.expr(f"g0 div {salt_rows}"),
+                                    F.expr(f"(g0 + cat_num - 1) div {salt_rows}"))))
+    return (g.withColumn("__b", F.expr(f"g div {salt_rows}"))
+            .join(ids, ["word", "__b"])
+            .withColumn("k", F.col("g") - F.col("g0") + 1)
+            .select(*cols))
 
 
 def keyword_lists(index: DataFrame, bounded: bool) -> DataFrame:

@@ -42,7 +42,7 @@ def doc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``groupid``/``grouptype`` arrive as text (``atoi`` applies), the keyword list
     is the document's words separated by commas.
     """
-    d = tables.documents(spark, sf_dir, "doc_id", "text", "source")
+    d = spread(tables.documents(spark, sf_dir, "doc_id", "text", "source"))
     return d.select(
         (F.col("doc_id") + 1).alias("id"),
         F.col("doc_id").cast("string").alias("groupid"),
