@@ -1,12 +1,13 @@
 """Texts joined to patterns: hit pairs, any/none, occurrences with positions.
 
-Strategies for hit pairs (all return the same rows):
+Strategies for hit pairs (all return the same rows; ``auto`` takes ``contains``
+up to 64 patterns, ``regex`` up to the broadcast limit, ``anchor`` beyond):
 
 * ``contains`` - broadcast nested-loop join on native ``contains`` (case rule
   applied); the pattern side must be proven small.
 * ``regex``    - one trie-factored look-ahead regex per case class, evaluated
-  natively by ``regexp_extract_all``; the longest pattern at each position is
-  extracted and its prefixes among the patterns are recovered by a join.
+  natively by ``regexp_extract_all``; each text's distinct longest matches are
+  cut into their prefixes and equi-joined (broadcast hash) to the patterns.
 * ``automaton`` - the (size-checked) patterns are shipped to the tasks and each
   text is scanned once by an Aho-Corasick automaton inside ``mapInPandas``;
   distinct hits per text are emitted, rules applied. For many patterns.
