@@ -290,3 +290,51 @@ def q_stream_dictionary_reload(spark, sf):
 
     runner.run_foreach_batch(stream, "stream_dictionary_reload", score)
     return out(spark.read.parquet(target).drop("batch_id"))
+
+
+# -- in flight until completed ---------------------------------------------------
+
+FETCH_GIVE_UP = 5      # a fetch still open after this long is given up
+PATH_CHARS_PER_SECOND = 10  # stand-in fetch time: one second per 10 path characters
+
+INFLIGHT_DONE_SQL = O.with_(
+    [("rq", "SELECT req_id, host, path, method, dst, "
+            f"to_timestamp(epoch('{EPOCH}'::TIMESTAMP) + req_id) AS ts, "
+            "row_number() OVER (PARTITION BY host, path, method, dst ORDER BY req_id) AS rn "
+            "FROM url_requests"),
+     ("dn", "SELECT host, path, method, dst, "
+            f"to_timestamp(epoch('{EPOCH}'::TIMESTAMP) + req_id + "
+            f"length(path) // {PATH_CHARS_PER_SECOND}) AS ts FROM url_requests_first")],
+    "SELECT req_id, host, path, CAST(method AS BIGINT) AS method, dst, epoch_us(ts) AS ts_us "
+    "FROM chain", "url_requests", "url_requests_first")
+# recursive part: the next admitted request of a key after an admitted one
+INFLIGHT_DONE_SQL = INFLIGHT_DONE_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\nSELECT req_id, host, path, CAST(method",
+    ",\nchain AS (SELECT req_id, host, path, method, dst, ts, rn FROM rq WHERE rn = 1 "
+    "UNION ALL SELECT r.req_id, r.host, r.path, r.method, r.dst, r.ts, r.rn FROM chain c "
+    "JOIN rq r ON r.host = c.host AND r.path = c.path AND r.method = c.method AND r.dst = c.dst "
+    "AND r.rn = (SELECT min(x.rn) FROM rq x WHERE x.host = c.host AND x.path = c.path "
+    "AND x.method = c.method AND x.dst = c.dst AND x.rn > c.rn AND "
+    f"(x.ts >= c.ts + INTERVAL {FETCH_GIVE_UP} SECOND OR EXISTS (SELECT 1 FROM dn d "
+    "WHERE d.host = c.host AND d.path = c.path AND d.method = c.method AND d.dst = c.dst "
+    "AND d.ts > c.ts AND d.ts <= x.ts))))\nSELECT req_id, host, path, CAST(method", 1)
+
+
+@query("stream_inflight_completion", INFLIGHT_DONE_SQL)
+def q_stream_inflight_completion(spark, sf):
+    """Keys stay in flight until their fetch completes (or is given up)."""
+    first = derived.url_requests_first(spark, sf)
+    reqs = (derived.url_requests(spark, sf).withColumn("ts", _epoch_plus(F.col("req_id")))
+            .withColumn("kind", F.lit("request")))
+    # every first-wave fetch completes; its duration grows with the path length
+    fetch = F.floor(F.char_length("path") / PATH_CHARS_PER_SECOND)
+    done = (first.withColumn("ts", _epoch_plus(F.col("req_id") + fetch))
+            .withColumn("kind", F.lit("done")))
+    rows = reqs.unionByName(done)
+    path = runner.stage(spark, [rows], "requests_done")
+    stream = runner.read_stream(spark, path, rows.schema)
+    admitted = SO.inflight_until_done(stream, ["host", "path", "method", "dst"], "ts",
+                                      FETCH_GIVE_UP, watermark="1 hour")
+    res = _read_back(spark, runner.run_to_parquet(admitted, "stream_inflight_completion"))
+    return out(res.select("req_id", "host", "path", "method", "dst",
+                          F.unix_micros("ts").alias("ts_us")))

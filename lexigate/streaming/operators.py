@@ -66,6 +66,49 @@ def inflight_hold(stream: DataFrame, key: Sequence[str], ts: str, hold_seconds:
                                     GroupStateTimeout.EventTimeTimeout))
 
 
+def inflight_until_done(stream: DataFrame, key: Sequence[str], ts: str, max_hold_seconds: int,
+                        watermark: str, kind: str = "kind") -> DataFrame:
+    """Requests and completions of URL keys in one stream (``kind`` is
+    ``'request'`` or ``'done'``). A request is admitted when its key is not in
+    flight; it puts the key in flight until a completion of that key arrives,
+    or until ``max_hold_seconds`` pass (the fetch gave up). At equal times a
+    completion is applied first. Emits the admitted requests.
+    """
+    key = list(key)
+    hold_ms = max_hold_seconds * 1000
+    cols = [f.name for f in stream.schema.fields if f.name != kind]
+    out_schema = T.StructType([f for f in stream.schema.fields if f.name != kind])
+    state_schema = T.StructType([T.StructField("since_ms", T.LongType())])
+
+    def step(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since = state.get[0] if state.exists else None
+        pdf = pd.concat(list(batches), ignore_index=True)
+        pdf["__o"] = (pdf[kind] != "done").astype("int8")
+        pdf = pdf.sort_values([ts, "__o", "req_id"], kind="stable")
+        ms = (pdf[ts].astype("int64") // 1_000_000).to_numpy()
+        keep = []
+        for i, (t, is_req) in enumerate(zip(ms, pdf["__o"].to_numpy())):
+            if not is_req:
+                since = None
+            elif since is None or t >= since + hold_ms:
+                keep.append(i)
+                since = int(t)
+        if since is None:
+            state.remove()
+        else:
+            state.update((since,))
+            state.setTimeoutTimestamp(since + hold_ms)
+        if keep:
+            yield pdf.iloc[keep][cols]
+
+    return (stream.withWatermark(ts, watermark).groupBy(*key)
+            .applyInPandasWithState(step, out_schema, state_schema, "append",
+                                    GroupStateTimeout.EventTimeTimeout))
+
+
 CHUNK_HIT_SCHEMA = T.StructType([
     T.StructField("resource_id", T.LongType()),
     T.StructField("pattern_id", T.IntegerType()),
