@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from lexigate.functions import ascii_fold, position_rule
 from lexigate.functions.text import regex_quote
 from lexigate.operators.bytematch import ByteMatcher, to_bytes
-from lexigate.session import BROADCAST_BYTES_LIMIT, BROADCAST_ROWS_LIMIT
+from lexigate.session import BROADCAST_BYTES_LIMIT, BROADCAST_ROWS_LIMIT, materialize
 
 ANCHOR_Q = 3
 CONTAINS_PATTERNS_LIMIT = 64   # above this, one trie-regex pass per text beats a
@@ -241,8 +241,10 @@ def _anchor_hits(docs, patterns, id_col, text, q: int = ANCHOR_Q):
     long_p = p.filter(F.char_length("__pat_f") >= q)
     pat_grams = long_p.select("pattern_id", F.explode(_grams(F.col("__pat_f"), q)).alias("gram"))
     gram_set = side(pat_grams.select("gram").distinct())
-    doc_grams = (d.select(id_col, F.explode(_grams(ascii_fold(text), q)).alias("gram"))
-                 .join(gram_set, "gram", "left_semi"))
+    # Read twice below (frequencies, candidates): written once, narrow rows.
+    doc_grams = materialize(
+        d.select(id_col, F.explode(_grams(ascii_fold(text), q)).alias("gram"))
+        .join(gram_set, "gram", "left_semi"), "doc_grams")
     # Document frequency per gram: partial aggregation before the shuffle.
     gram_df = doc_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     anchors = (pat_grams.join(gram_df, "gram")
