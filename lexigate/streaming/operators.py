@@ -132,11 +132,15 @@ def chunk_match_state(chunks: DataFrame, patterns: list[tuple[int, bytes, bool]]
                                  T.StructField("seen", T.ArrayType(T.IntegerType())),
                                  T.StructField("last_ms", T.LongType())])
 
+    built: dict = {}  # one automaton per task, not per resource
+
     def step(k, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        matcher = ByteMatcher(patterns)
+        matcher = built.get("m")
+        if matcher is None:
+            matcher = built["m"] = ByteMatcher(patterns)
         if state.exists:
             tail, seen, last_ms = state.get
             tail, seen = bytes(tail or b""), set(seen or [])
