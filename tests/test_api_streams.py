@@ -45,3 +45,13 @@ def test_inflight_hold_over_several_batches(spark):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF_SMALL}/events.parquet'")
     want = sorted(r[0] for r in con.execute(ST.INFLIGHT_SQL).fetchall())
     assert got == want
+
+
+def test_watermark_dedup_keeps_one_per_key(spark):
+    ev = tables.events(spark, SF_SMALL)
+    path = runner.stage(spark, [ev], "events_dedup")
+    stream = runner.read_stream(spark, path, ev.schema)
+    kept = SO.inflight_dedup_watermark(stream, ["user_id", "event_type"], "ts", "3650 days")
+    got = spark.read.parquet(runner.run_to_parquet(kept, "dedup_watermark"))
+    assert got.count() == ev.select("user_id", "event_type").distinct().count()
+    assert got.select("user_id", "event_type").distinct().count() == got.count()
