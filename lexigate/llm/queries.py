@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import lines, quality
+from lexigate.llm import lines, packing, quality, simhash
 from lexigate.llm import sql as oracle
 from lexigate.llm.common import documents
 
@@ -37,3 +37,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.coalesce("kept_text", "text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_dropped",
                       F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_digest(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query("op5_simhash_near_dedup")
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
