@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import lines, packing, quality, simhash
+from lexigate.llm import decontam, lines, packing, quality, simhash
 from lexigate.llm import sql as oracle
 from lexigate.llm.common import documents
+from lexigate.sources.tables import benchmark
 
 QUERIES: dict = {}
 
@@ -48,3 +49,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op10_benchmark_decontamination")
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_matches(documents(spark, sf_dir, "doc_id", "text"), benchmark(spark, sf_dir))
