@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import decontam, lines, packing, quality, simhash
+from lexigate.llm import decontam, langid, lines, packing, quality, secrets, simhash
 from lexigate.llm import sql as oracle
 from lexigate.llm.common import documents
 from lexigate.sources.tables import benchmark
@@ -54,3 +54,31 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_matches(documents(spark, sf_dir, "doc_id", "text"), benchmark(spark, sf_dir))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.filter(~held_out & F.col("doc_id").isNotNull()))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_secret_scan")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs)).withColumn(
+        "base", F.filter("findings", lambda f: f["kind"] < 3))
+    kinds = F.array(*[F.lit(k) for k in secrets.KINDS])
+
+    def joined(findings: str):
+        return F.array_join(F.transform(findings, lambda f: F.concat_ws(
+            ":", F.get(kinds, f["kind"]), f["start"].cast("string"), f["end"].cast("string"))), ",")
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda f: f["kind"] == kind)).cast("long")
+
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"),
+                        count(2).alias("n_hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+                        joined("findings").alias("spans"))
