@@ -128,7 +128,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     runs = LineRuns(docs.sparkSession, fanout)
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
-    found = lines.join(runs.frequent(min_docs), (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
+    frequent = stored(runs.frequent(min_docs), "frequent-lines")
+    found = lines.join(frequent, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
     return (found.filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
             .groupBy(F.col("doc_id").alias("d_doc"), F.col("text_hash").alias("d_hash"))
             .agg(F.collect_set("pos").alias("drops")))
