@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import decontam, langid, lines, packing, quality, secrets, simhash
+from lexigate.llm import (chat, decontam, extraction, langid, lines, packing, quality, secret_scan,
+                          simhash)
 from lexigate.llm import sql as oracle
 from lexigate.llm.common import documents
-from lexigate.sources.tables import benchmark
+from lexigate.sources.tables import benchmark, pages, read_table
 
 QUERIES: dict = {}
 
@@ -68,9 +69,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_secret_scan")
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    found = secrets.scan(docs, secrets.train(docs)).withColumn(
+    found = secret_scan.scan(docs, secret_scan.train(docs)).withColumn(
         "base", F.filter("findings", lambda f: f["kind"] < 3))
-    kinds = F.array(*[F.lit(k) for k in secrets.KINDS])
+    kinds = F.array(*[F.lit(k) for k in secret_scan.KINDS])
 
     def joined(findings: str):
         return F.array_join(F.transform(findings, lambda f: F.concat_ws(
@@ -82,3 +83,17 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"),
                         count(2).alias("n_hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
                         joined("findings").alias("spans"))
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(pages(spark, sf_dir, "page_id", "url", "html"))
+
+
+@query("op7_chat_formatting")
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    log = chat.event_log(rows.unionByName(probe))
+    return chat.digests(chat.format_conversations(log))
