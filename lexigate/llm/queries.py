@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.llm import (chat, decontam, extraction, langid, lines, packing, quality, secret_scan,
-                          simhash)
+from lexigate.llm import (chat, decontam, extraction, langid, lines, packing, passages, quality,
+                          secret_scan, simhash)
 from lexigate.llm import sql as oracle
 from lexigate.llm.common import documents
 from lexigate.sources.tables import benchmark, pages, read_table
@@ -97,3 +97,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     log = chat.event_log(rows.unionByName(probe))
     return chat.digests(chat.format_conversations(log))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", F.size("passages").cast("long").alias("n_passages"),
+                        F.array_join(F.transform("passages", lambda p: F.concat_ws(
+                            ":", p["start"].cast("string"), p["end"].cast("string"))), ",").alias("passages"))
