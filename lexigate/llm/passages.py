@@ -91,13 +91,11 @@ def compact_windows(g: np.ndarray, begins: np.ndarray, least: int) -> tuple[np.n
     laid end to end that begin at ``begins`` (each at least ``least`` long)."""
     ends = np.append(begins[1:], len(g))
     low = sliding_min(g, least)
-    inside = np.ones(len(low), dtype=bool)
     for b in ends[:-1].tolist():
-        inside[b - least + 1:b] = False  # stretches over the end of a text
-    fresh = inside.copy()
-    fresh[1:] &= (low[1:] != low[:-1]) | ~inside[:-1]
-    at = np.flatnonzero(fresh)
-    places = np.unique(at + g[at[:, None] + np.arange(least)].argmin(axis=1))
+        low[b - least + 1:b] = 0  # stretches over the end of a text count for nothing
+    edge = np.full(least - 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+    highest = ~sliding_min(np.concatenate([edge, ~low, edge]), least)  # over the stretches that hold a place
+    places = np.flatnonzero(highest == g)
     text = np.searchsorted(begins, places, side="right") - 1
     left, right = begins[text].copy(), ends[text] - 1
     stack: list[int] = []
@@ -110,7 +108,8 @@ def compact_windows(g: np.ndarray, begins: np.ndarray, least: int) -> tuple[np.n
         else:
             stack.clear()
         stack.append(i)
-    return places, left, right
+    wide = right - left + 1 >= least  # of equal hashes the first counts as the least
+    return places[wide], left[wide], right[wide]
 
 
 def text_nodes(docs: DataFrame) -> DataFrame:
