@@ -4,7 +4,8 @@ create, add patterns, (compile), search.
     m = KeywordMatcher(spark).add_patterns(df, "id", "word", nocase=False)
     m.hits(docs); m.occurrences(docs); m.any(docs); m.none(docs); m.count()
 
-Everything returned is a lazy DataFrame; nothing is matched on the driver.
+Everything returned is a lazy DataFrame; nothing is matched on the driver. Building
+one reads one small aggregate of the patterns (their size and key lengths).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from lexigate.operators import sequence as Q
 
 
 class KeywordMatcher:
-    def __init__(self, spark: SparkSession, strategy: str = "auto"):
+    def __init__(self, spark: SparkSession, strategy: str = "keys"):
         self.spark = spark
         self.strategy = strategy
         self._sets: list[DataFrame] = []
@@ -50,7 +51,7 @@ class KeywordMatcher:
         return Q.first_match(self.occurrences(docs, id_col, text), id_col)
 
     def any(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-        return M.any_match_docs(docs, self.patterns, id_col, text)
+        return M.any_match_docs(docs, self.patterns, id_col, text, self.strategy)
 
     def none(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-        return M.no_match_docs(docs, self.patterns, id_col, text)
+        return M.no_match_docs(docs, self.patterns, id_col, text, self.strategy)

@@ -1,33 +1,19 @@
-"""The match table function: ``keyword_matches(text)`` for SQL ``LATERAL`` use.
+"""The match table for SQL: ``keyword_matches`` as a view over the texts.
 
-Per-match user logic is a Column expression over its rows; "stop at the first
-match" is ``first_match`` over them.
+``register_keyword_matches`` binds a text table and a pattern table to a name; SQL
+then reads (id, pattern_id, idx, end_idx) like any table, joins it, filters it or
+stops at the first match with an aggregate. The rows come from the native matcher,
+with case and position rules applied.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql import DataFrame
 
-from lexigate.operators.bytematch import ByteMatcher, to_bytes
 
-
-def keyword_matches_udtf(patterns: list[tuple[int, bytes, bool]]):
-    """A UDTF class bound to a (size-checked) pattern list."""
-
-    @udtf(returnType="pattern_id: int, idx: int, end_idx: int", useArrow=True)
-    class KeywordMatches:
-        def __init__(self):
-            self.matcher = ByteMatcher(patterns)
-
-        def eval(self, text):
-            for pid, idx, n in self.matcher.find(to_bytes(text)):
-                yield pid, idx, idx + n
-
-    return KeywordMatches
-
-
-def register_keyword_matches(spark: SparkSession, patterns, name: str = "keyword_matches"):
-    fn = keyword_matches_udtf(patterns)
-    spark.udtf.register(name, fn)
-    return fn
+def register_keyword_matches(docs: DataFrame, patterns: DataFrame, name: str = "keyword_matches",
+                             id_col: str = "doc_id", text: str = "text") -> str:
+    from lexigate.operators.matching import keyword_occurrences
+    found = keyword_occurrences(docs, patterns, id_col, text)
+    found.select(id_col, "pattern_id", "idx", "end_idx").createOrReplaceTempView(name)
+    return name

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexigate.operators.bytematch import ByteMatcher, to_bytes
-from lexigate.operators.matching import _pattern_list
+from lexigate.functions import position_rule
+from lexigate.operators.matching import byte_occurrences
 
 CHUNK_BYTES = 1024
 
@@ -29,49 +28,31 @@ def chunk_stitch(chunks: DataFrame, patterns: DataFrame, boundary: str = "stitch
     """Hits over a resource's chunks as if the search state were carried.
 
     Each chunk is searched together with the last ``max_len - 1`` bytes before
-    it (which may span several earlier chunks); only hits that end inside the
-    chunk are kept, with ``idx`` relative to the chunk start (negative when the
-    hit began earlier). ``boundary='strict'`` drops case-sensitive hits that
-    began in an earlier chunk. Windows are per resource (one bounded text).
+    it (which may span several earlier chunks, each cut to that many bytes first);
+    only hits that end inside the chunk are kept, with ``idx`` relative to the chunk
+    start (negative when the hit began earlier), and position rules count from there.
+    ``boundary='strict'`` drops case-sensitive hits that began in an earlier chunk.
+    Windows are per resource (one bounded text).
     """
-    plist = _pattern_list(patterns)
-    nocase = {pid: nc for pid, _, nc in plist}
-    tail = max((len(p) for _, p, _ in plist), default=1) - 1
+    longest = patterns.agg(F.max(F.octet_length("pattern"))).first()[0] or 1
+    tail = max(longest - 1, 0)
     # Enough earlier chunks to cover `tail` bytes when every chunk before the
     # current one has at least `min_chunk_bytes` bytes (1 = any chunking).
     back = max(1, -(-tail // max(1, min_chunk_bytes)))
     w = Window.partitionBy("resource_id").orderBy("seq").rowsBetween(-back, -1)
-    framed = chunks.select("resource_id", "seq", "data",
-                           F.collect_list("data").over(w).alias("prev"))
-    schema = T.StructType([
-        T.StructField("resource_id", chunks.schema["resource_id"].dataType, True),
-        T.StructField("seq", T.IntegerType(), False),
-        T.StructField("pattern_id", T.IntegerType(), False),
-        T.StructField("idx", T.IntegerType(), False),
-        T.StructField("end_idx", T.IntegerType(), False),
-    ])
-    strict = boundary == "strict"
-
-    def run(batches):
-        import pandas as pd
-        matcher = ByteMatcher(plist)
-        for pdf in batches:
-            out = []
-            for rid, seq, data, prev in zip(pdf["resource_id"], pdf["seq"], pdf["data"],
-                                            pdf["prev"]):
-                cur = to_bytes(data)
-                before = b"".join(to_bytes(x) for x in (prev if prev is not None else []))
-                carried = before[-tail:] if tail > 0 else b""
-                buf = carried + cur
-                shift = len(carried)
-                for pid, idx, n in matcher.find(buf):
-                    if idx + n <= shift:
-                        continue
-                    rel = idx - shift
-                    if strict and rel < 0 and not nocase[pid]:
-                        continue
-                    out.append((rid, int(seq), pid, rel, rel + n))
-            yield pd.DataFrame(out, columns=["resource_id", "seq", "pattern_id", "idx",
-                                             "end_idx"])
-
-    return framed.mapInPandas(run, schema)
+    none = F.lit(b"")
+
+    def last_bytes(c):
+        return F.when(F.octet_length(c) > tail, F.substring(c, -tail, tail)).otherwise(c) if tail else none
+
+    before = F.aggregate(F.collect_list(last_bytes(F.col("data"))).over(w), none, lambda a, x: F.concat(a, x))
+    framed = chunks.select("resource_id", "seq", "data", before.alias("before")).select(
+        "resource_id", "seq", "data", last_bytes(F.col("before")).alias("carried"))
+    joined = framed.select("resource_id", "seq", F.octet_length("carried").alias("shift"),
+                           F.concat("carried", "data").alias("buffer"))
+    found = byte_occurrences(joined, patterns, "buffer").filter(F.col("end_idx") > F.col("shift"))
+    hits = found.withColumn("idx", F.col("idx") - F.col("shift")).withColumn(
+        "end_idx", F.col("end_idx") - F.col("shift")).filter(position_rule())
+    if boundary == "strict":
+        hits = hits.filter((F.col("idx") >= 0) | F.col("nocase"))
+    return hits.select("resource_id", "seq", "pattern_id", "idx", "end_idx")

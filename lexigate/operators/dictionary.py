@@ -1,32 +1,17 @@
 """Keyword dictionaries: categories, tokens, merged keyword index, patterns.
 
-``bounded=True`` marks a dictionary whose size is known to be small (a fixed
-list): its ordinals use a plain window. Otherwise the dictionary may grow with
-the data, and ordinals come from the range-partitioned ``ordinal`` operators so
-no single task sees the whole dictionary or a whole hot word.
+A dictionary may grow with the data: ordinals come from the range-partitioned
+``ordinal`` operators, so no single task sees the whole dictionary or a whole hot
+word. These write the sorted rows once when called (see ``ordinal``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigate.functions import atoi, category_code, split_tokens
-from lexigate.operators.ordinal import global_ordinal, group_ordinal
-from lexigate.session import BROADCAST_ROWS_LIMIT, materialize
-
-
-def _ordinal(df: DataFrame, order_cols, name: str, bounded: bool) -> DataFrame:
-    if bounded:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)))
-    return global_ordinal(df, order_cols, name)
-
-
-def _within(df: DataFrame, group_cols, order_cols, name: str, bounded: bool) -> DataFrame:
-    if bounded:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(name, F.row_number().over(w))
-    return group_ordinal(df, group_cols, order_cols, name)
+from lexigate.operators.ordinal import global_ordinal
 
 
 def dictionary_source(dictionary: DataFrame) -> DataFrame:
@@ -34,7 +19,7 @@ def dictionary_source(dictionary: DataFrame) -> DataFrame:
     return dictionary.select("id", "groupid", "grouptype", "keywordlist")
 
 
-def categories(dictionary: DataFrame, bounded: bool = False) -> DataFrame:
+def categories(dictionary: DataFrame) -> DataFrame:
     """One row per dictionary row: 1-based ``cat_index`` in id order and the packed code.
 
     ``groupid``/``grouptype`` go through ``atoi`` (text cells, leading integer).
@@ -42,15 +27,10 @@ def categories(dictionary: DataFrame, bounded: bool = False) -> DataFrame:
     d = dictionary.select(
         "id", "keywordlist",
         category_code(atoi("grouptype"), atoi("groupid")).alias("category"))
-    if bounded:
-        numbered = _ordinal(d, ["id"], "cat_index", True)
-    else:
-        # Number the (narrow) ids only, then join the rows back on id: the
-        # keyword lists are shuffled once instead of sorted, written and re-read.
-        ids = _ordinal(d.select("id"), ["id"], "cat_index", False)
-        numbered = d.join(ids, "id")
-    return numbered.select(F.col("cat_index").cast("int").alias("cat_index"), "id",
-                           F.col("category").cast("int").alias("category"), "keywordlist")
+    # Number the (narrow) ids only, then join the rows back on id: the keyword
+    # lists are shuffled once instead of sorted, written and re-read.
+    numbered = d.join(global_ordinal(d.select("id"), ["id"], "cat_index"), "id")
+    return numbered.select("cat_index", "id", F.col("category").cast("int").alias("category"), "keywordlist")
 
 
 def dictionary_tokens(cats: DataFrame) -> DataFrame:
@@ -61,45 +41,41 @@ def dictionary_tokens(cats: DataFrame) -> DataFrame:
     ).select("cat_index", "category", (F.col("pos") + 1).cast("int").alias("pos"), "word")
 
 
-def keyword_ids(tokens: DataFrame, bounded: bool = False) -> DataFrame:
+def keyword_ids(tokens: DataFrame) -> DataFrame:
     """Distinct words with a dense 1-based ``iid`` in first-appearance order,
     plus ``cat_num`` (list length, duplicates kept)."""
-    # (cat_index, pos) packed in one long keeps this a map-side combined hash
-    # aggregate (both are positive 32-bit ints).
-    first = F.col("cat_index").cast("long") * (1 << 32) + F.col("pos")
+    first = _appearance()
     words = tokens.groupBy("word").agg(F.min(first).alias("first"),
                                        F.count(F.lit(1)).alias("cat_num"))
-    return (_ordinal(words, ["first"], "iid", bounded)
-            .select(F.col("iid").cast("int").alias("iid"), "word", "cat_num"))
+    return global_ordinal(words, ["first"], "iid").select("iid", "word", "cat_num")
+
+
+def _appearance() -> F.Column:
+    """(cat_index, pos) packed in one number: a map-side combined hash aggregate
+    without a bound on the number of categories (pos is a 32-bit int)."""
+    return F.col("cat_index").cast("decimal(28,0)") * F.lit(1 << 32) + F.col("pos")
 
 
 SALT_ROWS = 100_000  # entries per (word, bucket) join key for a hot word
 
 
-def keyword_index(tokens: DataFrame, bounded: bool = False,
-                  salt_rows: int = SALT_ROWS) -> DataFrame:
+def keyword_index(tokens: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Equal words merged over all categories, in long form.
 
     One row per (word, entry of its category list): ``k`` is the 1-based place
     in the word's list (first-seen order, duplicates kept). The list of a hot
     word is never gathered into one row or one task.
 
-    Unbounded dictionaries: every entry gets its global position ``g`` in
+    Every entry gets its global position ``g`` in
     (word, cat_index, pos) order (range-partitioned, written once); one hash
     aggregate per word gives its first position, list length and first
     appearance; ``k = g - first + 1``. The per-word row is joined back on
     (word, g div salt_rows), repeated once per bucket its entries span, so no
     join key holds more than ``salt_rows`` entries, however hot the word.
     """
-    cols = ["iid", "word", "cat_num", F.col("k").cast("int").alias("k"), "cat_index"]
-    if bounded:
-        ids = keyword_ids(tokens, True)
-        entries = _within(tokens.select("word", "cat_index", "pos"), ["word"],
-                          ["cat_index", "pos"], "k", True)
-        return entries.join(F.broadcast(ids), "word").select(*cols)
     g = global_ordinal(tokens.select("word", "cat_index", "pos"),
                        ["word", "cat_index", "pos"], "g")
-    first = F.col("cat_index").cast("long") * (1 << 32) + F.col("pos")
+    first = _appearance()
     words = g.groupBy("word").agg(F.min("g").alias("g0"), F.count(F.lit(1)).alias("cat_num"),
                                   F.min(first).alias("first"))
     ids = global_ordinal(words, ["first"], "iid").withColumn(
@@ -108,16 +84,12 @@ def keyword_index(tokens: DataFrame, bounded: bool = False,
     return (g.withColumn("__b", F.expr(f"g div {salt_rows}"))
             .join(ids, ["word", "__b"])
             .withColumn("k", F.col("g") - F.col("g0") + 1)
-            .select(*cols))
+            .select("iid", "word", "cat_num", "k", "cat_index"))
 
 
-def keyword_lists(index: DataFrame, bounded: bool) -> DataFrame:
-    """Array form ``(iid, word, cat_num, cat_index ARRAY<INT>)``.
-
-    Only for a dictionary proven small (it gathers each word's whole list).
-    """
-    if not bounded:
-        raise ValueError("keyword_lists gathers whole lists; dictionary is not proven small")
+def keyword_lists(index: DataFrame) -> DataFrame:
+    """Array form ``(iid, word, cat_num, cat_index ARRAY)``: each word's list in one
+    row, for looking at a dictionary; matching uses the long form."""
     return (index.groupBy("iid", "word", "cat_num")
             .agg(F.array_sort(F.collect_list(F.struct("k", "cat_index"))).alias("l"))
             .select("iid", "word", "cat_num",
@@ -141,7 +113,7 @@ def pattern_table(df: DataFrame, pattern_id: str, pattern: str, nocase=False,
     """
     def lit_or_col(v):
         return F.col(v) if isinstance(v, str) else F.lit(v)
-    cols = [F.col(pattern_id).cast("int").alias("pattern_id"),
+    cols = [F.col(pattern_id).cast("long").alias("pattern_id"),
             F.col(pattern).alias("pattern"),
             F.octet_length(pattern).cast("int").alias("n"),
             lit_or_col(nocase).cast("boolean").alias("nocase"),
@@ -191,28 +163,29 @@ def policy_keyword_source(keywords: DataFrame, group_name: str | None = None) ->
     return keywords.select("group_name", "keyword")
 
 
-def policy_patterns(policies: DataFrame, keywords: DataFrame, bounded: bool = False,
-                    check: bool = True) -> DataFrame:
-    """Policies joined to their keywords, as patterns.
-
-    Pattern ids run on across groups (group id order, then keyword id order);
-    ``content_num`` is the group's keyword count. A group with no keyword fails
-    the load when ``check`` is set.
-    """
+def policy_keyword_rows(policies: DataFrame, keywords: DataFrame, check: bool = True) -> DataFrame:
+    """Policies joined to their keywords, with the group's keyword count
+    ``content_num``; not numbered yet. A group with no keyword fails the load when
+    ``check`` is set."""
     if check:
         empty = policies.join(keywords, policies["name"] == keywords["group_name"], "left_anti")
         if not empty.isEmpty():
             raise ValueError("policy with no keyword: " + str(empty.first()["name"]))
     sizes = keywords.groupBy("group_name").agg(F.count(F.lit(1)).alias("content_num"))
-    # One row per policy (with its size); the keyword side may hold a hot group,
-    # so the policy side is broadcast when proven small instead of shuffled.
+    # One row per policy (with its size); the keyword side may hold a hot group: the
+    # runtime broadcasts a small policy side or splits the group's partition.
     groups = (policies.select(F.col("id").alias("policy_id"), F.col("name").alias("policy"),
                               "percent")
               .join(sizes, F.col("policy") == F.col("group_name")).drop("group_name"))
-    if bounded or policies.limit(BROADCAST_ROWS_LIMIT + 1).count() <= BROADCAST_ROWS_LIMIT:
-        groups = F.broadcast(groups)
-    joined = (keywords.select(F.col("id").alias("keyword_id"), "group_name", "keyword")
-              .join(groups, F.col("policy") == F.col("group_name")))
-    numbered = _ordinal(joined, ["policy_id", "keyword_id"], "pattern_id", bounded)
+    return (keywords.select(F.col("id").alias("keyword_id"), "group_name", "keyword")
+            .join(groups, F.col("policy") == F.col("group_name"))
+            .filter(F.octet_length("keyword") > 0))
+
+
+def policy_patterns(policies: DataFrame, keywords: DataFrame, check: bool = True) -> DataFrame:
+    """Policies joined to their keywords, as patterns. Pattern ids run on across
+    groups (group id order, then keyword id order)."""
+    joined = policy_keyword_rows(policies, keywords, check)
+    numbered = global_ordinal(joined, ["policy_id", "keyword_id"], "pattern_id")
     return pattern_table(numbered, "pattern_id", "keyword",
                          extra=["policy", "percent", "content_num"])

@@ -1,389 +1,243 @@
-"""Texts joined to patterns: hit pairs, any/none, occurrences with positions.
-
-Strategies for hit pairs (all return the same rows; ``auto`` takes ``contains``
-up to 64 patterns, ``regex`` up to the broadcast limit, ``anchor`` beyond):
-
-* ``contains`` - broadcast nested-loop join on native ``contains`` (case rule
-  applied); the pattern side must be proven small.
-* ``regex``    - one trie-factored look-ahead regex per case class, evaluated
-  natively by ``regexp_extract_all``; each text's distinct longest matches are
-  cut into their prefixes and equi-joined (broadcast hash) to the patterns.
-* ``automaton`` - the (size-checked) patterns are shipped to the tasks and each
-  text is scanned once by an Aho-Corasick automaton inside ``mapInPandas``;
-  distinct hits per text are emitted, rules applied. For many patterns.
-* ``anchor``   - no broadcast: texts are exploded into their distinct q-grams
-  and equi-joined (shuffle) with each pattern's rarest q-gram, then verified.
-  Scales on both sides; used when the pattern side is too big to broadcast.
+"""Texts joined to patterns: occurrences with positions, hit pairs, any/none.
+
+One algorithm serves every operator and every dictionary size. A pattern's key is
+its first ``KEY_BYTES`` bytes (ASCII-folded; all of a shorter pattern), so a word of
+one or two bytes and a two-character CJK word have keys like any other. Every byte
+position of a text yields one key for each key length that the dictionary uses, and
+an equi-join on the key's 64-bit hash (a long: the cheapest join key) finds the
+candidates, checked against the bytes at the position under the case and position
+rules. The dictionary goes to the tasks in
+blocks of at most about ``BLOCK_BYTES`` (a proven bound for each broadcast), so a
+text is never shuffled and no row is built for a position without a key.
+
+Hit pairs may also be had by two other methods, chosen by name only:
+
+* ``contains`` - a join on native ``contains``, one test per (text, pattern).
+* ``regex``    - one trie-factored look-ahead regex per case class and block of
+  words, evaluated natively; each text's longest matches are cut into prefixes and
+  equi-joined to the patterns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexigate.functions import ascii_fold, position_rule
 from lexigate.functions.text import regex_quote
-from lexigate.operators.bytematch import ByteMatcher, to_bytes
-from lexigate.session import BROADCAST_BYTES_LIMIT, BROADCAST_ROWS_LIMIT, materialize
-
-ANCHOR_Q = 3
-CONTAINS_PATTERNS_LIMIT = 64   # above this, one trie-regex pass per text beats a
-                               # nested-loop join testing every pattern
-
 
-def patterns_are_small(patterns: DataFrame, limit: int = BROADCAST_ROWS_LIMIT) -> bool:
-    """Proven size bound: at most ``limit`` rows and at most the broadcast byte
-    limit of pattern text (reads at most ``limit + 1`` rows)."""
-    if "pattern" not in patterns.columns:
-        return patterns.limit(limit + 1).count() <= limit
-    r = (patterns.limit(limit + 1)
-         .agg(F.count(F.lit(1)).alias("n"),
-              F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0)).alias("b")).first())
-    return r["n"] <= limit and r["b"] <= BROADCAST_BYTES_LIMIT
+KEY_BYTES = 8
+BLOCK_BYTES = 16 << 20   # pattern bytes in one broadcast block
+ROW_BYTES = 64           # counted for each pattern besides its text
+REGEX_WORDS = 20_000     # words in one trie regex
+STRATEGIES = ("keys", "contains", "regex")
 
 
-def _pattern_side(patterns: DataFrame) -> DataFrame:
+def _pattern_side(patterns: DataFrame, keep: list[str] = ()) -> DataFrame:
     cols = patterns.columns
     nocase = F.col("nocase") if "nocase" in cols else F.lit(False)
     offset = F.col("offset") if "offset" in cols else F.lit(0)
     depth = F.col("depth") if "depth" in cols else F.lit(0)
-    return patterns.select("pattern_id", "pattern", nocase.alias("nocase"),
-                           offset.cast("int").alias("offset"),
-                           depth.cast("int").alias("depth"))
-
-
-def _split_ranged(patterns: DataFrame):
-    """(patterns without a position rule, patterns with one)."""
-    p = _pattern_side(patterns)
-    free = (F.col("offset") == 0) & (F.col("depth") == 0)
-    return p.filter(free), p.filter(~free)
-
-
-def ci_literal_regex(col) -> F.Column:
-    """``(?i)`` + the quoted literal. Java's ``(?i)`` without UNICODE_CASE folds
-    ASCII letters only, exactly the matcher's case rule."""
-    quoted = F.concat(F.lit("\\Q"), F.replace(col, F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
-                      F.lit("\\E"))
-    return F.concat(F.lit("(?i)"), quoted)
-
+    rules = ("pattern_id", "pattern", "n", "nocase", "offset", "depth")
+    return patterns.select("pattern_id", "pattern", F.octet_length("pattern").cast("int").alias("n"),
+                           nocase.alias("nocase"), offset.cast("int").alias("offset"),
+                           depth.cast("int").alias("depth"), *[c for c in keep if c not in rules]
+                           ).filter(F.col("n") > 0)
+
+
+def _blocks(side: DataFrame) -> Iterator[tuple[DataFrame, list[int]]]:
+    """The pattern side in blocks by hash, each with the key lengths it uses (one
+    small aggregate over the dictionary; at most ``KEY_BYTES`` lengths come back)."""
+    found = side.agg(F.sum(F.col("n") + ROW_BYTES).alias("size"),
+                     F.sort_array(F.collect_set(F.least("n", F.lit(KEY_BYTES)))).alias("lengths")).first()
+    blocks = max(1, math.ceil((found["size"] or 0) / BLOCK_BYTES))
+    for b in range(blocks):
+        mine = side
+        if blocks > 1:
+            mine = side.filter(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(blocks)) == b)
+        yield mine, found["lengths"] or [KEY_BYTES]
+
+
+def _folded_bytes(data: str) -> Column:
+    """ASCII-folded bytes; as ISO-8859-1 every byte is one character."""
+    return F.encode(ascii_fold(F.decode(F.col(data), "ISO-8859-1")), "ISO-8859-1")
+
+
+def byte_occurrences(rows: DataFrame, patterns: DataFrame, data: str, keep: list[str] = ()) -> DataFrame:
+    """Every occurrence (overlaps included) in a BINARY column, under the case rule:
+    the other columns of ``rows`` with pattern_id, idx, end_idx, n, nocase, offset,
+    depth and the ``keep`` columns of the patterns. Byte offsets, ``end_idx`` exclusive."""
+    side = _pattern_side(patterns, keep).select(
+        "*", F.encode("pattern", "UTF-8").alias("__p"),
+        F.encode(ascii_fold("pattern"), "UTF-8").alias("__pf")).withColumn(
+        "__pkey", F.xxhash64(F.substring("__pf", 1, KEY_BYTES)))
+    others = [c for c in rows.columns if c != data]
+    # The folded copy is made once per text: the generator below needs it as a column.
+    texts = rows.filter(F.octet_length(data) > 0).select(
+        *others, F.col(data).alias("__b"), _folded_bytes(data).alias("__fb"))
+    out = None
+    for block, lengths in _blocks(side):
+        kinds = len(lengths)
+        size = F.get(F.array(*[F.lit(int(n)) for n in lengths]), F.expr(f"cast(__i % {kinds} as int)"))
+        places = (texts.withColumn("__i", F.explode(F.expr(f"sequence(0L, octet_length(__fb) * {kinds}L - 1)")))
+                  .withColumn("idx", F.expr(f"cast(__i div {kinds} as int)")).withColumn("__size", size)
+                  .filter(F.col("idx") + F.col("__size") <= F.octet_length("__fb"))
+                  .withColumn("__key", F.expr("xxhash64(substring(__fb, idx + 1, __size))")))
+        same = F.expr("substring(__fb, idx + 1, n)") == F.col("__pf")
+        exact = F.col("nocase") | (F.expr("substring(__b, idx + 1, n)") == F.col("__p"))
+        hits = places.join(F.broadcast(block), (F.col("__key") == F.col("__pkey")) & same & exact)
+        part = hits.select(*others, "pattern_id", "idx", (F.col("idx") + F.col("n")).alias("end_idx"), "n",
+                           "nocase", "offset", "depth", *keep)
+        out = part if out is None else out.unionByName(part)
+    return out
 
-def _case_match(text: str) -> F.Column:
-    # No folded copy of the text is made: case-insensitive patterns are found
-    # with an ASCII-only case-insensitive literal regex.
-    return (F.when(F.col("nocase"), F.regexp_like(F.col(text), F.col("__pat_rx")))
-            .otherwise(F.contains(F.col(text), F.col("pattern"))))
 
+def raw_occurrences(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
+                    text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """Every occurrence before position rules: ``(id, pattern_id, idx, end_idx, n, offset,
+    depth, keep...)``."""
+    rows = docs.select(id_col, F.encode(text, "UTF-8").alias("__data"))
+    return byte_occurrences(rows, patterns, "__data", keep).select(
+        id_col, "pattern_id", "idx", "end_idx", "n", "offset", "depth", *keep)
 
-def _pattern_build_side(patterns: DataFrame) -> DataFrame:
-    p = _pattern_side(patterns)
-    return p.withColumn("__pat_f", ascii_fold("pattern")).withColumn(
-        "__pat_rx", ci_literal_regex(F.col("pattern")))
 
+def keyword_occurrences(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
+                        text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Occurrences that pass the case and position rules.
 
-def _contains_join(docs, patterns, id_col, text, how):
-    p = F.broadcast(_pattern_build_side(patterns))
-    return docs.select(id_col, text).join(p, _case_match(text), how)
+    ``keep`` names pattern columns to carry along (e.g. ``payload``, ``policy``).
+    """
+    keep = [c for c in (keep or []) if c not in ("pattern_id", "n", "offset", "depth")]
+    return (raw_occurrences(docs, patterns, id_col, text, keep).filter(position_rule())
+            .select(id_col, "pattern_id", "idx", "end_idx", "n", *keep))
 
 
-def _window_join(docs, ranged, id_col, text):
-    """Hits of patterns with an offset/depth rule, natively: the pattern must
-    occur inside the byte window ``[offset, offset + depth)`` (depth 0 = to the
-    end) of the text; a negative offset or depth never matches."""
-    p = F.broadcast(ranged.select(
-        "pattern_id", "nocase", "offset", "depth",
-        F.encode("pattern", "UTF-8").alias("__pat_b"),
-        F.encode(ascii_fold("pattern"), "UTF-8").alias("__pat_fb")))
-    d = docs.select(id_col, F.encode(text, "UTF-8").alias("__b"),
-                    F.encode(ascii_fold(text), "UTF-8").alias("__fb"))
+def occurrence_counts(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
+                      text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Occurrences per (document, pattern) under both rules, combined map-side."""
+    return (keyword_occurrences(docs, patterns, id_col, text, keep)
+            .groupBy(id_col, "pattern_id", *(keep or [])).agg(F.count(F.lit(1)).alias("occurrences")))
 
-    def window(b):
-        start = F.col("offset") + 1
-        return (F.when(F.col("depth") > 0, F.substring(b, start, F.col("depth")))
-                .otherwise(F.substring(b, start, F.lit(2147483647))))
 
-    cond = ((F.col("offset") >= 0) & (F.col("depth") >= 0)
-            & F.when(F.col("nocase"), F.contains(window(F.col("__fb")), F.col("__pat_fb")))
-            .otherwise(F.contains(window(F.col("__b")), F.col("__pat_b"))))
-    return d.join(p, cond).select(id_col, "pattern_id")
+def _ruled(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patterns without a position rule, patterns with one)."""
+    p = _pattern_side(patterns)
+    free = (F.col("offset") == 0) & (F.col("depth") == 0)
+    return p.filter(free), p.filter(~free)
 
 
 def keyword_hits(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
-                 text: str = "text", strategy: str = "auto") -> DataFrame:
+                 text: str = "text", strategy: str = "keys") -> DataFrame:
     """Distinct (document, pattern) pairs where the pattern occurs under its case
-    and position rules."""
-    if strategy == "automaton":
-        return _automaton_hits(docs, patterns, id_col, text)
-    small = patterns_are_small(patterns)
-    if strategy == "auto":
-        if patterns_are_small(patterns, CONTAINS_PATTERNS_LIMIT):
-            strategy = "contains"
-        else:
-            strategy = "regex" if small else "anchor"
-    free, ranged = _split_ranged(patterns)
-    if strategy == "contains":
-        if not small:
-            raise ValueError("pattern side too large to broadcast; use strategy='anchor'")
-        out = _contains_join(docs, free, id_col, text, "inner").select(id_col, "pattern_id")
-    elif strategy == "regex":
-        out = _regex_hits(docs, free, id_col, text)
-    elif strategy == "anchor":
-        out = _anchor_hits(docs, free, id_col, text)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if not ranged.isEmpty():
-        if not patterns_are_small(ranged):
-            raise ValueError("too many patterns with position rules to broadcast")
-        out = out.unionByName(_window_join(docs, ranged, id_col, text))
-    return out
-
-
-def _has_ranged(patterns: DataFrame) -> bool:
-    return not _split_ranged(patterns)[1].isEmpty()
+    and position rules. ``contains`` and ``regex`` take the patterns without a
+    position rule by their method and the others by keys."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; one of {STRATEGIES}")
+    if strategy == "keys":
+        return keyword_occurrences(docs, patterns, id_col, text).select(id_col, "pattern_id").distinct()
+    free, ranged = _ruled(patterns)
+    by_method = _contains_hits if strategy == "contains" else _regex_hits
+    return by_method(docs, free, id_col, text).unionByName(
+        keyword_occurrences(docs, ranged, id_col, text).select(id_col, "pattern_id").distinct())
 
 
 def any_match_docs(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
-                   text: str = "text") -> DataFrame:
-    """Documents with at least one hit (left semi join: stops at the first pattern)."""
-    if patterns_are_small(patterns) and not _has_ranged(patterns):
-        return _contains_join(docs, patterns, id_col, text, "left_semi").select(*docs.columns)
-    hit_ids = keyword_hits(docs, patterns, id_col, text).select(id_col)
+                   text: str = "text", strategy: str = "keys") -> DataFrame:
+    """Documents with at least one hit; ids are made distinct before the join."""
+    hit_ids = keyword_hits(docs, patterns, id_col, text, strategy).select(id_col).distinct()
     return docs.join(hit_ids, id_col, "left_semi")
 
 
 def no_match_docs(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
-                  text: str = "text") -> DataFrame:
-    """Documents with no hit at all (left anti join)."""
-    if patterns_are_small(patterns) and not _has_ranged(patterns):
-        return _contains_join(docs, patterns, id_col, text, "left_anti").select(*docs.columns)
-    hit_ids = keyword_hits(docs, patterns, id_col, text).select(id_col)
+                  text: str = "text", strategy: str = "keys") -> DataFrame:
+    """Documents with no hit at all."""
+    hit_ids = keyword_hits(docs, patterns, id_col, text, strategy).select(id_col).distinct()
     return docs.join(hit_ids, id_col, "left_anti")
 
 
-# -- regex strategy -----------------------------------------------------------
+# -- contains -----------------------------------------------------------------
+
+def ci_literal_regex(col) -> Column:
+    """``(?i)`` + the quoted literal. Java's ``(?i)`` without UNICODE_CASE folds
+    ASCII letters only, exactly the matcher's case rule."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(col, F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
+                      F.lit("\\E"))
+    return F.concat(F.lit("(?i)"), quoted)
+
+
+def _contains_hits(docs: DataFrame, patterns: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One native test per (text, pattern): exact patterns against the text, folded
+    patterns against a folded copy made once per text. For few patterns."""
+    p = patterns.select("pattern_id", "nocase", F.when(F.col("nocase"), ascii_fold("pattern"))
+                        .otherwise(F.col("pattern")).alias("__p"))
+    d = docs.select(id_col, F.col(text).alias("__t"), ascii_fold(text).alias("__f"))
+    held = F.contains(F.when(F.col("nocase"), F.col("__f")).otherwise(F.col("__t")), F.col("__p"))
+    return d.join(p, held).select(id_col, "pattern_id")
+
+
+# -- regex ----------------------------------------------------------------------
 
 def _trie_regex(words: list[str]) -> str:
     """Alternation of ``words`` factored as a trie; at each position the longest
-    word that matches is taken (longer branches are tried first)."""
+    word that matches is taken (longer branches are tried first). Built without
+    recursion: a stretch without a branch or end is one literal run, and nested
+    groups arise only where words really part."""
     trie: dict = {}
     for w in words:
         node = trie
         for ch in w:
             node = node.setdefault(ch, {})
-        node[""] = True
-
-    def emit(node) -> str:
-        end = "" in node
-        branches = [regex_quote(ch) + emit(child)
-                    for ch, child in sorted((k, v) for k, v in node.items() if k)]
+        node[""] = {}
+
+    done: dict[int, str] = {}
+    stack = [(trie, False)]
+    while stack:
+        node, seen = stack.pop()
+        if not seen:
+            stack.append((node, True))
+            stack.extend((child, False) for ch, child in node.items() if ch)
+            continue
+        branches = [regex_quote(ch) + done.pop(id(child)) for ch, child in sorted(node.items()) if ch]
         if not branches:
-            return ""
-        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-        return f"(?:{body})?" if end else body
-
-    return "(?s)(?=(" + emit(trie) + "))"
+            done[id(node)] = ""
+            continue
+        plain = len(branches) == 1
+        body = branches[0] if plain else "(?:" + "|".join(branches) + ")"
+        done[id(node)] = f"(?:{body})?" if "" in node else body
+    return "(?s)(?=(" + done[id(trie)] + "))"
 
 
-def _regex_hits(docs, patterns, id_col, text):
-    """Trie regex per case class; each text's distinct longest matches are cut
-    into their prefixes (all per row) and equi-joined to the patterns."""
-    if not patterns_are_small(patterns):
-        raise ValueError("regex strategy needs a small pattern side")
-    p = _pattern_side(patterns).withColumn("__pat_f", ascii_fold("pattern"))
-    rows = p.select("pattern", "__pat_f", "nocase").collect()
+def _regex_hits(docs: DataFrame, patterns: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Trie regex per case class and block of words; each text's distinct longest
+    matches are cut into their prefixes (all per row) and equi-joined to the patterns."""
+    p = patterns.withColumn("__pat_f", ascii_fold("pattern"))
     d = docs.select(id_col, text)
-    parts = []
+    out = d.select(id_col, F.lit(None).cast(patterns.schema["pattern_id"].dataType).alias("pattern_id")).limit(0)
     for nocase, col_name, flags in ((False, "pattern", ""), (True, "__pat_f", "(?i)")):
-        words = sorted({r[col_name] for r in rows if bool(r["nocase"]) == nocase})
-        if not words:
-            continue
-        rx = flags + _trie_regex(words)
-        longest = F.filter(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rx), 1)),
-                           lambda x: x != F.lit(""))
-        if nocase:
-            longest = F.transform(longest, lambda x: ascii_fold(x))
-        prefixes = F.array_distinct(F.flatten(F.transform(longest, lambda w: F.transform(
-            F.sequence(F.lit(1), F.char_length(w)), lambda i: F.substring(w, F.lit(1), i)))))
-        found = d.select(id_col, F.explode(prefixes).alias("__prefix"))
-        side = F.broadcast(p.filter(F.col("nocase") == F.lit(nocase))
-                           .select("pattern_id", F.col(col_name).alias("__prefix")))
-        parts.append(found.join(side, "__prefix").select(id_col, "pattern_id"))
-    if not parts:
-        return d.select(id_col, F.lit(None).cast("int").alias("pattern_id")).limit(0)
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
+        mine = p.filter(F.col("nocase") == F.lit(nocase))
+        words = mine.select(F.col(col_name).alias("w")).distinct()
+        blocks = math.ceil(words.count() / REGEX_WORDS)
+        for b in range(blocks):
+            own = words.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == b)
+            rx = flags + _trie_regex(sorted(r["w"] for r in own.collect()))
+            longest = F.filter(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rx), 1)),
+                               lambda x: x != F.lit(""))
+            if nocase:
+                longest = F.transform(longest, lambda x: ascii_fold(x))
+            prefixes = F.array_distinct(F.flatten(F.transform(longest, lambda w: F.transform(
+                F.sequence(F.lit(1), F.char_length(w)), lambda i: F.substring(w, F.lit(1), i)))))
+            found = d.select(id_col, F.explode(prefixes).alias("__prefix"))
+            side = (mine.join(own, F.col(col_name) == F.col("w"), "left_semi")
+                    .select("pattern_id", F.col(col_name).alias("__prefix")))
+            out = out.unionByName(found.join(side, "__prefix").select(id_col, "pattern_id"))
     return out
 
 
-# -- anchor strategy ------------------------------------------------------------
-
-def _grams(col, q: int) -> F.Column:
-    return F.array_distinct(F.regexp_extract_all(col, F.lit("(?s)(?=(.{%d}))" % q), 1))
-
-
-def _anchor_hits(docs, patterns, id_col, text, q: int = ANCHOR_Q):
-    """Equi-join on q-grams of the folded text; neither big side is broadcast.
-
-    Only grams that occur in some pattern are kept from the texts (semi join),
-    each pattern is anchored on its rarest gram (exact document frequency), and
-    candidates are verified with the case rule.
-    """
-    p = _pattern_build_side(patterns)
-    d = docs.select(id_col, text)
-    # Pattern-sized sides (grams, anchors: at most a few per pattern) are
-    # broadcast only when the pattern table itself is proven small.
-    small = patterns_are_small(patterns)
-
-    def side(df):
-        return F.broadcast(df) if small else df
-
-    long_p = p.filter(F.char_length("__pat_f") >= q)
-    pat_grams = long_p.select("pattern_id", F.explode(_grams(F.col("__pat_f"), q)).alias("gram"))
-    gram_set = side(pat_grams.select("gram").distinct())
-    # Read twice below (frequencies, candidates): written once, narrow rows.
-    doc_grams = materialize(
-        d.select(id_col, F.explode(_grams(ascii_fold(text), q)).alias("gram"))
-        .join(gram_set, "gram", "left_semi"), "doc_grams")
-    # Document frequency per gram: partial aggregation before the shuffle.
-    gram_df = doc_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    anchors = (pat_grams.join(gram_df, "gram")
-               .groupBy("pattern_id").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram")))
-    cand = doc_grams.join(side(anchors), "gram").select(id_col, "pattern_id")
-    # The check is part of the join condition, so a joined row (with the whole
-    # text) is only built for a verified hit, not for every candidate.
-    c = cand.join(side(long_p), "pattern_id").withColumnRenamed(id_col, "__cid")
-    verified = (c.join(d, (F.col("__cid") == F.col(id_col)) & _case_match(text))
-                .select(id_col, "pattern_id"))
-    short_p = p.filter(F.char_length("__pat_f") < q).drop("__pat_f", "__pat_rx")
-    if patterns_are_small(short_p):
-        short = _contains_join(docs, short_p, id_col, text, "inner").select(id_col, "pattern_id")
-    else:  # pragma: no cover - bounded by the alphabet in practice
-        raise ValueError("too many patterns shorter than the anchor length")
-    return verified.unionByName(short)
-
-
-# -- occurrences with positions --------------------------------------------------
-
-OCCURRENCE_SCHEMA = T.StructType([
-    T.StructField("pattern_id", T.IntegerType(), False),
-    T.StructField("idx", T.IntegerType(), False),
-    T.StructField("end_idx", T.IntegerType(), False),
-])
-
-
-def _pattern_list(patterns: DataFrame) -> list[tuple[int, bytes, bool]]:
-    if not patterns_are_small(patterns):
-        raise ValueError("pattern side too large to ship to the matcher tasks")
-    rows = _pattern_side(patterns).collect()
-    return [(int(r["pattern_id"]), r["pattern"].encode("utf-8"), bool(r["nocase"]))
-            for r in rows]
-
-
-def raw_occurrences(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """Every occurrence (overlaps included) before position rules:
-    ``(id, pattern_id, idx, end_idx)``, byte offsets, ``end_idx`` exclusive."""
-    plist = _pattern_list(patterns)
-    id_field = docs.schema[id_col]
-    schema = T.StructType([T.StructField(id_col, id_field.dataType, True)]
-                          + OCCURRENCE_SCHEMA.fields)
-
-    def run(batches):
-        import pandas as pd
-        matcher = ByteMatcher(plist)
-        for pdf in batches:
-            ids, pids, starts, ends = [], [], [], []
-            for key, value in zip(pdf[id_col].tolist(), pdf[text].tolist()):
-                for pid, idx, n in matcher.find(to_bytes(value)):
-                    ids.append(key)
-                    pids.append(pid)
-                    starts.append(idx)
-                    ends.append(idx + n)
-            yield pd.DataFrame({id_col: ids, "pattern_id": pids, "idx": starts,
-                                "end_idx": ends},
-                               columns=[id_col, "pattern_id", "idx", "end_idx"]).astype(
-                {"pattern_id": "int32", "idx": "int32", "end_idx": "int32"})
-
-    return docs.select(id_col, text).mapInPandas(run, schema)
-
-
-def keyword_occurrences(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
-                        text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Occurrences that pass the case and position rules.
-
-    ``keep`` names pattern columns to carry along (e.g. ``payload``, ``policy``).
-    """
-    occ = raw_occurrences(docs, patterns, id_col, text)
-    cols = ["pattern_id", "n", "offset", "depth"] + [c for c in (keep or []) if c not in
-                                                     ("pattern_id", "n", "offset", "depth")]
-    p = patterns
-    if "n" not in p.columns:
-        p = p.withColumn("n", F.octet_length("pattern").cast("int"))
-    for c, v in (("offset", 0), ("depth", 0)):
-        if c not in p.columns:
-            p = p.withColumn(c, F.lit(v))
-    side = F.broadcast(p.select(*cols))
-    return (occ.join(side, "pattern_id")
-            .filter(position_rule("idx", "n", "offset", "depth"))
-            .select(id_col, "pattern_id", "idx", "end_idx", "n", *cols[4:]))
-
-
-def occurrence_counts(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
-                      text: str = "text") -> DataFrame:
-    """Occurrences per (document, pattern), native: ``regexp_count`` of a
-    look-ahead (overlaps counted). Case rule applied; no position rule."""
-    p = F.broadcast(_pattern_build_side(patterns).withColumn(
-        "__count_rx", F.concat(
-            F.lit("(?="),
-            F.when(F.col("nocase"), F.col("__pat_rx")).otherwise(
-                F.concat(F.lit("\\Q"), F.replace(F.col("pattern"), F.lit("\\E"),
-                                                   F.lit("\\E\\\\E\\Q")), F.lit("\\E"))),
-            F.lit(")"))))
-    joined = docs.select(id_col, text).join(p, _case_match(text))
-    return joined.select(id_col, "pattern_id",
-                         F.regexp_count(F.col(text), F.col("__count_rx")).cast("bigint")
-                         .alias("occurrences"))
-
-
-HIT_SCHEMA_FIELDS = [T.StructField("pattern_id", T.IntegerType(), False)]
-
-
-def _automaton_hits(docs, patterns, id_col, text):
-    """Distinct hits per text from one automaton pass, case and position rules
-    applied in the task (a text emits each pattern at most once)."""
-    p = _pattern_side(patterns)
-    if not patterns_are_small(p):
-        raise ValueError("pattern side too large to ship to the tasks; use 'anchor'")
-    rows = p.collect()
-    plist = [(int(r["pattern_id"]), r["pattern"].encode("utf-8"), bool(r["nocase"]))
-             for r in rows]
-    ranges = {int(r["pattern_id"]): (int(r["offset"]), int(r["depth"])) for r in rows
-              if r["offset"] != 0 or r["depth"] != 0}
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType, True)]
-                          + HIT_SCHEMA_FIELDS)
-
-    def in_range(idx, n, offset, depth):
-        return (offset >= 0 and depth >= 0 and (offset == 0 or offset <= idx)
-                and (depth == 0 or offset + depth >= idx + n))
-
-    def run(batches):
-        import pandas as pd
-        matcher = ByteMatcher(plist)
-        for pdf in batches:
-            ids, pids = [], []
-            for key, value in zip(pdf[id_col].tolist(), pdf[text].tolist()):
-                seen = set()
-                for pid, idx, n in matcher.find(to_bytes(value)):
-                    if pid in seen:
-                        continue
-                    rule = ranges.get(pid)
-                    if rule is not None and not in_range(idx, n, *rule):
-                        continue
-                    seen.add(pid)
-                    ids.append(key)
-                    pids.append(pid)
-            yield pd.DataFrame({id_col: ids, "pattern_id": pids},
-                               columns=[id_col, "pattern_id"]).astype({"pattern_id": "int32"})
-
-    return docs.select(id_col, text).mapInPandas(run, schema)
+def pattern_list(patterns: DataFrame) -> list[tuple[int, bytes, bool, int, int]]:
+    """(id, bytes, nocase, offset, depth) for keyed stream state, which must hold its
+    patterns in the task."""
+    return [(int(r["pattern_id"]), r["pattern"].encode("utf-8"), bool(r["nocase"]), r["offset"], r["depth"])
+            for r in _pattern_side(patterns).collect()]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TCP = 6
 HTTP_PORT = 80
 HEADER_BYTES = 40          # fixed IPv4 + TCP header sizes used by the length test
-MIN_PAYLOAD = 24           # shortest plausible "GET / HTTP/1.1\r\nHost:  \r"
+MIN_PAYLOAD = 24           # a shorter payload cannot hold a request line and a host
 HOST_LIMIT = 256
 PATH_LIMIT = 2048
 METHOD_GET = 1
@@ -38,7 +38,7 @@ def request_fields(gets: DataFrame) -> DataFrame:
     inside the payload; host: bytes after the first ``Host: `` up to ``\\r``,
     NULL when there is no ``\\r``. Only the first ``total_len - 40`` bytes count.
     """
-    w = F.expr(f"substring(payload, 1, CAST(total_len - {HEADER_BYTES} AS INT))")
+    w = F.expr(f"decode(substring(encode(payload, 'UTF-8'), 1, CAST(total_len - {HEADER_BYTES} AS INT)), 'UTF-8')")
     staged = gets.select(
         "req_id", "dst", w.alias("__w"),
         F.locate(" ", w, 5).alias("__sp"),

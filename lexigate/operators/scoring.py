@@ -14,13 +14,19 @@ def doc_keyword_set(hits: DataFrame, id_col: str = "doc_id",
     return hits.groupBy(id_col).agg(F.sort_array(F.collect_set(key)).alias("keywords"))
 
 
-def hit_categories(hits: DataFrame, index: DataFrame, id_col: str = "doc_id",
-                   bounded: bool = False) -> DataFrame:
+def hit_sets(occurrences: DataFrame, subjects: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Every subject with the distinct patterns that hit it (an empty array if none):
+    one shuffle by subject, sets combined map-side. The steps from here to a verdict
+    stay on that partitioning."""
+    both = occurrences.select(id_col, "pattern_id").unionByName(
+        subjects.select(id_col, F.lit(None).cast("long").alias("pattern_id")))
+    return both.groupBy(id_col).agg(F.collect_set("pattern_id").alias("patterns"))
+
+
+def hit_categories(hits: DataFrame, index: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Each distinct hit keyword fans out to every entry of its category list
-    (a word listed twice in one category contributes twice). ``bounded``: the
-    index is proven small and is broadcast."""
+    (a word listed twice in one category contributes twice)."""
     side = index.select(F.col("iid").alias("pattern_id"), "cat_index")
-    side = F.broadcast(side) if bounded else side
     return hits.select(id_col, "pattern_id").join(side, "pattern_id")
 
 
@@ -30,15 +36,13 @@ def category_hits(hit_cats: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def url_verdict(cat_hits: DataFrame, totals: DataFrame, subjects: DataFrame,
-                id_col: str = "doc_id", threshold: int = DEFAULT_THRESHOLD,
-                bounded: bool = False) -> DataFrame:
+                id_col: str = "doc_id", threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """One category code per subject (its other columns kept), 0 when none qualifies.
 
     ``pct = hits * 100 div total_words``; a category qualifies when
     ``pct > threshold``; the highest pct wins, ties go to the smallest code.
     """
     side = totals.select("cat_index", "category", "total_words")
-    side = F.broadcast(side) if bounded else side
     scored = (cat_hits.join(side, "cat_index")
               .withColumn("pct", F.expr("(hits * 100) div total_words"))
               .filter(F.col("pct") > threshold))

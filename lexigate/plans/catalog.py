@@ -22,8 +22,9 @@ from lexigate.operators import matching as M
 from lexigate.operators import requests as R
 from lexigate.operators import scoring as S
 from lexigate.operators import sequence as Q
+from lexigate.operators.ordinal import global_ordinal
 from lexigate.plans import oracle as O
-from lexigate.session import ensure_checkpoint_dir, small_table
+from lexigate.session import ensure_checkpoint_dir, local_copy
 from lexigate.sources import derived, fixtures, sinks
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -62,50 +63,49 @@ _SMALL_CACHE: dict = {}
 def word_dictionary(spark):
     """The fixed word dictionary: categories, tokens, index, totals, patterns.
 
-    Bounded, so each table is evaluated once (size-checked) and kept as a local
-    relation: every plan that uses it broadcasts a few rows instead of
-    re-deriving the dictionary.
+    A fixed list of a few words, so its tables are evaluated once per session and
+    kept as local relations instead of being derived again by every query.
     """
     key = (spark.sparkContext.applicationId, "word_dictionary")
     if key not in _SMALL_CACHE:
-        _SMALL_CACHE[key] = small_dictionary(fixtures.word_dictionary(spark))
+        _SMALL_CACHE[key] = tuple(map(local_copy, dictionary_tables(fixtures.word_dictionary(spark))))
     return _SMALL_CACHE[key]
 
 
-def small_dictionary(dictionary: DataFrame):
-    """Categories, tokens, index, totals and patterns of a dictionary proven small."""
-    cats = D.categories(dictionary, bounded=True)
+def dictionary_tables(dictionary: DataFrame):
+    """Categories, tokens, index, totals and patterns of a dictionary of any size."""
+    cats = D.categories(dictionary)
     toks = D.dictionary_tokens(cats)
-    idx = D.keyword_index(toks, bounded=True)
-    tables = (cats, toks, idx, D.category_totals(cats, toks), D.service_patterns(idx))
-    return tuple(small_table(t) for t in tables)
+    idx = D.keyword_index(toks)
+    return cats, toks, idx, D.category_totals(cats, toks), D.service_patterns(idx)
 
 
 def verdicts_with(tables, texts: DataFrame, id_col: str = "doc_id", text: str = "text",
                   subjects: DataFrame | None = None) -> DataFrame:
-    """Category verdict per subject with the given (small) dictionary tables.
+    """Category verdict per subject with the given dictionary tables (any size).
 
     ``subjects`` (default: the ids of ``texts``) is every id that gets a verdict.
     """
     _, _, idx, totals, pats = tables
-    hits = M.keyword_hits(texts.select(id_col, text), pats, id_col=id_col, text=text)
-    ch = S.category_hits(S.hit_categories(hits, idx, id_col=id_col, bounded=True),
-                         id_col=id_col)
     subjects = subjects if subjects is not None else texts.select(id_col)
-    return S.url_verdict(ch, totals, subjects, id_col=id_col, bounded=True)
+    found = M.keyword_occurrences(texts.select(id_col, text), pats, id_col=id_col, text=text)
+    sets = S.hit_sets(found, subjects, id_col)
+    hits = sets.select(id_col, F.explode("patterns").alias("pattern_id"))
+    ch = S.category_hits(S.hit_categories(hits, idx, id_col=id_col), id_col=id_col)
+    return S.url_verdict(ch, totals, subjects, id_col=id_col)
 
 
 def doc_dictionary(spark, sf):
     """The document-derived dictionary (grows with the data): categories, tokens."""
-    cats = D.categories(derived.doc_dictionary(spark, sf), bounded=False)
+    cats = D.categories(derived.doc_dictionary(spark, sf))
     return cats, D.dictionary_tokens(cats)
 
 
 def fixture_policy_patterns(spark):
     key = (spark.sparkContext.applicationId, "policy_patterns")
     if key not in _SMALL_CACHE:
-        _SMALL_CACHE[key] = small_table(D.policy_patterns(
-            fixtures.policies(spark), fixtures.policy_keywords(spark), bounded=True))
+        _SMALL_CACHE[key] = local_copy(D.policy_patterns(
+            fixtures.policies(spark), fixtures.policy_keywords(spark)))
     return _SMALL_CACHE[key]
 
 
@@ -126,17 +126,15 @@ def request_verdicts(spark, sf):
     """
     gets = R.http_get_filter(derived.http_payloads(spark, sf))
     reqs = R.request_dedup(R.request_length_guard(R.http_request_extract(gets)))
-    with_content = R.request_content(reqs, derived.page_content(spark, sf))
-    _, _, idx, totals, pats = word_dictionary(spark)
-    bodies = with_content.select("req_id", F.col("html").alias("text")).filter(
-        F.col("text").isNotNull())
-    hits = M.keyword_hits(bodies, pats, id_col="req_id")
-    ch = S.category_hits(S.hit_categories(hits, idx, id_col="req_id", bounded=True),
-                         id_col="req_id")
-    # A request without content keeps type 0: the verdict is joined back to the
-    # requests, not to the (wide) content rows.
-    return S.url_verdict(ch, totals, reqs.select("req_id", "method", "dst", "host", "path"),
-                         id_col="req_id", bounded=True)
+    # Each body is scored where it is read; only its code is joined to the requests
+    # on (host, path). A request without content keeps type 0.
+    bodies = derived.page_content(spark, sf).select("page_id", "host", "path", F.col("html").alias("text"))
+    codes = verdicts_with(word_dictionary(spark), bodies, id_col="page_id",
+                          subjects=bodies.select("page_id", "host", "path"))
+    return (reqs.select("req_id", "method", "dst", "host", "path")
+            .join(codes.select("host", "path", "type"), ["host", "path"], "left")
+            .select("req_id", "method", "dst", "host", "path",
+                    F.coalesce("type", F.lit(0)).cast("int").alias("type")))
 
 
 def occ_of(spark, sf, pats, keep=None):
@@ -163,7 +161,7 @@ FIELDS_SQL = (
     "SELECT req_id, dst, w, r, h0, CASE WHEN h0 > 0 THEN instr(substr(w, h0 + 6), chr(13)) "
     "ELSE 0 END AS r2 FROM (SELECT req_id, dst, w, instr(substr(w, 5), ' ') AS r, "
     "instr(w, 'Host: ') AS h0 FROM (SELECT req_id, dst, "
-    "substr(payload, 1, CAST(total_len - 40 AS INTEGER)) AS w FROM gets)))")
+    "decode(encode(payload)[1:CAST(total_len - 40 AS INTEGER)]) AS w FROM gets)))")
 WELLFORMED = ("WHERE host IS NOT NULL AND path IS NOT NULL AND method IS NOT NULL "
               "AND dst IS NOT NULL AND host <> '' AND path <> ''")
 REQ_CTES = [
@@ -302,11 +300,15 @@ def q_request_length_guard(spark, sf):
 
 
 @query("wellformed_requests", _sql(
-    REQ_CTES[:2], f"SELECT req_id, CAST(method AS BIGINT) AS method, dst, host, path "
-                  f"FROM fields {WELLFORMED}", "http_payloads"))
+    REQ_CTES[:2] + [("every", "SELECT req_id, method, dst, host, path FROM fields UNION ALL "
+                              "SELECT req_id, method, dst, host, path FROM foreign_requests")],
+    f"SELECT req_id, CAST(method AS BIGINT) AS method, dst, host, path FROM every {WELLFORMED}",
+    "http_payloads", "foreign_requests"))
 def q_wellformed_requests(spark, sf):
+    """Our own records and those of another producer, with missing and empty fields."""
     fields = R.request_fields(R.http_get_filter(derived.http_payloads(spark, sf)))
-    return out(R.wellformed_requests(fields))
+    foreign = derived.foreign_requests(spark, sf)
+    return out(R.wellformed_requests(fields.unionByName(foreign)))
 
 
 @query("dictionary_tokens", _sql(DD, "SELECT cat_index, category, pos, word FROM dtok",
@@ -330,7 +332,7 @@ def q_category_code(spark, sf):
     "SELECT pattern_id, pattern, n, nocase, CAST(\"offset\" AS BIGINT) AS \"offset\", "
     "CAST(depth AS BIGINT) AS depth FROM dpats", "doc_dictionary"))
 def q_pattern_table(spark, sf):
-    ids = D.keyword_ids(doc_dictionary(spark, sf)[1], bounded=False)
+    ids = D.keyword_ids(doc_dictionary(spark, sf)[1])
     return out(D.service_patterns(ids).drop("payload"))
 
 
@@ -400,7 +402,7 @@ def q_no_match_docs(spark, sf):
     "bench_policies", "bench_policy_keywords"))
 def q_policy_patterns(spark, sf):
     return out(D.policy_patterns(derived.bench_policies(spark, sf),
-                                 derived.bench_policy_keywords(spark, sf), bounded=False))
+                                 derived.bench_policy_keywords(spark, sf)))
 
 
 @query("request_content", _sql(
@@ -448,7 +450,7 @@ def q_inflight_completion(spark, sf):
 def q_hit_categories(spark, sf):
     _, _, idx, _, pats = word_dictionary(spark)
     hits = M.keyword_hits(derived.docs(spark, sf), pats)
-    return out(S.hit_categories(hits, idx, bounded=True))
+    return out(S.hit_categories(hits, idx))
 
 
 # ---------------------------------------------------------------------------
@@ -459,7 +461,7 @@ def q_hit_categories(spark, sf):
                              "SELECT iid, word, cat_num, k, cat_index FROM didx",
                              "doc_dictionary"))
 def q_keyword_index(spark, sf):
-    return out(D.keyword_index(doc_dictionary(spark, sf)[1], bounded=False))
+    return out(D.keyword_index(doc_dictionary(spark, sf)[1]))
 
 
 @query("category_totals", _sql(DD + [("dtot", O.totals("dcats", "dtok"))],
@@ -473,9 +475,9 @@ def q_category_totals(spark, sf):
 @query("pattern_count", _sql(BPP, "SELECT CAST(count(*) AS BIGINT) AS pattern_count FROM bpp",
                              "bench_policies", "bench_policy_keywords"))
 def q_pattern_count(spark, sf):
-    pats = D.policy_patterns(derived.bench_policies(spark, sf),
-                             derived.bench_policy_keywords(spark, sf), bounded=False)
-    return out(D.pattern_count(pats))
+    rows = D.policy_keyword_rows(derived.bench_policies(spark, sf),
+                                 derived.bench_policy_keywords(spark, sf))
+    return out(D.pattern_count(rows))
 
 
 @query("doc_keyword_set", _sql(
@@ -492,7 +494,7 @@ def q_doc_keyword_set(spark, sf):
 def q_category_hits(spark, sf):
     _, _, idx, _, pats = word_dictionary(spark)
     hits = M.keyword_hits(derived.docs(spark, sf), pats)
-    return out(S.category_hits(S.hit_categories(hits, idx, bounded=True)))
+    return out(S.category_hits(S.hit_categories(hits, idx)))
 
 
 POLICY_OCC = FPP + [("pocc", O.occurrences("docs", "fpp", extra="policy, percent, content_num"))]
@@ -568,7 +570,7 @@ def q_verdict_batches(spark, sf):
 
 @query("keyword_ids", _sql(DD, "SELECT iid, word, cat_num FROM dids", "doc_dictionary"))
 def q_keyword_ids(spark, sf):
-    return out(D.keyword_ids(doc_dictionary(spark, sf)[1], bounded=False))
+    return out(D.keyword_ids(doc_dictionary(spark, sf)[1]))
 
 
 @query("dictionary_order", _sql(
@@ -577,7 +579,7 @@ def q_keyword_ids(spark, sf):
 def q_dictionary_order(spark, sf):
     cats, toks = doc_dictionary(spark, sf)
     t = toks.join(cats.select("cat_index", "id"), "cat_index").select("id", "pos", "word")
-    return out(D._ordinal(t, ["id", "pos"], "token_no", bounded=False))
+    return out(global_ordinal(t, ["id", "pos"], "token_no"))
 
 
 TEST_OCC = FPP + TEST_PP + [("tocc", O.occurrences("docs", "tpp", extra="policy, percent, "
@@ -672,11 +674,11 @@ def q_chunk_stitch_strict(spark, sf):
     "SELECT pattern_id, pattern, n, 'policy' AS origin FROM bpp",
     "doc_dictionary", "bench_policies", "bench_policy_keywords"))
 def q_pattern_union(spark, sf):
-    ids = D.keyword_ids(doc_dictionary(spark, sf)[1], bounded=False)
+    ids = D.keyword_ids(doc_dictionary(spark, sf)[1])
     a = D.service_patterns(ids).select("pattern_id", "pattern", "n",
                                        F.lit("dictionary").alias("origin"))
     b = D.policy_patterns(derived.bench_policies(spark, sf),
-                          derived.bench_policy_keywords(spark, sf), bounded=False)
+                          derived.bench_policy_keywords(spark, sf))
     b = b.select("pattern_id", "pattern", "n", F.lit("policy").alias("origin"))
     return out(D.pattern_union(a, b))
 
@@ -684,12 +686,9 @@ def q_pattern_union(spark, sf):
 @query("match_udtf", _sql(TEST_OCC, "SELECT doc_id, pattern_id, idx, end_idx FROM tocc",
                           "docs", "policies", "policy_keywords"))
 def q_match_udtf(spark, sf):
-    plist = M._pattern_list(test_policy_patterns(spark))
-    register_keyword_matches(spark, plist)
-    name = f"docs_{uuid.uuid4().hex[:8]}"
-    derived.docs(spark, sf).createOrReplaceTempView(name)
-    return out(spark.sql(f"SELECT d.doc_id, m.pattern_id, m.idx, m.end_idx FROM {name} d, "
-                         "LATERAL keyword_matches(d.text) m"))
+    name = register_keyword_matches(derived.docs(spark, sf), test_policy_patterns(spark),
+                                    f"keyword_matches_{uuid.uuid4().hex[:8]}")
+    return out(spark.sql(f"SELECT doc_id, pattern_id, idx, end_idx FROM {name}"))
 
 
 @query("pattern_payload", _sql(
@@ -721,16 +720,15 @@ def q_match_strategy_regex(spark, sf):
 @query("match_strategy_anchor", _sql(ALL_HITS, "SELECT doc_id, pattern_id FROM h",
                                      "docs", "patterns"))
 def q_match_strategy_anchor(spark, sf):
-    return out(M.keyword_hits(derived.docs(spark, sf), fixtures.patterns(spark), strategy="anchor"))
+    return out(M.keyword_hits(derived.docs(spark, sf), fixtures.patterns(spark), strategy="keys"))
 
 
 @query("match_strategy_counts", _sql(
-    [("free", FREE), ("o", O.occurrences("docs", "free"))],
+    [("o", O.occurrences("docs", "patterns"))],
     "SELECT doc_id, pattern_id, CAST(count(*) AS BIGINT) AS occurrences FROM o "
     "GROUP BY doc_id, pattern_id", "docs", "patterns"))
 def q_match_strategy_counts(spark, sf):
-    pats = fixtures.patterns(spark).filter((F.col("offset") == 0) & (F.col("depth") == 0))
-    return out(M.occurrence_counts(derived.docs(spark, sf), pats))
+    return out(M.occurrence_counts(derived.docs(spark, sf), fixtures.patterns(spark)))
 
 
 BENCH_WORD_HITS = BPP + [("bh", O.hits("docs", "bpp"))]
@@ -738,23 +736,23 @@ BENCH_WORD_HITS = BPP + [("bh", O.hits("docs", "bpp"))]
 
 def _bench_word_patterns(spark, sf):
     return D.policy_patterns(derived.bench_policies(spark, sf),
-                             derived.bench_policy_keywords(spark, sf), bounded=False)
+                             derived.bench_policy_keywords(spark, sf))
 
 
 @query("match_strategy_automaton", _sql(BENCH_WORD_HITS, "SELECT doc_id, pattern_id FROM bh",
                                         "docs", "bench_policies", "bench_policy_keywords"))
 def q_match_strategy_automaton(spark, sf):
-    """Hits of a large dictionary (every word of every benchmark item)."""
-    pats = _bench_word_patterns(spark, sf)
-    return out(M.keyword_hits(derived.docs(spark, sf), pats, strategy="automaton"))
+    """Hits of a large dictionary (every word of every benchmark item), by the default
+    method; the query keeps the name of the method that it replaced."""
+    return out(M.keyword_hits(derived.docs(spark, sf), _bench_word_patterns(spark, sf)))
 
 
 @query("match_strategy_anchor_words", _sql(BENCH_WORD_HITS, "SELECT doc_id, pattern_id FROM bh",
                                            "docs", "bench_policies", "bench_policy_keywords"))
 def q_match_strategy_anchor_words(spark, sf):
-    """The same large dictionary through the shuffle (q-gram) strategy."""
+    """The same large dictionary through the byte-key join."""
     pats = _bench_word_patterns(spark, sf)
-    return out(M.keyword_hits(derived.docs(spark, sf), pats, strategy="anchor"))
+    return out(M.keyword_hits(derived.docs(spark, sf), pats, strategy="keys"))
 
 
 @query("match_strategy_regex_words", _sql(BENCH_WORD_HITS, "SELECT doc_id, pattern_id FROM bh",

@@ -51,9 +51,9 @@ def _read_back(spark, path):
 @query("stream_requests", K.QUERIES["request_length_guard"][1])
 def q_stream_requests(spark, sf):
     payloads = derived.http_payloads(spark, sf)
-    path = runner.stage(spark, [payloads], "payloads")
-    stream = runner.read_stream(spark, path, payloads.schema)
-    res = runner.run_to_parquet(SO.stream_requests(stream), "stream_requests")
+    staged = runner.stage(spark, [payloads], "payloads")
+    stream = runner.read_stream(spark, staged)
+    res = runner.run_to_parquet(SO.stream_requests(stream), "stream_requests", staged)
     return out(_read_back(spark, res))
 
 
@@ -79,11 +79,11 @@ SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type FROM chain"""
 @query("stream_inflight_dedup", INFLIGHT_SQL)
 def q_stream_inflight_dedup(spark, sf):
     ev = _events(spark, sf)
-    path = runner.stage(spark, [ev], "events")
-    stream = runner.read_stream(spark, path, ev.schema)
+    staged = runner.stage(spark, [ev], "events")
+    stream = runner.read_stream(spark, staged)
     admitted = SO.inflight_hold(stream, ["user_id", "event_type"], "ts", HOLD_SECONDS,
                                 watermark=f"{HOLD_SECONDS} seconds")
-    res = runner.run_to_parquet(admitted, "stream_inflight_dedup")
+    res = runner.run_to_parquet(admitted, "stream_inflight_dedup", staged)
     r = _read_back(spark, res)
     return out(r.select("event_id", F.unix_micros("ts").alias("ts_us"), "user_id",
                         "event_type"))
@@ -107,11 +107,11 @@ def q_stream_chunk_match(spark, sf):
     rows = _chunk_rows(spark, sf)
     # two arrival waves (first two chunks of every text, then the rest), so the
     # state carried between micro-batches is exercised
-    path = runner.stage(spark, [rows.filter("seq < 2"), rows.filter("seq >= 2")], "chunks")
-    stream = runner.read_stream(spark, path, rows.schema, files_per_trigger=1)
-    plist = M._pattern_list(K.test_policy_patterns(spark))
+    staged = runner.stage(spark, [rows.filter("seq < 2"), rows.filter("seq >= 2")], "chunks")
+    stream = runner.read_stream(spark, staged)
+    plist = M.pattern_list(K.test_policy_patterns(spark))
     hits = SO.chunk_match_state(stream, plist, idle_seconds=3600, watermark="1 day")
-    return out(_read_back(spark, runner.run_to_parquet(hits, "stream_chunk_match")))
+    return out(_read_back(spark, runner.run_to_parquet(hits, "stream_chunk_match", staged)))
 
 
 def _with_end_marker(ev: DataFrame) -> list[DataFrame]:
@@ -145,10 +145,10 @@ def _sessions_out(df: DataFrame) -> DataFrame:
 @query("stream_idle_finalize", SESSIONS_SQL)
 def q_stream_idle_finalize(spark, sf):
     ev = _events(spark, sf)
-    path = runner.stage(spark, _with_end_marker(ev), "events")
-    stream = runner.read_stream(spark, path, ev.schema, files_per_trigger=1)
+    staged = runner.stage(spark, _with_end_marker(ev), "events")
+    stream = runner.read_stream(spark, staged)
     sess = SO.idle_sessions(stream, "user_id", "ts", SESSION_GAP, "1 hour", "event_type")
-    return _sessions_out(_read_back(spark, runner.run_to_parquet(sess, "stream_idle_finalize")))
+    return _sessions_out(_read_back(spark, runner.run_to_parquet(sess, "stream_idle_finalize", staged)))
 
 
 @query("stream_late_chunks", SESSIONS_SQL)
@@ -156,11 +156,11 @@ def q_stream_late_chunks(spark, sf):
     ev = _events(spark, sf)
     late = ev.withColumn("ts", F.col("ts") - F.expr(f"INTERVAL {LATE_SHIFT_DAYS} DAYS"))
     parts = _with_end_marker(ev)
-    path = runner.stage(spark, [parts[0], late, parts[1]], "events_late")
-    stream = runner.read_stream(spark, path, ev.schema, files_per_trigger=1)
+    staged = runner.stage(spark, [parts[0], late, parts[1]], "events_late")
+    stream = runner.read_stream(spark, staged)
     sess = SO.idle_sessions(stream, "user_id", "ts", SESSION_GAP, "1 hour", "event_type",
                             row_key=["event_id"])
-    return _sessions_out(_read_back(spark, runner.run_to_parquet(sess, "stream_late_chunks")))
+    return _sessions_out(_read_back(spark, runner.run_to_parquet(sess, "stream_late_chunks", staged)))
 
 
 # -- requests and their content ------------------------------------------------
@@ -171,12 +171,7 @@ def _timed_requests(spark, sf):
 
 
 def _timed_content(spark, sf):
-    p = tables.pages(spark, sf, "page_id", "url")
-    c = derived.page_content(spark, sf)
-    first = p.select(F.regexp_extract("url", derived.HOST_PATTERN, 1).alias("host"),
-                     F.regexp_extract("url", derived.PAGE_PATH_PATTERN, 1).alias("path"),
-                     "page_id").groupBy("host", "path").agg(F.min("page_id").alias("page_id"))
-    return (c.join(first, ["host", "path"])
+    return (derived.page_content(spark, sf)
             .select("host", "path", F.octet_length("html").cast("bigint").alias("content_bytes"),
                     _epoch_plus(F.col("page_id") * 4 + F.col("page_id") % 9).alias("c_ts")))
 
@@ -184,12 +179,9 @@ def _timed_content(spark, sf):
 REQUEST_CONTENT_SQL = O.with_(
     [("rq", "SELECT *, to_timestamp(epoch('" + EPOCH + "'::TIMESTAMP) + req_id) AS ts "
             "FROM url_requests"),
-     ("pf", "SELECT regexp_extract(url, '" + derived.HOST_PATTERN + "', 1) AS host, "
-            "regexp_extract(url, '" + derived.PAGE_PATH_PATTERN + "', 1) AS path, "
-            "min(page_id) AS page_id FROM pages GROUP BY ALL"),
-     ("ct", "SELECT c.host, c.path, CAST(strlen(c.html) AS BIGINT) AS content_bytes, "
-            "to_timestamp(epoch('" + EPOCH + "'::TIMESTAMP) + f.page_id * 4 + f.page_id % 9) "
-            "AS c_ts FROM page_content c JOIN pf f ON c.host = f.host AND c.path = f.path")],
+     ("ct", "SELECT host, path, CAST(strlen(html) AS BIGINT) AS content_bytes, "
+            "to_timestamp(epoch('" + EPOCH + "'::TIMESTAMP) + page_id * 4 + page_id % 9) "
+            "AS c_ts FROM page_content")],
     "SELECT r.req_id, r.host, r.path, c.content_bytes, epoch_us(r.ts) AS ts_us, "
     "epoch_us(c.c_ts) AS c_ts_us FROM rq r LEFT JOIN ct c ON r.host = c.host AND "
     f"r.path = c.path AND c.c_ts >= r.ts AND c.c_ts <= r.ts + INTERVAL {WAIT_SECONDS} SECOND")
@@ -206,12 +198,12 @@ def q_stream_request_content(spark, sf):
     end_c = con.agg(F.max("c_ts").alias("m")).select(
         F.lit("end").alias("host"), F.lit("/").alias("path"), F.lit(0).cast("bigint")
         .alias("content_bytes"), (F.col("m") + F.expr("INTERVAL 2 DAYS")).alias("c_ts"))
-    rpath = runner.stage(spark, [req, end_r], "requests")
-    cpath = runner.stage(spark, [con, end_c], "content")
-    rs = runner.read_stream(spark, rpath, req.schema, files_per_trigger=1)
-    cs = runner.read_stream(spark, cpath, con.schema, files_per_trigger=1)
+    requests = runner.stage(spark, [req, end_r], "requests")
+    content = runner.stage(spark, [con, end_c], "content")
+    rs = runner.read_stream(spark, requests)
+    cs = runner.read_stream(spark, content)
     joined = SO.request_content_join(rs, cs, WAIT_SECONDS, "1 hour")
-    res = _read_back(spark, runner.run_to_parquet(joined, "stream_request_content"))
+    res = _read_back(spark, runner.run_to_parquet(joined, "stream_request_content", requests, content))
     return out(res.filter("req_id <> -1").select(
         "req_id", "host", "path", "content_bytes", F.unix_micros("ts").alias("ts_us"),
         F.unix_micros("c_ts").alias("c_ts_us")))
@@ -232,8 +224,8 @@ VERDICT_BATCH_SQL = O.with_(
 def q_stream_verdict_batches(spark, sf):
     recs = S.valid_verdicts(K.request_verdicts(spark, sf)).withColumn(
         "ts", _epoch_plus(F.floor(F.col("req_id") / RECORDS_PER_SECOND)))
-    path = runner.stage(spark, [recs], "verdict_records")
-    stream = runner.read_stream(spark, path, recs.schema)
+    staged = runner.stage(spark, [recs], "verdict_records")
+    stream = runner.read_stream(spark, staged)
     target = runner.output_folder(spark, "stream_verdict_batches")
 
     def flush(df: DataFrame, batch_id: int) -> None:
@@ -244,7 +236,7 @@ def q_stream_verdict_batches(spark, sf):
                   F.transform("items", lambda x: x["req_id"]).alias("req_ids"))
          .write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}"))
 
-    runner.run_foreach_batch(stream, "stream_verdict_batches", flush)
+    runner.run_foreach_batch(stream, "stream_verdict_batches", flush, staged)
     return out(spark.read.parquet(target).drop("batch_id"))
 
 
@@ -271,24 +263,26 @@ def q_stream_dictionary_reload(spark, sf):
                           + list(fixtures.URLKEYWORD_SCHEMA.fields))
     v1 = [(1, 0, i, str(g), str(t), k) for i, g, t, k in fixtures.WORD_DICTIONARY_ROWS]
     v2 = [(2, 1, i, str(g), str(t), k) for i, g, t, k in WORD_DICTIONARY_V2_ROWS]
-    versions = spark.createDataFrame(v1 + v2, schema)
+    # versions are files in a folder that the running query reads at every batch
+    folder = runner.output_folder(spark, "dictionary_versions")
+    spark.createDataFrame(v1 + v2, schema).write.parquet(folder)
     # documents arrive in two waves; the dictionary is replaced between them
-    path = runner.stage(spark, [docs.filter("lang = 'en'"),
-                                docs.filter("NOT (lang <=> 'en')")], "docs")
-    stream = runner.read_stream(spark, path, docs.schema, files_per_trigger=1)
+    staged = runner.stage(spark, [docs.filter("lang = 'en'"),
+                                  docs.filter("NOT (lang <=> 'en')")], "docs")
+    stream = runner.read_stream(spark, staged)
     target = runner.output_folder(spark, "stream_dictionary_reload")
 
     def score(df: DataFrame, batch_id: int) -> None:
         # exactly one dictionary version per micro-batch: the newest in effect
-        live = versions.filter(F.col("effective_batch") <= batch_id)
+        live = (df.sparkSession.read.schema(schema).parquet(folder)
+                .filter(F.col("effective_batch") <= batch_id))
         v = live.agg(F.max("version")).first()[0]
         dictionary = live.filter(F.col("version") == v).drop("version", "effective_batch")
-        tables_v = K.small_dictionary(dictionary)
-        (K.verdicts_with(tables_v, df.select("doc_id", "text"))
+        (K.verdicts_with(K.dictionary_tables(dictionary), df.select("doc_id", "text"))
          .withColumn("version", F.lit(v).cast("bigint"))
          .write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}"))
 
-    runner.run_foreach_batch(stream, "stream_dictionary_reload", score)
+    runner.run_foreach_batch(stream, "stream_dictionary_reload", score, staged)
     return out(spark.read.parquet(target).drop("batch_id"))
 
 
@@ -331,10 +325,10 @@ def q_stream_inflight_completion(spark, sf):
     done = (first.withColumn("ts", _epoch_plus(F.col("req_id") + fetch))
             .withColumn("kind", F.lit("done")))
     rows = reqs.unionByName(done)
-    path = runner.stage(spark, [rows], "requests_done")
-    stream = runner.read_stream(spark, path, rows.schema)
+    staged = runner.stage(spark, [rows], "requests_done")
+    stream = runner.read_stream(spark, staged)
     admitted = SO.inflight_until_done(stream, ["host", "path", "method", "dst"], "ts",
                                       FETCH_GIVE_UP, watermark="1 hour")
-    res = _read_back(spark, runner.run_to_parquet(admitted, "stream_inflight_completion"))
+    res = _read_back(spark, runner.run_to_parquet(admitted, "stream_inflight_completion", staged))
     return out(res.select("req_id", "host", "path", "method", "dst",
                           F.unix_micros("ts").alias("ts_us")))

@@ -1,18 +1,13 @@
-"""Session helpers: building a local session, checkpoint folder, size guards."""
+"""Session helpers: building a local session, checkpoint folder, stored tables."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest side we are willing to broadcast (bytes of the optimizer's estimate,
-# and rows counted for tables we build ourselves).
-BROADCAST_BYTES_LIMIT = 64 * 1024 * 1024
-BROADCAST_ROWS_LIMIT = 200_000
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "lexigate") -> SparkSession:
     """A local session configured like the tests and the benchmark.
@@ -55,7 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster is a cluster
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     base = os.environ.get("TMPDIR", "/tmp")
     path = tempfile.mkdtemp(prefix="lexigate-ckpt-", dir=base)
@@ -63,18 +58,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-def small_table(df: DataFrame, limit_rows: int = BROADCAST_ROWS_LIMIT) -> DataFrame:
-    """Evaluate a side proven small once and keep it as a local relation.
-
-    Reads at most ``limit_rows + 1`` rows; raises when the side is larger, so a
-    table that grows with the data is never pulled to the driver.
-    """
-    rows = df.limit(limit_rows + 1).collect()
-    if len(rows) > limit_rows:
-        raise ValueError(f"side has more than {limit_rows} rows; not small")
-    if sum(len(repr(r)) for r in rows) > BROADCAST_BYTES_LIMIT:
-        raise ValueError(f"side is larger than {BROADCAST_BYTES_LIMIT} bytes; not small")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def local_copy(df: DataFrame) -> DataFrame:
+    """The rows of a fixed, hand-written list as a local relation. Not for tables
+    that grow with the data."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
@@ -88,14 +75,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores when it has fewer partitions than the
-    cluster's parallelism (a small table in one row group reads as one task).
-
-    Large inputs already have many splits and are returned unchanged, so this
-    never adds a shuffle of a big table.
+    """Deal a scan over the cores when it has fewer splits than there are cores (a
+    small table in one row group reads as one task). Large inputs have many splits
+    and are left alone, so a big table is never shuffled for this; the rows and the
+    method that follows are the same either way.
     """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
+    want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df

@@ -18,10 +18,10 @@ from lexigate.sources import fixtures, tables
 DST_MULTIPLIER = 2654435761          # spreads page ids over the 32-bit address space
 ADDRESS_SPACE = 4294967296           # 2**32
 CHUNK_BYTES = 1024                   # read size of the content fetcher
-PAYLOAD_VARIANTS = 32                # payload variants; 0-10 each break one rule
+PAYLOAD_VARIANTS = 32                # payload variants; 0-12 each break one rule
 HOST_PATTERN = r"^[a-z]+://([^/?#]*)"
 PATH_PATTERN = r"^[a-z]+://[^/?#]*([^#]*)"        # request path: query kept, fragment cut
-PAGE_PATH_PATTERN = r"^[a-z]+://[^/?#]*([^?#]*)"  # stored page path: no query string
+MISSING_PAGES = 10                   # every tenth page has no stored body
 WHITESPACE = " \n\t\r"
 
 
@@ -131,13 +131,16 @@ def http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derive_http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured request payloads with IP/TCP header fields, one per URL request.
 
-    The header fields and payload shape vary with ``req_id % 32``: variants
-    0-10 each break one filter or extraction rule, the others are plain GETs.
+    The header fields and payload shape vary with the page (``req_id div 4 % 32``):
+    variants 0-12 each break one filter or extraction rule, the others are plain GETs.
+    Variant 12 has non-ASCII characters and a ``total_len`` counted in characters, so
+    its window of bytes ends before the host does.
     """
     r = url_requests(spark, sf_dir)
-    v = F.col("req_id") % PAYLOAD_VARIANTS
+    v = F.expr(f"(req_id div 4) % {PAYLOAD_VARIANTS}")
     crlf = "\r\n"
-    path = F.when(v == 7, F.concat("path", F.repeat(F.lit("a"), 2048))).otherwise(F.col("path"))
+    path = (F.when(v == 7, F.concat("path", F.repeat(F.lit("a"), 2048)))
+            .when(v == 12, F.concat("path", F.lit("/éééééé"))).otherwise(F.col("path")))
     host = F.when(v == 10, F.repeat(F.col("host"), 12)).otherwise(F.col("host"))
     get_line = F.concat(F.lit("GET "), path, F.lit(" HTTP/1.1" + crlf))
     payload = (
@@ -154,26 +157,42 @@ def derive_http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(v == 3, 8080).otherwise(80).alias("dst_port"),
         F.when(v == 2, 1).otherwise(0).alias("syn"),
         F.when(v == 9, 1).otherwise(0).alias("fin"),
-        F.lit(0).alias("rst"),
+        F.when(v == 11, 1).otherwise(0).alias("rst"),
         F.when(v == 5, F.lit(63).cast("bigint"))
+        .when(v == 12, F.char_length(payload).cast("bigint") + 40)
         .otherwise(F.octet_length(payload).cast("bigint") + 40).alias("total_len"),
         "dst",
         payload.alias("payload"))
 
 
 def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page bodies keyed by (host, path); the stored path has no query string,
-    so requests that carry one find no content. Several pages on one key keep
-    the body of the lowest page id (an aggregate, combined map-side)."""
+    """Page bodies ``(page_id, host, path, html)`` keyed by the path that a request of
+    the page carries (query kept); every tenth page has no body, so its requests find
+    no content. Several pages on one key keep the body of the lowest page id (an
+    aggregate, combined map-side)."""
     p = tables.pages(spark, sf_dir, "page_id", "url", "html")
-    keyed = p.select(F.regexp_extract("url", HOST_PATTERN, 1).alias("host"),
-                     F.regexp_extract("url", PAGE_PATH_PATTERN, 1).alias("path"),
-                     "page_id", "html")
+    keyed = p.filter(F.col("page_id") % MISSING_PAGES != 0).select(
+        F.regexp_extract("url", HOST_PATTERN, 1).alias("host"),
+        F.regexp_extract("url", PATH_PATTERN, 1).alias("path"), "page_id", "html")
     # Pick the winning page id with a numeric aggregate, then keep those pages:
     # bodies are shuffled once, on a key that includes the unique page id.
     winners = keyed.groupBy("host", "path").agg(F.min("page_id").alias("page_id"))
     return keyed.join(winners, ["host", "path", "page_id"], "left_semi").select(
-        "host", "path", "html")
+        "page_id", "host", "path", "html")
+
+
+def foreign_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request records of another producer, one per page, some with a missing or empty
+    field: ``(req_id, method, dst, host, path)``, ids below zero."""
+    def broken(step: int, value) -> F.Column:
+        return F.when(F.col("page_id") % step == 0, value)
+    base = _page_urls(spark, sf_dir)
+    return base.select(
+        (-1 - F.col("page_id")).alias("req_id"),
+        broken(5, F.lit(None)).otherwise(F.lit(1)).cast("tinyint").alias("method"),
+        broken(7, F.lit(None)).otherwise(F.col("dst")).alias("dst"),
+        broken(11, F.lit("")).when(F.col("page_id") % 13 == 0, F.lit(None)).otherwise(F.col("host")).alias("host"),
+        broken(17, F.lit("")).when(F.col("page_id") % 19 == 0, F.lit(None)).otherwise(F.col("path")).alias("path"))
 
 
 # ---------------------------------------------------------------------------
@@ -218,15 +237,22 @@ SQL = {
         f"regexp_extract(url, '{PATH_PATTERN}', 1) FROM pages WHERE contains(url, '#')"),
     "url_requests": "SELECT * FROM url_requests_first UNION ALL SELECT * FROM url_requests_again",
     "page_content": (
-        f"SELECT regexp_extract(url, '{HOST_PATTERN}', 1) AS host, "
-        f"regexp_extract(url, '{PAGE_PATH_PATTERN}', 1) AS path, arg_min(html, page_id) AS html "
-        "FROM pages GROUP BY ALL"),
+        f"SELECT min(page_id) AS page_id, regexp_extract(url, '{HOST_PATTERN}', 1) AS host, "
+        f"regexp_extract(url, '{PATH_PATTERN}', 1) AS path, arg_min(html, page_id) AS html "
+        f"FROM pages WHERE page_id % {MISSING_PAGES} <> 0 GROUP BY host, path"),
+    "foreign_requests": (
+        "SELECT -1 - page_id AS req_id, CASE WHEN page_id % 5 = 0 THEN NULL ELSE 1 END AS method, "
+        f"CASE WHEN page_id % 7 = 0 THEN NULL ELSE (page_id * {DST_MULTIPLIER}) % {ADDRESS_SPACE} END AS dst, "
+        "CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 13 = 0 THEN NULL ELSE "
+        f"regexp_extract(url, '{HOST_PATTERN}', 1) END AS host, "
+        "CASE WHEN page_id % 17 = 0 THEN '' WHEN page_id % 19 = 0 THEN NULL ELSE "
+        f"regexp_extract(url, '{PATH_PATTERN}', 1) END AS path FROM pages"),
 }
 
 _CRLF = f"{_CR} || {_LF}"
 SQL["http_payloads"] = (
-    f"WITH r AS (SELECT req_id, dst, req_id % {PAYLOAD_VARIANTS} AS v, "
-    "CASE WHEN v = 7 THEN path || repeat('a', 2048) ELSE path END AS path, "
+    f"WITH r AS (SELECT req_id, dst, (req_id // 4) % {PAYLOAD_VARIANTS} AS v, "
+    "CASE WHEN v = 7 THEN path || repeat('a', 2048) WHEN v = 12 THEN path || '/éééééé' ELSE path END AS path, "
     "CASE WHEN v = 10 THEN repeat(host, 12) ELSE host END AS host "
     "FROM url_requests), "
     "p AS (SELECT *, CASE "
@@ -239,7 +265,8 @@ SQL["http_payloads"] = (
     "SELECT req_id, CASE WHEN v = 4 THEN 17 ELSE 6 END AS protocol, "
     "CASE WHEN v = 3 THEN 8080 ELSE 80 END AS dst_port, "
     "CASE WHEN v = 2 THEN 1 ELSE 0 END AS syn, CASE WHEN v = 9 THEN 1 ELSE 0 END AS fin, "
-    "0 AS rst, CASE WHEN v = 5 THEN CAST(63 AS BIGINT) ELSE CAST(strlen(payload) AS BIGINT) + 40 "
+    "CASE WHEN v = 11 THEN 1 ELSE 0 END AS rst, CASE WHEN v = 5 THEN CAST(63 AS BIGINT) "
+    "WHEN v = 12 THEN CAST(length(payload) AS BIGINT) + 40 ELSE CAST(strlen(payload) AS BIGINT) + 40 "
     "END AS total_len, dst, payload FROM p")
 
 # Dependencies between the CTEs above (a CTE must come after what it reads).

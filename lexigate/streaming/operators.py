@@ -71,8 +71,9 @@ def inflight_until_done(stream: DataFrame, key: Sequence[str], ts: str, max_hold
     """Requests and completions of URL keys in one stream (``kind`` is
     ``'request'`` or ``'done'``). A request is admitted when its key is not in
     flight; it puts the key in flight until a completion of that key arrives,
-    or until ``max_hold_seconds`` pass (the fetch gave up). At equal times a
-    completion is applied first. Emits the admitted requests.
+    or until ``max_hold_seconds`` pass (the fetch gave up). A completion releases
+    only a fetch that began before it. At equal times a completion is applied first.
+    Emits the admitted requests.
     """
     key = list(key)
     hold_ms = max_hold_seconds * 1000
@@ -92,7 +93,8 @@ def inflight_until_done(stream: DataFrame, key: Sequence[str], ts: str, max_hold
         keep = []
         for i, (t, is_req) in enumerate(zip(ms, pdf["__o"].to_numpy())):
             if not is_req:
-                since = None
+                if since is not None and t > since:
+                    since = None
             elif since is None or t >= since + hold_ms:
                 keep.append(i)
                 since = int(t)
@@ -111,55 +113,73 @@ def inflight_until_done(stream: DataFrame, key: Sequence[str], ts: str, max_hold
 
 CHUNK_HIT_SCHEMA = T.StructType([
     T.StructField("resource_id", T.LongType()),
-    T.StructField("pattern_id", T.IntegerType()),
+    T.StructField("pattern_id", T.LongType()),
     T.StructField("seq", T.IntegerType()),
     T.StructField("idx", T.IntegerType()),
 ])
 
 
-def chunk_match_state(chunks: DataFrame, patterns: list[tuple[int, bytes, bool]],
+def chunk_match_state(chunks: DataFrame, patterns: list[tuple[int, bytes, bool, int, int]],
                       idle_seconds: int, watermark: str) -> DataFrame:
     """Match over each resource's chunk stream with carried state.
 
-    State per resource: the last ``max_len - 1`` bytes and the pattern ids
-    already reported. Each pattern is reported once per resource, at its first
-    hit (``idx`` relative to the chunk, negative when it began earlier). The
-    state is dropped when the resource has been idle for ``idle_seconds``.
+    State per resource: the next sequence number, the last ``max_len - 1`` bytes and
+    the pattern ids already reported. Chunks are numbered from 0; one that comes early
+    is held until those before it are there. Each pattern is reported once per
+    resource, at its first hit (``idx`` relative to the chunk, negative when it began
+    earlier; position rules count from the chunk). When the resource has been idle for
+    ``idle_seconds``, chunks still held are matched across the gap and the state ends.
     """
-    tail_len = max((len(p) for _, p, _ in patterns), default=1) - 1
+    tail_len = max((len(p) for _, p, *_ in patterns), default=1) - 1
+    rules = {pid: (offset, depth) for pid, _, _, offset, depth in patterns}
     idle_ms = idle_seconds * 1000
     state_schema = T.StructType([T.StructField("tail", T.BinaryType()),
-                                 T.StructField("seen", T.ArrayType(T.IntegerType())),
-                                 T.StructField("last_ms", T.LongType())])
+                                 T.StructField("seen", T.ArrayType(T.LongType())),
+                                 T.StructField("last_ms", T.LongType()),
+                                 T.StructField("next_seq", T.IntegerType()),
+                                 T.StructField("held_seq", T.ArrayType(T.IntegerType())),
+                                 T.StructField("held_data", T.ArrayType(T.BinaryType()))])
+
+    def in_range(pid, idx, n):
+        offset, depth = rules[pid]
+        return (offset >= 0 and depth >= 0 and (offset == 0 or offset <= idx)
+                and (depth == 0 or offset + depth >= idx + n))
 
     built: dict = {}  # one automaton per task, not per resource
 
     def step(k, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         matcher = built.get("m")
         if matcher is None:
-            matcher = built["m"] = ByteMatcher(patterns)
+            matcher = built["m"] = ByteMatcher(p[:3] for p in patterns)
+        tail, seen, last_ms, next_seq, held = b"", set(), 0, 0, {}
         if state.exists:
-            tail, seen, last_ms = state.get
+            tail, seen, last_ms, next_seq, held_seq, held_data = state.get
             tail, seen = bytes(tail or b""), set(seen or [])
-        else:
-            tail, seen, last_ms = b"", set(), 0
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+            held = {s: bytes(d) for s, d in zip(held_seq or [], held_data or [])}
+        for pdf in batches:
+            for seq, data, t in zip(pdf["seq"], pdf["data"], pdf["ts"]):
+                if int(seq) >= next_seq:
+                    held[int(seq)] = to_bytes(data)
+                last_ms = max(last_ms, int(pd.Timestamp(t).value // 1_000_000))
         rows = []
-        for seq, data, t in zip(pdf["seq"], pdf["data"], pdf["ts"]):
-            cur = to_bytes(data)
-            buf = tail + cur
+        while held and (state.hasTimedOut or next_seq in held):
+            seq = min(held)
+            if seq != next_seq:  # a chunk never came: nothing carries over the gap
+                tail = b""
+            buf = tail + held.pop(seq)
             for pid, idx, n in matcher.find(buf):
-                if idx + n <= len(tail) or pid in seen:
+                if idx + n <= len(tail) or pid in seen or not in_range(pid, idx - len(tail), n):
                     continue
                 seen.add(pid)
-                rows.append((k[0], pid, int(seq), idx - len(tail)))
+                rows.append((k[0], pid, seq, idx - len(tail)))
             tail = buf[-tail_len:] if tail_len > 0 else b""
-            last_ms = max(last_ms, int(pd.Timestamp(t).value // 1_000_000))
-        state.update((tail, sorted(seen), last_ms))
-        state.setTimeoutTimestamp(last_ms + idle_ms)
+            next_seq = seq + 1
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            order = sorted(held)
+            state.update((tail, sorted(seen), last_ms, next_seq, order, [held[s] for s in order]))
+            state.setTimeoutTimestamp(last_ms + idle_ms)
         if rows:
             yield pd.DataFrame(rows, columns=["resource_id", "pattern_id", "seq", "idx"])
 

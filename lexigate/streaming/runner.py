@@ -1,7 +1,10 @@
 """Stream inputs staged as file sources, and queries run to completion.
 
 All folders live under the session's shared checkpoint folder, so a restarted
-or re-attempted query finds its offsets and state again.
+or re-attempted query finds its offsets and state again. An input arrives in waves:
+each wave keeps the partitions it was computed in (one file each), and the query runs
+over what is there (``availableNow``) before the next wave is added, always with the
+same checkpoint.
 """
 
 from __future__ import annotations
@@ -18,41 +21,52 @@ def _folder(spark: SparkSession, kind: str, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{kind}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(spark: SparkSession, parts: list[DataFrame], name: str) -> str:
-    """Write the parts of a stream input one after another (one file set each,
-    oldest first), so ``maxFilesPerTrigger`` replays them in this order."""
-    path = _folder(spark, "in", name)
-    for i, part in enumerate(parts):
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+class Staged:
+    """A file-source folder and the waves that have not arrived yet."""
 
+    def __init__(self, path: str, waves: list[DataFrame]):
+        self.path, self.waves = path, list(waves)
+        self.schema = waves[0].schema
+        self.arrive()
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None
-                ) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    def arrive(self) -> bool:
+        """Write the next wave; False when there is none."""
+        if not self.waves:
+            return False
+        self.waves.pop(0).write.mode("append").parquet(self.path)
+        return True
 
 
-def run_to_parquet(stream: DataFrame, name: str, mode: str = "append") -> str:
-    """Run a stream over everything available now into a parquet sink; return its path."""
+def stage(spark: SparkSession, waves: list[DataFrame], name: str) -> Staged:
+    """The waves of a stream input, oldest first; the first is there at once."""
+    return Staged(_folder(spark, "in", name), waves)
+
+
+def read_stream(spark: SparkSession, staged: Staged) -> DataFrame:
+    return spark.readStream.schema(staged.schema).parquet(staged.path)
+
+
+def _run(start: Callable, staged: tuple[Staged, ...]) -> None:
+    while True:
+        start().awaitTermination()
+        if not any([s.arrive() for s in staged]):
+            return
+
+
+def run_to_parquet(stream: DataFrame, name: str, *staged: Staged, mode: str = "append") -> str:
+    """Run a stream over all waves of its inputs into a parquet sink; return its path."""
     spark = stream.sparkSession
     out, chk = _folder(spark, "out", name), _folder(spark, "chk", name)
-    q = (stream.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", chk).outputMode(mode)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _run(lambda: stream.writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", chk).outputMode(mode).trigger(availableNow=True).start(), staged)
     return out
 
 
-def run_foreach_batch(stream: DataFrame, name: str,
-                      fn: Callable[[DataFrame, int], None]) -> None:
-    spark = stream.sparkSession
-    chk = _folder(spark, "chk", name)
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", chk)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None],
+                      *staged: Staged) -> None:
+    chk = _folder(stream.sparkSession, "chk", name)
+    _run(lambda: stream.writeStream.foreachBatch(fn).option("checkpointLocation", chk)
+         .trigger(availableNow=True).start(), staged)
 
 
 def output_folder(spark: SparkSession, name: str) -> str:

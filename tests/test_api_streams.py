@@ -35,11 +35,11 @@ def test_inflight_hold_over_several_batches(spark):
     parts = [ev.filter(F.col("ts") < mid1),
              ev.filter((F.col("ts") >= mid1) & (F.col("ts") < mid2)),
              ev.filter(F.col("ts") >= mid2)]
-    path = runner.stage(spark, parts, "events_waves")
-    stream = runner.read_stream(spark, path, ev.schema, files_per_trigger=1)
+    staged = runner.stage(spark, parts, "events_waves")
+    stream = runner.read_stream(spark, staged)
     admitted = SO.inflight_hold(stream, ["user_id", "event_type"], "ts", ST.HOLD_SECONDS,
                                 watermark=f"{ST.HOLD_SECONDS} seconds")
-    got = spark.read.parquet(runner.run_to_parquet(admitted, "hold_waves"))
+    got = spark.read.parquet(runner.run_to_parquet(admitted, "hold_waves", staged))
     got = sorted(r.event_id for r in got.collect())
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF_SMALL}/events.parquet'")
@@ -49,9 +49,9 @@ def test_inflight_hold_over_several_batches(spark):
 
 def test_watermark_dedup_keeps_one_per_key(spark):
     ev = tables.events(spark, SF_SMALL)
-    path = runner.stage(spark, [ev], "events_dedup")
-    stream = runner.read_stream(spark, path, ev.schema)
+    staged = runner.stage(spark, [ev], "events_dedup")
+    stream = runner.read_stream(spark, staged)
     kept = SO.inflight_dedup_watermark(stream, ["user_id", "event_type"], "ts", "3650 days")
-    got = spark.read.parquet(runner.run_to_parquet(kept, "dedup_watermark"))
+    got = spark.read.parquet(runner.run_to_parquet(kept, "dedup_watermark", staged))
     assert got.count() == ev.select("user_id", "event_type").distinct().count()
     assert got.select("user_id", "event_type").distinct().count() == got.count()

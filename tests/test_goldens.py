@@ -22,12 +22,12 @@ def _pats(spark, rows):
 
 
 def test_sample_dictionary(spark):
-    cats = D.categories(fixtures.sample_urlkeyword(spark), bounded=True)
+    cats = D.categories(fixtures.sample_urlkeyword(spark))
     assert [(r.cat_index, r.category) for r in cats.orderBy("cat_index").collect()] == [
         (1, 567), (2, 266), (3, 269)]
     toks = D.dictionary_tokens(cats)
-    idx = D.keyword_index(toks, bounded=True)
-    lists = D.keyword_lists(idx, bounded=True).orderBy("iid").collect()
+    idx = D.keyword_index(toks)
+    lists = D.keyword_lists(idx).orderBy("iid").collect()
     assert [(r.iid, r.word, len(r.word.encode()), r.cat_index) for r in lists] == [
         (1, "王菲", 6, [1, 3]), (2, "狗仔", 6, [1]), (3, "艳照", 6, [1]), (4, "百度", 6, [2]),
         (5, "好友", 6, [2, 3]), (6, "浏览器", 9, [2]), (7, "人人", 6, [3])]
@@ -35,18 +35,9 @@ def test_sample_dictionary(spark):
     assert [r.total_words for r in totals] == [3, 3, 3]
 
 
-def test_dictionary_paths_agree(spark):
-    """Bounded (window) and unbounded (range-partitioned) ordinals give the same index."""
-    cats_b = D.categories(fixtures.word_dictionary(spark), bounded=True)
-    cats_u = D.categories(fixtures.word_dictionary(spark), bounded=False)
-    a = D.keyword_index(D.dictionary_tokens(cats_b), bounded=True).collect()
-    b = D.keyword_index(D.dictionary_tokens(cats_u), bounded=False).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
-
-
 def _policy_occ(spark, text):
     pats = D.policy_patterns(fixtures.policies(spark).filter("name = 'test'"),
-                             fixtures.policy_keywords(spark), bounded=True)
+                             fixtures.policy_keywords(spark))
     return M.keyword_occurrences(_docs(spark, text), pats,
                                  keep=["policy", "percent", "content_num"])
 
@@ -81,9 +72,9 @@ def test_strict_threshold(spark):
 def test_category_score_sentence(spark):
     text = "你好,王菲,我是狗仔队教练,我手中有你的艳照"
     assert len(text.encode()) == 60
-    cats = D.categories(fixtures.sample_urlkeyword(spark), bounded=True)
+    cats = D.categories(fixtures.sample_urlkeyword(spark))
     toks = D.dictionary_tokens(cats)
-    idx = D.keyword_index(toks, bounded=True)
+    idx = D.keyword_index(toks)
     pats = D.service_patterns(idx)
     docs = _docs(spark, text, "lalalal")
     occ = M.keyword_occurrences(docs, pats).filter("doc_id = 0")
