@@ -141,7 +141,9 @@ def judge(docs: DataFrame, *carry: Column) -> DataFrame:
     """
     counted = stored(features(docs, F.col("text"), *carry, F.col("lang").alias("__lang"),
                               F.col("source").alias("__source")), "quality")
-    bounds = cutoffs(sketches(counted))
+    # Written, so that its size is known when the join is planned: a small one is
+    # broadcast and the documents stay where they are.
+    bounds = stored(cutoffs(sketches(counted)), "cutoffs")
     joined = counted.join(bounds, F.col("__lang").eqNullSafe(F.col("t_lang"))
                           & F.col("__source").eqNullSafe(F.col("t_source")), "left")
     fine = F.lit(True)
