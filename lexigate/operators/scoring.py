@@ -14,13 +14,10 @@ def doc_keyword_set(hits: DataFrame, id_col: str = "doc_id",
     return hits.groupBy(id_col).agg(F.sort_array(F.collect_set(key)).alias("keywords"))
 
 
-def hit_sets(occurrences: DataFrame, subjects: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Every subject with the distinct patterns that hit it (an empty array if none):
-    one shuffle by subject, sets combined map-side. The steps from here to a verdict
-    stay on that partitioning."""
-    both = occurrences.select(id_col, "pattern_id").unionByName(
-        subjects.select(id_col, F.lit(None).cast("long").alias("pattern_id")))
-    return both.groupBy(id_col).agg(F.collect_set("pattern_id").alias("patterns"))
+def hit_sets(occurrences: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The distinct patterns that hit each document: one shuffle by document, sets
+    combined map-side. The steps from here to a verdict stay on that partitioning."""
+    return occurrences.groupBy(id_col).agg(F.collect_set("pattern_id").alias("patterns"))
 
 
 def hit_categories(hits: DataFrame, index: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -89,7 +89,7 @@ def verdicts_with(tables, texts: DataFrame, id_col: str = "doc_id", text: str =
     _, _, idx, totals, pats = tables
     subjects = subjects if subjects is not None else texts.select(id_col)
     found = M.keyword_occurrences(texts.select(id_col, text), pats, id_col=id_col, text=text)
-    sets = S.hit_sets(found, subjects, id_col)
+    sets = S.hit_sets(found, id_col)
     hits = sets.select(id_col, F.explode("patterns").alias("pattern_id"))
     ch = S.category_hits(S.hit_categories(hits, idx, id_col=id_col), id_col=id_col)
     return S.url_verdict(ch, totals, subjects, id_col=id_col)

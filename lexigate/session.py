@@ -59,9 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def local_copy(df: DataFrame) -> DataFrame:
-    """The rows of a fixed, hand-written list as a local relation. Not for tables
-    that grow with the data."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """The rows of a fixed, hand-written list as a local relation (Spark knows its size
+    and broadcasts it). Not for tables that grow with the data."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
