@@ -24,7 +24,7 @@ from lexigate.operators import scoring as S
 from lexigate.operators import sequence as Q
 from lexigate.operators.ordinal import global_ordinal
 from lexigate.plans import oracle as O
-from lexigate.session import ensure_checkpoint_dir, local_copy
+from lexigate.session import local_copy, new_folder
 from lexigate.sources import derived, fixtures, sinks
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -243,7 +243,7 @@ def q_content_chunks(spark, sf):
 @query("verdict_sink", _sql(O.verdict_ctes("docs", "doc_id", "text"),
                             "SELECT doc_id, type FROM verdicts WHERE type <> 0", "docs"))
 def q_verdict_sink(spark, sf):
-    folder = ensure_checkpoint_dir(spark).rstrip("/") + f"/verdict_sink/{uuid.uuid4().hex}"
+    folder = new_folder(spark, "verdict_sink", "verdicts")
     sinks.verdict_sink(doc_verdicts(spark, sf), folder, mode="overwrite")
     return out(spark.read.parquet(folder))
 
@@ -538,6 +538,16 @@ def q_url_verdict(spark, sf):
     return out(doc_verdicts(spark, sf))
 
 
+@query("url_verdict_words", _sql(
+    O.verdict_ctes("docs", "doc_id", "text", source="bench_dictionary", w="b", v="z"),
+    "SELECT doc_id, type FROM zerdicts", "docs", "bench_dictionary"))
+def q_url_verdict_words(spark, sf):
+    """Verdicts over a dictionary that grows with the data: a category per benchmark
+    item, its words as the keyword list; index, hits and scores stay distributed."""
+    tables = dictionary_tables(derived.bench_dictionary(spark, sf))
+    return out(verdicts_with(tables, derived.docs(spark, sf), subjects=derived.doc_ids(spark, sf)))
+
+
 @query("request_verdicts", _sql(REQ_VERDICT_CTES, "SELECT * FROM rverdict",
                                 "http_payloads", "page_content", "word_dictionary"))
 def q_request_verdicts(spark, sf):

@@ -114,6 +114,32 @@ def q_stream_chunk_match(spark, sf):
     return out(_read_back(spark, runner.run_to_parquet(hits, "stream_chunk_match", staged)))
 
 
+@query("stream_verdicts", O.with_(O.verdict_ctes("docs", "doc_id", "text"),
+                                  "SELECT doc_id AS resource_id, type FROM verdicts", "docs"))
+def q_stream_verdicts(spark, sf):
+    """Chunks to hits to a verdict when a resource has gone idle, in one stream."""
+    rows = _chunk_rows(spark, sf)
+    marker = rows.agg(F.max("ts").alias("m")).select(
+        F.lit(-1).cast("long").alias("resource_id"), F.lit(0).alias("seq"), F.lit(b"end").alias("data"),
+        (F.col("m") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+    staged = runner.stage(spark, [rows.filter("seq < 2"), rows.filter("seq >= 2"), marker], "verdict_chunks")
+    _, _, idx, totals, pats = K.word_dictionary(spark)
+    ended = SO.chunk_match_state(runner.read_stream(spark, staged), M.pattern_list(pats), idle_seconds=3600,
+                                 watermark="1 day", finished=True)
+    target = runner.output_folder(spark, "stream_verdicts")
+
+    def score(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()  # read twice below; the state advances once
+        hits = df.select("resource_id", F.explode("patterns").alias("pattern_id"))
+        found = S.category_hits(S.hit_categories(hits, idx, "resource_id"), "resource_id")
+        (S.url_verdict(found, totals, df.select("resource_id"), "resource_id")
+         .write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}"))
+        df.unpersist()
+
+    runner.run_foreach_batch(ended, "stream_verdicts", score, staged)
+    return out(spark.read.parquet(target).drop("batch_id").filter("resource_id >= 0"))
+
+
 def _with_end_marker(ev: DataFrame) -> list[DataFrame]:
     """The input and an end-of-input marker one day after its last event, so the
     watermark passes every real session."""

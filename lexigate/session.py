@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,14 +65,34 @@ def local_copy(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
+_FOLDERS: dict[str, list[str]] = {}
+
+
+def new_folder(spark: SparkSession, kind: str, name: str) -> str:
+    """A new folder below the shared checkpoint folder, noted for ``release``."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every folder made so far in this session: written tables, stream inputs,
+    sinks and checkpoints. To be called when their results have been consumed, since
+    a DataFrame over a written table reads it when it runs. Returns how many went."""
+    paths = _FOLDERS.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write ``df`` once as a table in the shared checkpoint
     folder and scan it (one job; a reliable RDD checkpoint would compute it twice)."""
-    import uuid
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "tables", name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

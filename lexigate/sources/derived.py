@@ -6,12 +6,10 @@ SQL expression with the same meaning (used by the oracle). Keep the two in step.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.session import ensure_checkpoint_dir, spread
+from lexigate.session import new_folder, spread
 from lexigate.sources import fixtures, tables
 
 # The derivation constants.
@@ -75,6 +73,14 @@ def bench_policy_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
         "keyword")
 
 
+def bench_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary in the ``urlkeyword`` shape, one category per benchmark item."""
+    return tables.benchmark(spark, sf_dir).select(
+        (F.col("item_id") + 1).alias("id"), F.col("item_id").cast("string").alias("groupid"),
+        F.lit("1").alias("grouptype"),
+        F.translate("text", WHITESPACE, "," * len(WHITESPACE)).alias("keywordlist"))
+
+
 def _page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.pages(spark, sf_dir, "page_id", "url")
     return p.select(
@@ -116,8 +122,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     scan it, as a captured table would be scanned (no re-derivation per query)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{base}/derived/{name}-{uuid.uuid4().hex}"
+        path = new_folder(spark, "derived", name)
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
@@ -221,6 +226,9 @@ SQL = {
         "unnest(range(1, len(l) + 1)) AS pos FROM (SELECT item_id, "
         f"list_filter(string_split(translate(text, {_WS_SQL}, ',,,,'), ','), "
         "lambda x: x <> '') AS l FROM benchmark))"),
+    "bench_dictionary": (
+        "SELECT item_id + 1 AS id, CAST(item_id AS VARCHAR) AS groupid, '1' AS grouptype, "
+        f"translate(text, {_WS_SQL}, ',,,,') AS keywordlist FROM benchmark"),
     "url_requests_first": (
         f"SELECT page_id * 4 AS req_id, CAST(1 AS TINYINT) AS method, "
         f"(page_id * {DST_MULTIPLIER}) % {ADDRESS_SPACE} AS dst, "

@@ -111,6 +111,8 @@ def inflight_until_done(stream: DataFrame, key: Sequence[str], ts: str, max_hold
                                     GroupStateTimeout.EventTimeTimeout))
 
 
+FINISHED_SCHEMA = T.StructType([T.StructField("resource_id", T.LongType()),
+                                T.StructField("patterns", T.ArrayType(T.LongType()))])
 CHUNK_HIT_SCHEMA = T.StructType([
     T.StructField("resource_id", T.LongType()),
     T.StructField("pattern_id", T.LongType()),
@@ -120,7 +122,7 @@ CHUNK_HIT_SCHEMA = T.StructType([
 
 
 def chunk_match_state(chunks: DataFrame, patterns: list[tuple[int, bytes, bool, int, int]],
-                      idle_seconds: int, watermark: str) -> DataFrame:
+                      idle_seconds: int, watermark: str, finished: bool = False) -> DataFrame:
     """Match over each resource's chunk stream with carried state.
 
     State per resource: the next sequence number, the last ``max_len - 1`` bytes and
@@ -129,6 +131,8 @@ def chunk_match_state(chunks: DataFrame, patterns: list[tuple[int, bytes, bool,
     resource, at its first hit (``idx`` relative to the chunk, negative when it began
     earlier; position rules count from the chunk). When the resource has been idle for
     ``idle_seconds``, chunks still held are matched across the gap and the state ends.
+    With ``finished`` nothing is emitted before that end; then one row (resource_id,
+    patterns) carries all that was found, for a verdict.
     """
     tail_len = max((len(p) for _, p, *_ in patterns), default=1) - 1
     rules = {pid: (offset, depth) for pid, _, _, offset, depth in patterns}
@@ -174,17 +178,20 @@ def chunk_match_state(chunks: DataFrame, patterns: list[tuple[int, bytes, bool,
                 rows.append((k[0], pid, seq, idx - len(tail)))
             tail = buf[-tail_len:] if tail_len > 0 else b""
             next_seq = seq + 1
-        if state.hasTimedOut:
+        state_ended = state.hasTimedOut
+        if state_ended:
             state.remove()
         else:
             order = sorted(held)
             state.update((tail, sorted(seen), last_ms, next_seq, order, [held[s] for s in order]))
             state.setTimeoutTimestamp(last_ms + idle_ms)
-        if rows:
+        if finished and state_ended:
+            yield pd.DataFrame({"resource_id": [k[0]], "patterns": [sorted(seen)]})
+        elif rows and not finished:
             yield pd.DataFrame(rows, columns=["resource_id", "pattern_id", "seq", "idx"])
 
     return (chunks.withWatermark("ts", watermark).groupBy("resource_id")
-            .applyInPandasWithState(step, CHUNK_HIT_SCHEMA, state_schema, "append",
+            .applyInPandasWithState(step, FINISHED_SCHEMA if finished else CHUNK_HIT_SCHEMA, state_schema, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
 

@@ -9,16 +9,15 @@ same checkpoint.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigate.session import ensure_checkpoint_dir
+from lexigate.session import new_folder
 
 
 def _folder(spark: SparkSession, kind: str, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{kind}/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, f"streams/{kind}", name)
 
 
 class Staged:

@@ -161,3 +161,15 @@ def test_large_dictionary_verdict(spark):
     got = {r["doc_id"]: r["type"] for r in K.verdicts_with(K.dictionary_tables(words), d).collect()}
     assert got == {0: 258, 1: 257, 2: 0, 3: 0}
     assert S.DEFAULT_THRESHOLD == 70 and D.SALT_ROWS > 0
+
+
+def test_release_deletes_what_was_written(spark):
+    import os
+
+    from lexigate import session
+    before = session._FOLDERS.pop(spark.sparkContext.applicationId, [])
+    table = session.materialize(spark.range(5), "released")
+    (path,) = session._FOLDERS[spark.sparkContext.applicationId]
+    assert table.count() == 5 and os.path.isdir(path.removeprefix("file:"))
+    assert session.release(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
+    session._FOLDERS[spark.sparkContext.applicationId] = before
