@@ -6,13 +6,12 @@ maximal run of other characters.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.session import ensure_checkpoint_dir
+from lexigate.session import new_folder
 from lexigate.sources.tables import read_table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,8 +46,9 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the session's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    """A new folder below the session's shared checkpoint folder (``session.release``
+    deletes it)."""
+    return new_folder(spark, "tables", name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
