@@ -1,6 +1,8 @@
 """The range-partitioned ordinals equal a plain row_number, also for a hot key
 that spans many partitions."""
 
+import collections
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -54,8 +56,17 @@ def test_keyword_index_salted_join(spark):
     rows = [(i + 1, "1", "1", ",".join(["the"] * 9 + ["a", "the", "b"])) for i in range(5)]
     d = spark.createDataFrame(rows, "id long, groupid string, grouptype string, "
                                     "keywordlist string")
-    toks = D.dictionary_tokens(D.categories(d, bounded=False))
-    small = sorted(map(tuple, D.keyword_index(toks, bounded=False, salt_rows=4).collect()))
-    plain = sorted(map(tuple, D.keyword_index(toks, bounded=True).collect()))
-    assert small == plain
+    toks = D.dictionary_tokens(D.categories(d))
+    small = sorted(map(tuple, D.keyword_index(toks, salt_rows=4).collect()))
+    entries = sorted((r["word"], r["cat_index"], r["pos"]) for r in toks.collect())
+    first = {}
+    for w, c, p in sorted(entries, key=lambda e: e[1:]):
+        first.setdefault(w, len(first) + 1)
+    count = collections.Counter(w for w, _, _ in entries)
+    seen = collections.Counter()
+    plain = []
+    for w, c, _ in entries:
+        seen[w] += 1
+        plain.append((first[w], w, count[w], seen[w], c))
+    assert small == sorted(plain)
     assert max(r[3] for r in small) == 50  # "the": 10 entries in each of 5 lists
