@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexigate.functions.text import ascii_fold
-
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -22,10 +20,3 @@ def position_rule(idx="idx", n="n", offset="offset", depth="depth") -> Column:
     return ((offset >= 0) & (depth >= 0)
             & ((offset == 0) | (offset <= idx))
             & ((depth == 0) | ((offset + depth) >= (idx + n))))
-
-
-def case_rule(text="text", word="word", nocase="nocase") -> Column:
-    """Containment under the case rule: ASCII-folded when ``nocase``, else exact."""
-    text, word, nocase = map(_col, (text, word, nocase))
-    return (F.when(nocase, F.contains(ascii_fold(text), ascii_fold(word)))
-            .otherwise(F.contains(text, word)))

@@ -30,11 +30,6 @@ def ascii_fold(c) -> Column:
             .otherwise(F.translate(c, LOWER_ASCII, UPPER_ASCII)))
 
 
-def byte_length(c) -> Column:
-    """Length in UTF-8 bytes."""
-    return F.octet_length(_col(c))
-
-
 def atoi(c) -> Column:
     """C ``atoi``: optional leading whitespace, sign and digits, else 0."""
     lead = F.regexp_extract(_col(c).cast("string"),

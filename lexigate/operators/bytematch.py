@@ -1,21 +1,21 @@
 """Per-text helper: every occurrence of every pattern, with byte positions.
 
-This is the only per-row Python in the matching path (positions cannot be had
-from a native function for many patterns at once). It runs inside Spark tasks
-via ``mapInPandas``/UDTF over Arrow batches; Spark partitions the texts.
+Used by keyed stream state only, which carries bytes from chunk to chunk inside the
+task; batch matching is the native join in ``matching``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+from lexigate.functions.text import LOWER_ASCII, UPPER_ASCII
+
 try:  # optional C automaton; a plain scan is used without it
     import ahocorasick  # type: ignore
 except ImportError:  # pragma: no cover
     ahocorasick = None
 
-# ASCII-only upper-casing of bytes (other bytes unchanged).
-FOLD = bytes.maketrans(b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+FOLD = bytes.maketrans(LOWER_ASCII.encode(), UPPER_ASCII.encode())
 
 
 class ByteMatcher:

@@ -13,11 +13,3 @@ def verdict_sink(verdicts: DataFrame, path: str, mode: str = "append",
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-
-
-def batch_writer(path: str):
-    """``foreachBatch`` function: each micro-batch is written once, idempotently
-    per batch id (a retried batch overwrites its own folder)."""
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.filter("type <> 0").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    return write
