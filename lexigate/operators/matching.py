@@ -137,11 +137,23 @@ def keyword_hits(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {STRATEGIES}")
     if strategy == "keys":
-        return keyword_occurrences(docs, patterns, id_col, text).select(id_col, "pattern_id").distinct()
+        return _key_hits(docs, patterns, id_col, text)
     free, ranged = _ruled(patterns)
     by_method = _contains_hits if strategy == "contains" else _regex_hits
     return by_method(docs, free, id_col, text).unionByName(
-        keyword_occurrences(docs, ranged, id_col, text).select(id_col, "pattern_id").distinct())
+        _key_hits(docs, ranged, id_col, text))
+
+
+def _key_hits(docs: DataFrame, patterns: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Equal patterns (a word listed many times) are found once, under the smallest id,
+    and take their own ids only after the hits of a text are distinct."""
+    p = _pattern_side(patterns)
+    alike = ["pattern", "nocase", "offset", "depth"]
+    heads = p.groupBy(*alike).agg(F.min("pattern_id").alias("__head"))
+    found = (keyword_occurrences(docs, heads.withColumnRenamed("__head", "pattern_id"), id_col, text)
+             .select(id_col, F.col("pattern_id").alias("__head")).distinct())
+    members = p.join(heads, alike).select("__head", "pattern_id")
+    return found.join(members, "__head").select(id_col, "pattern_id")
 
 
 def any_match_docs(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
