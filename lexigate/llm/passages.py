@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigate.llm.common import stored, words
+from lexigate.llm.common import stored
 from lexigate.llm.components import components
 
 SHINGLE = 5
@@ -45,7 +45,6 @@ MIN_HASHES = 2
 SHIFT = 12  # words by which a diagonal may move from one match to the next
 NEAR = 8  # shingles on either side that sign a neighbourhood
 ROUND = 32  # regions are cut out in multiples of so many words
-BREAK = 2 * SHINGLE  # unmatched shingles that end a stretch
 CHUNK_WORDS = 1 << 18  # words whose windows are found at once
 REACH = 0xFFFF  # a window's reach to either side as stored
 
@@ -258,64 +257,97 @@ def candidates(linked: DataFrame, min_hashes: int = MIN_HASHES) -> DataFrame:
         run, ", ".join(f"{n} long" for n in names))
 
 
-def shared_passages(a: list[bytes], b: list[bytes]) -> list[tuple[int, int, int, int]]:
-    """(a_start, a_end, b_start, b_end) in words of the passages two stretches share:
-    at least ``MIN_WORDS`` words on both sides and ``SIMILARITY`` in shingles. A stretch
-    is cut at its longest unmatched part until what is left is similar enough."""
-    sa = shingle_hashes(word_hashes(a))
-    sb = shingle_hashes(word_hashes(b))
-    where: dict[int, list[int]] = {}
-    for j, h in enumerate(sb.tolist()):
-        where.setdefault(h, []).append(j)
-    matched = np.flatnonzero(np.isin(sa, sb))
-    values, out = sa.tolist(), []
-    todo = [p for p in np.split(matched, np.flatnonzero(np.diff(matched) > BREAK) + 1) if len(p)]
+def shared_passages(sa: np.ndarray, sb: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(a_start, a_end, b_start, b_end) in words of the passages that two stretches,
+    given as shingle hashes, share. A passage is a maximal stretch of ``sa`` in which
+    every ``MIN_SHINGLES`` positions hold ``SIMILARITY`` of them that ``sb`` has too,
+    together with the part of ``sb`` that its matches lie in around their usual
+    diagonal; both of at least ``MIN_WORDS`` words, and the Jaccard similarity of the two
+    shingle sets is at least ``SIMILARITY``. A stretch that is not similar enough is cut
+    at its longest unmatched part."""
+    if min(len(sa), len(sb)) < MIN_SHINGLES:
+        return []
+    order = np.argsort(sb, kind="stable")
+    ranked = sb[order]
+    place = np.minimum(np.searchsorted(ranked, sa), len(sb) - 1)
+    matched = ranked[place] == sa
+    upto = np.append(0, np.cumsum(matched))
+    dense = np.flatnonzero(upto[MIN_SHINGLES:] - upto[:-MIN_SHINGLES] >= SIMILARITY * MIN_SHINGLES)
+    if not len(dense):
+        return []
+    cuts = np.flatnonzero(np.diff(dense) > 1) + 1
+    at, partner, out = np.flatnonzero(matched), order[place], []
+    todo = [at[(at >= d[0]) & (at < d[-1] + MIN_SHINGLES)] for d in np.split(dense, cuts)]
     while todo:
         part = todo.pop()
-        lo, hi = int(part[0]), int(part[-1])
-        if hi - lo + SHINGLE < MIN_WORDS:
+        if not len(part) or part[-1] - part[0] + 1 < MIN_SHINGLES:
             continue
-        middle = [(j, i) for i in (lo, hi) for j in where[values[i]]]
-        spans = [(x, y) for x, i in middle for y, k in middle if i == lo and k == hi and y >= x]
-        best = min(spans, key=lambda s: abs((s[1] - s[0]) - (hi - lo)), default=None)
-        ok = False
-        if best is not None and best[1] - best[0] + SHINGLE >= MIN_WORDS:
-            left, right = set(values[lo:hi + 1]), set(sb[best[0]:best[1] + 1].tolist())
-            ok = len(left & right) >= SIMILARITY * len(left | right)
-        if ok:
-            out.append((lo, hi + SHINGLE, best[0], best[1] + SHINGLE))
-        elif len(part) > 1:
-            gaps = np.diff(part)
-            cut = int(gaps.argmax()) + 1 if gaps.max() > 1 else len(part) // 2
-            todo += [part[:cut], part[cut:]]
+        lo, hi = int(part[0]), int(part[-1])
+        found = partner[part]
+        shift = found - part
+        found = found[np.abs(shift - np.median(shift)) <= SHIFT + (hi - lo) // 4]
+        first, last = int(found.min()), int(found.max())
+        if last - first + 1 >= MIN_SHINGLES:
+            left, right = np.unique(sa[lo:hi + 1]), np.unique(sb[first:last + 1])
+            both = len(np.intersect1d(left, right, assume_unique=True))
+            if both >= SIMILARITY * (len(left) + len(right) - both):
+                out.append((lo, hi + SHINGLE, first, last + SHINGLE))
+                continue
+        gaps = np.diff(part)
+        cut = int(gaps.argmax()) + 1 if gaps.max() > 1 else len(part) // 2
+        todo += [part[:cut], part[cut:]]
     return sorted(out)
 
 
+def region_shingles(regions: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, lo, hi, shingles): each wanted region of a text as the hashes of its
+    shingles. A text is joined and read once for all its regions (few: they are
+    rounded); a row whose words are not the node's is another text under its doc_id."""
+    wanted = regions.groupBy("node").agg(F.collect_set(F.struct("lo", "hi")).alias("regions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        for batch in batches:
+            rows = []
+            for node, text, wanted in zip(*(batch.column(c) for c in ("node", "text", "regions"))):
+                tokens = split_words(text.as_py())
+                if xxhash.xxh3_64_intdigest(b" ".join(tokens)) != node.as_py() % (1 << 64):
+                    continue
+                hashes = shingle_hashes(word_hashes(tokens))
+                for r in wanted.as_py():
+                    part = hashes[r["lo"]:max(r["lo"], r["hi"] - SHINGLE + 1)]
+                    rows.append((node.as_py(), r["lo"], r["hi"], part.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate(
+                    (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["node", "lo", "hi", "shingles"])
+
+    return (wanted.join(texts, "node").select("node", "text", "regions")
+            .mapInArrow(run, "node long, lo long, hi long, shingles binary"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, a_start, a_end, b_start, b_end) of candidate ``pairs``; ``texts`` (node,
-    text) has one row per text. Each region is cut out of its text once."""
+    text) has one row per text."""
     sides = [pairs.select(F.col(s).alias("node"), F.col(f"{s}_lo").alias("lo"), F.col(f"{s}_hi").alias("hi"))
              for s in ("a", "b")]
-    regions = sides[0].unionByName(sides[1]).distinct()
-    cut = stored(regions.join(texts, "node").select(
-        "node", "lo", "hi", F.array_join(F.slice(words(F.col("text")), F.col("lo").cast("int") + 1,
-                                                 (F.col("hi") - F.col("lo")).cast("int")), " ").alias("part")),
-        "regions")
+    cut = stored(region_shingles(sides[0].unionByName(sides[1]).distinct(), texts), "regions")
 
     def side(s: str) -> DataFrame:
         return cut.select(F.col("node").alias(s), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi"),
-                          F.col("part").alias(f"{s}_part"))
+                          F.col("shingles").alias(f"{s}_shingles"))
 
     both = (pairs.join(side("a"), ["a", "a_lo", "a_hi"]).join(side("b"), ["b", "b_lo", "b_hi"])
-            .select("a", "b", "a_lo", "b_lo", "a_part", "b_part"))
+            .select("a", "b", "a_lo", "b_lo", "a_shingles", "b_shingles"))
     names = ["a", "b", "a_start", "a_end", "b_start", "b_end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                for i, j, k, m in shared_passages(split_words(r["a_part"]), split_words(r["b_part"])):
-                    rows.append((r["a"], r["b"], r["a_lo"] + i, r["a_lo"] + j, r["b_lo"] + k, r["b_lo"] + m))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_lo", "b_lo")))
+            for (a, b, a_lo, b_lo), x, y in zip(keys, batch.column("a_shingles"), batch.column("b_shingles")):
+                sa, sb = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                for i, j, k, m in shared_passages(sa, sb):
+                    rows.append((a, b, a_lo + i, a_lo + j, b_lo + k, b_lo + m))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(6)],
                                              names=names)
     return both.mapInArrow(run, ", ".join(f"{n} long" for n in names))
@@ -343,7 +375,6 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES, min_hashes: int = M
     pairs = stored(candidates(window_links(windows(docs, hashes)), min_hashes), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     owners = texts.join(wanted, "node", "left_semi").select("node", F.col("first_doc").alias("doc_id"))
-    # rows that share a doc_id: the text that has the node's words is the one joined
     from_docs = owners.join(docs.select("doc_id", "text"), "doc_id").select("node", "text")
     found = stored(verified(pairs, from_docs), "passages")
 
