@@ -29,7 +29,7 @@ FENCE = 3  # quartile ranges beyond the quartile
 SIGNIFICANT_BITS = 6
 # Least quartile range per ratio, so that a ratio that is 0 nearly everywhere
 # leaves some room above 0. letters: hundredths of a character; others: per mille.
-SLACK = {"symbols": 20, "dup_lines": 100, "repeats": 100, "letters": 60}
+SLACK = {"symbols": 20, "dup_lines": 150, "repeats": 100, "letters": 60}
 TWO_SIDED = ("letters",)
 
 

@@ -67,7 +67,7 @@ quart AS (
          CASE WHEN o.size >= 100 THEN o.q3 ELSE w.q3 END AS q3
   FROM own o JOIN whole w ON o.lang IS NOT DISTINCT FROM w.lang AND o.k = w.k),
 bounds AS (
-  SELECT *, 3 * greatest(q3 - q1, CASE k WHEN 'symbols' THEN 20 WHEN 'letters' THEN 60 ELSE 100 END) AS reach
+  SELECT *, 3 * greatest(q3 - q1, CASE k WHEN 'symbols' THEN 20 WHEN 'letters' THEN 60 WHEN 'dup_lines' THEN 150 ELSE 100 END) AS reach
   FROM quart),
 bad AS (
   SELECT v.doc_id, bool_or(v.v > b.q3 + b.reach OR (v.k = 'letters' AND v.v < b.q1 - b.reach)) AS out
