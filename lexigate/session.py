@@ -75,6 +75,11 @@ def new_folder(spark: SparkSession, kind: str, name: str) -> str:
     return path
 
 
+def holds(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of this session has not been released."""
+    return path in _FOLDERS.get(spark.sparkContext.applicationId, [])
+
+
 def release(spark: SparkSession) -> int:
     """Delete every folder made so far in this session: written tables, stream inputs,
     sinks and checkpoints. To be called when their results have been consumed, since

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigate.session import new_folder, spread
+from lexigate.session import holds, new_folder, spread
 from lexigate.sources import fixtures, tables
 
 # The derivation constants.
@@ -121,7 +121,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Write a derived table once per session to the shared checkpoint folder and
     scan it, as a captured table would be scanned (no re-derivation per query)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not holds(spark, _WRITTEN[key]):
         path = new_folder(spark, "derived", name)
         build().write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
