@@ -285,7 +285,8 @@ def shared_passages(sa: np.ndarray, sb: np.ndarray) -> list[tuple[int, int, int,
         lo, hi = int(part[0]), int(part[-1])
         found = partner[part]
         shift = found - part
-        found = found[np.abs(shift - np.median(shift)) <= SHIFT + (hi - lo) // 4]
+        usual = np.sort(shift)[len(shift) // 2]  # one that occurs, not a mean of two
+        found = found[np.abs(shift - usual) <= SHIFT + (hi - lo) // 4]
         first, last = int(found.min()), int(found.max())
         if last - first + 1 >= MIN_SHINGLES:
             left, right = np.unique(sa[lo:hi + 1]), np.unique(sb[first:last + 1])

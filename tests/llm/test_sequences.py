@@ -218,6 +218,23 @@ def test_planted_passages(spark):
         assert set(texts[d].split()[span["start"]:span["end"]]) <= set(texts[d].split())
 
 
+def test_shared_passages_of_any_sequences():
+    """Whatever the repeats and orders: spans lie inside, are long and similar enough."""
+    rng = np.random.default_rng(3)
+    least, found = passages.MIN_SHINGLES, 0
+    for n in range(600):
+        a, b = (rng.integers(0, int(rng.integers(1, 400)), int(rng.integers(0, 300))).astype(np.uint64) for _ in "ab")
+        if n % 3 == 0 and len(a) > 60:  # pieces of one in the other, in another order
+            cut = int(rng.integers(1, len(a)))
+            b = np.concatenate([a[cut:], b, a[:cut]])
+        for i, j, k, m in passages.shared_passages(a, b):
+            left, right = set(a[i:j - 4].tolist()), set(b[k:m - 4].tolist())
+            assert 0 <= i and j - 4 <= len(a) and 0 <= k and m - 4 <= len(b) and min(j - i, m - k) >= least + 4
+            assert len(left & right) >= passages.SIMILARITY * len(left | right)
+            found += 1
+    assert found > 50
+
+
 def test_passages_odd_rows(odd_docs, no_docs):
     rows = odd_docs.collect()
     got = passages.repeated_passages(odd_docs).collect()
