@@ -10,7 +10,8 @@ alone gives their windows: about 2 n / MIN_SHINGLES per function.
 
 Windows of different texts with the same least hash meet under that hash. Members are
 linked along the sort order (hash, then a signature of the neighbourhood) and to the
-first of their neighbourhood, never all with all. Links of a pair of texts are joined
+first of their neighbourhood, never all with all; each task does so for its own
+windows first and sends on only the first and last of a neighbourhood. Links of a pair of texts are joined
 by diagonal; pairs with ``MIN_HASHES`` different functions on a diagonal become
 candidates over the union of their window intervals, and are verified on the words:
 passages of at least ``MIN_WORDS`` words whose shingle sets have a Jaccard similarity
@@ -125,9 +126,46 @@ def text_nodes(docs: DataFrame) -> DataFrame:
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_words long")
 
 
+ROW = ["key", "near", "node", "spot", "other", "other_spot"]
+LINK = -1  # ``near`` of a row that is a link already
+
+
+def _linked(key: np.ndarray, near: np.ndarray, node: np.ndarray, spot: np.ndarray, row: np.ndarray,
+            partner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Links (a, b, f, a_spot, b_spot) between the rows at two index arrays, the smaller
+    text first; none within a text."""
+    real = node[row] != node[partner]
+    u, v = row[real], partner[real]
+    swap = node[u] > node[v]
+    u, v = np.where(swap, v, u), np.where(swap, u, v)
+    return node[u], node[v], key[u] & 15, spot[u], spot[v]
+
+
+def _combined(key: np.ndarray, near: np.ndarray, node: np.ndarray, spot: np.ndarray) -> pa.RecordBatch:
+    """What a task's windows send on: of each neighbourhood under a key the first and the
+    last; the others are linked to the first and along the order here already. So a
+    passage that very many texts hold reaches the shuffle as a few rows a task."""
+    order = np.lexsort((spot, node, near, key))
+    key, near, node, spot = key[order], near[order], node[order], spot[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (near[1:] != near[:-1]))
+    row, start = np.arange(len(key)), np.flatnonzero(new)
+    first = np.maximum.accumulate(np.where(new, row, 0))
+    large = np.repeat(np.diff(np.append(start, len(key))) > 2, np.diff(np.append(start, len(key))))
+    star, chain = row[large & ~new], row[large & ~new & (first != row - 1)]
+    a, b, f, a_spot, b_spot = _linked(key, near, node, spot, np.append(star, chain),
+                                      np.append(first[star], chain - 1))
+    keep = ~large | new | np.append(new[1:], True)
+    spread = ((a ^ (b << 7)) & ~np.int64(15)) | f  # any key: links only pass through
+    none = np.zeros(int(keep.sum()), dtype=np.int64)
+    columns = [np.append(key[keep], spread), np.append(near[keep], np.full(len(a), LINK, np.int32)),
+               np.append(node[keep], a), np.append(spot[keep], a_spot), np.append(none, b), np.append(none, b_spot)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=ROW)
+
+
 def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """(key, near, node, spot) of every compact window: the least hash with its function
-    in the low bits, the neighbourhood's signature, the text, and place and reach."""
+    in the low bits, the neighbourhood's signature, the text, and place and reach;
+    combined per task, so some rows are links (``other``, ``other_spot``)."""
     def found(nodes: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s = np.concatenate(parts)
         sizes = np.array([len(p) for p in parts])
@@ -136,6 +174,7 @@ def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
         width = 2 * NEAR + 1
         sign = sliding_min(_mixed(s, 99), width) >> np.uint64(33)
         ids = np.array(nodes, dtype=np.uint64).view(np.int64)
+        rows = []
         for f in range(hashes):
             g = _mixed(s, f)
             at, left, right = compact_windows(g, begins, MIN_SHINGLES)
@@ -143,8 +182,8 @@ def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
             key = (g[at] & ~np.uint64(15) | np.uint64(f)).view(np.int64)
             near = sign[np.clip(at - NEAR, begins[text], ends[text] - width)].astype(np.int32)
             spot = ((at - begins[text]) << 32) | (np.minimum(at - left, REACH) << 16) | np.minimum(right - at, REACH)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(near), pa.array(ids[text]), pa.array(spot)],
-                                             names=["key", "near", "node", "spot"])
+            rows.append((key, near, ids[text], spot))
+        yield _combined(*(np.concatenate(c) for c in zip(*rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -168,20 +207,30 @@ def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
             if parts:
                 yield from found(nodes, parts)
 
-    return docs.select("text").mapInArrow(run, "key long, near int, node long, spot long")
+    return docs.select("text").mapInArrow(
+        run, "key long, near int, node long, spot long, other long, other_spot long")
 
 
 def window_links(placed: DataFrame) -> DataFrame:
     """(a, b, f, a_spot, b_spot): links between windows of different texts under one key,
     at most two for each window."""
-    names = ["key", "near", "node", "spot"]
-    dealt = placed.repartition("key").sortWithinPartitions(*names)
+    dealt = placed.repartition("key").sortWithinPartitions("key", "near", "node", "spot")
+
+    def links(a, b, f, a_spot, b_spot) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.array(f.astype(np.int32)), pa.array(a_spot), pa.array(b_spot)],
+            names=["a", "b", "f", "a_spot", "b_spot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the first of the open neighbourhood and the last row
         for batch in batches:
-            part = [batch.column(c).to_numpy() for c in names]
-            if not batch.num_rows:
+            part = [batch.column(c).to_numpy() for c in ROW]
+            done = part[1] == LINK
+            if done.any():
+                key, _, node, spot, other, other_spot = (c[done] for c in part)
+                yield links(node, other, key & 15, spot, other_spot)
+            part = [c[~done] for c in part[:4]]
+            if not len(part[0]):
                 continue
             key, near, node, spot = [np.concatenate(x) for x in zip(held, part)] if held else part
             same = np.append(False, (key[1:] == key[:-1]) & (node[1:] == node[:-1]) & (spot[1:] == spot[:-1]))
@@ -190,16 +239,8 @@ def window_links(placed: DataFrame) -> DataFrame:
             new_key = np.append(True, key[1:] != key[:-1])
             new_near = new_key | np.append(True, near[1:] != near[:-1])
             first = np.maximum.accumulate(np.where(new_near, row, 0))
-            star, chain = ~new_near, ~new_key & (new_near | (first != row - 1))
-            u = np.concatenate([first[star], row[chain] - 1])
-            v = np.concatenate([row[star], row[chain]])
-            real = node[u] != node[v]
-            u, v = u[real], v[real]
-            swap = node[u] > node[v]
-            u, v = np.where(swap, v, u), np.where(swap, u, v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[u]), pa.array(node[v]), pa.array((key[u] & 15).astype(np.int32)),
-                 pa.array(spot[u]), pa.array(spot[v])], names=["a", "b", "f", "a_spot", "b_spot"])
+            star, chain = row[~new_near], row[~new_key & (new_near | (first != row - 1))]
+            yield links(*_linked(key, near, node, spot, np.append(star, chain), np.append(first[star], chain - 1)))
             keep = [first[-1], len(key) - 1] if first[-1] < len(key) - 1 else [len(key) - 1]
             held = [x[keep] for x in (key, near, node, spot)]
 
