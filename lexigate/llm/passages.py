@@ -342,8 +342,9 @@ def shared_passages(sa: np.ndarray, sb: np.ndarray) -> list[tuple[int, int, int,
 
 
 def region_shingles(regions: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, lo, hi, shingles): each wanted region of a text as the hashes of its
-    shingles. A text is joined and read once for all its regions (few: they are
+    """(node, lo, hi, shingles): each wanted region of a text as 32-bit hashes of its
+    shingles (two of a thousand shingles each meet by chance in one pair of 4,000, and
+    then in one shingle). A text is joined and read once for all its regions (few: they are
     rounded); a row whose words are not the node's is another text under its doc_id."""
     wanted = regions.groupBy("node").agg(F.collect_set(F.struct("lo", "hi")).alias("regions"))
 
@@ -358,7 +359,7 @@ def region_shingles(regions: DataFrame, texts: DataFrame) -> DataFrame:
                 hashes = shingle_hashes(word_hashes(tokens))
                 for r in wanted.as_py():
                     part = hashes[r["lo"]:max(r["lo"], r["hi"] - SHINGLE + 1)]
-                    rows.append((node.as_py(), r["lo"], r["hi"], part.tobytes()))
+                    rows.append((node.as_py(), r["lo"], r["hi"], part.astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate(
                     (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["node", "lo", "hi", "shingles"])
@@ -387,7 +388,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             rows = []
             keys = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_lo", "b_lo")))
             for (a, b, a_lo, b_lo), x, y in zip(keys, batch.column("a_shingles"), batch.column("b_shingles")):
-                sa, sb = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                sa, sb = (np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))
                 for i, j, k, m in shared_passages(sa, sb):
                     rows.append((a, b, a_lo + i, a_lo + j, b_lo + k, b_lo + m))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(6)],
