@@ -67,14 +67,16 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """The columns but ``text``, and fp: the fingerprint as a signed long."""
+    names = [c for c in docs.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), size) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))],
-                                             names=["doc_id", "fp"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps.view(np.int64))],
+                                             names=[*names, "fp"])
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in names)
+    return docs.mapInArrow(run, f"{kinds}fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -272,26 +274,36 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Dat
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text)."""
-    prints = stored(fingerprints(docs, size), "fingerprints")
+def _rooted(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first_doc, root): the component's smallest fingerprint for each one."""
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "nodes")
     stars = components(links(nodes, max_bits))
-    rooted = nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
+    return nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text)."""
+    prints = stored(fingerprints(docs.select("doc_id", "text"), size), "fingerprints")
+    rooted = _rooted(prints, max_bits)
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group: the smallest doc_id, whole and unchanged. Rows
-    that repeat that doc_id are one document; one of them stays."""
-    def known(c: str):  # joined and grouped by the same plain key: one shuffle of the texts
-        return F.coalesce(F.col(c), F.lit(NO_ID)).alias("__id")
-
-    found = near_duplicates(docs.select("doc_id", "text"), size, max_bits)
-    heads = found.select(known("component_id")).distinct()
-    kept = docs.select(packed(docs), known("doc_id")).join(heads, "__id", "left_semi")
-    single = kept.groupBy("__id").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    """One row of each group, whole and unchanged: that of the smallest doc_id (null
+    last), then of the smallest hash of the row. Groups are those of the texts, so each
+    keeps its row even where its doc_id is null or is another group's too."""
+    known = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("__id")
+    own = [F.col(f"`{c}`") for c in docs.columns]  # the hash skips nulls
+    mark = F.xxhash64(*own, *[c.isNull() for c in own]).alias("__mark")
+
+    prints = stored(fingerprints(docs.select("doc_id", "text", mark), size), "fingerprints")
+    heads = (prints.join(_rooted(prints, max_bits).select("fp", "root"), "fp").groupBy("root")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark")).alias("head"))
+             .select("head.doc_id", "head.__mark").select(known, "__mark"))
+    # joined and grouped by the same plain keys: one shuffle of the texts
+    kept = docs.select(packed(docs), known, mark).join(heads, ["__id", "__mark"], "left_semi")
+    single = kept.groupBy("__id", "__mark").agg(F.first("__row").alias("__row"))
     return unpacked(single, docs)

@@ -122,3 +122,11 @@ def test_odd_rows(odd_docs, no_docs):
     assert 1 in ids and 4 in ids and not {2, 3, 5, 6} & set(ids)
     assert simhash.near_duplicates(no_docs.select("doc_id", "text")).count() == 0
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_keeps_a_row_of_every_group(spark):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9000)}" for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (9, d), (9, d), (None, c)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, a), (0, b), (5, c), (5, d)])
