@@ -242,3 +242,41 @@ def test_planted_benchmark_passages_are_found(spark):
     held = {r["doc_id"] for r in docs.join(items, F.col("text").contains(F.col("item"))).collect()}
     got = {r["doc_id"] for r in QUERIES["op10_benchmark_decontamination"][0](spark, SF_SMALL).collect()}
     assert held <= got and held
+
+
+def test_windows_hold_the_whole_candidate_and_both_contexts():
+    size = secret_scan.BEFORE + secret_scan.BODY
+    long = "".join(chr(33 + i % 90) for i in range(200))
+    seen = secret_scan.window(f"before {long} after", 7, 207)
+    assert len(seen) == 5 * size
+    rows = [seen[i:i + size] for i in range(0, len(seen), size)]
+    spans = b"".join(r[secret_scan.BEFORE:secret_scan.BEFORE + 48] for r in rows)
+    assert spans.rstrip(b"\0") == bytes(ord(c) - 30 for c in long)
+    assert rows[-1][-24:].rstrip(b"\0") == bytes(ord(c) - 30 for c in " after")
+    net = secret_scan.Network.fresh(np.random.default_rng(4))
+    ends = secret_scan.window(f"x {'a' * 150}", 2, 152), secret_scan.window(f"x {'a' * 140}{'Z9' * 5}", 2, 152)
+    score = [net.probability(secret_scan._matrix([w]), np.array([0]))[0] for w in ends]
+    assert score[0] != score[1]
+
+
+def test_copies_of_a_finding_do_not_take_the_sample(spark, monkeypatch):
+    rng = random.Random(12)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [("same password=abcdefgh12345678 here",)] * 300
+    rows += [(f"a password={hexes(20)} b some-{rng.randint(1, 9)}-thing-word-{i}",) for i in range(40)]
+    seen = []
+    monkeypatch.setattr(secret_scan.Network, "fit", lambda self, x, y, r: seen.extend(w.tobytes() for w in x))
+    monkeypatch.setattr(secret_scan.Network, "calibrate", lambda self, x, y: seen.extend(w.tobytes() for w in x))
+    secret_scan.train(spark.createDataFrame(rows, "text string"), sample=30)
+    assert len(seen) == 60 and len({w[24 * 8:72 * 8] for w in seen}) > 50
+
+
+def test_threshold_keeps_its_recall():
+    net = secret_scan.Network.fresh(np.random.default_rng(1))
+    raw = np.concatenate([np.full(20, -0.2), np.full(200, -1.0)])
+    net.raw = lambda *_: raw
+    y = np.concatenate([np.ones(20), np.zeros(200)])
+    y[25:75] = 1
+    net.calibrate([np.zeros((1, 1))] * len(y), y)
+    p = 1 / (1 + np.exp(-(net.slope * raw + net.shift)))
+    assert (p[y == 1] >= net.threshold).mean() >= secret_scan.RECALL
