@@ -15,8 +15,12 @@ windows first and sends on only the first and last of a neighbourhood. Links of
 by diagonal; pairs with ``MIN_HASHES`` different functions on a diagonal become
 candidates over the union of their window intervals, and are verified on the words:
 passages of at least ``MIN_WORDS`` words whose shingle sets have a Jaccard similarity
-of at least ``SIMILARITY``. Texts that are equal word by word are one node throughout;
-classes are the connected components of verified links.
+of at least ``SIMILARITY``. These links leave out pairs of a hash that three or more
+windows share, so rounds follow: a text whose window lies in no passage found so far, or
+in another class than most texts of its hash, becomes a hub and is tested against every
+text that shares a hash with it, until each such text was a hub. So every pair that meets
+under enough functions is tested or in one class already. Texts that are equal word by
+word are one node throughout; classes are the connected components of verified links.
 
 Defined cases: null text is empty; texts under ``MIN_WORDS`` words have no passage and
 are a class of their own; repeated rows and equal texts share a class and count the
@@ -128,6 +132,8 @@ def text_nodes(docs: DataFrame) -> DataFrame:
 
 ROW = ["key", "near", "node", "spot", "other", "other_spot"]
 LINK = -1  # ``near`` of a row that is a link already
+SHARED, THINNED = -1, -2  # ``f`` of a row that names a key of two windows, of more
+HUBS = 4  # texts of a key that become hubs in the first round, and growth a round
 
 
 def _linked(key: np.ndarray, near: np.ndarray, node: np.ndarray, spot: np.ndarray, row: np.ndarray,
@@ -156,16 +162,17 @@ def _combined(key: np.ndarray, near: np.ndarray, node: np.ndarray, spot: np.ndar
                                       np.append(first[star], chain - 1))
     keep = ~large | new | np.append(new[1:], True)
     spread = ((a ^ (b << 7)) & ~np.int64(15)) | f  # any key: links only pass through
-    none = np.zeros(int(keep.sum()), dtype=np.int64)
+    cut = large[keep].astype(np.int64)  # others of this neighbourhood stay behind
     columns = [np.append(key[keep], spread), np.append(near[keep], np.full(len(a), LINK, np.int32)),
-               np.append(node[keep], a), np.append(spot[keep], a_spot), np.append(none, b), np.append(none, b_spot)]
+               np.append(node[keep], a), np.append(spot[keep], a_spot), np.append(cut, b),
+               np.append(np.zeros_like(cut), b_spot)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=ROW)
 
 
-def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
+def windows(docs: DataFrame, hashes: int = HASHES, combined: bool = True) -> DataFrame:
     """(key, near, node, spot) of every compact window: the least hash with its function
     in the low bits, the neighbourhood's signature, the text, and place and reach;
-    combined per task, so some rows are links (``other``, ``other_spot``)."""
+    if ``combined``, per task, so some rows are links (``other``, ``other_spot``)."""
     def found(nodes: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s = np.concatenate(parts)
         sizes = np.array([len(p) for p in parts])
@@ -183,7 +190,10 @@ def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
             near = sign[np.clip(at - NEAR, begins[text], ends[text] - width)].astype(np.int32)
             spot = ((at - begins[text]) << 32) | (np.minimum(at - left, REACH) << 16) | np.minimum(right - at, REACH)
             rows.append((key, near, ids[text], spot))
-        yield _combined(*(np.concatenate(c) for c in zip(*rows)))
+        whole = [np.concatenate(c) for c in zip(*rows)]
+        none = np.zeros(len(whole[0]), dtype=np.int64)
+        yield _combined(*whole) if combined else pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (*whole, none, none)], names=ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -213,7 +223,7 @@ def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
 
 def window_links(placed: DataFrame) -> DataFrame:
     """(a, b, f, a_spot, b_spot): links between windows of different texts under one key,
-    at most two for each window."""
+    at most two for each window; and rows (key, key, ``SHARED`` or ``THINNED``, 0, 0)."""
     dealt = placed.repartition("key").sortWithinPartitions("key", "near", "node", "spot")
 
     def links(a, b, f, a_spot, b_spot) -> pa.RecordBatch:
@@ -229,20 +239,29 @@ def window_links(placed: DataFrame) -> DataFrame:
             if done.any():
                 key, _, node, spot, other, other_spot = (c[done] for c in part)
                 yield links(node, other, key & 15, spot, other_spot)
-            part = [c[~done] for c in part[:4]]
+            part = [c[~done] for c in part[:5]]
             if not len(part[0]):
                 continue
-            key, near, node, spot = [np.concatenate(x) for x in zip(held, part)] if held else part
+            key, near, node, spot, cut = [np.concatenate(x) for x in zip(held, part)] if held else part
             same = np.append(False, (key[1:] == key[:-1]) & (node[1:] == node[:-1]) & (spot[1:] == spot[:-1]))
+            if same.any():  # a copy's row takes its mark along
+                cut = np.maximum.reduceat(cut, np.flatnonzero(~same))
             key, near, node, spot = key[~same], near[~same], node[~same], spot[~same]
             row = np.arange(len(key))
             new_key = np.append(True, key[1:] != key[:-1])
+            at = np.flatnonzero(new_key)
+            size = np.diff(np.append(at, len(key)))
+            thinned = (size > 2) | (np.maximum.reduceat(cut, at) > 0)
+            shared = thinned | (size == 2)
+            named, none = key[at][shared], np.zeros(int(shared.sum()), dtype=np.int64)
+            yield links(named, named, np.where(thinned[shared], THINNED, SHARED), none, none)
             new_near = new_key | np.append(True, near[1:] != near[:-1])
             first = np.maximum.accumulate(np.where(new_near, row, 0))
             star, chain = row[~new_near], row[~new_key & (new_near | (first != row - 1))]
             yield links(*_linked(key, near, node, spot, np.append(star, chain), np.append(first[star], chain - 1)))
             keep = [first[-1], len(key) - 1] if first[-1] < len(key) - 1 else [len(key) - 1]
-            held = [x[keep] for x in (key, near, node, spot)]
+            # rows of this key are left behind: one more makes it thinned
+            held = [x[keep] for x in (key, near, node, spot)] + [np.full(len(keep), int(shared[-1]), dtype=np.int64)]
 
     return dealt.mapInArrow(run, "a long, b long, f int, a_spot long, b_spot long")
 
@@ -407,37 +426,114 @@ def _merged_spans(spans) -> F.Column:
         .otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))))
 
 
+def _spans(found: DataFrame) -> DataFrame:
+    """(node, other, start, end) of both sides of the passages found."""
+    sides = [found.select(F.col(s).alias("node"), F.col(o).alias("other"), F.col(f"{s}_start").alias("start"),
+                          F.col(f"{s}_end").alias("end")) for s, o in (("a", "b"), ("b", "a"))]
+    return sides[0].unionByName(sides[1])
+
+
+def _merged_of(found: DataFrame) -> DataFrame:
+    """(node, spans): the merged spans of each text."""
+    return (_spans(found).groupBy("node", "start").agg(F.max("end").alias("end")).groupBy("node")
+            .agg(_merged_spans(F.collect_list(F.struct("start", "end"))).alias("spans")))
+
+
+def _fetched(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the texts of ``pairs``, each from its first document."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    owners = texts.join(wanted, "node", "left_semi").select("node", F.col("first_doc").alias("doc_id"))
+    return owners.join(docs.select("doc_id", "text"), "doc_id").select("node", "text")
+
+
+def completed(docs: DataFrame, texts: DataFrame, linked: DataFrame, found: DataFrame, hashes: int,
+              min_hashes: int) -> DataFrame:
+    """``found`` with the passages of pairs that ``linked`` left out, by rounds of hubs.
+
+    A row of a pair in one class with both windows in passages already is not needed; the
+    other rows of such a pair count as enough functions, so that none is missed for it."""
+    keys = linked.filter(F.col("f") < 0).groupBy(F.col("a").alias("key")).agg(
+        (F.min("f") == THINNED).alias("thinned"))
+    keys = stored(keys, "keys")
+    if not keys.filter("thinned").limit(1).count():
+        return found
+    members = stored(windows(docs, hashes, combined=False).select("key", "node", "spot").join(keys, "key")
+                     .distinct(), "members")
+    done, most = None, HUBS
+    while True:
+        stars = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        state = members.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").join(
+            _merged_of(found), "node", "left")
+        place = F.shiftright("spot", 32)
+        state = state.select(
+            "key", "node", "spot", "thinned", F.coalesce("root", "node").alias("root"),
+            F.coalesce(F.exists("spans", lambda s: (s["start"] <= place) & (place < s["end"])), F.lit(False))
+            .alias("covered"))
+        state = (state.join(done, "node", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+                 if done is not None else state.withColumn("done", F.lit(False)))
+        state = stored(state, "members-state")
+        sizes = state.filter("thinned").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+        pending = stored(
+            state.filter("thinned and not done").join(main, "key")
+            .filter((F.col("root") != F.col("main")) | ~F.col("covered"))
+            .select("key", "node", F.xxhash64("node").alias("h")).distinct(), "pending")
+        rank = pending.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("least"))
+        hubs = stored(pending.join(rank, "key").filter(
+            (F.col("h") == F.col("least")) | (F.pmod("h", F.col("c")) < most)).select("node").distinct(), "hubs")
+        if not hubs.limit(1).count():
+            return found
+        now = state.join(hubs.withColumn("hub", F.lit(True)), "node", "left")
+        # both windows in passages and texts in the main class of a key: never needed, so
+        # such a row meets only the others of its key
+        now = now.join(main, "key", "left").withColumn("out", ~(
+            F.col("covered") & F.coalesce(F.col("root") == F.col("main"), F.lit(False)))).drop("main")
+        left = now.filter("hub").select(
+            "key", *[F.col(c).alias(f"h_{c}") for c in ("node", "spot", "root", "covered", "out")])
+        both = left.filter("h_out").join(now, "key").unionByName(
+            left.filter("not h_out").join(now.filter("out"), "key")).filter(
+            ~F.col("done") & (F.col("h_node") != F.col("node"))
+            & (F.col("hub").isNull() | (F.col("h_node") < F.col("node")))
+            & ((F.col("h_root") != F.col("root")) | ~F.col("h_covered") | ~F.col("covered")))
+        f, swap = F.col("key").bitwiseAND(15).cast("int"), F.col("h_node") > F.col("node")
+        # in one class, bits of functions beyond any in use make up the number
+        bits = F.when(F.col("h_root") == F.col("root"), F.array(f, *[f + 16 * k for k in range(1, min_hashes)]))
+        pairs = both.select(
+            F.least("h_node", "node").alias("a"), F.greatest("h_node", "node").alias("b"),
+            F.explode(F.coalesce(bits, F.array(f))).alias("f"),
+            F.when(swap, F.col("spot")).otherwise(F.col("h_spot")).alias("a_spot"),
+            F.when(swap, F.col("h_spot")).otherwise(F.col("spot")).alias("b_spot"))
+        pairs = stored(candidates(pairs, min_hashes), "candidates")
+        found = stored(found.unionByName(verified(pairs, _fetched(docs, texts, pairs))).distinct(), "passages")
+        hubs = hubs.withColumn("done", F.lit(True))
+        done, most = (stored(done.unionByName(hubs), "done") if done is not None else hubs), most * HUBS
+
+
 def repeated_passages(docs: DataFrame, hashes: int = HASHES, min_hashes: int = MIN_HASHES) -> DataFrame:
     """(doc_id, class_id, n_links, passages) for every row of ``docs`` (doc_id, text):
-    the smallest doc_id of its class, the verified links of its text and of its copies,
-    and the word spans that other texts or copies repeat."""
+    the smallest doc_id of its class, the other rows of its class, and the word spans
+    that other texts or copies repeat."""
     nodes = stored(text_nodes(docs), "text-nodes")
     texts = nodes.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"),
                                       F.first("n_words").alias("n_words"))
     texts = stored(texts, "texts")
-    pairs = stored(candidates(window_links(windows(docs, hashes)), min_hashes), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    owners = texts.join(wanted, "node", "left_semi").select("node", F.col("first_doc").alias("doc_id"))
-    from_docs = owners.join(docs.select("doc_id", "text"), "doc_id").select("node", "text")
-    found = stored(verified(pairs, from_docs), "passages")
+    linked = stored(window_links(windows(docs, hashes)), "links")
+    pairs = stored(candidates(linked.filter(F.col("f") >= 0), min_hashes), "candidates")
+    found = stored(verified(pairs, _fetched(docs, texts, pairs)), "passages")
+    found = completed(docs, texts, linked, found, hashes, min_hashes)
 
-    sides = [found.select(F.col(s).alias("node"), F.col(o).alias("other"), F.col(f"{s}_start").alias("start"),
-                          F.col(f"{s}_end").alias("end")) for s, o in (("a", "b"), ("b", "a"))]
-    both = sides[0].unionByName(sides[1])
-    degree = both.select("node", "other").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    spans = (both.groupBy("node", "start").agg(F.max("end").alias("end")).groupBy("node")
-             .agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    spans = _merged_of(found)
     stars = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = texts.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first_doc").alias("class_id"))
+    least = named.groupBy("root").agg(F.min("first_doc").alias("class_id"), F.sum("copies").alias("rows"))
     long_copy = (F.col("copies") > 1) & (F.col("n_words") >= MIN_WORDS)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
-    known = (named.join(least, "root").join(degree, "node", "left").join(spans, "node", "left")
+    known = (named.join(least, "root").join(spans, "node", "left")
              .select("node", F.when(F.col("n_words") >= MIN_WORDS, F.col("class_id")).alias("class_id"),
-                     (F.coalesce("links", F.lit(0)) + F.when(long_copy, F.col("copies") - 1).otherwise(0)).alias("n_links"),
+                     F.when(F.col("n_words") >= MIN_WORDS, F.col("rows") - 1).otherwise(0).alias("n_links"),
                      F.when(long_copy, whole).when(F.col("spans").isNull(), F.array().cast(
-                         "array<struct<start:bigint,end:bigint>>")).otherwise(_merged_spans(F.col("spans")))
+                         "array<struct<start:bigint,end:bigint>>")).otherwise(F.col("spans"))
                      .alias("passages")))
     return nodes.join(known, "node").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"),

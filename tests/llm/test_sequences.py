@@ -12,6 +12,8 @@ from lexigate.llm import chat, packing, passages
 from lexigate.llm.queries import QUERIES
 from lexigate.llm.tokens import Vocabulary, default_vocabulary
 
+from .test_simhash import roots
+
 SF_SMALL = "/root/testdata/sf0.001"
 ODD = ["", " ", "  a", "a  b", "a \n b", "a\n b", "x <|endoftext|> y", "<|endoftext|>", "a<|piece cut|>b c", "a　 b",
        "trail ", "\t", "a\x1c b", "don't we'll  x", "a\u0085 b", "über straße 123 !!! ***", "ſ K \U0001f600 ok"]
@@ -243,3 +245,34 @@ def test_passages_odd_rows(odd_docs, no_docs):
     assert {by_id[i]["class_id"] for i in (4, 5, 6)} == {4} and by_id[7]["class_id"] == 7
     assert by_id[1]["passages"] == [] and by_id[3]["class_id"] == 3
     assert passages.repeated_passages(no_docs).count() == 0
+
+
+def test_versions_of_a_passage_are_one_class(spark):
+    """Versions with changed words, so that few are similar to any one of them: the
+    classes are those of all pairs that meet under two functions and verify."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(9000)]
+    prose = lambda n: [rng.choice(vocab) for _ in range(n)]
+    texts = []
+    for p in range(2):
+        passage = prose(100)
+        for _ in range(120):
+            own = list(passage)
+            for k in rng.sample(range(100), 2):
+                own[k] = rng.choice(vocab)
+            texts.append(prose(30) + own + prose(30))
+    rng.shuffle(texts)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in passages.repeated_passages(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = [passages.shingle_hashes(passages.word_hashes(passages.split_words(t))) for _, t in docs]
+    edges, alike = [], {i: 0 for i, _ in docs}
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) >= 30 and passages.shared_passages(sets[i], sets[j]):
+                edges.append((i, j))
+                alike[i], alike[j] = alike[i] + 1, alike[j] + 1
+    want = roots(len(docs), edges)
+    assert {i: r["class_id"] for i, r in got.items()} == dict(enumerate(want))
+    assert all(bool(got[i]["passages"]) == (alike[i] > 0) for i in got)
+    assert all(got[i]["n_links"] == want.count(want[i]) - 1 for i in got)
