@@ -116,18 +116,18 @@ def compact_windows(g: np.ndarray, begins: np.ndarray, least: int) -> tuple[np.n
     return places[wide], left[wide], right[wide]
 
 
-def text_nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_words): node is a hash of the text's words in order."""
+def text_nodes(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
+    """(``carry``, node, n_words): node is a hash of the text's words in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         for batch in batches:
             tokens = [split_words(t.as_py()) for t in batch.column("text")]
             node = np.array([xxhash.xxh3_64_intdigest(b" ".join(t)) for t in tokens], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(node.view(np.int64)), pa.array([len(t) for t in tokens], pa.int64())],
-                names=["doc_id", "node", "n_words"])
+                [batch.column(carry), pa.array(node.view(np.int64)), pa.array([len(t) for t in tokens], pa.int64())],
+                names=[carry, "node", "n_words"])
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, n_words long")
+        run, f"{carry} {docs.schema[carry].dataType.simpleString()}, node long, n_words long")
 
 
 ROW = ["key", "near", "node", "spot", "other", "other_spot"]
@@ -440,10 +440,14 @@ def _merged_of(found: DataFrame) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the texts of ``pairs``, each from its first document."""
+    """(node, text) of the texts of ``pairs``, each from its first document; those that
+    only documents without an id hold are found by their words."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     owners = texts.join(wanted, "node", "left_semi").select("node", F.col("first_doc").alias("doc_id"))
-    return owners.join(docs.select("doc_id", "text"), "doc_id").select("node", "text")
+    nameless = (text_nodes(docs.filter(F.col("doc_id").isNull()), "text")
+                .join(owners.filter(F.col("doc_id").isNull()).select("node"), "node", "left_semi")
+                .groupBy("node").agg(F.first("text").alias("text")))
+    return owners.join(docs.select("doc_id", "text"), "doc_id").select("node", "text").unionByName(nameless)
 
 
 def completed(docs: DataFrame, texts: DataFrame, linked: DataFrame, found: DataFrame, hashes: int,

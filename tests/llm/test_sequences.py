@@ -276,3 +276,13 @@ def test_versions_of_a_passage_are_one_class(spark):
     assert {i: r["class_id"] for i, r in got.items()} == dict(enumerate(want))
     assert all(bool(got[i]["passages"]) == (alike[i] > 0) for i in got)
     assert all(got[i]["n_links"] == want.count(want[i]) - 1 for i in got)
+
+
+def test_passage_shared_with_a_text_without_an_id(spark):
+    rng = random.Random(22)
+    prose = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    shared = prose(80)
+    docs = [(7, f"{prose(60)} {shared}"), (None, f"{shared} {prose(70)}"), (None, prose(90)), (8, prose(90))]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0, len(r["passages"])) for r in got) == [
+        (0, 0, 0), (0, 7, 1), (7, 7, 1), (8, 8, 0)]
