@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigate.llm import (chat, decontam, extraction, langid, lines, packing, passages, quality,
-                          secret_scan, simhash)
+                          repair, secret_scan, simhash, toxicity)
 from lexigate.llm import sql as oracle
 from lexigate.llm.common import documents
 from lexigate.sources.tables import benchmark, pages, read_table
@@ -105,3 +105,25 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", F.size("passages").cast("long").alias("n_passages"),
                         F.array_join(F.transform("passages", lambda p: F.concat_ws(
                             ":", p["start"].cast("string"), p["end"].cast("string"))), ",").alias("passages"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    table, repaired = repair.repair(repair.damaged(original))
+    out = original.select("conv_id").distinct()
+    for i, part in enumerate((table, repair.digests(repaired))):
+        out = out.join(part.withColumnRenamed("conv_id", f"c{i}"), F.col("conv_id").eqNullSafe(F.col(f"c{i}")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = toxicity.train(docs.filter(~held_out), read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
