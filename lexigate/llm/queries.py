@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigate.llm import (chat, decontam, extraction, langid, lines, packing, passages, quality,
-                          repair, secret_scan, simhash, toxicity)
+                          repair, secret_scan, simhash, spelling, toxicity)
 from lexigate.llm import sql as oracle
 from lexigate.llm.common import documents
 from lexigate.sources.tables import benchmark, pages, read_table
@@ -107,6 +107,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                             ":", p["start"].cast("string"), p["end"].cast("string"))), ",").alias("passages"))
 
 
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.noisy_words(documents(spark, sf_dir, "doc_id", "text")))
+
+
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     original = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
