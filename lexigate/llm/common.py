@@ -60,6 +60,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written folder before the session's release."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def packed(docs: DataFrame, name: str = "__row") -> Column:
     """All columns as one struct, so that names a stage adds cannot clash."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)

@@ -81,19 +81,19 @@ FROM judged j LEFT JOIN bad ON j.doc_id = bad.doc_id
 
 LINE_DEDUP = r"""
 WITH split AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (
-  SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM split),
+  SELECT rid, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM split),
 keyed AS (
   SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
 frequent AS (
   SELECT k, max(doc_id) AS last_doc FROM keyed WHERE length(k) >= 40
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+  GROUP BY k HAVING count(DISTINCT rid) >= 5)
 SELECT y.doc_id, count(*)::BIGINT AS n_lines,
-       count(*) FILTER (WHERE f.k IS NOT NULL AND y.doc_id <> f.last_doc)::BIGINT AS n_dropped,
+       count(*) FILTER (WHERE f.k IS NOT NULL AND y.doc_id IS DISTINCT FROM f.last_doc)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos)
-              FILTER (WHERE f.k IS NULL OR y.doc_id = f.last_doc), '')) AS kept_sha256
+              FILTER (WHERE f.k IS NULL OR y.doc_id IS NOT DISTINCT FROM f.last_doc), '')) AS kept_sha256
 FROM keyed y LEFT JOIN frequent f ON y.k = f.k
-GROUP BY y.doc_id
+GROUP BY y.rid, y.doc_id
 """

@@ -1,12 +1,18 @@
 """Quality rules and line de-duplication against plain Python."""
 
 import collections
+import glob
 import hashlib
+
+import duckdb
 import re
 
 from pyspark.sql import functions as F
 
 from lexigate.llm import lines, quality
+from lexigate.llm.queries import QUERIES
+from lexigate.llm.sql import LINE_DEDUP
+from lexigate.session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -126,3 +132,32 @@ def test_stage_keeps_columns_nulls_and_repeats(odd_docs, no_docs):
     assert "very line" in by_id[16]["text"].lower() and "very line" not in by_id[11]["text"].lower()
     assert by_id[11]["n_chars"] == len(by_id[11]["text"])
     assert lines.filter_lines(no_docs).count() == 0
+
+
+def test_repeated_and_null_ids_against_the_sql(spark, tmp_path):
+    line = "A line of more than forty code points, found in many rows"
+    rows = [(1, line)] * 5 + [(None, line + " b")] * 5 + [(i, f"{line} c\nown {i}") for i in (2, 2, 3, 4, 4)] + [(7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["op6_line_dedup"][0](spark, str(tmp_path)).select("doc_id", "kept_sha256", "n_dropped", "n_lines")
+    want = con.execute(f"SELECT doc_id, kept_sha256, n_dropped, n_lines FROM ({LINE_DEDUP})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert sum(r[2] for r in want) == 3
+
+
+def test_runs_are_deleted(odd_docs, spark):
+    tables = {t.name for t in spark.catalog.listTables()}
+    before = set(glob.glob(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/tables/line-run-*"))
+    lines.dropped_lines(odd_docs.select("doc_id", "text")).count()
+    assert {t.name for t in spark.catalog.listTables()} == tables
+    assert set(glob.glob(f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/tables/line-run-*")) == before
+
+
+def test_bitmap_misses_no_text(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    drops = rows.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("d_doc"), F.xxhash64("text").alias("d_hash"),
+                                                 F.array(F.lit(0)).alias("drops"))
+    told = lines.marked(rows, drops)
+    assert told.filter("doc_id % 7 = 0 AND NOT __marked").count() == 0
+    assert told.filter("__marked").count() < 1000 and told.count() == 4000
