@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigate.functions import position_rule
 from lexigate.operators.matching import byte_occurrences
+from lexigate.session import materialize
 
 CHUNK_BYTES = 1024
 
@@ -27,32 +28,53 @@ def chunk_stitch(chunks: DataFrame, patterns: DataFrame, boundary: str = "stitch
                  min_chunk_bytes: int = 1) -> DataFrame:
     """Hits over a resource's chunks as if the search state were carried.
 
-    Each chunk is searched together with the last ``max_len - 1`` bytes before
-    it (which may span several earlier chunks, each cut to that many bytes first);
-    only hits that end inside the chunk are kept, with ``idx`` relative to the chunk
-    start (negative when the hit began earlier), and position rules count from there.
-    ``boundary='strict'`` drops case-sensitive hits that began in an earlier chunk.
-    Windows are per resource (one bounded text).
+    Hits inside a chunk are found where the chunk is. For those that began earlier, only
+    the edges of chunks travel: their first and last ``max_len - 1`` bytes, joined on
+    (resource, seq + 1), so a resource with a third of all chunks is dealt to all tasks.
+    Where chunks may be shorter than that (``min_chunk_bytes``; 1 = any chunking), the
+    last bytes first reach over 2, 4, 8, ... chunks, each step a join of the edges with
+    themselves. A chunk that is not there ends the reach, as it does in a stream.
+
+    ``idx`` is relative to the chunk in which the hit ends (negative when the hit began
+    earlier), and position rules count from there. ``boundary='strict'`` drops
+    case-sensitive hits that began in an earlier chunk.
     """
     longest = patterns.agg(F.max(F.octet_length("pattern"))).first()[0] or 1
     tail = max(longest - 1, 0)
-    # Enough earlier chunks to cover `tail` bytes when every chunk before the
-    # current one has at least `min_chunk_bytes` bytes (1 = any chunking).
-    back = max(1, -(-tail // max(1, min_chunk_bytes)))
-    w = Window.partitionBy("resource_id").orderBy("seq").rowsBetween(-back, -1)
-    none = F.lit(b"")
-
-    def last_bytes(c):
-        return F.when(F.octet_length(c) > tail, F.substring(c, -tail, tail)).otherwise(c) if tail else none
-
-    before = F.aggregate(F.collect_list(last_bytes(F.col("data"))).over(w), none, lambda a, x: F.concat(a, x))
-    framed = chunks.select("resource_id", "seq", "data", before.alias("before")).select(
-        "resource_id", "seq", "data", last_bytes(F.col("before")).alias("carried"))
-    joined = framed.select("resource_id", "seq", F.octet_length("carried").alias("shift"),
-                           F.concat("carried", "data").alias("buffer"))
-    found = byte_occurrences(joined, patterns, "buffer").filter(F.col("end_idx") > F.col("shift"))
-    hits = found.withColumn("idx", F.col("idx") - F.col("shift")).withColumn(
-        "end_idx", F.col("end_idx") - F.col("shift")).filter(position_rule())
+    inside = byte_occurrences(chunks.select("resource_id", "seq", "data"), patterns, "data")
+    found = inside
+    if tail:
+        found = inside.unionByName(_crossing(chunks, patterns, tail, min_chunk_bytes))
+    hits = found.filter(position_rule())
     if boundary == "strict":
         hits = hits.filter((F.col("idx") >= 0) | F.col("nocase"))
     return hits.select("resource_id", "seq", "pattern_id", "idx", "end_idx")
+
+
+def _last_bytes(data: Column, n: int) -> Column:
+    return F.when(F.octet_length(data) > n, F.substring(data, -n, n)).otherwise(data)
+
+
+def _crossing(chunks: DataFrame, patterns: DataFrame, tail: int, min_chunk_bytes: int) -> DataFrame:
+    """Hits that began in an earlier chunk than the one they end in."""
+    key = ["resource_id", "seq"]
+    edges = materialize(chunks.select(*key, F.substring("data", 1, tail).alias("head"),
+                                      _last_bytes(F.col("data"), tail).alias("last")), "chunk-edges")
+    # ``full``: the bytes are those of ``step`` chunks, none of them missing.
+    reach = edges.select(*key, "last", F.lit(True).alias("full"))
+    step, needed = 1, -(-tail // max(1, min_chunk_bytes))
+    while step < needed:
+        earlier = reach.select("resource_id", (F.col("seq") + step).alias("seq"), F.col("last").alias("more"),
+                               F.col("full").alias("more_full"))
+        joined = reach.join(earlier, key, "left")
+        longer = _last_bytes(F.concat(F.coalesce("more", F.lit(b"")), F.col("last")), tail)
+        reach = joined.select(*key, F.when(F.col("full"), longer).otherwise(F.col("last")).alias("last"),
+                              (F.col("full") & F.coalesce("more_full", F.lit(False))).alias("full"))
+        step *= 2
+    before = reach.select("resource_id", (F.col("seq") + 1).alias("seq"), F.col("last").alias("carried"))
+    buffers = edges.join(before, key).select(*key, F.octet_length("carried").alias("shift"),
+                                             F.concat("carried", "head").alias("buffer"))
+    found = byte_occurrences(buffers, patterns, "buffer").filter(
+        (F.col("idx") < F.col("shift")) & (F.col("end_idx") > F.col("shift")))
+    return found.withColumn("idx", F.col("idx") - F.col("shift")).withColumn(
+        "end_idx", F.col("end_idx") - F.col("shift")).drop("shift")

@@ -10,7 +10,16 @@ rules. The dictionary goes to the tasks in
 blocks of at most about ``BLOCK_BYTES`` (a proven bound for each broadcast), so a
 text is never shuffled and no row is built for a position without a key.
 
-Hit pairs may also be had by two other methods, chosen by name only:
+Positions come in two levels: a text is cut into pieces of ``PIECE_BYTES`` and what the
+longest pattern reaches beyond them, and only a piece's positions stand in one array. So
+memory is bounded by the piece, whatever the length of the text.
+
+Hit pairs may also be had by other methods, chosen by name only:
+
+* ``anchor``   - for dictionaries beyond memory: the texts are read once and nothing of
+  the dictionary is broadcast but a bitmap of key hashes (at most 16 MiB). Positions in
+  the bitmap are shuffled on their key, with the bytes a pattern may cover, and joined to
+  the shuffled dictionary; keys are salted, as a usual word's key may be hot.
 
 * ``contains`` - a join on native ``contains``, one test per (text, pattern).
 * ``regex``    - one trie-factored look-ahead regex per case class and block of
@@ -28,12 +37,16 @@ from pyspark.sql import functions as F
 
 from lexigate.functions import ascii_fold, position_rule
 from lexigate.functions.text import regex_quote
+from lexigate.operators.bitmap import hash_bitmap, in_bitmap
 
 KEY_BYTES = 8
 BLOCK_BYTES = 16 << 20   # pattern bytes in one broadcast block
 ROW_BYTES = 64           # counted for each pattern besides its text
 REGEX_WORDS = 20_000     # words in one trie regex
-STRATEGIES = ("keys", "contains", "regex")
+PIECE_BYTES = 1 << 16    # text positions in one array (times the key lengths)
+ANCHOR_BYTES = 256       # longer patterns are not joined by shuffle
+SALTS = 8
+STRATEGIES = ("keys", "anchor", "contains", "regex")
 
 
 def _pattern_side(patterns: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -48,17 +61,22 @@ def _pattern_side(patterns: DataFrame, keep: list[str] = ()) -> DataFrame:
                            ).filter(F.col("n") > 0)
 
 
-def _blocks(side: DataFrame) -> Iterator[tuple[DataFrame, list[int]]]:
-    """The pattern side in blocks by hash, each with the key lengths it uses (one
-    small aggregate over the dictionary; at most ``KEY_BYTES`` lengths come back)."""
-    found = side.agg(F.sum(F.col("n") + ROW_BYTES).alias("size"),
+def _uses(side: DataFrame) -> tuple[int, list[int], int]:
+    """(size, key lengths, longest pattern) of a dictionary: one small aggregate (at
+    most ``KEY_BYTES`` lengths come back)."""
+    found = side.agg(F.sum(F.col("n") + ROW_BYTES).alias("size"), F.max("n").alias("longest"),
                      F.sort_array(F.collect_set(F.least("n", F.lit(KEY_BYTES)))).alias("lengths")).first()
-    blocks = max(1, math.ceil((found["size"] or 0) / BLOCK_BYTES))
+    return found["size"] or 0, found["lengths"] or [KEY_BYTES], found["longest"] or 1
+
+
+def _blocks(side: DataFrame, size: int) -> Iterator[DataFrame]:
+    """The pattern side in blocks by hash."""
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(blocks):
         mine = side
         if blocks > 1:
             mine = side.filter(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(blocks)) == b)
-        yield mine, found["lengths"] or [KEY_BYTES]
+        yield mine
 
 
 def _folded_bytes(data: str) -> Column:
@@ -66,52 +84,93 @@ def _folded_bytes(data: str) -> Column:
     return F.encode(ascii_fold(F.decode(F.col(data), "ISO-8859-1")), "ISO-8859-1")
 
 
-def byte_occurrences(rows: DataFrame, patterns: DataFrame, data: str, keep: list[str] = ()) -> DataFrame:
+def _places(rows: DataFrame, data: str, lengths: list[int], longest: int) -> DataFrame:
+    """Every position of a BINARY column with the key of every length in use: the other
+    columns with ``__b`` and ``__fb`` (a piece and its folded copy), ``__at`` (position
+    in the piece), ``idx`` (in the text) and ``__key``."""
+    others = [c for c in rows.columns if c != data]
+    step = max(PIECE_BYTES, 8 * longest)  # what pieces share stays small against them
+    cut = rows.filter(F.octet_length(data) > 0).select(
+        *others, F.col(data).alias("__d"),
+        F.explode(F.expr(f"sequence(0, (octet_length(`{data}`) - 1) div {step})").cast("array<int>")).alias("__piece"))
+    pieces = cut.select(*others, "__piece", F.expr(
+        f"substring(__d, __piece * {step} + 1, {step + longest - 1})").alias("__b"))
+    # The folded copy is made once per piece: the generator below needs it as a column.
+    folded = pieces.withColumn("__fb", _folded_bytes("__b"))
+    kinds = len(lengths)
+    size = F.get(F.array(*[F.lit(int(n)) for n in lengths]), F.expr(f"cast(__i % {kinds} as int)"))
+    return (folded.withColumn("__i", F.explode(F.expr(
+                f"sequence(0, least(octet_length(__fb), {step}) * {kinds} - 1)")))
+            .withColumn("__at", F.expr(f"cast(__i div {kinds} as int)")).withColumn("__size", size)
+            .filter(F.col("__at") + F.col("__size") <= F.octet_length("__fb"))
+            .withColumn("__key", F.expr("xxhash64(substring(__fb, __at + 1, __size))"))
+            .withColumn("idx", F.expr(f"__piece * {step} + __at")))
+
+
+def byte_occurrences(rows: DataFrame, patterns: DataFrame, data: str, keep: list[str] = (),
+                     shuffled: bool = False) -> DataFrame:
     """Every occurrence (overlaps included) in a BINARY column, under the case rule:
     the other columns of ``rows`` with pattern_id, idx, end_idx, n, nocase, offset,
-    depth and the ``keep`` columns of the patterns. Byte offsets, ``end_idx`` exclusive."""
+    depth and the ``keep`` columns of the patterns. Byte offsets, ``end_idx`` exclusive.
+    ``shuffled``: the ``anchor`` method."""
     side = _pattern_side(patterns, keep).select(
         "*", F.encode("pattern", "UTF-8").alias("__p"),
         F.encode(ascii_fold("pattern"), "UTF-8").alias("__pf")).withColumn(
         "__pkey", F.xxhash64(F.substring("__pf", 1, KEY_BYTES)))
     others = [c for c in rows.columns if c != data]
-    # The folded copy is made once per text: the generator below needs it as a column.
-    texts = rows.filter(F.octet_length(data) > 0).select(
-        *others, F.col(data).alias("__b"), _folded_bytes(data).alias("__fb"))
+    columns = [*others, "pattern_id", "idx", (F.col("idx") + F.col("n")).alias("end_idx"), "n",
+               "nocase", "offset", "depth", *keep]
+    if shuffled:
+        long_side = side.filter(F.col("n") > ANCHOR_BYTES)
+        short = _shuffled_hits(rows, side.filter(F.col("n") <= ANCHOR_BYTES), data).select(*columns)
+        if long_side.isEmpty():
+            return short
+        side = long_side
+    size, lengths, longest = _uses(side)
+    places = _places(rows, data, lengths, longest)
+    same = F.expr("substring(__fb, __at + 1, n)") == F.col("__pf")
+    exact = F.col("nocase") | (F.expr("substring(__b, __at + 1, n)") == F.col("__p"))
     out = None
-    for block, lengths in _blocks(side):
-        kinds = len(lengths)
-        size = F.get(F.array(*[F.lit(int(n)) for n in lengths]), F.expr(f"cast(__i % {kinds} as int)"))
-        places = (texts.withColumn("__i", F.explode(F.expr(f"sequence(0L, octet_length(__fb) * {kinds}L - 1)")))
-                  .withColumn("idx", F.expr(f"cast(__i div {kinds} as int)")).withColumn("__size", size)
-                  .filter(F.col("idx") + F.col("__size") <= F.octet_length("__fb"))
-                  .withColumn("__key", F.expr("xxhash64(substring(__fb, idx + 1, __size))")))
-        same = F.expr("substring(__fb, idx + 1, n)") == F.col("__pf")
-        exact = F.col("nocase") | (F.expr("substring(__b, idx + 1, n)") == F.col("__p"))
-        hits = places.join(F.broadcast(block), (F.col("__key") == F.col("__pkey")) & same & exact)
-        part = hits.select(*others, "pattern_id", "idx", (F.col("idx") + F.col("n")).alias("end_idx"), "n",
-                           "nocase", "offset", "depth", *keep)
+    for block in _blocks(side, size):
+        part = places.join(F.broadcast(block), (F.col("__key") == F.col("__pkey")) & same & exact).select(*columns)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.unionByName(short) if shuffled else out
+
+
+def _shuffled_hits(rows: DataFrame, side: DataFrame, data: str) -> DataFrame:
+    """Positions in the bitmap of the dictionary's keys, joined to it by shuffle."""
+    _, lengths, longest = _uses(side)
+    bitmap, bits = hash_bitmap(side.select("__pkey"), "__pkey")
+    others = [c for c in rows.columns if c != data]
+    places = in_bitmap(_places(rows, data, lengths, longest), "__key", bitmap, bits).select(
+        *others, "idx", "__key", F.expr(f"substring(__fb, __at + 1, {longest})").alias("__sf"),
+        F.expr(f"substring(__b, __at + 1, {longest})").alias("__sb"),
+        F.pmod(F.xxhash64("idx", *others), F.lit(SALTS)).alias("__salt"))
+    salted = side.withColumn("__psalt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    same = F.expr("substring(__sf, 1, n)") == F.col("__pf")
+    exact = F.col("nocase") | (F.expr("substring(__sb, 1, n)") == F.col("__p"))
+    return places.join(salted.hint("merge"), (F.col("__key") == F.col("__pkey"))
+                       & (F.col("__salt") == F.col("__psalt")) & same & exact)
 
 
 def raw_occurrences(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
-                    text: str = "text", keep: list[str] = ()) -> DataFrame:
+                    text: str = "text", keep: list[str] = (), shuffled: bool = False) -> DataFrame:
     """Every occurrence before position rules: ``(id, pattern_id, idx, end_idx, n, offset,
     depth, keep...)``."""
     rows = docs.select(id_col, F.encode(text, "UTF-8").alias("__data"))
-    return byte_occurrences(rows, patterns, "__data", keep).select(
+    return byte_occurrences(rows, patterns, "__data", keep, shuffled).select(
         id_col, "pattern_id", "idx", "end_idx", "n", "offset", "depth", *keep)
 
 
 def keyword_occurrences(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
-                        text: str = "text", keep: list[str] | None = None) -> DataFrame:
+                        text: str = "text", keep: list[str] | None = None,
+                        shuffled: bool = False) -> DataFrame:
     """Occurrences that pass the case and position rules.
 
     ``keep`` names pattern columns to carry along (e.g. ``payload``, ``policy``).
     """
     keep = [c for c in (keep or []) if c not in ("pattern_id", "n", "offset", "depth")]
-    return (raw_occurrences(docs, patterns, id_col, text, keep).filter(position_rule())
+    return (raw_occurrences(docs, patterns, id_col, text, keep, shuffled).filter(position_rule())
             .select(id_col, "pattern_id", "idx", "end_idx", "n", *keep))
 
 
@@ -136,21 +195,23 @@ def keyword_hits(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
     position rule by their method and the others by keys."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; one of {STRATEGIES}")
-    if strategy == "keys":
-        return _key_hits(docs, patterns, id_col, text)
+    if strategy in ("keys", "anchor"):
+        return _key_hits(docs, patterns, id_col, text, strategy == "anchor")
     free, ranged = _ruled(patterns)
     by_method = _contains_hits if strategy == "contains" else _regex_hits
     return by_method(docs, free, id_col, text).unionByName(
         _key_hits(docs, ranged, id_col, text))
 
 
-def _key_hits(docs: DataFrame, patterns: DataFrame, id_col: str, text: str) -> DataFrame:
+def _key_hits(docs: DataFrame, patterns: DataFrame, id_col: str, text: str,
+              shuffled: bool = False) -> DataFrame:
     """Equal patterns (a word listed many times) are found once, under the smallest id,
     and take their own ids only after the hits of a text are distinct."""
     p = _pattern_side(patterns)
     alike = ["pattern", "nocase", "offset", "depth"]
     heads = p.groupBy(*alike).agg(F.min("pattern_id").alias("__head"))
-    found = (keyword_occurrences(docs, heads.withColumnRenamed("__head", "pattern_id"), id_col, text)
+    found = (keyword_occurrences(docs, heads.withColumnRenamed("__head", "pattern_id"), id_col, text,
+                                 shuffled=shuffled)
              .select(id_col, F.col("pattern_id").alias("__head")).distinct())
     members = p.join(heads, alike).select("__head", "pattern_id")
     return found.join(members, "__head").select(id_col, "pattern_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the request filter.
@@ -38,17 +38,22 @@ def request_fields(gets: DataFrame) -> DataFrame:
     inside the payload; host: bytes after the first ``Host: `` up to ``\\r``,
     NULL when there is no ``\\r``. Only the first ``total_len - 40`` bytes count.
     """
-    w = F.expr(f"decode(substring(encode(payload, 'UTF-8'), 1, CAST(total_len - {HEADER_BYTES} AS INT)), 'UTF-8')")
+    # As ISO-8859-1 every byte is one character, so a window that ends inside a character
+    # can be searched; a field ends before an ASCII byte and is whole characters again.
+    w = F.expr(f"decode(substring(encode(payload, 'UTF-8'), 1, CAST(total_len - {HEADER_BYTES} AS INT)), 'ISO-8859-1')")
     staged = gets.select(
         "req_id", "dst", w.alias("__w"),
         F.locate(" ", w, 5).alias("__sp"),
         (F.locate("Host: ", w) + 6).alias("__h"),
     ).withColumn("__cr", F.expr("locate('\\r', __w, __h)"))
+
+    def field(cut: str) -> Column:
+        return F.expr(f"decode(encode({cut}, 'ISO-8859-1'), 'UTF-8')")
+
     return staged.select(
         "req_id", F.lit(METHOD_GET).cast("tinyint").alias("method"), "dst",
-        F.when((F.col("__h") > 6) & (F.col("__cr") > 0),
-               F.expr("substring(__w, __h, __cr - __h)")).alias("host"),
-        F.when(F.col("__sp") > 0, F.expr("substring(__w, 5, __sp - 5)")).alias("path"))
+        F.when((F.col("__h") > 6) & (F.col("__cr") > 0), field("substring(__w, __h, __cr - __h)")).alias("host"),
+        F.when(F.col("__sp") > 0, field("substring(__w, 5, __sp - 5)")).alias("path"))
 
 
 def wellformed_requests(requests: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from lexigate.sources import fixtures, tables
 DST_MULTIPLIER = 2654435761          # spreads page ids over the 32-bit address space
 ADDRESS_SPACE = 4294967296           # 2**32
 CHUNK_BYTES = 1024                   # read size of the content fetcher
-PAYLOAD_VARIANTS = 32                # payload variants; 0-12 each break one rule
+PAYLOAD_VARIANTS = 32                # payload variants; 0-13 each break one rule
 HOST_PATTERN = r"^[a-z]+://([^/?#]*)"
 PATH_PATTERN = r"^[a-z]+://[^/?#]*([^#]*)"        # request path: query kept, fragment cut
 MISSING_PAGES = 10                   # every tenth page has no stored body
@@ -137,7 +137,8 @@ def derive_http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured request payloads with IP/TCP header fields, one per URL request.
 
     The header fields and payload shape vary with the page (``req_id div 4 % 32``):
-    variants 0-12 each break one filter or extraction rule, the others are plain GETs.
+    variants 0-12 each break one filter or extraction rule, 13 has a window that ends inside a
+    character behind the headers, the others are plain GETs.
     Variant 12 has non-ASCII characters and a ``total_len`` counted in characters, so
     its window of bytes ends before the host does.
     """
@@ -155,6 +156,7 @@ def derive_http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(v == 6, F.concat(F.lit("GET  HTTP/1.1" + crlf + "Host: "), host,
                                F.lit(crlf + crlf)))
         .when(v == 8, F.concat(get_line, F.lit("Host: "), host))
+        .when(v == 13, F.concat(get_line, F.lit("Host: "), host, F.lit(crlf + crlf + "é")))
         .otherwise(F.concat(get_line, F.lit("Host: "), host, F.lit(crlf + crlf))))
     return r.select(
         "req_id",
@@ -165,6 +167,7 @@ def derive_http_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(v == 11, 1).otherwise(0).alias("rst"),
         F.when(v == 5, F.lit(63).cast("bigint"))
         .when(v == 12, F.char_length(payload).cast("bigint") + 40)
+        .when(v == 13, F.octet_length(payload).cast("bigint") + 39)
         .otherwise(F.octet_length(payload).cast("bigint") + 40).alias("total_len"),
         "dst",
         payload.alias("payload"))
@@ -268,13 +271,15 @@ SQL["http_payloads"] = (
     f"WHEN v = 1 THEN 'GET ' || path || ' HTTP/1.1' || {_CRLF} || 'host: ' || host || {_CRLF} || {_CRLF} "
     f"WHEN v = 6 THEN 'GET  HTTP/1.1' || {_CRLF} || 'Host: ' || host || {_CRLF} || {_CRLF} "
     f"WHEN v = 8 THEN 'GET ' || path || ' HTTP/1.1' || {_CRLF} || 'Host: ' || host "
+    f"WHEN v = 13 THEN 'GET ' || path || ' HTTP/1.1' || {_CRLF} || 'Host: ' || host || {_CRLF} || {_CRLF} || 'é' "
     f"ELSE 'GET ' || path || ' HTTP/1.1' || {_CRLF} || 'Host: ' || host || {_CRLF} || {_CRLF} END "
     "AS payload FROM r) "
     "SELECT req_id, CASE WHEN v = 4 THEN 17 ELSE 6 END AS protocol, "
     "CASE WHEN v = 3 THEN 8080 ELSE 80 END AS dst_port, "
     "CASE WHEN v = 2 THEN 1 ELSE 0 END AS syn, CASE WHEN v = 9 THEN 1 ELSE 0 END AS fin, "
     "CASE WHEN v = 11 THEN 1 ELSE 0 END AS rst, CASE WHEN v = 5 THEN CAST(63 AS BIGINT) "
-    "WHEN v = 12 THEN CAST(length(payload) AS BIGINT) + 40 ELSE CAST(strlen(payload) AS BIGINT) + 40 "
+    "WHEN v = 12 THEN CAST(length(payload) AS BIGINT) + 40 "
+    "WHEN v = 13 THEN CAST(strlen(payload) AS BIGINT) + 39 ELSE CAST(strlen(payload) AS BIGINT) + 40 "
     "END AS total_len, dst, payload FROM p")
 
 # Dependencies between the CTEs above (a CTE must come after what it reads).

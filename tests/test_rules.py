@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from lexigate.operators import chunks as C
 from lexigate.operators import dictionary as D
 from lexigate.operators import matching as M
+from lexigate.operators import requests as R
 from lexigate.operators import scoring as S
 from lexigate.sources import derived, fixtures
 from lexigate.streaming import operators as SO
@@ -136,7 +137,7 @@ def test_every_request_rule_is_triggered(spark):
     """Each variant of the payloads is there, so that leaving out one rule shows."""
     p = derived.http_payloads(spark, "/root/testdata/sf0.01")
     seen = {r["v"] for r in p.select(F.expr(f"(req_id div 4) % {derived.PAYLOAD_VARIANTS}").alias("v")).distinct().collect()}
-    assert set(range(13)) <= seen
+    assert set(range(14)) <= seen
     for rule in ("dst_port <> 80", "rst = 1", "syn = 1", "fin = 1", "protocol <> 6", "total_len < 64",
                  "length(payload) > 2048", "octet_length(payload) > total_len - 40"):
         assert p.filter(rule).count() > 0, rule
@@ -173,3 +174,51 @@ def test_release_deletes_what_was_written(spark):
     assert table.count() == 5 and os.path.isdir(path.removeprefix("file:"))
     assert session.release(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
     session._FOLDERS[spark.sparkContext.applicationId] = before
+
+
+def test_hits_on_every_edge_of_a_piece(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abAé") for _ in range(n)) for n in (0, 1, 7, 8, 9, 63, 64, 65, 400)]
+    pats = pats_of(spark, [(i, w, c, o, d, "x") for i, (w, c, o, d) in enumerate(
+        [("a", False, 0, 0), ("ab", True, 0, 0), ("é", False, 0, 0), ("ba" * 5, True, 0, 0), ("aba", False, 6, 0),
+         ("AbaéaAbab", False, 0, 0), ("bab", True, 0, 70)])])
+    want = naive([tuple(r) for r in pats.collect()], texts)
+    for piece in (1, 8, 64, 1 << 16):
+        monkeypatch.setattr(M, "PIECE_BYTES", piece)
+        got = sorted(tuple(r)[:3] for r in M.keyword_occurrences(docs_of(spark, *texts), pats).collect())
+        assert got == want
+
+
+def test_anchor_shuffles_the_dictionary(spark, monkeypatch):
+    d, pats = derived.docs(spark, SF_SMALL), fixtures.patterns(spark)
+    want = sorted(map(tuple, M.keyword_hits(d, pats).collect()))
+    found = M.keyword_hits(d, pats, strategy="anchor")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == want
+    assert plan.count("strategy=merge") == 1 and plan.count("strategy=broadcast") == 1  # the bitmap alone
+    monkeypatch.setattr(M, "ANCHOR_BYTES", 2)  # longer ones go the other way
+    assert sorted(map(tuple, M.keyword_hits(d, pats, strategy="anchor").collect())) == want
+    none = M.keyword_hits(d, pats.limit(0), strategy="anchor")
+    assert none.collect() == []
+
+
+def test_window_that_ends_inside_a_character(spark):
+    get = "GET /é HTTP/1.1\r\nHost: www.é.com\r\n\r\né"
+    cut = len(get.encode()) + 40 - 1
+    rows = [(i, 6, 80, 0, 0, 0, cut - k, 5, get) for i, k in enumerate((0, -1, 5, 6, 12))]
+    p = spark.createDataFrame(rows, "req_id long, protocol int, dst_port int, syn int, fin int, rst int, "
+                                    "total_len long, dst long, payload string")
+    got = {r["req_id"]: (r["host"], r["path"]) for r in R.request_fields(p).collect()}
+    assert got == {0: ("www.é.com", "/é"), 1: ("www.é.com", "/é"), 2: (None, "/é"), 3: (None, "/é"), 4: (None, "/é")}
+    assert {r["req_id"] for r in SO.stream_requests(p).collect()} == {0, 1}
+
+
+def test_chunk_edges_travel_alone(spark):
+    rows = [(1, i, bytearray(c.encode())) for i, c in enumerate(["xs", "h", "e", "", "r", "s he"])]
+    rows += [(2, 0, bytearray(b"..sh")), (2, 2, bytearray(b"he"))]  # chunk 1 never came
+    chunks = spark.createDataFrame(rows, "resource_id long, seq int, data binary")
+    pats = pats_of(spark, [(1, "hers", False, 0, 0, "x"), (2, "she", False, 0, 0, "x"), (3, "xshers he", True, 0, 0, "x")])
+    found = C.chunk_stitch(chunks, pats)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.resource_id, r.seq, r.pattern_id, r.idx) for r in found.collect()) == [
+        (1, 2, 2, -2), (1, 5, 1, -3), (1, 5, 3, -5)]
