@@ -129,6 +129,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    model = toxicity.train(docs.filter(~held_out), read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -53,6 +53,7 @@ PRIOR = 10_000  # tokens
 MIN_Z = 3.7
 MIN_ODDS = 2.0
 MIN_SHARE = 5e-6
+LEARNED = 200_000  # labelled documents that a model is fitted to, at most
 CALIBRATION_PART = 4  # one of so many labelled texts is set aside
 SIGNIFICANT = 0.05
 COMMON = 1e-4  # share of the tokens from which a word tells the drift
@@ -160,17 +161,18 @@ class Model:
         return (1 - RISING) * np.interp(at, self.at, self.probability) + RISING * (at - LEAST) / (MOST - LEAST)
 
 
-def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def learnable(docs: DataFrame, labels: DataFrame, limit: int = LEARNED) -> DataFrame:
     """(text, toxic, aside) of the documents (doc_id, text) with a label (doc_id, toxic):
-    one row per different text. Only ids, hashes and labels are shuffled."""
+    one row per different text. At most ``limit`` labels are taken, by a hash of the id,
+    so they are broadcast and only the texts learned from are shuffled."""
     label = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-             .groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("toxic")))
-    kept = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    picked = (kept.select("doc_id", F.xxhash64("text").alias("h")).join(label, "doc_id")
-              .groupBy("h").agg(F.min("doc_id").alias("l_doc"), (F.avg("toxic") > 0.5).alias("toxic")))
-    picked = stored(picked.withColumn("aside", F.pmod("h", F.lit(CALIBRATION_PART)) == 0), "toxicity-labels")
-    return (kept.join(picked, (F.col("doc_id") == F.col("l_doc")) & (F.xxhash64("text") == F.col("h")))
-            .dropDuplicates(["h"]).select("text", "toxic", "aside"))
+             .groupBy(F.col("doc_id").alias("l_doc")).agg(F.avg(F.col("toxic").cast("double")).alias("label"))
+             .orderBy(F.xxhash64("l_doc"), "l_doc").limit(limit))
+    picked = F.broadcast(stored(label, "toxicity-labels"))
+    kept = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
+    return (kept.join(picked, F.col("doc_id") == F.col("l_doc")).groupBy(F.xxhash64("text").alias("h"))
+            .agg(F.any_value("text").alias("text"), (F.avg("label") > 0.5).alias("toxic"))
+            .select("text", "toxic", (F.pmod("h", F.lit(CALIBRATION_PART)) == 0).alias("aside")))
 
 
 def word_counts(learned: DataFrame) -> DataFrame:
@@ -269,7 +271,8 @@ def isotonic(bins: list[tuple[float, int, int]]) -> tuple[list[float], list[floa
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model of all documents (doc_id, text) that ``labels`` (doc_id, toxic) covers."""
+    """Model of the documents (doc_id, text) that ``labels`` (doc_id, toxic) covers, at
+    most ``LEARNED`` of them."""
     learned = stored(learnable(docs, labels), "toxicity-learned")
     counts = stored(word_counts(learned.filter(~F.col("aside"))), "toxicity-words")
     n = counts.agg(F.sum("toxic"), F.sum("clean")).first()
