@@ -3,10 +3,15 @@
 A page becomes a tree of elements. Every paragraph passes points to its ancestors,
 one plus one per comma plus one per hundred characters (three at most): all to the
 parent, half to the grandparent, less further up. A container's points are discounted
-by its link density. The best container is kept with those of its siblings that score
-near it or are link-poor paragraphs. Parts that are no article text (scripts, forms,
-menus, footers, adverts, notices, comments and the like, by element or by a word in
-class, id or role) are left out before scoring and from what is kept.
+by its link density. If the best container lies in an ``article`` or ``main`` element,
+that element is kept whole; else the container with those of its siblings that score near
+it or are link-poor text or headings. Parts that are no article text (scripts, forms,
+menus, footers, adverts, notices, comments and the like) are left out before scoring and
+from what is kept: by element, by role, or by a word that is a class or id, or its head or
+tail ("menu-top", "site-footer"), but not beside a word of state ("no-sidebar",
+"page-with-comments"). The header of an article is its own. A part that a class word
+leaves out stays if it holds more than half of the page's paragraphs, unless the word
+says comments or other articles.
 
 Text is cut into blocks at block elements; inside a block white space (line breaks
 too) becomes one space; blocks are joined by one newline in page order.
@@ -39,10 +44,12 @@ LEFT_OUT = frozenset("""script style noscript template iframe svg math object em
 button input select textarea label menu dialog head title fieldset canvas audio video""".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 LEFT_OUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|gdpr|popup|modal|newsletter|"
-    r"subscribe|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|comments?|disqus|replies|"
-    r"respond|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|login|signup)(?:$|[\s_-])",
-    re.IGNORECASE)
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|"
+    r"sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|share|sharing|social|widget|toolbar|"
+    r"pagination|pager|login|signup", re.IGNORECASE)
+OTHER_TEXTS = re.compile(r"comments?|disqus|replies|respond|related|recommended", re.IGNORECASE)
+STATES = frozenset("no not non has have with without is hide hidden show open closed active enabled".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset(["p", "pre", "td", "blockquote", "li", "dd"])
 KEEP_SHARE, PARAGRAPH_SHARE = 0.2, 0.25
 
@@ -52,28 +59,43 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "points", "dropped")
+    __slots__ = ("tag", "parent", "children", "points", "dropped", "named", "article")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False):
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
+        self.article: Node | None = parent.article if parent else None  # nearest article, else main
         self.children: list[Node | str] = []
         self.points = 0.0
 
 
-def _left_out(tag: str, attributes: str) -> bool:
-    if tag in LEFT_OUT:
-        return True
+def _says(words: re.Pattern, names: str) -> bool:
+    """Whether a class or id is, begins or ends with one of the words."""
+    for name in names.lower().split():
+        parts = re.split("[-_]+", name)
+        if words.fullmatch(name) or not STATES.intersection(parts) and (
+                words.fullmatch(parts[0]) or words.fullmatch(parts[-1])):
+            return True
+    return False
+
+
+def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """(left out, left out by a class word alone)."""
+    if tag in LEFT_OUT and not (tag == "header" and in_article):
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = html.unescape(a or b or c), name.lower()
-        if name in ("class", "id") and LEFT_OUT_WORDS.search(value):
-            return True
+        if name in ("class", "id"):
+            if _says(OTHER_TEXTS, value):
+                return True, False
+            named = named or _says(LEFT_OUT_WORDS, value)
         if name == "role" and value.strip().lower() in LEFT_OUT_ROLES:
-            return True
+            return True, False
         if name == "aria-hidden" and value.strip().lower() == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+            return True, False
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes)), named
 
 
 def parse(page: str) -> Node:
@@ -110,7 +132,10 @@ def parse(page: str) -> Node:
                 node = up.parent
                 if tag in ("tr",) and node.tag == "tr":
                     node = node.parent
-        new = Node(tag, node, node.dropped or _left_out(tag, m[3]))
+        out, named = _left_out(tag, m[3], node.article is not None)
+        new = Node(tag, node, node.dropped or out, named)
+        if tag == "article" or tag == "main" and new.article is None:
+            new.article = new
         node.children.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
@@ -119,9 +144,35 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
             node = new
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Leave out what a class word names, but for parts with most of the paragraphs."""
+    inside: dict[int, int] = {}  # characters of paragraphs below each named part
+    open_: list[Node] = []
+    total = paragraphs = 0
+    for item, ending in _walk(root):
+        if isinstance(item, str):
+            if paragraphs:
+                size = len(" ".join(item.split()))
+                total += size
+                for part in open_:
+                    inside[id(part)] += size
+            continue
+        paragraphs += (item.tag in PARAGRAPHS) * (-1 if ending else 1)
+        if item.named:
+            if ending:
+                open_.pop()
+            else:
+                open_.append(item)
+                inside[id(item)] = 0
+    for item, ending in _walk(root):
+        if not isinstance(item, str) and item.named and not ending and 2 * inside[id(item)] <= total:
+            item.dropped = True
+
+
 def _walk(top: Node) -> Iterator[tuple[Node | str, bool]]:
     """Kept nodes and texts in page order; elements come again when they end."""
     stack: list[tuple[Node | str, bool]] = [(top, False)]
@@ -215,13 +266,17 @@ def main_text(page: str | None) -> str:
     best = max(scored.values(), key=lambda n: value[id(n)])  # the first of equals
     while best.tag in PARAGRAPHS and best.parent.tag not in ("", "html"):
         best = best.parent
+    if best.article is not None:
+        return "\n".join(blocks(best.article))
     least = max(10.0, KEEP_SHARE * value.get(id(best), 0.0))
+    inner = best.parent.tag not in ("", "html", "body")
     out = []
     for item in best.parent.children if best.parent.tag not in ("", "html") else [best]:
         if isinstance(item, str) or item.dropped:
             continue
         chars, linked, _ = size[id(item)]
-        link_poor = item.tag in PARAGRAPHS and chars and linked < PARAGRAPH_SHARE * chars and chars >= 80
+        link_poor = chars and linked < PARAGRAPH_SHARE * chars and (
+            chars >= 80 and (inner or item.tag in PARAGRAPHS) or inner and item.tag in HEADINGS)
         if item is best or value.get(id(item), 0.0) >= least or link_poor:
             out += blocks(item)
     return "\n".join(out)

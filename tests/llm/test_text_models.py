@@ -280,3 +280,26 @@ def test_threshold_keeps_its_recall():
     net.calibrate([np.zeros((1, 1))] * len(y), y)
     p = 1 / (1 + np.exp(-(net.slope * raw + net.shift)))
     assert (p[y == 1] >= net.threshold).mean() >= secret_scan.RECALL
+
+
+LONG = "long text, of an article, " * 20
+
+
+@pytest.mark.parametrize("page, text", [
+    # class words of state, or beside them, leave nothing out
+    (f'<body><div class="content no-sidebar"><h1>T</h1><p>{LONG}</p><p>more</p></div></body>', f"T\n{LONG}\nmore"),
+    (f'<body><div class="page-with-comments has-menu"><p>{LONG}</p></div></body>', LONG),
+    # the whole article: heading, intro, sections, nested lists
+    (f"<article><h1>T</h1><p>Intro.</p><section><h2>A</h2><p>{LONG}</p></section><section><h2>B</h2><p>Short.</p>"
+     "</section><ul><li>x<ul><li>y</li></ul></li><li>z</li></ul></article>", f"T\nIntro.\nA\n{LONG}\nB\nShort.\nx\ny\nz"),
+    (f"<main><div><h2>A</h2><p>{LONG}</p></div><div><h2>B</h2><p>tiny</p></div></main>", f"A\n{LONG}\nB\ntiny"),
+    (f"<header><h1>Site</h1></header><article><header><h1>Own</h1><nav>n</nav></header><p>{LONG}</p>"
+     "<footer>f</footer></article>", f"Own\n{LONG}"),
+    # furniture by head or tail of a class, and what is more than half of the page
+    (f'<body><div class="site-footer"><p>{LONG}</p></div><article><p>{LONG}</p><p>{LONG}</p></article></body>', f"{LONG}\n{LONG}"),
+    (f'<body><div class="right-sidebar"><p>{LONG}</p></div><div class="sidebar"><p>side</p></div></body>', LONG),
+    (f'<body><div class="post"><p>Short, it is.</p></div><div id="comments-area"><p>{LONG * 9}</p></div></body>',
+     "Short, it is."),
+])
+def test_nothing_of_an_article_is_lost(page, text):
+    assert extraction.main_text(page) == text.replace(LONG, LONG.strip())
