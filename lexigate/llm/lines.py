@@ -185,8 +185,9 @@ def dedup_lines(rows: DataFrame, **options: int) -> DataFrame:
     (null where no line was dropped)."""
     drops = dropped_lines(rows.select("doc_id", "text"), **options)
     told = marked(rows, drops)
+    # ``drops`` grows with the data: a merge join at every size, whatever its files weigh.
     joined = told.filter("__marked").join(
-        drops, F.col("doc_id").eqNullSafe(F.col("d_doc")) & (F.xxhash64("text") == F.col("d_hash")), "left")
+        drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d_doc")) & (F.xxhash64("text") == F.col("d_hash")), "left")
     whole = told.filter("NOT __marked").withColumn("drops", F.lit(None).cast("array<int>"))
     both = joined.select(*rows.columns, "drops").unionAll(whole.select(*rows.columns, "drops"))
     full = F.coalesce(F.col("text"), F.lit(""))
