@@ -307,10 +307,3 @@ def _regex_hits(docs: DataFrame, patterns: DataFrame, id_col: str, text: str) ->
                     .select("pattern_id", F.col(col_name).alias("__prefix")))
             out = out.unionByName(found.join(side, "__prefix").select(id_col, "pattern_id"))
     return out
-
-
-def pattern_list(patterns: DataFrame) -> list[tuple[int, bytes, bool, int, int]]:
-    """(id, bytes, nocase, offset, depth) for keyed stream state, which must hold its
-    patterns in the task."""
-    return [(int(r["pattern_id"]), r["pattern"].encode("utf-8"), bool(r["nocase"]), r["offset"], r["depth"])
-            for r in _pattern_side(patterns).collect()]

@@ -746,7 +746,7 @@ def q_match_strategy_counts(spark, sf):
 BENCH_WORD_HITS = BPP + [("bh", O.hits("docs", "bpp"))]
 
 
-def _bench_word_patterns(spark, sf):
+def bench_word_patterns(spark, sf):
     return D.policy_patterns(derived.bench_policies(spark, sf),
                              derived.bench_policy_keywords(spark, sf))
 
@@ -756,14 +756,14 @@ def _bench_word_patterns(spark, sf):
 def q_match_strategy_automaton(spark, sf):
     """Hits of a large dictionary (every word of every benchmark item), by the default
     method; the query keeps the name of the method that it replaced."""
-    return out(M.keyword_hits(derived.docs(spark, sf), _bench_word_patterns(spark, sf)))
+    return out(M.keyword_hits(derived.docs(spark, sf), bench_word_patterns(spark, sf)))
 
 
 @query("match_strategy_anchor_words", _sql(BENCH_WORD_HITS, "SELECT doc_id, pattern_id FROM bh",
                                            "docs", "bench_policies", "bench_policy_keywords"))
 def q_match_strategy_anchor_words(spark, sf):
     """The same large dictionary without a broadcast of it: bitmap, shuffle, salted join."""
-    pats = _bench_word_patterns(spark, sf)
+    pats = bench_word_patterns(spark, sf)
     return out(M.keyword_hits(derived.docs(spark, sf), pats, strategy="anchor"))
 
 
@@ -771,5 +771,5 @@ def q_match_strategy_anchor_words(spark, sf):
                                           "docs", "bench_policies", "bench_policy_keywords"))
 def q_match_strategy_regex_words(spark, sf):
     """The same large dictionary through one native trie regex per text."""
-    pats = _bench_word_patterns(spark, sf)
+    pats = bench_word_patterns(spark, sf)
     return out(M.keyword_hits(derived.docs(spark, sf), pats, strategy="regex"))

@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 
 from lexigate.operators import batches as B
 from lexigate.operators import chunks as C
-from lexigate.operators import matching as M
 from lexigate.operators import scoring as S
 from lexigate.plans import catalog as K
 from lexigate.plans import oracle as O
 from lexigate.plans.catalog import out, query
+from lexigate.session import materialize
 from lexigate.sources import derived, fixtures, tables
 from lexigate.streaming import operators as SO
 from lexigate.streaming import runner
@@ -28,7 +28,10 @@ EPOCH_SECONDS = 1704067200   # the same instant, UTC
 HOLD_SECONDS = 3600          # in-flight time of a request key
 SESSION_GAP = "30 minutes"   # idle time that finishes a key's activity
 WAIT_SECONDS = 5             # how long a request waits for its content
+BEGIN_SECONDS = 1800         # chunk streams begin within this time
+IDLE_SECONDS = 3600          # a resource without chunks for this long has ended
 LATE_SHIFT_DAYS = 7          # late copies arrive this much behind
+MAX_WORD_BYTES = 64          # words of dictionaries yet to come are no longer
 RECORDS_PER_SECOND = 40      # request id units per second of verdict records
 # The dictionary as replaced while running (second version).
 WORD_DICTIONARY_V2_ROWS = [
@@ -78,11 +81,10 @@ SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type FROM chain"""
 
 @query("stream_inflight_dedup", INFLIGHT_SQL)
 def q_stream_inflight_dedup(spark, sf):
-    ev = _events(spark, sf)
-    staged = runner.stage(spark, [ev], "events")
+    staged = runner.stage(spark, _with_end_marker(_events(spark, sf)), "events")
     stream = runner.read_stream(spark, staged)
     admitted = SO.inflight_hold(stream, ["user_id", "event_type"], "ts", HOLD_SECONDS,
-                                watermark=f"{HOLD_SECONDS} seconds")
+                                watermark=f"{HOLD_SECONDS} seconds", tie="event_id")
     res = runner.run_to_parquet(admitted, "stream_inflight_dedup", staged)
     r = _read_back(spark, res)
     return out(r.select("event_id", F.unix_micros("ts").alias("ts_us"), "user_id",
@@ -90,54 +92,104 @@ def q_stream_inflight_dedup(spark, sf):
 
 
 def _chunk_rows(spark, sf):
+    """Chunks of every text; all resources begin within half an hour, at any table size."""
     ch = C.content_chunks(derived.docs(spark, sf))
-    return ch.withColumn("ts", _epoch_plus(F.col("resource_id"))
+    return ch.withColumn("ts", _epoch_plus(F.pmod(F.col("resource_id"), F.lit(BEGIN_SECONDS)))
                          + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("seq") / 1000))
 
 
-CHUNK_MATCH_SQL = O.with_(
-    K.TEST_OCC,
+def _chunk_marker(rows: DataFrame) -> DataFrame:
+    """One chunk of another resource 30 days later, behind which every resource is idle."""
+    return rows.agg(F.max("ts").alias("m")).select(
+        F.lit(-1).cast("long").alias("resource_id"), F.lit(0).alias("seq"), F.lit(b"").alias("data"),
+        (F.col("m") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+
+
+def _longest(patterns: DataFrame) -> int:
+    return patterns.agg(F.max(F.octet_length("pattern"))).first()[0] or 1
+
+
+CHUNK_HIT_BODY = (
     f"SELECT doc_id AS resource_id, pattern_id, (end_idx - 1) // {O.CHUNK} AS seq, "
     f"idx - ((end_idx - 1) // {O.CHUNK}) * {O.CHUNK} AS idx FROM (SELECT *, row_number() OVER "
     "(PARTITION BY doc_id, pattern_id ORDER BY end_idx) AS rn FROM tocc) WHERE rn = 1")
+CHUNK_MATCH_SQL = O.with_(K.TEST_OCC, CHUNK_HIT_BODY)
 
 
-@query("stream_chunk_match", CHUNK_MATCH_SQL)
-def q_stream_chunk_match(spark, sf):
+def _first_hits(spark, sf, patterns, name):
     rows = _chunk_rows(spark, sf)
     # two arrival waves (first two chunks of every text, then the rest), so the
     # state carried between micro-batches is exercised
     staged = runner.stage(spark, [rows.filter("seq < 2"), rows.filter("seq >= 2")], "chunks")
-    stream = runner.read_stream(spark, staged)
-    plist = M.pattern_list(K.test_policy_patterns(spark))
-    hits = SO.chunk_match_state(stream, plist, idle_seconds=3600, watermark="1 day")
-    return out(_read_back(spark, runner.run_to_parquet(hits, "stream_chunk_match", staged)))
+    frames = SO.framed_chunks(runner.read_stream(spark, staged), _longest(patterns), IDLE_SECONDS, "1 day")
+    _, found = runner.run_hops(frames, lambda f: SO.resource_hits(SO.frame_hits(f, patterns), f), name, staged)
+    return _read_back(spark, found)
 
 
-@query("stream_verdicts", O.with_(O.verdict_ctes("docs", "doc_id", "text"),
-                                  "SELECT doc_id AS resource_id, type FROM verdicts", "docs"))
-def q_stream_verdicts(spark, sf):
-    """Chunks to hits to a verdict when a resource has gone idle, in one stream."""
-    rows = _chunk_rows(spark, sf)
-    marker = rows.agg(F.max("ts").alias("m")).select(
-        F.lit(-1).cast("long").alias("resource_id"), F.lit(0).alias("seq"), F.lit(b"end").alias("data"),
-        (F.col("m") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
-    staged = runner.stage(spark, [rows.filter("seq < 2"), rows.filter("seq >= 2"), marker], "verdict_chunks")
-    _, _, idx, totals, pats = K.word_dictionary(spark)
-    ended = SO.chunk_match_state(runner.read_stream(spark, staged), M.pattern_list(pats), idle_seconds=3600,
-                                 watermark="1 day", finished=True)
-    target = runner.output_folder(spark, "stream_verdicts")
+@query("stream_chunk_match", CHUNK_MATCH_SQL)
+def q_stream_chunk_match(spark, sf):
+    return out(_first_hits(spark, sf, K.test_policy_patterns(spark), "stream_chunk_match"))
+
+
+@query("stream_chunk_match_words", O.with_(K.BENCH_WORD_HITS, "SELECT doc_id AS resource_id, pattern_id FROM bh"))
+def q_stream_chunk_match_words(spark, sf):
+    """The benchmark's words, a dictionary that grows with the data, over the chunk stream."""
+    pats = materialize(K.bench_word_patterns(spark, sf), "stream-words")
+    return out(_first_hits(spark, sf, pats, "stream_chunk_match_words").select("resource_id", "pattern_id"))
 
+
+def _score_ended(target: str, tables):
+    """A micro-batch of ended resources to verdicts; ``tables()`` gives (index, totals)."""
     def score(df: DataFrame, batch_id: int) -> None:
         df = df.persist()  # read twice below; the state advances once
+        idx, totals = tables()
         hits = df.select("resource_id", F.explode("patterns").alias("pattern_id"))
         found = S.category_hits(S.hit_categories(hits, idx, "resource_id"), "resource_id")
-        (S.url_verdict(found, totals, df.select("resource_id"), "resource_id")
+        subjects = df.filter("part = 0").select("resource_id", "began_ms")
+        (S.url_verdict(found, totals, subjects.select("resource_id"), "resource_id").join(subjects, "resource_id")
          .write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}"))
         df.unpersist()
+    return score
+
 
-    runner.run_foreach_batch(ended, "stream_verdicts", score, staged)
-    return out(spark.read.parquet(target).drop("batch_id").filter("resource_id >= 0"))
+@query("stream_verdicts", O.with_(O.verdict_ctes("docs", "doc_id", "text"),
+                                  "SELECT doc_id AS resource_id, type FROM verdicts", "docs"))
+def q_stream_verdicts(spark, sf):
+    """Chunks to hits to a verdict when a resource has gone idle: frames, then matches."""
+    rows = _chunk_rows(spark, sf)
+    staged = runner.stage(spark, [rows.filter("seq < 2"), rows.filter("seq >= 2"), _chunk_marker(rows)],
+                          "verdict_chunks")
+    _, _, idx, totals, pats = K.word_dictionary(spark)
+    frames = SO.framed_chunks(runner.read_stream(spark, staged), _longest(pats), IDLE_SECONDS, "1 day")
+    target = runner.output_folder(spark, "stream_verdicts")
+    runner.run_hops(frames, lambda f: SO.resource_hits(SO.frame_hits(f, pats), f, finished=True),
+                    "stream_verdicts", staged, fn=_score_ended(target, lambda: (idx, totals)))
+    return out(spark.read.parquet(target).select("resource_id", "type"))
+
+
+LATE_CHUNKS_SQL = O.with_(
+    K.TEST_OCC + [("ch", K.CHUNKS_SQL)],
+    f"SELECT resource_id, seq, pattern_id, idx, FALSE AS late FROM ({CHUNK_HIT_BODY}) WHERE seq < 2 "
+    "UNION ALL SELECT resource_id, seq, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), TRUE FROM ch WHERE seq >= 2")
+
+
+@query("stream_late_chunks", LATE_CHUNKS_SQL)
+def q_stream_late_chunks(spark, sf):
+    """The third and later chunks come a month later, when their resource has ended: they
+    are dropped to the side output, and hits are those of the first two."""
+    rows = _chunk_rows(spark, sf)
+    late = rows.filter("seq >= 2").withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS"))
+    staged = runner.stage(spark, [rows.filter("seq < 2"), _chunk_marker(rows), late], "late_chunks")
+    pats = K.test_policy_patterns(spark)
+    frames = SO.framed_chunks(runner.read_stream(spark, staged), _longest(pats), IDLE_SECONDS, "1 day",
+                              horizon_seconds=60 * 86400)
+    between, found = runner.run_hops(frames, lambda f: SO.resource_hits(SO.frame_hits(f, pats), f),
+                                     "stream_late_chunks", staged)
+    dropped = _read_back(spark, between).filter("kind = 'late'").select(
+        "resource_id", "seq", F.lit(None).cast("long").alias("pattern_id"),
+        F.lit(None).cast("int").alias("idx"), F.lit(True).alias("late"))
+    return out(_read_back(spark, found).select("resource_id", "seq", "pattern_id", "idx", F.lit(False).alias("late"))
+               .unionByName(dropped))
 
 
 def _with_end_marker(ev: DataFrame) -> list[DataFrame]:
@@ -177,8 +229,8 @@ def q_stream_idle_finalize(spark, sf):
     return _sessions_out(_read_back(spark, runner.run_to_parquet(sess, "stream_idle_finalize", staged)))
 
 
-@query("stream_late_chunks", SESSIONS_SQL)
-def q_stream_late_chunks(spark, sf):
+@query("stream_late_events", SESSIONS_SQL)
+def q_stream_late_events(spark, sf):
     ev = _events(spark, sf)
     late = ev.withColumn("ts", F.col("ts") - F.expr(f"INTERVAL {LATE_SHIFT_DAYS} DAYS"))
     parts = _with_end_marker(ev)
@@ -186,7 +238,7 @@ def q_stream_late_chunks(spark, sf):
     stream = runner.read_stream(spark, staged)
     sess = SO.idle_sessions(stream, "user_id", "ts", SESSION_GAP, "1 hour", "event_type",
                             row_key=["event_id"])
-    return _sessions_out(_read_back(spark, runner.run_to_parquet(sess, "stream_late_chunks", staged)))
+    return _sessions_out(_read_back(spark, runner.run_to_parquet(sess, "stream_late_events", staged)))
 
 
 # -- requests and their content ------------------------------------------------
@@ -312,6 +364,78 @@ def q_stream_dictionary_reload(spark, sf):
     return out(spark.read.parquet(target).drop("batch_id"))
 
 
+PINNED_SQL = O.with_(
+    [("d1", fixtures.WORD_DICTIONARY_SQL),
+     ("d2", fixtures.values_sql([(i, str(g), str(t), k) for i, g, t, k in WORD_DICTIONARY_V2_ROWS],
+                                ["id", "groupid", "grouptype", "keywordlist"],
+                                ["BIGINT", "VARCHAR", "VARCHAR", "VARCHAR"])),
+     ("olddocs", "SELECT doc_id, text FROM docs WHERE doc_id % 2 = 0"),
+     ("newdocs", "SELECT doc_id, text FROM docs WHERE doc_id % 2 <> 0")]
+    + O.verdict_ctes("olddocs", "doc_id", "text", source="d1", w="a", v="x")
+    + O.verdict_ctes("newdocs", "doc_id", "text", source="d2", w="b", v="y"),
+    "SELECT doc_id AS resource_id, type, CAST(1 AS BIGINT) AS version FROM xerdicts UNION ALL "
+    "SELECT doc_id AS resource_id, type, CAST(2 AS BIGINT) AS version FROM yerdicts", "docs")
+VERSION_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("from_ms", T.LongType())]
+                              + list(fixtures.URLKEYWORD_SCHEMA.fields))
+VERSION_IDS = 1 << 32  # ids of a version's words and categories lie this far apart
+
+
+def versioned_tables(stored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(versions, index, totals, patterns) of a table of dictionary versions. A version
+    holds from ``from_ms`` until the next one's; few versions are kept at a time."""
+    rows = sorted(map(tuple, stored.select("version", "from_ms").distinct().collect()), key=lambda r: r[1])
+    spans = [(v, start, rows[i + 1][1] if i + 1 < len(rows) else None) for i, (v, start) in enumerate(rows)]
+    built = []
+    for v, start, until in spans:
+        _, _, idx, totals, pats = K.dictionary_tables(stored.filter(F.col("version") == v).drop("version", "from_ms"))
+        built.append((idx.withColumn("iid", F.col("iid") + v * VERSION_IDS)
+                      .withColumn("cat_index", F.col("cat_index") + v * VERSION_IDS),
+                      totals.withColumn("cat_index", F.col("cat_index") + v * VERSION_IDS),
+                      pats.withColumn("pattern_id", F.col("pattern_id") + v * VERSION_IDS)
+                      .withColumn("from_ms", F.lit(start).cast("long"))
+                      .withColumn("until_ms", F.lit(until).cast("long"))))
+    merged = [built[0][i] for i in range(3)]
+    for more in built[1:]:
+        merged = [a.unionByName(b) for a, b in zip(merged, more)]
+    versions = stored.sparkSession.createDataFrame(spans, "version long, from_ms long, until_ms long")
+    return versions, *(materialize(t, "dictionary-version") for t in merged)
+
+
+def _in_force() -> F.Column:
+    """A resource keeps the version that held when it began."""
+    return (F.col("began_ms") >= F.col("from_ms")) & (F.col("until_ms").isNull()
+                                                      | (F.col("began_ms") < F.col("until_ms")))
+
+
+@query("stream_dictionary_pinned", PINNED_SQL)
+def q_stream_dictionary_pinned(spark, sf):
+    """The dictionary is replaced while resources are open. Those with an even number began
+    before and are scored by the old version to their end, the others by the new one."""
+    swap = EPOCH_SECONDS + 2 * BEGIN_SECONDS
+    rows = _chunk_rows(spark, sf)
+    old = F.col("resource_id") % 2 == 0
+    after = rows.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {2 * BEGIN_SECONDS} SECONDS"))
+    staged = runner.stage(spark, [rows.filter(old & F.expr("seq < 2")), after.filter(~(old & F.expr("seq < 2"))),
+                                  _chunk_marker(after)], "pinned_chunks")
+    versions = [spark.createDataFrame([(v, at * 1000, i, str(g), str(t), k) for i, g, t, k in entries], VERSION_SCHEMA)
+                for v, at, entries in ((1, 0, fixtures.WORD_DICTIONARY_ROWS), (2, swap, WORD_DICTIONARY_V2_ROWS))]
+    stored = runner.stage(spark, versions, "dictionary_versions")  # the second arrives with the second wave
+    live: dict = {}
+
+    def match(frames: DataFrame) -> DataFrame:
+        _, live["idx"], live["totals"], pats = versioned_tables(spark.read.schema(VERSION_SCHEMA).parquet(stored.path))
+        hits = SO.frame_hits(frames, pats, ["from_ms", "until_ms"]).filter(_in_force())
+        return SO.resource_hits(hits, frames, finished=True)
+
+    frames = SO.framed_chunks(runner.read_stream(spark, staged), MAX_WORD_BYTES, IDLE_SECONDS, "1 day")
+    target = runner.output_folder(spark, "stream_dictionary_pinned")
+    runner.run_hops(frames, match, "stream_dictionary_pinned", staged, stored,
+                    fn=_score_ended(target, lambda: (live["idx"], live["totals"])))
+    spans = versioned_tables(spark.read.schema(VERSION_SCHEMA).parquet(stored.path))[0]
+    return out(spark.read.parquet(target).join(F.broadcast(spans), _in_force())
+               .select("resource_id", "type", "version"))
+
+
 # -- in flight until completed ---------------------------------------------------
 
 FETCH_GIVE_UP = 5      # a fetch still open after this long is given up
@@ -351,7 +475,11 @@ def q_stream_inflight_completion(spark, sf):
     done = (first.withColumn("ts", _epoch_plus(F.col("req_id") + fetch))
             .withColumn("kind", F.lit("done")))
     rows = reqs.unionByName(done)
-    staged = runner.stage(spark, [rows], "requests_done")
+    marker = rows.agg(F.max("ts").alias("m")).select(
+        F.lit(-1).cast("long").alias("req_id"), F.lit(1).cast("tinyint").alias("method"),
+        F.lit(0).cast("long").alias("dst"), F.lit("end").alias("host"), F.lit("/").alias("path"),
+        (F.col("m") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("done").alias("kind"))
+    staged = runner.stage(spark, [rows, marker.select(*rows.columns)], "requests_done")
     stream = runner.read_stream(spark, staged)
     admitted = SO.inflight_until_done(stream, ["host", "path", "method", "dst"], "ts",
                                       FETCH_GIVE_UP, watermark="1 hour")

@@ -2,8 +2,10 @@
 
 Native where Spark has the operator (stateless filters, watermark de-dup,
 session windows, stream-stream outer join, micro-batches); keyed Python state
-(``applyInPandasWithState``) only for matching that carries bytes across
-chunks and for in-flight holds with explicit release.
+(``applyInPandasWithState``) only for what must be read in order: the bytes carried
+from chunk to chunk, and in-flight holds with explicit release. Matching itself is the
+native key join, in a second query over the frames that the first one writes (Spark
+allows no second stateful operator behind keyed Python state).
 """
 
 from __future__ import annotations
@@ -11,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from lexigate.functions import position_rule
 from lexigate.operators import requests as R
-from lexigate.operators.bytematch import ByteMatcher, to_bytes
+from lexigate.operators.matching import byte_occurrences
 
 
 def stream_requests(payloads: DataFrame) -> DataFrame:
@@ -31,87 +34,122 @@ def inflight_dedup_watermark(stream: DataFrame, key: Sequence[str], ts: str,
     return stream.withWatermark(ts, hold).dropDuplicatesWithinWatermark(list(key))
 
 
+# Rows wait in state as JSON; this keeps their microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def _in_time_order(stream: DataFrame, key: Sequence[str], ts: str, hold_seconds: int, watermark: str,
+                   cols: Sequence[str], rank: Column, tie: str | None, decide) -> DataFrame:
+    """The rows of each key that ``decide`` admits, read in time order whatever the
+    micro-batches they came in.
+
+    A row waits in its key's state until the watermark has passed it: no earlier row can
+    come any more. Rows are then read by (time, ``rank``, ``tie``, row). ``decide(since,
+    t, rank)`` gives (since, admitted), where ``since`` is the time in microseconds at
+    which the key went in flight, or None; it lapses after ``hold_seconds``. State is
+    bounded by the rows within the watermark's delay. Rows without a time are not read, nor
+    those at 1970-01-01 or before, where Spark's first watermark stands.
+    """
+    key = list(key)
+    hold_us = hold_seconds * 1_000_000
+    names = [f"__k{i}" for i in range(len(key))]
+    schema = T.StructType([f for f in stream.schema.fields if f.name in set(cols)])
+    rows = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, watermark).select(
+        *[F.col(c).alias(n) for c, n in zip(key, names)], F.col(ts).alias("__ts"),
+        F.unix_micros(ts).alias("__us"), rank.cast("int").alias("__rank"),
+        (F.coalesce(F.col(tie).cast("long"), F.lit(0)) if tie else F.lit(0)).cast("long").alias("__tie"),
+        F.to_json(F.struct(*schema.names), _JSON).alias("__row"))
+    state_schema = T.StructType([T.StructField("since", T.LongType()),
+                                 T.StructField("us", T.ArrayType(T.LongType())),
+                                 T.StructField("rank", T.ArrayType(T.LongType())),
+                                 T.StructField("tie", T.ArrayType(T.LongType())),
+                                 T.StructField("row", T.ArrayType(T.StringType()))])
+
+    def step(k, batches, state):
+        since, waiting = None, []
+        if state.exists:
+            since, *held = state.get
+            waiting = list(zip(*held))
+        for pdf in batches:
+            waiting.extend(zip(*(pdf[c].tolist() for c in ("__us", "__rank", "__tie", "__row"))))
+        waiting.sort()
+        now = state.getCurrentWatermarkMs()
+        admitted, read = [], 0
+        for us, rank_, _, row in waiting:
+            if us > now * 1000:
+                break
+            read += 1
+            since, admit = decide(since, us, rank_)
+            if admit:
+                admitted.append(row)
+        waiting = waiting[read:]
+        if not waiting and (since is None or since + hold_us <= now * 1000):
+            state.remove()
+        else:
+            state.update((since, *([int(w[i]) for w in waiting] for i in range(3)), [w[3] for w in waiting]))
+            wake = waiting[0][0] if waiting else since + hold_us
+            state.setTimeoutTimestamp(max(wake // 1000, now + 1))
+        if admitted:
+            yield pd.DataFrame({"row": admitted})
+
+    kept = (rows.groupBy(*names).applyInPandasWithState(
+        step, T.StructType([T.StructField("row", T.StringType())]), state_schema, "append",
+        GroupStateTimeout.EventTimeTimeout))
+    return kept.select(F.from_json("row", schema, _JSON).alias("r")).select("r.*")
+
+
 def inflight_hold(stream: DataFrame, key: Sequence[str], ts: str, hold_seconds: int,
-                  watermark: str) -> DataFrame:
+                  watermark: str, tie: str | None = None) -> DataFrame:
     """Admit a request unless its key is in flight; a key is in flight for
     ``hold_seconds`` after its admission (then completed and released).
 
-    Keyed state: the admission time per key, dropped by an event-time timeout.
+    Requests are read in time order (``tie`` breaks ties), each once the watermark has
+    passed it, so the result does not depend on micro-batches.
     """
-    key = list(key)
-    hold_ms = hold_seconds * 1000
-    out_schema = T.StructType([f for f in stream.schema.fields])
-    state_schema = T.StructType([T.StructField("admitted_ms", T.LongType())])
-    cols = [f.name for f in stream.schema.fields]
+    hold_us = hold_seconds * 1_000_000
 
-    def admit(k, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(ts, kind="stable")
-        ms = (pdf[ts].astype("int64") // 1_000_000).to_numpy()
-        keep = []
-        for i, t in enumerate(ms):
-            if last is None or t >= last + hold_ms:
-                keep.append(i)
-                last = int(t)
-        state.update((last,))
-        state.setTimeoutTimestamp(last + hold_ms)
-        if keep:
-            yield pdf.iloc[keep][cols]
-
-    return (stream.withWatermark(ts, watermark).groupBy(*key)
-            .applyInPandasWithState(admit, out_schema, state_schema, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    def decide(since, t, rank):
+        admit = since is None or t >= since + hold_us
+        return (t if admit else since), admit
+
+    return _in_time_order(stream, key, ts, hold_seconds, watermark, stream.columns, F.lit(0), tie, decide)
 
 
 def inflight_until_done(stream: DataFrame, key: Sequence[str], ts: str, max_hold_seconds: int,
-                        watermark: str, kind: str = "kind") -> DataFrame:
+                        watermark: str, kind: str = "kind", tie: str | None = "req_id") -> DataFrame:
     """Requests and completions of URL keys in one stream (``kind`` is
     ``'request'`` or ``'done'``). A request is admitted when its key is not in
     flight; it puts the key in flight until a completion of that key arrives,
     or until ``max_hold_seconds`` pass (the fetch gave up). A completion releases
     only a fetch that began before it. At equal times a completion is applied first.
-    Emits the admitted requests.
+    Emits the admitted requests. Rows are read in time order, as in ``inflight_hold``.
     """
-    key = list(key)
-    hold_ms = max_hold_seconds * 1000
-    cols = [f.name for f in stream.schema.fields if f.name != kind]
-    out_schema = T.StructType([f for f in stream.schema.fields if f.name != kind])
-    state_schema = T.StructType([T.StructField("since_ms", T.LongType())])
+    hold_us = max_hold_seconds * 1_000_000
 
-    def step(k, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        since = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches), ignore_index=True)
-        pdf["__o"] = (pdf[kind] != "done").astype("int8")
-        pdf = pdf.sort_values([ts, "__o", "req_id"], kind="stable")
-        ms = (pdf[ts].astype("int64") // 1_000_000).to_numpy()
-        keep = []
-        for i, (t, is_req) in enumerate(zip(ms, pdf["__o"].to_numpy())):
-            if not is_req:
-                if since is not None and t > since:
-                    since = None
-            elif since is None or t >= since + hold_ms:
-                keep.append(i)
-                since = int(t)
-        if since is None:
-            state.remove()
-        else:
-            state.update((since,))
-            state.setTimeoutTimestamp(since + hold_ms)
-        if keep:
-            yield pdf.iloc[keep][cols]
+    def decide(since, t, rank):
+        if rank == 0:  # a completion
+            return (None if since is not None and t > since else since), False
+        admit = since is None or t >= since + hold_us
+        return (t if admit else since), admit
+
+    rank = F.when(F.col(kind) == "done", 0).otherwise(1)
+    return _in_time_order(stream, key, ts, max_hold_seconds, watermark,
+                          [c for c in stream.columns if c != kind], rank, tie, decide)
 
-    return (stream.withWatermark(ts, watermark).groupBy(*key)
-            .applyInPandasWithState(step, out_schema, state_schema, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
 
+# -- matching over chunks ---------------------------------------------------------
 
+FRAME_SCHEMA = T.StructType([
+    T.StructField("resource_id", T.LongType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("seq", T.IntegerType()),
+    T.StructField("shift", T.IntegerType()),
+    T.StructField("data", T.BinaryType()),
+    T.StructField("began_ms", T.LongType()),
+])
 FINISHED_SCHEMA = T.StructType([T.StructField("resource_id", T.LongType()),
+                                T.StructField("part", T.IntegerType()),
+                                T.StructField("began_ms", T.LongType()),
                                 T.StructField("patterns", T.ArrayType(T.LongType()))])
 CHUNK_HIT_SCHEMA = T.StructType([
     T.StructField("resource_id", T.LongType()),
@@ -119,80 +157,148 @@ CHUNK_HIT_SCHEMA = T.StructType([
     T.StructField("seq", T.IntegerType()),
     T.StructField("idx", T.IntegerType()),
 ])
+PARTS = 8  # a resource's hits are dealt over this many states
 
 
-def chunk_match_state(chunks: DataFrame, patterns: list[tuple[int, bytes, bool, int, int]],
-                      idle_seconds: int, watermark: str, finished: bool = False) -> DataFrame:
-    """Match over each resource's chunk stream with carried state.
+def framed_chunks(chunks: DataFrame, max_pattern_bytes: int, idle_seconds: int, watermark: str,
+                  horizon_seconds: int = 7 * 86400) -> DataFrame:
+    """Each resource's chunks in order, framed with the bytes before them, for native
+    matching (``frame_hits``). No pattern is held in state.
 
-    State per resource: the next sequence number, the last ``max_len - 1`` bytes and
-    the pattern ids already reported. Chunks are numbered from 0; one that comes early
-    is held until those before it are there. Each pattern is reported once per
-    resource, at its first hit (``idx`` relative to the chunk, negative when it began
-    earlier; position rules count from the chunk). When the resource has been idle for
-    ``idle_seconds``, chunks still held are matched across the gap and the state ends.
-    With ``finished`` nothing is emitted before that end; then one row (resource_id,
-    patterns) carries all that was found, for a verdict.
+    State per resource: the last ``max_pattern_bytes - 1`` bytes, the next sequence
+    number, and chunks that came early; they are numbered from 0. When the resource has
+    been idle for ``idle_seconds`` (the watermark has passed its last chunk by that much),
+    chunks still held go out across the gap, without the bytes before it, and it ends. A
+    mark stays in state for ``horizon_seconds`` more, so a chunk that comes after the end
+    is not read as a new resource. Rows (``FRAME_SCHEMA``), told apart by ``kind``:
+
+    * ``frame`` - ``data`` is ``shift`` bytes carried over and the chunk ``seq``;
+    * ``late``  - a chunk that came after the end (the side output of dropped chunks);
+    * ``end``   - the resource ended; ``seq`` is the next number. Once per resource.
+
+    ``began_ms`` is the time of the first chunk read. A repeated number is read once; a
+    null ``data`` is an empty chunk; rows without resource, number or time are not read,
+    nor are those behind the watermark (Spark drops them before the state).
     """
-    tail_len = max((len(p) for _, p, *_ in patterns), default=1) - 1
-    rules = {pid: (offset, depth) for pid, _, _, offset, depth in patterns}
-    idle_ms = idle_seconds * 1000
+    tail_len = max(max_pattern_bytes - 1, 0)
+    idle_ms, horizon_ms = idle_seconds * 1000, horizon_seconds * 1000
     state_schema = T.StructType([T.StructField("tail", T.BinaryType()),
-                                 T.StructField("seen", T.ArrayType(T.LongType())),
-                                 T.StructField("last_ms", T.LongType()),
                                  T.StructField("next_seq", T.IntegerType()),
+                                 T.StructField("began_ms", T.LongType()),
+                                 T.StructField("last_ms", T.LongType()),
+                                 T.StructField("ended", T.BooleanType()),
                                  T.StructField("held_seq", T.ArrayType(T.IntegerType())),
                                  T.StructField("held_data", T.ArrayType(T.BinaryType()))])
 
-    def in_range(pid, idx, n):
-        offset, depth = rules[pid]
-        return (offset >= 0 and depth >= 0 and (offset == 0 or offset <= idx)
-                and (depth == 0 or offset + depth >= idx + n))
-
-    built: dict = {}  # one automaton per task, not per resource
-
     def step(k, batches, state):
-        matcher = built.get("m")
-        if matcher is None:
-            matcher = built["m"] = ByteMatcher(p[:3] for p in patterns)
-        tail, seen, last_ms, next_seq, held = b"", set(), 0, 0, {}
+        tail, next_seq, began, last, ended, held = b"", 0, None, 0, False, {}
         if state.exists:
-            tail, seen, last_ms, next_seq, held_seq, held_data = state.get
-            tail, seen = bytes(tail or b""), set(seen or [])
+            tail, next_seq, began, last, ended, held_seq, held_data = state.get
+            tail = bytes(tail or b"")
             held = {s: bytes(d) for s, d in zip(held_seq or [], held_data or [])}
+        now = state.getCurrentWatermarkMs()
+        if ended and state.hasTimedOut:
+            state.remove()
+            return
+
+        def take(rows, across_gaps):
+            nonlocal tail, next_seq
+            while held and (across_gaps or next_seq in held):
+                seq = min(held)
+                if seq != next_seq:  # a chunk never came: nothing carries over the gap
+                    tail = b""
+                data = held.pop(seq)
+                rows.append((k[0], "frame", seq, len(tail), tail + data, began))
+                tail = (tail + data)[-tail_len:] if tail_len else b""
+                next_seq = seq + 1
+            return rows
+
+        if state.exists and not ended and (state.hasTimedOut or last + idle_ms <= now):
+            rows = take([], True)
+            rows.append((k[0], "end", next_seq, 0, None, began))
+            tail, ended = b"", True
+            yield pd.DataFrame(rows, columns=FRAME_SCHEMA.names)
         for pdf in batches:
-            for seq, data, t in zip(pdf["seq"], pdf["data"], pdf["ts"]):
-                if int(seq) >= next_seq:
-                    held[int(seq)] = to_bytes(data)
-                last_ms = max(last_ms, int(pd.Timestamp(t).value // 1_000_000))
-        rows = []
-        while held and (state.hasTimedOut or next_seq in held):
-            seq = min(held)
-            if seq != next_seq:  # a chunk never came: nothing carries over the gap
-                tail = b""
-            buf = tail + held.pop(seq)
-            for pid, idx, n in matcher.find(buf):
-                if idx + n <= len(tail) or pid in seen or not in_range(pid, idx - len(tail), n):
+            rows = []
+            for seq, data, ms in zip(pdf["seq"].tolist(), pdf["data"], pdf["ms"].tolist()):
+                data = bytes(data)
+                if ended:
+                    rows.append((k[0], "late", seq, 0, data, began))
                     continue
-                seen.add(pid)
-                rows.append((k[0], pid, seq, idx - len(tail)))
-            tail = buf[-tail_len:] if tail_len > 0 else b""
-            next_seq = seq + 1
-        state_ended = state.hasTimedOut
-        if state_ended:
+                began = ms if began is None else began
+                last = max(last, ms)
+                if seq >= next_seq:
+                    held.setdefault(seq, data)
+            take(rows, False)
+            if rows:
+                yield pd.DataFrame(rows, columns=FRAME_SCHEMA.names)
+        if began is None:
+            return
+        order = sorted(held)
+        state.update((tail, next_seq, began, last, ended, order, [held[s] for s in order]))
+        state.setTimeoutTimestamp(max(last + idle_ms + (horizon_ms if ended else 0), now + 1))
+
+    read = chunks.filter(F.col("resource_id").isNotNull() & F.col("seq").isNotNull() & F.col("ts").isNotNull())
+    return (read.withWatermark("ts", watermark)
+            .select("resource_id", F.col("seq").cast("int").alias("seq"),
+                    F.coalesce(F.col("data"), F.lit(b"")).alias("data"), "ts", F.unix_millis("ts").alias("ms"))
+            .groupBy("resource_id")
+            .applyInPandasWithState(step, FRAME_SCHEMA, state_schema, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+def frame_hits(frames: DataFrame, patterns: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every hit in the frames, by the key join of batch matching (stream-static here):
+    (resource_id, seq, began_ms, pattern_id, idx, keep...). ``idx`` is relative to the
+    chunk in which the hit ends, negative when it began earlier; position rules count from
+    the chunk. Frames are dealt by (resource, number), so a hot resource's bytes spread."""
+    dealt = (frames.filter(F.col("kind") == "frame").select("resource_id", "seq", "began_ms", "shift", "data")
+             .repartition("resource_id", "seq"))
+    found = byte_occurrences(dealt, patterns, "data", list(keep)).filter(F.col("end_idx") > F.col("shift"))
+    return (found.withColumn("idx", F.col("idx") - F.col("shift"))
+            .withColumn("end_idx", F.col("end_idx") - F.col("shift")).filter(position_rule())
+            .select("resource_id", "seq", "began_ms", "pattern_id", F.col("idx").cast("int").alias("idx"), *keep))
+
+
+def resource_hits(hits: DataFrame, frames: DataFrame, finished: bool = False) -> DataFrame:
+    """Each pattern once per resource, at its first hit: ``CHUNK_HIT_SCHEMA``.
+
+    With ``finished`` nothing comes out before a resource's ``end`` row; then its patterns
+    do, in ``PARTS`` rows (resource_id, part, began_ms, patterns), empty ones included, for a verdict.
+    State is the reported pattern ids of resources that have not ended, dealt over
+    ``PARTS`` states each. Frames written by one micro-batch must be read together (no
+    ``maxFilesPerTrigger`` that splits them).
+    """
+    found = hits.select("resource_id", F.pmod(F.col("pattern_id"), F.lit(PARTS)).cast("int").alias("part"),
+                        F.col("pattern_id").cast("long").alias("pattern_id"), "seq", "idx",
+                        "began_ms", F.lit(False).alias("ended"))
+    ends = frames.filter(F.col("kind") == "end").select(
+        "resource_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"),
+        F.lit(-1).cast("long").alias("pattern_id"), "seq", F.lit(0).alias("idx"), "began_ms", F.lit(True).alias("ended"))
+
+    def step(k, batches, state):
+        seen = set(state.get[0]) if state.exists else set()
+        first, ended, began = {}, False, None
+        for pdf in batches:
+            began = int(pdf["began_ms"].iloc[0]) if began is None and len(pdf) else began
+            for pid, seq, idx, end in zip(*(pdf[c].tolist() for c in ("pattern_id", "seq", "idx", "ended"))):
+                if end:
+                    ended = True
+                elif pid not in seen and (seq, idx) < first.get(pid, (seq, idx + 1)):
+                    first[pid] = (seq, idx)
+        seen |= first.keys()
+        if not ended:
+            state.update((sorted(seen),))
+        elif state.exists:
             state.remove()
-        else:
-            order = sorted(held)
-            state.update((tail, sorted(seen), last_ms, next_seq, order, [held[s] for s in order]))
-            state.setTimeoutTimestamp(last_ms + idle_ms)
-        if finished and state_ended:
-            yield pd.DataFrame({"resource_id": [k[0]], "patterns": [sorted(seen)]})
-        elif rows and not finished:
-            yield pd.DataFrame(rows, columns=["resource_id", "pattern_id", "seq", "idx"])
-
-    return (chunks.withWatermark("ts", watermark).groupBy("resource_id")
-            .applyInPandasWithState(step, FINISHED_SCHEMA if finished else CHUNK_HIT_SCHEMA, state_schema, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+        if not finished and first:
+            yield pd.DataFrame([(k[0], pid, *at) for pid, at in first.items()], columns=CHUNK_HIT_SCHEMA.names)
+        elif finished and ended:
+            yield pd.DataFrame({"resource_id": [k[0]], "part": [k[1]], "began_ms": [began],
+                                "patterns": [sorted(seen)]})
+
+    return (found.unionByName(ends).groupBy("resource_id", "part").applyInPandasWithState(
+        step, FINISHED_SCHEMA if finished else CHUNK_HIT_SCHEMA,
+        T.StructType([T.StructField("seen", T.ArrayType(T.LongType()))]), "append", GroupStateTimeout.NoTimeout))
 
 
 def drop_late(stream: DataFrame, ts: str, watermark: str, row_key: Sequence[str]) -> DataFrame:

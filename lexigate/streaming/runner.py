@@ -68,5 +68,25 @@ def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int
          .trigger(availableNow=True).start(), staged)
 
 
+def run_hops(first: DataFrame, then: Callable[[DataFrame], DataFrame], name: str, *staged: Staged,
+             fn: Callable[[DataFrame, int], None] | None = None) -> tuple[str, str | None]:
+    """Two queries in a row: the first writes a table, the second reads it as a stream.
+    After each wave both run over what is there, each with its own checkpoint. ``then``
+    builds the second query anew each time, so static tables it reads are those of now.
+    Returns both output folders (the second is None with ``fn``, which takes its batches)."""
+    spark = first.sparkSession
+    between, chk = _folder(spark, "out", f"{name}-frames"), _folder(spark, "chk", f"{name}-frames")
+    out, then_chk = (None if fn else _folder(spark, "out", name)), _folder(spark, "chk", name)
+    while True:
+        (first.writeStream.format("parquet").option("path", between).option("checkpointLocation", chk)
+         .trigger(availableNow=True).start().awaitTermination())
+        second = then(spark.readStream.schema(first.schema).parquet(between)).writeStream
+        second = second.foreachBatch(fn) if fn else second.format("parquet").option("path", out)
+        (second.option("checkpointLocation", then_chk).outputMode("append").trigger(availableNow=True)
+         .start().awaitTermination())
+        if not any([s.arrive() for s in staged]):
+            return between, out
+
+
 def output_folder(spark: SparkSession, name: str) -> str:
     return _folder(spark, "out", name)

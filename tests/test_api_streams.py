@@ -1,10 +1,8 @@
 """Object interface, and stream state carried over several micro-batches."""
 
-import duckdb
 from pyspark.sql import functions as F
 
 from lexigate.api import KeywordMatcher
-from lexigate.plans import streams as ST
 from lexigate.streaming import operators as SO
 from lexigate.streaming import runner
 from lexigate.sources import tables
@@ -27,26 +25,6 @@ def test_matcher_interface(spark):
     assert [(r.pattern_id, r.idx) for r in first] == [(4, 1)]
 
 
-def test_inflight_hold_over_several_batches(spark):
-    ev = tables.events(spark, SF_SMALL)
-    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
-    mid1 = lo + (hi - lo) / 3
-    mid2 = lo + 2 * (hi - lo) / 3
-    parts = [ev.filter(F.col("ts") < mid1),
-             ev.filter((F.col("ts") >= mid1) & (F.col("ts") < mid2)),
-             ev.filter(F.col("ts") >= mid2)]
-    staged = runner.stage(spark, parts, "events_waves")
-    stream = runner.read_stream(spark, staged)
-    admitted = SO.inflight_hold(stream, ["user_id", "event_type"], "ts", ST.HOLD_SECONDS,
-                                watermark=f"{ST.HOLD_SECONDS} seconds")
-    got = spark.read.parquet(runner.run_to_parquet(admitted, "hold_waves", staged))
-    got = sorted(r.event_id for r in got.collect())
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF_SMALL}/events.parquet'")
-    want = sorted(r[0] for r in con.execute(ST.INFLIGHT_SQL).fetchall())
-    assert got == want
-
-
 def test_watermark_dedup_keeps_one_per_key(spark):
     ev = tables.events(spark, SF_SMALL)
     staged = runner.stage(spark, [ev], "events_dedup")

@@ -9,7 +9,6 @@ from lexigate.operators import matching as M
 from lexigate.operators import requests as R
 from lexigate.operators import scoring as S
 from lexigate.operators import sequence as Q
-from lexigate.operators.bytematch import ByteMatcher
 from lexigate.sources import fixtures
 
 
@@ -87,13 +86,16 @@ def test_category_score_sentence(spark):
     assert S.valid_verdicts(v).count() == 1
 
 
-def test_overlap_case_and_fold():
-    assert [i for _, i, _ in ByteMatcher([(1, b"aa", 0)]).find(b"aaaa")] == [0, 1, 2]
-    exact = ByteMatcher([(1, b"He", 0)])
-    folded = ByteMatcher([(1, b"He", 1)])
-    assert [i for _, i, _ in exact.find(b"he HE He")] == [6]
-    assert sorted(i for _, i, _ in folded.find(b"he HE He")) == [0, 3, 6]
-    assert list(ByteMatcher([(1, "É".encode(), 1)]).find("é".encode())) == []
+def test_overlap_case_and_fold(spark):
+    def starts(word, nocase, text):
+        rows = spark.createDataFrame([(1, bytearray(text.encode()))], "doc_id long, data binary")
+        found = M.byte_occurrences(rows, _pats(spark, [(1, word, nocase, 0, 0, "x")]), "data")
+        return sorted(r.idx for r in found.collect())
+
+    assert starts("aa", False, "aaaa") == [0, 1, 2]
+    assert starts("He", False, "he HE He") == [6]
+    assert starts("He", True, "he HE He") == [0, 3, 6]
+    assert starts("É", True, "é") == []
 
 
 def test_case_rule_native(spark):

@@ -1,28 +1,33 @@
-"""Randomized parity over a tiny alphabet: overlaps, prefixes, duplicates."""
+"""Random parity over a tiny alphabet: overlaps, prefixes, duplicates."""
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import random
 
-from lexigate.operators.bytematch import ByteMatcher
+from lexigate.operators import matching as M
+from lexigate.sources import fixtures
 
-ALPHA = st.text(alphabet="abAB", min_size=1, max_size=4)
 
-
-def naive(patterns, text):
+def naive(patterns, texts):
     out = []
-    for pid, pat, nocase in patterns:
-        t, p = (text.upper(), pat.upper()) if nocase else (text, pat)
-        start = t.find(p)
-        while start >= 0:
-            out.append((pid, start, len(p)))
-            start = t.find(p, start + 1)
+    for doc, text in enumerate(texts):
+        for pid, pat, nocase in patterns:
+            t, p = (text.upper(), pat.upper()) if nocase else (text, pat)
+            start = t.find(p)
+            while start >= 0:
+                out.append((doc, pid, start, start + len(p)))
+                start = t.find(p, start + 1)
     return sorted(out)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.tuples(ALPHA, st.booleans()), min_size=1, max_size=6),
-       st.text(alphabet="abAB", max_size=40))
-def test_matcher_equals_naive(pats, text):
-    patterns = [(i + 1, p, nc) for i, (p, nc) in enumerate(pats)]
-    got = sorted(ByteMatcher([(i, p.encode(), nc) for i, p, nc in patterns]).find(text.encode()))
-    assert got == naive(patterns, text)
+def test_matcher_equals_naive(spark):
+    rng = random.Random(5)
+
+    def word(least, most):
+        return "".join(rng.choice("abAB") for _ in range(rng.randint(least, most)))
+
+    for _ in range(3):
+        patterns = [(i + 1, word(1, 10), rng.random() < 0.5) for i in range(12)]
+        texts = [word(0, 40) for _ in range(200)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        pats = spark.createDataFrame([(i, p, nc, 0, 0, "x") for i, p, nc in patterns], fixtures.PATTERN_SCHEMA)
+        found = M.keyword_occurrences(docs, pats).select("doc_id", "pattern_id", "idx", "end_idx")
+        assert sorted(map(tuple, found.collect())) == naive(patterns, texts)

@@ -99,35 +99,6 @@ def test_position_rule_in_chunks(spark):
     assert got == [(0, 1, 4), (0, 3, 0), (1, 3, 0)]
 
 
-def stream_rows(spark, waves, patterns, **options):
-    staged = runner.stage(spark, waves, "test_chunks")
-    hits = SO.chunk_match_state(runner.read_stream(spark, staged), M.pattern_list(patterns), **options)
-    return spark.read.parquet(runner.run_to_parquet(hits, "test_chunks", staged)).collect()
-
-
-def test_chunks_out_of_order_equal_the_batch(spark):
-    schema = "resource_id long, seq int, data binary, ts timestamp"
-    row = "SELECT {}L AS resource_id, {} AS seq, CAST('{}' AS BINARY) AS data, timestamp_seconds({}) AS ts"
-    def wave(*rows):
-        return spark.sql(" UNION ALL ".join(row.format(*r) for r in rows))
-    pats = pats_of(spark, [(1, "hers", False, 0, 0, "x"), (2, "he", False, 3, 0, "x"), (3, "yy", False, 0, 0, "x")])
-    first, second = (1, 0, "xxhe", 1), (1, 1, "rs yy", 2)
-    for waves in ([wave(first), wave(second)], [wave(second), wave(first)], [wave(second, first)]):
-        got = stream_rows(spark, waves, pats, idle_seconds=3600, watermark="1 day")
-        assert sorted((r.pattern_id, r.seq, r.idx) for r in got) == [(1, 1, -2), (3, 1, 3)]
-    assert schema
-
-
-def test_late_completion_does_not_release_a_newer_request(spark):
-    def wave(*rows):
-        return spark.sql(" UNION ALL ".join(
-            f"SELECT {i}L AS req_id, 'h' AS host, timestamp_seconds({t}) AS ts, '{k}' AS kind" for i, t, k in rows))
-    staged = runner.stage(spark, [wave((1, 100, "request")), wave((2, 90, "done"), (3, 102, "request"))], "late_done")
-    admitted = SO.inflight_until_done(runner.read_stream(spark, staged), ["host"], "ts", 3600, watermark="1 hour")
-    got = spark.read.parquet(runner.run_to_parquet(admitted, "late_done", staged)).collect()
-    assert [r.req_id for r in got] == [1]
-
-
 def test_staged_input_keeps_its_partitions(spark):
     staged = runner.stage(spark, [spark.range(1000).repartition(6)], "partitions")
     assert len(spark.read.parquet(staged.path).inputFiles()) == 6
