@@ -10,6 +10,7 @@ allows no second stateful operator behind keyed Python state).
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
 import pandas as pd
@@ -157,7 +158,15 @@ CHUNK_HIT_SCHEMA = T.StructType([
     T.StructField("seq", T.IntegerType()),
     T.StructField("idx", T.IntegerType()),
 ])
-PARTS = 8  # a resource's hits are dealt over this many states
+PARTS = 4  # a resource's hits are dealt over this many states
+
+# Keyed state pays for each column of each key, so a row reaches it as one column.
+_HEAD = ">iq"  # number and time (ms), big-endian, before the chunk
+
+
+def _big_endian(number: Column, size: int) -> Column:
+    digits = F.lpad(F.hex(number.cast("long")), 16, "0")
+    return F.unhex(F.substring(digits, 17 - 2 * size, 2 * size))
 
 
 def framed_chunks(chunks: DataFrame, max_pattern_bytes: int, idle_seconds: int, watermark: str,
@@ -220,8 +229,9 @@ def framed_chunks(chunks: DataFrame, max_pattern_bytes: int, idle_seconds: int,
             yield pd.DataFrame(rows, columns=FRAME_SCHEMA.names)
         for pdf in batches:
             rows = []
-            for seq, data, ms in zip(pdf["seq"].tolist(), pdf["data"], pdf["ms"].tolist()):
-                data = bytes(data)
+            for packed in pdf["row"]:
+                seq, ms = struct.unpack_from(_HEAD, packed)
+                data = bytes(packed[struct.calcsize(_HEAD):])
                 if ended:
                     rows.append((k[0], "late", seq, 0, data, began))
                     continue
@@ -239,9 +249,9 @@ def framed_chunks(chunks: DataFrame, max_pattern_bytes: int, idle_seconds: int,
         state.setTimeoutTimestamp(max(last + idle_ms + (horizon_ms if ended else 0), now + 1))
 
     read = chunks.filter(F.col("resource_id").isNotNull() & F.col("seq").isNotNull() & F.col("ts").isNotNull())
-    return (read.withWatermark("ts", watermark)
-            .select("resource_id", F.col("seq").cast("int").alias("seq"),
-                    F.coalesce(F.col("data"), F.lit(b"")).alias("data"), "ts", F.unix_millis("ts").alias("ms"))
+    row = F.concat(_big_endian(F.col("seq").cast("int"), 4), _big_endian(F.unix_millis("ts"), 8),
+                   F.coalesce(F.col("data"), F.lit(b"")))
+    return (read.withWatermark("ts", watermark).select("resource_id", "ts", row.alias("row"))
             .groupBy("resource_id")
             .applyInPandasWithState(step, FRAME_SCHEMA, state_schema, "append", GroupStateTimeout.EventTimeTimeout))
 
@@ -269,21 +279,22 @@ def resource_hits(hits: DataFrame, frames: DataFrame, finished: bool = False) ->
     ``maxFilesPerTrigger`` that splits them).
     """
     found = hits.select("resource_id", F.pmod(F.col("pattern_id"), F.lit(PARTS)).cast("int").alias("part"),
-                        F.col("pattern_id").cast("long").alias("pattern_id"), "seq", "idx",
-                        "began_ms", F.lit(False).alias("ended"))
+                        F.concat_ws(",", "began_ms", "pattern_id", "seq", "idx").alias("row"))
     ends = frames.filter(F.col("kind") == "end").select(
         "resource_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"),
-        F.lit(-1).cast("long").alias("pattern_id"), "seq", F.lit(0).alias("idx"), "began_ms", F.lit(True).alias("ended"))
+        F.col("began_ms").cast("string").alias("row"))
 
     def step(k, batches, state):
         seen = set(state.get[0]) if state.exists else set()
         first, ended, began = {}, False, None
         for pdf in batches:
-            began = int(pdf["began_ms"].iloc[0]) if began is None and len(pdf) else began
-            for pid, seq, idx, end in zip(*(pdf[c].tolist() for c in ("pattern_id", "seq", "idx", "ended"))):
-                if end:
+            for row in pdf["row"]:
+                began, *hit = map(int, row.split(","))
+                if not hit:
                     ended = True
-                elif pid not in seen and (seq, idx) < first.get(pid, (seq, idx + 1)):
+                    continue
+                pid, seq, idx = hit
+                if pid not in seen and (seq, idx) < first.get(pid, (seq, idx + 1)):
                     first[pid] = (seq, idx)
         seen |= first.keys()
         if not ended:
