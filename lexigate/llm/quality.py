@@ -7,8 +7,17 @@ counts of the value rounded down to six significant bits (relative error at most
 1/32). Sketches merge by adding counts, so partial sketches are built before the
 shuffle and a source with a third of all rows costs one row per bucket and task.
 The sketches of a language's sources merge into the language's sketch, which
-serves sources with fewer than ``MIN_SUPPORT`` documents. Cutoffs are quartile
-fences of the sketch; a join brings them back to the documents.
+serves sources with fewer than ``MIN_SUPPORT`` documents (part of the method: a
+quartile of fewer values says little). A join brings the limits back to the documents.
+
+Limits come from the sketch alone. Where the quartiles differ they are fences,
+``FENCE`` quartile ranges beyond the quartiles. Where they do not (a ratio that is 0 in
+most documents) the spread is read at the tail: the ``TAIL`` quantile of the source, as
+far as the tail of its language reaches too (but never inside the source's own
+quartiles), so that a source full of junk does not set its own limit. ``ROUNDING``
+is the least spread, what rounding of the quantiles alone can make, and a ratio made
+by ``FEW`` events or fewer in a document is not judged (one repeated line in a text of
+three is a third of it).
 
 Defined cases: null text counts as empty (no words, base rule fails, not kept);
 null language or source form groups of their own; repeated rows are judged one
@@ -27,9 +36,14 @@ MAX_REPEAT_PERCENT = 50
 MIN_SUPPORT = 100  # documents a source needs for cutoffs of its own
 FENCE = 3  # quartile ranges beyond the quartile
 SIGNIFICANT_BITS = 6
-# Least quartile range per ratio, so that a ratio that is 0 nearly everywhere
-# leaves some room above 0. letters: hundredths of a character; others: per mille.
-SLACK = {"symbols": 20, "dup_lines": 150, "repeats": 100, "letters": 60}
+# Least spread per ratio: letters (hundredths of a character) are rounded by up to 16
+# at either quartile; the others are per mille.
+ROUNDING = {"symbols": 10, "dup_lines": 10, "repeats": 10, "letters": 32}
+# Quantile (per mille) read where the quartiles are equal: ordinary prose has a line or
+# phrase again now and then, runs of symbols are never ordinary. letters: either tail.
+TAIL = {"symbols": 900, "dup_lines": 990, "repeats": 990, "letters": 900}
+FEW = 3
+WINDOW_PAIR = 6  # words of one window found twice: an event of ``repeats``
 TWO_SIDED = ("letters",)
 
 
@@ -88,6 +102,16 @@ def _ratios() -> dict[str, Column]:
             "letters": per("word_chars", "n_words", 100)}
 
 
+def _events() -> dict[str, Column]:
+    """How many events of a document make up a ratio, where it counts events."""
+    return {"symbols": F.col("n_symbols"), "dup_lines": F.col("n_dup_lines"),
+            "repeats": F.expr(f"n_repeat_words div {WINDOW_PAIR}")}
+
+
+def _per_ratio(values: dict[str, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("ratio"))
+
+
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n) over the documents that pass the base rule."""
     ratios = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("value")) for k, v in _ratios().items()])
@@ -104,34 +128,43 @@ def merged(parts: DataFrame, *by: str) -> DataFrame:
     return parts.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """Lower and upper quartile and size of each group's sketch."""
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """Quartiles, ``TAIL`` quantile and size of each group's sketch."""
     group = Window.partitionBy(*by, "ratio")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketch.select(*by, "ratio", "bucket", F.sum("n").over(upto).alias("upto"),
                            F.sum("n").over(group).alias("size"))
+
+    def at(per_mille: Column | int) -> Column:
+        return F.min(F.when(1000 * F.col("upto") >= per_mille * F.col("size"), F.col("bucket")))
+
     return ranked.groupBy(*by, "ratio").agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("size"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("size"), F.col("bucket"))).alias("q3"),
-        F.max("size").alias("size"))
+        at(250).alias("q1"), at(500).alias("q2"), at(750).alias("q3"), at(_per_ratio(TAIL)).alias("tail"),
+        at(1000 - _per_ratio(TAIL)).alias("low_tail"), F.max("size").alias("size"))
 
 
 def cutoffs(sketch: DataFrame) -> DataFrame:
     """One row per (lang, source) with ``lo_``/``hi_`` bounds of every ratio."""
-    own = quartiles(sketch, "__lang", "__source")
-    whole = (quartiles(merged(sketch, "__lang"), "__lang")
+    names = ("q1", "q2", "q3", "tail", "low_tail")
+    own = quantiles(sketch, "__lang", "__source")
+    whole = (quantiles(merged(sketch, "__lang"), "__lang")
              .select(F.col("__lang").alias("l"), F.col("ratio").alias("r"),
-                     F.col("q1").alias("lang_q1"), F.col("q3").alias("lang_q3")))
+                     *[F.col(n).alias(f"lang_{n}") for n in names]))
     both = own.join(whole, F.col("__lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("r")))
     alone = F.col("size") >= MIN_SUPPORT
-    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("ratio"))
-    q1 = F.when(alone, F.col("q1")).otherwise(F.col("lang_q1"))
-    q3 = F.when(alone, F.col("q3")).otherwise(F.col("lang_q3"))
-    reach = FENCE * F.greatest(q3 - q1, slack)
-    fenced = both.select("__lang", "__source", "ratio", (q1 - reach).alias("lo"), (q3 + reach).alias("hi"))
+    used = both.select("__lang", "__source", "ratio", "lang_tail", "lang_low_tail", _per_ratio(ROUNDING).alias("least"),
+                       *[F.when(alone, F.col(n)).otherwise(F.col(f"lang_{n}")).alias(n) for n in names])
+    least, apart = F.col("least"), F.col("q3") > F.col("q1")
+    reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), least)
+    tail = F.least("tail", F.greatest("q3", "lang_tail"))
+    low = F.greatest("low_tail", F.least("q1", "lang_low_tail"))
+    fenced = used.select(
+        "__lang", "__source", "ratio",
+        F.when(apart, F.col("q1") - reach).otherwise(low - FENCE * F.greatest(F.col("q2") - low, least)).alias("lo"),
+        F.when(apart, F.col("q3") + reach).otherwise(tail + FENCE * F.greatest(tail - F.col("q2"), least)).alias("hi"))
     return fenced.groupBy(F.col("__lang").alias("t_lang"), F.col("__source").alias("t_source")).agg(
         *[F.max(F.when(F.col("ratio") == k, F.col(b))).alias(f"{b}_{k}")
-          for k in SLACK for b in ("lo", "hi")])
+          for k in ROUNDING for b in ("lo", "hi")])
 
 
 def judge(docs: DataFrame, *carry: Column) -> DataFrame:
@@ -146,9 +179,10 @@ def judge(docs: DataFrame, *carry: Column) -> DataFrame:
     bounds = stored(cutoffs(sketches(counted)), "cutoffs")
     joined = counted.join(bounds, F.col("__lang").eqNullSafe(F.col("t_lang"))
                           & F.col("__source").eqNullSafe(F.col("t_source")), "left")
-    fine = F.lit(True)
+    fine, events = F.lit(True), _events()
     for k, value in _ratios().items():
-        fine = fine & (value <= F.col(f"hi_{k}"))
+        few = events[k] <= FEW if k in events else F.lit(False)
+        fine = fine & (few | (value <= F.col(f"hi_{k}")))
         if k in TWO_SIDED:
             fine = fine & (value >= F.col(f"lo_{k}"))
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True)))

@@ -34,43 +34,59 @@ QUALITY_RULES = rf"""
 WITH {_FEATURES},
 ratios AS (
   SELECT doc_id, lang, source, base_failed, unnest([
-    {{'k': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1)}},
-    {{'k': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}},
-    {{'k': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1)}},
-    {{'k': 'letters', 'v': 100 * word_chars // greatest(n_words, 1)}}]) AS r
+    {{'k': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1), 'events': n_symbols}},
+    {{'k': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'events': n_dup_lines}},
+    {{'k': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'events': n_repeat_words // 6}},
+    {{'k': 'letters', 'v': 100 * word_chars // greatest(n_words, 1), 'events': NULL}}]) AS r
   FROM judged),
 vals AS (
-  SELECT doc_id, lang, source, base_failed, r.k AS k, r.v AS v,
+  SELECT doc_id, lang, source, base_failed, r.k AS k, r.v AS v, r.events AS events,
+         CASE WHEN r.k IN ('symbols', 'letters') THEN 900 ELSE 990 END AS top,
          (r.v // (1::BIGINT << greatest(length(bin(r.v)) - 6, 0)::BIGINT))
            * (1::BIGINT << greatest(length(bin(r.v)) - 6, 0)::BIGINT) AS bucket
   FROM ratios),
 own_rank AS (
-  SELECT lang, source, k, bucket,
+  SELECT lang, source, k, bucket, top,
          row_number() OVER (PARTITION BY lang, source, k ORDER BY bucket) AS rn,
          count(*) OVER (PARTITION BY lang, source, k) AS size
   FROM vals WHERE NOT base_failed),
 own AS (
   SELECT lang, source, k, min(CASE WHEN 4 * rn >= size THEN bucket END) AS q1,
-         min(CASE WHEN 4 * rn >= 3 * size THEN bucket END) AS q3, max(size) AS size
-  FROM own_rank GROUP BY ALL),
+         min(CASE WHEN 2 * rn >= size THEN bucket END) AS q2,
+         min(CASE WHEN 4 * rn >= 3 * size THEN bucket END) AS q3,
+         min(CASE WHEN 1000 * rn >= top * size THEN bucket END) AS tail,
+         min(CASE WHEN 1000 * rn >= (1000 - top) * size THEN bucket END) AS low_tail, max(size) AS size
+  FROM own_rank GROUP BY lang, source, k),
 lang_rank AS (
-  SELECT lang, k, bucket, row_number() OVER (PARTITION BY lang, k ORDER BY bucket) AS rn,
+  SELECT lang, k, bucket, top, row_number() OVER (PARTITION BY lang, k ORDER BY bucket) AS rn,
          count(*) OVER (PARTITION BY lang, k) AS size
   FROM vals WHERE NOT base_failed),
 whole AS (
   SELECT lang, k, min(CASE WHEN 4 * rn >= size THEN bucket END) AS q1,
-         min(CASE WHEN 4 * rn >= 3 * size THEN bucket END) AS q3
-  FROM lang_rank GROUP BY ALL),
+         min(CASE WHEN 2 * rn >= size THEN bucket END) AS q2,
+         min(CASE WHEN 4 * rn >= 3 * size THEN bucket END) AS q3,
+         min(CASE WHEN 1000 * rn >= top * size THEN bucket END) AS tail,
+         min(CASE WHEN 1000 * rn >= (1000 - top) * size THEN bucket END) AS low_tail
+  FROM lang_rank GROUP BY lang, k),
 quart AS (
   SELECT o.lang, o.source, o.k,
          CASE WHEN o.size >= 100 THEN o.q1 ELSE w.q1 END AS q1,
-         CASE WHEN o.size >= 100 THEN o.q3 ELSE w.q3 END AS q3
+         CASE WHEN o.size >= 100 THEN o.q2 ELSE w.q2 END AS q2,
+         CASE WHEN o.size >= 100 THEN o.q3 ELSE w.q3 END AS q3,
+         CASE WHEN o.size >= 100 THEN least(o.tail, greatest(o.q3, w.tail)) ELSE w.tail END AS tail,
+         CASE WHEN o.size >= 100 THEN greatest(o.low_tail, least(o.q1, w.low_tail)) ELSE w.low_tail END AS low_tail,
+         CASE o.k WHEN 'letters' THEN 32 ELSE 10 END AS least_spread
   FROM own o JOIN whole w ON o.lang IS NOT DISTINCT FROM w.lang AND o.k = w.k),
 bounds AS (
-  SELECT *, 3 * greatest(q3 - q1, CASE k WHEN 'symbols' THEN 20 WHEN 'letters' THEN 60 WHEN 'dup_lines' THEN 150 ELSE 100 END) AS reach
+  SELECT lang, source, k,
+         CASE WHEN q3 > q1 THEN q1 - 3 * greatest(q3 - q1, least_spread)
+              ELSE low_tail - 3 * greatest(q2 - low_tail, least_spread) END AS lo,
+         CASE WHEN q3 > q1 THEN q3 + 3 * greatest(q3 - q1, least_spread)
+              ELSE tail + 3 * greatest(tail - q2, least_spread) END AS hi
   FROM quart),
 bad AS (
-  SELECT v.doc_id, bool_or(v.v > b.q3 + b.reach OR (v.k = 'letters' AND v.v < b.q1 - b.reach)) AS out
+  SELECT v.doc_id, bool_or((v.v > b.hi AND coalesce(v.events > 3, TRUE))
+                          OR (v.k = 'letters' AND v.v < b.lo)) AS out
   FROM vals v JOIN bounds b ON v.lang IS NOT DISTINCT FROM b.lang
        AND v.source IS NOT DISTINCT FROM b.source AND v.k = b.k
   GROUP BY v.doc_id)

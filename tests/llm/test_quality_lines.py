@@ -57,6 +57,30 @@ def test_thresholds_adapt_to_the_source(spark):
     assert all(v for k, v in kept.items() if k != 5000)
 
 
+def test_limits_of_repeated_lines_come_from_the_sketch(spark):
+    """Verse repeats lines in every text, reports do not: no constant keeps the verse and
+    rejects the report that reads like verse. One short line again is never judged."""
+    def text(i, lines, again):
+        own = [" ".join(f"d{i:04}l{k:02}w{j:02}" for j in range(12)) for k in range(lines)]
+        return "\n".join(own + own[:again])
+    rows = [(i, text(i, 16, 4), "en", "verse") for i in range(120)]
+    rows += [(1000 + i, text(1000 + i, 20, 0), "en", "report") for i in range(900)]
+    rows += [(5000, text(5000, 16, 4), "en", "report"), (5001, text(5001, 5, 0) + "\nsee page two\nsee page two", "en", "report")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, F.col("doc_id")).collect()}
+    assert {k for k, v in kept.items() if not v} == {5000}
+
+
+def test_a_source_of_much_junk_does_not_set_its_own_limit(spark):
+    def text(i, symbol):
+        return " ".join(f"w{i}x{k}" + (symbol if k % 2 else "") for k in range(80))
+    rows = [(i, text(i, "#" if i % 7 == 0 else ""), "en", "dump") for i in range(140)]
+    rows += [(1000 + i, text(1000 + i, ""), "en", "plain") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, F.col("doc_id")).collect()}
+    assert {k for k, v in kept.items() if not v} == set(range(0, 140, 7))
+
+
 def test_merged_sketches_equal_one_sketch(odd_docs):
     counted = quality.features(odd_docs, F.col("text"), F.col("doc_id"), F.col("lang").alias("__lang"),
                                F.col("source").alias("__source"))
