@@ -4,11 +4,18 @@
 then reads (id, pattern_id, idx, end_idx) like any table, joins it, filters it or
 stops at the first match with an aggregate. The rows come from the native matcher,
 with case and position rules applied.
+
+``register_match_function`` makes a SQL table function of a pattern table instead, to be
+called with LATERAL on any text of any table. Its body is the native key join, which
+Spark decorrelates: each different text is matched once and joined back to its rows by
+the text itself, so texts are shuffled. The view leaves them in place and is the way for
+a table of large texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def register_keyword_matches(docs: DataFrame, patterns: DataFrame, name: str = "keyword_matches",
@@ -17,3 +24,43 @@ def register_keyword_matches(docs: DataFrame, patterns: DataFrame, name: str = "
     found = keyword_occurrences(docs, patterns, id_col, text)
     found.select(id_col, "pattern_id", "idx", "end_idx").createOrReplaceTempView(name)
     return name
+
+
+_LETTERS = "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+
+
+def register_match_function(patterns: DataFrame, name: str) -> str:
+    """A temporary function ``name(text STRING)``: TABLE (pattern_id, idx, end_idx).
+
+    The patterns are written and named by a view ``{name}_patterns``. Case and position
+    rules hold; null and empty texts give no rows. Pieces of a text bound the positions in
+    one array, as in the matcher."""
+    from lexigate.functions import ascii_fold
+    from lexigate.operators.matching import KEY_BYTES, PIECE_BYTES, _pattern_side, _uses
+    from lexigate.session import materialize
+    spark = patterns.sparkSession
+    side = _pattern_side(patterns).select(
+        "*", F.encode("pattern", "UTF-8").alias("pb"), F.encode(ascii_fold("pattern"), "UTF-8").alias("pf"))
+    side = materialize(side.withColumn("key", F.xxhash64(F.substring("pf", 1, KEY_BYTES))), "function_patterns")
+    side.createOrReplaceTempView(f"{name}_patterns")
+    _, lengths, longest = _uses(side)
+    step = max(PIECE_BYTES, 8 * longest)
+    kind = side.schema["pattern_id"].dataType.simpleString()
+    spark.sql(f"""
+CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING)
+RETURNS TABLE (pattern_id {kind}, idx INT, end_idx INT)
+RETURN SELECT p.pattern_id, CAST(a.start + a.place AS INT), CAST(a.start + a.place + p.n AS INT)
+FROM (SELECT start, b, fb, place, xxhash64(substring(fb, place + 1, size)) AS key
+      FROM (SELECT start, b, fb, place, explode(array({", ".join(str(int(n)) for n in lengths)})) AS size
+            FROM (SELECT start, b, fb, explode(sequence(0, least(octet_length(fb), {step}) - 1)) AS place
+                  FROM (SELECT start, b, encode(translate(decode(b, 'ISO-8859-1'), {_LETTERS}), 'ISO-8859-1') AS fb
+                        FROM (SELECT start, substring(d, start + 1, {step + longest - 1}) AS b
+                              FROM (SELECT d, explode(sequence(0, octet_length(d) - 1, {step})) AS start
+                                    FROM (SELECT encode(t, 'UTF-8') AS d) WHERE octet_length(d) > 0)))))
+      WHERE place + size <= octet_length(fb)) a
+JOIN {name}_patterns p ON a.key = p.key
+WHERE substring(a.fb, a.place + 1, p.n) = p.pf
+  AND (p.nocase OR substring(a.b, a.place + 1, p.n) = p.pb)
+  AND p.offset >= 0 AND p.depth >= 0 AND (p.offset = 0 OR p.offset <= a.start + a.place)
+  AND (p.depth = 0 OR p.offset + p.depth >= a.start + a.place + p.n)""")
+    return name

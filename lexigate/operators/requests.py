@@ -110,6 +110,6 @@ def inflight_completion(inflight: DataFrame, done: DataFrame) -> DataFrame:
     return inflight.join(done.select(*REQUEST_KEY).distinct(), REQUEST_KEY, "left_anti")
 
 
-def inflight_listing(inflight: DataFrame) -> DataFrame:
-    """``host || path`` of every URL in flight."""
-    return inflight.select(F.concat("host", "path").alias("url"))
+def inflight_listing(inflight: DataFrame, *keep: str) -> DataFrame:
+    """``host || path`` of every URL in flight (and the ``keep`` columns)."""
+    return inflight.select(F.concat("host", "path").alias("url"), *keep)

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigate.functions import code_groupid, code_grouptype
-from lexigate.functions.udtf import register_keyword_matches
+from lexigate.functions.udtf import register_keyword_matches, register_match_function
 from lexigate.operators import batches as B
 from lexigate.operators import chunks as C
 from lexigate.operators import dictionary as D
+from lexigate.operators import early as E
 from lexigate.operators import matching as M
 from lexigate.operators import requests as R
 from lexigate.operators import scoring as S
@@ -26,6 +27,7 @@ from lexigate.operators.ordinal import global_ordinal
 from lexigate.plans import oracle as O
 from lexigate.session import local_copy, new_folder
 from lexigate.sources import derived, fixtures, sinks
+from lexigate.sources.tables import pages
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -398,6 +400,20 @@ def q_no_match_docs(spark, sf):
                .select("doc_id"))
 
 
+@query("any_match_early", _sql(
+    W, "SELECT doc_id FROM docs d WHERE EXISTS (SELECT 1 FROM wpats p "
+       "WHERE contains(d.text, p.pattern))", "docs", "word_dictionary"))
+def q_any_match_early(spark, sf):
+    return out(E.any_match_docs(derived.docs(spark, sf), word_dictionary(spark)[4]).select("doc_id"))
+
+
+@query("no_match_early", _sql(
+    W, "SELECT doc_id FROM docs d WHERE NOT EXISTS (SELECT 1 FROM wpats p "
+       "WHERE contains(d.text, p.pattern))", "docs", "word_dictionary"))
+def q_no_match_early(spark, sf):
+    return out(E.no_match_docs(derived.docs(spark, sf), word_dictionary(spark)[4]).select("doc_id"))
+
+
 @query("policy_patterns", _sql(
     BPP, "SELECT pattern_id, pattern, n, nocase, CAST(\"offset\" AS BIGINT) AS \"offset\", "
          "CAST(depth AS BIGINT) AS depth, policy, percent, content_num FROM bpp",
@@ -620,6 +636,14 @@ def q_first_match(spark, sf):
     return out(Q.first_match(_test_occ(spark, sf)))
 
 
+@query("first_match_early", _sql(
+    TEST_OCC, "SELECT doc_id, pattern_id, idx, end_idx FROM (SELECT *, row_number() OVER "
+              "(PARTITION BY doc_id ORDER BY end_idx, n, pattern_id) AS rn FROM tocc) "
+              "WHERE rn = 1", "docs", "policies", "policy_keywords"))
+def q_first_match_early(spark, sf):
+    return out(E.first_events(derived.docs(spark, sf), test_policy_patterns(spark)))
+
+
 @query("policy_trigger", _sql(
     POLICY_OCC, "SELECT doc_id, policy, pattern_id, idx, end_idx, m AS events, "
                 "(m * 100) // content_num AS running_percent FROM (SELECT *, count(*) OVER "
@@ -703,6 +727,23 @@ def q_match_udtf(spark, sf):
     return out(spark.sql(f"SELECT doc_id, pattern_id, idx, end_idx FROM {name}"))
 
 
+MATCH_FUNCTION_SQL = _sql(
+    TEST_OCC + [("pg", "SELECT page_id AS doc_id, html AS text FROM pages"),
+                ("pocc_html", O.occurrences("pg", "tpp"))],
+    "SELECT 'documents' AS origin, doc_id AS row_id, pattern_id, idx, end_idx FROM tocc UNION ALL "
+    "SELECT 'pages', doc_id, pattern_id, idx, end_idx FROM pocc_html", "docs", "policies", "policy_keywords")
+
+
+@query("match_function", MATCH_FUNCTION_SQL)
+def q_match_function(spark, sf):
+    """One table function called on two tables."""
+    name = register_match_function(test_policy_patterns(spark), f"matches_{uuid.uuid4().hex[:8]}")
+    tables = {"d": derived.docs(spark, sf), "p": pages(spark, sf, "page_id", "html")}
+    return out(spark.sql(
+        f"SELECT 'documents' AS origin, d.doc_id AS row_id, m.* FROM {{d}} d, LATERAL {name}(d.text) m "
+        f"UNION ALL SELECT 'pages', p.page_id, m.* FROM {{p}} p, LATERAL {name}(p.html) m", **tables))
+
+
 @query("pattern_payload", _sql(
     WOCC, "SELECT doc_id, pattern_id, idx, pattern_id AS payload_iid, "
           "cat_num AS payload_cat_num FROM wocc", "docs", "word_dictionary"))

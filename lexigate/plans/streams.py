@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lexigate.operators import batches as B
 from lexigate.operators import chunks as C
+from lexigate.operators import requests as R
 from lexigate.operators import scoring as S
 from lexigate.plans import catalog as K
 from lexigate.plans import oracle as O
@@ -486,3 +487,43 @@ def q_stream_inflight_completion(spark, sf):
     res = _read_back(spark, runner.run_to_parquet(admitted, "stream_inflight_completion", staged))
     return out(res.select("req_id", "host", "path", "method", "dst",
                           F.unix_micros("ts").alias("ts_us")))
+
+
+# -- listing of what is in flight, from a stream's state --------------------------
+
+LISTING_GIVE_UP = 90 * 86400  # no fetch is given up while the stream is looked at
+
+INFLIGHT_STATE_SQL = O.with_(
+    [("done", "SELECT DISTINCT r.host, r.path, r.method, r.dst, "
+              f"r.req_id + length(r.path) // {PATH_CHARS_PER_SECOND} AS done_at FROM url_requests_first r "
+              "JOIN page_content c ON r.host = c.host AND r.path = c.path"),
+     ("last_done", "SELECT host, path, method, dst, max(done_at) AS done_at FROM done GROUP BY ALL"),
+     ("open", "SELECT DISTINCT r.host, r.path, r.method, r.dst FROM url_requests r LEFT JOIN last_done d ON "
+              "d.host = r.host AND d.path = r.path AND d.method = r.method AND d.dst = r.dst "
+              "WHERE d.done_at IS NULL OR r.req_id >= d.done_at")],
+    "SELECT host || path AS url, CAST(method AS BIGINT) AS method, dst FROM open",
+    "url_requests", "url_requests_first", "page_content")
+
+
+@query("stream_inflight_listing", INFLIGHT_STATE_SQL)
+def q_stream_inflight_listing(spark, sf):
+    """URLs in flight, read from the state of a stream of requests and completions: only
+    URLs with a page complete."""
+    key = ["host", "path", "method", "dst"]
+    reqs = (derived.url_requests(spark, sf).withColumn("ts", _epoch_plus(F.col("req_id")))
+            .withColumn("kind", F.lit("request")))
+    fetch = F.floor(F.char_length("path") / PATH_CHARS_PER_SECOND)
+    found = derived.page_content(spark, sf).select("host", "path")
+    done = (derived.url_requests_first(spark, sf).join(found, ["host", "path"], "left_semi")
+            .withColumn("ts", _epoch_plus(F.col("req_id") + fetch)).withColumn("kind", F.lit("done")))
+    rows = reqs.unionByName(done)
+    marker = rows.agg(F.max("ts").alias("m")).select(
+        F.lit(-1).cast("long").alias("req_id"), F.lit(1).cast("tinyint").alias("method"),
+        F.lit(0).cast("long").alias("dst"), F.lit("end").alias("host"), F.lit("/").alias("path"),
+        (F.col("m") + F.expr("INTERVAL 20 DAYS")).alias("ts"), F.lit("done").alias("kind"))
+    staged = runner.stage(spark, [rows.filter("req_id % 2 = 1"), rows.filter("req_id % 2 = 0"),
+                                  marker.select(*rows.columns)], "requests_listing")
+    admitted = SO.inflight_until_done(runner.read_stream(spark, staged), key, "ts", LISTING_GIVE_UP, watermark="10 days")
+    chk = runner.run_to_state(admitted, "stream_inflight_listing", staged)
+    listed = SO.inflight_keys(spark, chk, key, LISTING_GIVE_UP)
+    return out(R.inflight_listing(listed, "method", "dst"))

@@ -14,7 +14,7 @@ import struct
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -164,6 +164,22 @@ PARTS = 4  # a resource's hits are dealt over this many states
 _HEAD = ">iq"  # number and time (ms), big-endian, before the chunk
 
 
+def inflight_keys(spark: SparkSession, checkpoint: str, key: Sequence[str], hold_seconds: int,
+                  batch_id: int | None = None) -> DataFrame:
+    """The keys in flight in a stream of ``inflight_hold`` or ``inflight_until_done``, from
+    the state in its checkpoint (of the last finished micro-batch, or ``batch_id``): the
+    ``key`` columns, ``since`` and ``until`` (when the hold lapses: state keeps a lapsed key
+    until the watermark has passed that). The stream may go on meanwhile. Keys with only
+    rows that wait for the watermark are not in flight yet."""
+    read = spark.read.format("statestore")
+    if batch_id is not None:
+        read = read.option("batchId", batch_id)
+    state = read.load(checkpoint).filter("value.groupState.since IS NOT NULL")
+    since = F.timestamp_micros("value.groupState.since")
+    return state.select(*[F.col(f"key.__k{i}").alias(k) for i, k in enumerate(key)], since.alias("since"),
+                        (since + F.make_dt_interval(secs=F.lit(hold_seconds))).alias("until"))
+
+
 def _big_endian(number: Column, size: int) -> Column:
     digits = F.lpad(F.hex(number.cast("long")), 16, "0")
     return F.unhex(F.substring(digits, 17 - 2 * size, 2 * size))

@@ -61,6 +61,15 @@ def run_to_parquet(stream: DataFrame, name: str, *staged: Staged, mode: str = "a
     return out
 
 
+def run_to_state(stream: DataFrame, name: str, *staged: Staged) -> str:
+    """Run a stream over all waves for its state: the checkpoint folder, which other
+    queries read between waves too. Its rows are written and left alone."""
+    chk, target = _folder(stream.sparkSession, "chk", name), _folder(stream.sparkSession, "out", name)
+    _run(lambda: stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", chk)
+         .trigger(availableNow=True).start(), staged)
+    return chk
+
+
 def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None],
                       *staged: Staged) -> None:
     chk = _folder(stream.sparkSession, "chk", name)
