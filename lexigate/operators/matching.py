@@ -203,17 +203,22 @@ def keyword_hits(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
         _key_hits(docs, ranged, id_col, text))
 
 
+def alike_patterns(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patterns that differ, each under the smallest id of its equals; ``__head`` and
+    ``pattern_id`` of all, for a join once hits are distinct)."""
+    p = _pattern_side(patterns)
+    alike = ["pattern", "nocase", "offset", "depth"]
+    heads = p.groupBy(*alike).agg(F.min("pattern_id").alias("__head"))
+    return heads.withColumnRenamed("__head", "pattern_id"), p.join(heads, alike).select("__head", "pattern_id")
+
+
 def _key_hits(docs: DataFrame, patterns: DataFrame, id_col: str, text: str,
               shuffled: bool = False) -> DataFrame:
     """Equal patterns (a word listed many times) are found once, under the smallest id,
     and take their own ids only after the hits of a text are distinct."""
-    p = _pattern_side(patterns)
-    alike = ["pattern", "nocase", "offset", "depth"]
-    heads = p.groupBy(*alike).agg(F.min("pattern_id").alias("__head"))
-    found = (keyword_occurrences(docs, heads.withColumnRenamed("__head", "pattern_id"), id_col, text,
-                                 shuffled=shuffled)
+    heads, members = alike_patterns(patterns)
+    found = (keyword_occurrences(docs, heads, id_col, text, shuffled=shuffled)
              .select(id_col, F.col("pattern_id").alias("__head")).distinct())
-    members = p.join(heads, alike).select("__head", "pattern_id")
     return found.join(members, "__head").select(id_col, "pattern_id")
 
 

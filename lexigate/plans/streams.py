@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lexigate.operators import batches as B
 from lexigate.operators import chunks as C
+from lexigate.operators import matching as M
 from lexigate.operators import requests as R
 from lexigate.operators import scoring as S
 from lexigate.plans import catalog as K
@@ -123,8 +124,11 @@ def _first_hits(spark, sf, patterns, name):
     # state carried between micro-batches is exercised
     staged = runner.stage(spark, [rows.filter("seq < 2"), rows.filter("seq >= 2")], "chunks")
     frames = SO.framed_chunks(runner.read_stream(spark, staged), _longest(patterns), IDLE_SECONDS, "1 day")
-    _, found = runner.run_hops(frames, lambda f: SO.resource_hits(SO.frame_hits(f, patterns), f), name, staged)
-    return _read_back(spark, found)
+    # equal patterns are matched and kept in state once; they take their own ids behind it
+    heads, members = (materialize(t, "stream-patterns") for t in M.alike_patterns(patterns))
+    _, found = runner.run_hops(frames, lambda f: SO.resource_hits(SO.frame_hits(f, heads), f), name, staged)
+    return (_read_back(spark, found).withColumnRenamed("pattern_id", "__head").join(members, "__head")
+            .select("resource_id", "pattern_id", "seq", "idx"))
 
 
 @query("stream_chunk_match", CHUNK_MATCH_SQL)

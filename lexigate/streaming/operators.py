@@ -10,10 +10,12 @@ allows no second stateful operator behind keyed Python state).
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,8 +162,13 @@ CHUNK_HIT_SCHEMA = T.StructType([
 ])
 PARTS = 4  # a resource's hits are dealt over this many states
 
-# Keyed state pays for each column of each key, so a row reaches it as one column.
-_HEAD = ">iq"  # number and time (ms), big-endian, before the chunk
+# Keyed Python state pays some milliseconds for every key of every micro-batch, so a key is
+# a bucket of resources, and memory is that of one bucket. Not to be changed for a checkpoint.
+BUCKETS = 512
+
+
+def _bucket(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(BUCKETS)).alias("bucket")
 
 
 def inflight_keys(spark: SparkSession, checkpoint: str, key: Sequence[str], hold_seconds: int,
@@ -180,18 +187,14 @@ def inflight_keys(spark: SparkSession, checkpoint: str, key: Sequence[str], hold
                         (since + F.make_dt_interval(secs=F.lit(hold_seconds))).alias("until"))
 
 
-def _big_endian(number: Column, size: int) -> Column:
-    digits = F.lpad(F.hex(number.cast("long")), 16, "0")
-    return F.unhex(F.substring(digits, 17 - 2 * size, 2 * size))
-
-
 def framed_chunks(chunks: DataFrame, max_pattern_bytes: int, idle_seconds: int, watermark: str,
                   horizon_seconds: int = 7 * 86400) -> DataFrame:
     """Each resource's chunks in order, framed with the bytes before them, for native
     matching (``frame_hits``). No pattern is held in state.
 
     State per resource: the last ``max_pattern_bytes - 1`` bytes, the next sequence
-    number, and chunks that came early; they are numbered from 0. When the resource has
+    number, and chunks that came early; they are numbered from 0. Resources are kept in
+    ``BUCKETS`` states by hash. When the resource has
     been idle for ``idle_seconds`` (the watermark has passed its last chunk by that much),
     chunks still held go out across the gap, without the bytes before it, and it ends. A
     mark stays in state for ``horizon_seconds`` more, so a chunk that comes after the end
@@ -207,68 +210,84 @@ def framed_chunks(chunks: DataFrame, max_pattern_bytes: int, idle_seconds: int,
     """
     tail_len = max(max_pattern_bytes - 1, 0)
     idle_ms, horizon_ms = idle_seconds * 1000, horizon_seconds * 1000
-    state_schema = T.StructType([T.StructField("tail", T.BinaryType()),
-                                 T.StructField("next_seq", T.IntegerType()),
-                                 T.StructField("began_ms", T.LongType()),
-                                 T.StructField("last_ms", T.LongType()),
-                                 T.StructField("ended", T.BooleanType()),
+    # One entry per resource of the bucket in the first six, per held chunk in the last three.
+    state_schema = T.StructType([T.StructField("resource_id", T.ArrayType(T.LongType())),
+                                 T.StructField("tail", T.ArrayType(T.BinaryType())),
+                                 T.StructField("next_seq", T.ArrayType(T.IntegerType())),
+                                 T.StructField("began_ms", T.ArrayType(T.LongType())),
+                                 T.StructField("last_ms", T.ArrayType(T.LongType())),
+                                 T.StructField("ended", T.ArrayType(T.BooleanType())),
+                                 T.StructField("held_of", T.ArrayType(T.LongType())),
                                  T.StructField("held_seq", T.ArrayType(T.IntegerType())),
                                  T.StructField("held_data", T.ArrayType(T.BinaryType()))])
 
     def step(k, batches, state):
-        tail, next_seq, began, last, ended, held = b"", 0, None, 0, False, {}
+        known: dict[int, list] = {}  # resource: tail, next number, began, last, ended, held chunks
         if state.exists:
-            tail, next_seq, began, last, ended, held_seq, held_data = state.get
-            tail = bytes(tail or b"")
-            held = {s: bytes(d) for s, d in zip(held_seq or [], held_data or [])}
+            *each, held_of, held_seq, held_data = state.get
+            known = {r: [bytes(tail), *more, {}] for r, tail, *more in zip(*each)}
+            for r, seq, data in zip(held_of, held_seq, held_data):
+                known[r][5][seq] = bytes(data)
         now = state.getCurrentWatermarkMs()
-        if ended and state.hasTimedOut:
-            state.remove()
-            return
+        touched = set()
 
-        def take(rows, across_gaps):
-            nonlocal tail, next_seq
+        def take(r, rows, across_gaps):
+            tail, next_seq, began, _, _, held = known[r]
             while held and (across_gaps or next_seq in held):
-                seq = min(held)
+                seq = next_seq if next_seq in held else min(held)
                 if seq != next_seq:  # a chunk never came: nothing carries over the gap
                     tail = b""
                 data = held.pop(seq)
-                rows.append((k[0], "frame", seq, len(tail), tail + data, began))
+                rows.append((r, "frame", seq, len(tail), tail + data, began))
                 tail = (tail + data)[-tail_len:] if tail_len else b""
                 next_seq = seq + 1
-            return rows
-
-        if state.exists and not ended and (state.hasTimedOut or last + idle_ms <= now):
-            rows = take([], True)
-            rows.append((k[0], "end", next_seq, 0, None, began))
-            tail, ended = b"", True
+            known[r][:2] = tail, next_seq
+
+        rows = []
+        for r, own in known.items():
+            if not own[4] and own[3] + idle_ms <= now:
+                take(r, rows, True)
+                rows.append((r, "end", own[1], 0, None, own[2]))
+                own[0], own[4] = b"", True
+                touched.add(r)
+        if rows:
             yield pd.DataFrame(rows, columns=FRAME_SCHEMA.names)
         for pdf in batches:
-            rows = []
-            for packed in pdf["row"]:
-                seq, ms = struct.unpack_from(_HEAD, packed)
-                data = bytes(packed[struct.calcsize(_HEAD):])
-                if ended:
-                    rows.append((k[0], "late", seq, 0, data, began))
+            rows, came = [], set()
+            for r, seq, ms, data in zip(*(pdf[c].tolist() for c in ("resource_id", "seq", "ms", "data"))):
+                own = known.get(r)
+                if own is None:
+                    own = known[r] = [b"", 0, ms, 0, False, {}]
+                touched.add(r)
+                if own[4]:
+                    rows.append((r, "late", seq, 0, bytes(data), own[2]))
                     continue
-                began = ms if began is None else began
-                last = max(last, ms)
-                if seq >= next_seq:
-                    held.setdefault(seq, data)
-            take(rows, False)
+                own[3] = max(own[3], ms)
+                if seq >= own[1]:
+                    own[5].setdefault(seq, bytes(data))
+                    came.add(r)
+            for r in came:
+                take(r, rows, False)
             if rows:
                 yield pd.DataFrame(rows, columns=FRAME_SCHEMA.names)
-        if began is None:
+        # A mark goes when its horizon has passed, in a micro-batch without a chunk of it.
+        known = {r: own for r, own in known.items()
+                 if not own[4] or r in touched or own[3] + idle_ms + horizon_ms >= now}
+        if not known:
+            if state.exists:
+                state.remove()
             return
-        order = sorted(held)
-        state.update((tail, next_seq, began, last, ended, order, [held[s] for s in order]))
-        state.setTimeoutTimestamp(max(last + idle_ms + (horizon_ms if ended else 0), now + 1))
+        held = [(r, seq, own[5][seq]) for r, own in known.items() for seq in sorted(own[5])]
+        state.update((list(known), *([own[i] for own in known.values()] for i in range(5)),
+                      *([h[i] for h in held] for i in range(3))))
+        wake = min(own[3] + idle_ms + (horizon_ms if own[4] else 0) for own in known.values())
+        state.setTimeoutTimestamp(max(wake, now + 1))
 
     read = chunks.filter(F.col("resource_id").isNotNull() & F.col("seq").isNotNull() & F.col("ts").isNotNull())
-    row = F.concat(_big_endian(F.col("seq").cast("int"), 4), _big_endian(F.unix_millis("ts"), 8),
-                   F.coalesce(F.col("data"), F.lit(b"")))
-    return (read.withWatermark("ts", watermark).select("resource_id", "ts", row.alias("row"))
-            .groupBy("resource_id")
+    return (read.withWatermark("ts", watermark)
+            .select(_bucket("resource_id"), "resource_id", F.col("seq").cast("int").alias("seq"), "ts",
+                    F.unix_millis("ts").alias("ms"), F.coalesce(F.col("data"), F.lit(b"")).alias("data"))
+            .groupBy("bucket")
             .applyInPandasWithState(step, FRAME_SCHEMA, state_schema, "append", GroupStateTimeout.EventTimeTimeout))
 
 
@@ -290,42 +309,92 @@ def resource_hits(hits: DataFrame, frames: DataFrame, finished: bool = False) ->
 
     With ``finished`` nothing comes out before a resource's ``end`` row; then its patterns
     do, in ``PARTS`` rows (resource_id, part, began_ms, patterns), empty ones included, for a verdict.
-    State is the reported pattern ids of resources that have not ended, dealt over
-    ``PARTS`` states each. Frames written by one micro-batch must be read together (no
+    State is the reported pattern ids of resources that have not ended: a resource's are dealt
+    over ``PARTS`` places, these over ``BUCKETS`` states. Hits reach them packed: a row per
+    frame and part. Frames written by one micro-batch must be read together (no
     ``maxFilesPerTrigger`` that splits them).
     """
-    found = hits.select("resource_id", F.pmod(F.col("pattern_id"), F.lit(PARTS)).cast("int").alias("part"),
-                        F.concat_ws(",", "began_ms", "pattern_id", "seq", "idx").alias("row"))
+    packed = "resource_id long, part int, seq int, began_ms long, ids binary, places binary"
+    rows = hits.select("resource_id", "seq", F.col("pattern_id").cast("long").alias("pattern_id"), "idx").mapInArrow(
+        _packed_hits, packed)
     ends = frames.filter(F.col("kind") == "end").select(
         "resource_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"),
-        F.col("began_ms").cast("string").alias("row"))
+        F.lit(None).cast("int").alias("seq"), "began_ms", F.lit(b"").alias("ids"), F.lit(b"").alias("places"))
 
     def step(k, batches, state):
-        seen = set(state.get[0]) if state.exists else set()
-        first, ended, began = {}, False, None
+        seen = _read_pairs(state.get[0]) if state.exists else np.zeros((0, 2), np.int64)
+        new, ended = np.zeros((0, 4), np.int64), {}
         for pdf in batches:
-            for row in pdf["row"]:
-                began, *hit = map(int, row.split(","))
-                if not hit:
-                    ended = True
-                    continue
-                pid, seq, idx = hit
-                if pid not in seen and (seq, idx) < first.get(pid, (seq, idx + 1)):
-                    first[pid] = (seq, idx)
-        seen |= first.keys()
-        if not ended:
-            state.update((sorted(seen),))
+            is_end = pdf["seq"].isna()
+            ended.update(zip(zip(pdf["resource_id"][is_end].tolist(), pdf["part"][is_end].tolist()),
+                             pdf["began_ms"][is_end].tolist()))
+            hit = pdf[~is_end]
+            ids = [np.frombuffer(b, np.int64) for b in hit["ids"]]
+            if not ids:
+                continue
+            sizes = [len(i) for i in ids]
+            new = _first_of_each(np.concatenate([new, np.column_stack([
+                np.repeat(hit["resource_id"].to_numpy(np.int64), sizes), np.concatenate(ids),
+                np.repeat(hit["seq"].to_numpy(np.int64), sizes),
+                np.concatenate([np.frombuffer(b, np.int32) for b in hit["places"]])])]))
+        # What was seen comes first of its pair, so only the others are news.
+        both = _first_of_each(np.concatenate([np.column_stack([seen, np.full((len(seen), 2), -1 << 62)]), new]))
+        news, pairs = both[both[:, 2] != -1 << 62], both[:, :2]
+        over = np.zeros(len(pairs), bool)
+        if ended:
+            own = pd.MultiIndex.from_arrays([pairs[:, 0], np.mod(pairs[:, 1], PARTS)])
+            over = own.isin(list(ended))
+        if not finished and len(news):
+            yield pd.DataFrame(news, columns=CHUNK_HIT_SCHEMA.names)
+        elif finished and ended:
+            found = {key: [] for key in ended}
+            for r, pid in pairs[over].tolist():
+                found[r, pid % PARTS].append(pid)
+            yield pd.DataFrame([(*key, ended[key], ids) for key, ids in found.items()], columns=FINISHED_SCHEMA.names)
+        if not over.all():
+            state.update((_written_pairs(pairs[~over]),))
         elif state.exists:
             state.remove()
-        if not finished and first:
-            yield pd.DataFrame([(k[0], pid, *at) for pid, at in first.items()], columns=CHUNK_HIT_SCHEMA.names)
-        elif finished and ended:
-            yield pd.DataFrame({"resource_id": [k[0]], "part": [k[1]], "began_ms": [began],
-                                "patterns": [sorted(seen)]})
 
-    return (found.unionByName(ends).groupBy("resource_id", "part").applyInPandasWithState(
+    return (rows.unionByName(ends).select(_bucket("resource_id", "part"), "*").groupBy("bucket").applyInPandasWithState(
         step, FINISHED_SCHEMA if finished else CHUNK_HIT_SCHEMA,
-        T.StructType([T.StructField("seen", T.ArrayType(T.LongType()))]), "append", GroupStateTimeout.NoTimeout))
+        T.StructType([T.StructField("seen", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout))
+
+
+def _first_of_each(hits: np.ndarray) -> np.ndarray:
+    """The row with the least (seq, idx) of each (resource, pattern); sorted by these."""
+    hits = hits[np.lexsort(hits.T[::-1])]
+    return hits[np.append(True, (hits[1:, :2] != hits[:-1, :2]).any(axis=1))[:len(hits)]]
+
+
+def _written_pairs(pairs: np.ndarray) -> bytes:
+    """Sorted (resource, pattern) pairs as zipped differences."""
+    return zlib.compress(np.diff(pairs, axis=0, prepend=np.zeros((1, 2), np.int64)).T.tobytes(), 1)
+
+
+def _read_pairs(written: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(written), np.int64).reshape(2, -1).T, axis=0)
+
+
+def _packed_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits to one row per frame and part of the pattern ids: the ids and places, each
+    pattern at its first."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        resource, seq, pid, idx = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+        # a frame is one of (resource, seq); the first place of a pattern in it is kept
+        order = np.lexsort((idx, pid, np.mod(pid, PARTS), seq, resource))
+        at = np.column_stack([resource, seq, np.mod(pid, PARTS), pid, idx])[order]
+        at = at[np.append(True, (at[1:, :4] != at[:-1, :4]).any(axis=1))]
+        start = np.flatnonzero(np.append(True, (at[1:, :3] != at[:-1, :3]).any(axis=1)))
+        cuts = list(zip(start.tolist(), [*start[1:].tolist(), len(at)]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at[start, 0]), pa.array(at[start, 2].astype(np.int32)), pa.array(at[start, 1].astype(np.int32)),
+             pa.nulls(len(start), pa.int64()),
+             pa.array([at[a:b, 3].tobytes() for a, b in cuts], pa.binary()),
+             pa.array([at[a:b, 4].astype(np.int32).tobytes() for a, b in cuts], pa.binary())],
+            names=["resource_id", "part", "seq", "began_ms", "ids", "places"])
 
 
 def drop_late(stream: DataFrame, ts: str, watermark: str, row_key: Sequence[str]) -> DataFrame:

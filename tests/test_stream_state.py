@@ -5,6 +5,7 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from lexigate import session
 from lexigate.operators import chunks as C
 from lexigate.plans import streams as ST
 from lexigate.sources import fixtures, tables
@@ -151,3 +152,18 @@ def test_requests_and_completions_in_any_order(spark):
     for seed in (1, 2):
         random.Random(seed).shuffle(rows)
         assert admitted_of(spark, [rows[i::3] for i in range(3)], 30) == sorted(want)
+
+
+def test_state_is_kept_by_buckets_of_resources(spark):
+    """Keyed Python state pays for each key of each micro-batch: many resources, few keys."""
+    many = spark.range(6000).select(F.col("id").alias("resource_id"), F.lit(0).alias("seq"), F.lit(b"ab").alias("data"),
+                                    F.timestamp_seconds(F.lit(10)).alias("ts"))
+    staged = runner.stage(spark, [many, wave(spark, (-1, 0, b"", 10 ** 6))], "bucket_chunks")
+    pats = pats_of(spark, "ab", "b", "b")
+    frames = SO.framed_chunks(runner.read_stream(spark, staged), 2, 3600, "1 hour")
+    between, found = runner.run_hops(frames, lambda f: SO.resource_hits(SO.frame_hits(f, pats), f, True), "bucket", staged)
+    chk = next(p for p in reversed(session._FOLDERS[spark.sparkContext.applicationId]) if "/chk/bucket-frames" in p)
+    assert spark.read.format("statestore").load(chk).count() <= SO.BUCKETS
+    got = spark.read.parquet(found).groupBy("resource_id").agg(F.count("*").alias("n"), F.sum(F.size("patterns")).alias("p"))
+    assert got.filter("resource_id >= 0 AND n = 4 AND p = 3").count() == 6000
+    assert spark.read.parquet(between).filter("kind = 'end' AND resource_id >= 0").count() == 6000
