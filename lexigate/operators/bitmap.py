@@ -20,14 +20,18 @@ def hash_bitmap(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
     ``MAX_BITS``. One row per 4 KiB."""
     bits = min(MAX_BITS, max(15, (16 * keys.count()).bit_length()))
     place = _place(F.col(column), bits)
-    return materialize(keys.groupBy(F.bitmap_bucket_number(place).alias("__bm_bucket"))
-                       .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bm_bits")), "bitmap"), bits
+    made = (keys.groupBy(F.bitmap_bucket_number(place).alias("__bm_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bm_bits")))
+    # 1,024 numbers of 32 bits each: a test is one look-up and a shift
+    words = F.expr("transform(sequence(0, 1023), w -> cast(conv(hex(substring(__bm_bits, 4 * w + 1, 4)), 16, 10) AS BIGINT))")
+    return materialize(made.select("__bm_bucket", words.alias("__bm_words")), "bitmap"), bits
 
 
 def in_bitmap(rows: DataFrame, column: str, bitmap: DataFrame, bits: int) -> DataFrame:
     """The rows whose hash is (or collides with one) in the bitmap."""
     place = _place(F.col(column), bits)
-    placed = rows.withColumn("__bm_own", F.bitmap_bucket_number(place)).withColumn("__bm_at", F.bitmap_bit_position(place))
-    byte = F.conv(F.hex(F.expr("substring(__bm_bits, cast(__bm_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(__bm_at % 8 as int))")) != 0
+    placed = rows.withColumn("__bm_own", F.bitmap_bucket_number(place)).withColumn(
+        "__bm_at", F.bitmap_bit_position(place).cast("int"))
+    # bytes are in order within a number, so its highest byte has the lowest places
+    hit = F.expr("shiftright(get(__bm_words, cast(__bm_at div 32 AS INT)), (__bm_at % 32) ^ 24) & 1 = 1")
     return placed.join(F.broadcast(bitmap), F.col("__bm_own") == F.col("__bm_bucket")).filter(hit).select(*rows.columns)

@@ -18,8 +18,9 @@ Hit pairs may also be had by other methods, chosen by name only:
 
 * ``anchor``   - for dictionaries beyond memory: the texts are read once and nothing of
   the dictionary is broadcast but a bitmap of key hashes (at most 16 MiB). Positions in
-  the bitmap are shuffled on their key, with the bytes a pattern may cover, and joined to
-  the shuffled dictionary; keys are salted, as a usual word's key may be hot.
+  the bitmap are shuffled with just the bytes that a pattern would cover and joined to the
+  shuffled dictionary; keys are salted, as a usual word may be hot. Where no pattern has a
+  position rule, hit pairs need each text's bytes once: texts are dealt, then made distinct.
 
 * ``contains`` - a join on native ``contains``, one test per (text, pattern).
 * ``regex``    - one trie-factored look-ahead regex per case class and block of
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from lexigate.functions import ascii_fold, position_rule
 from lexigate.functions.text import regex_quote
 from lexigate.operators.bitmap import hash_bitmap, in_bitmap
+from lexigate.session import materialize
 
 KEY_BYTES = 8
 BLOCK_BYTES = 16 << 20   # pattern bytes in one broadcast block
@@ -107,16 +109,19 @@ def _places(rows: DataFrame, data: str, lengths: list[int], longest: int) -> Dat
             .withColumn("idx", F.expr(f"__piece * {step} + __at")))
 
 
+def _byte_side(side: DataFrame) -> DataFrame:
+    return side.select("*", F.encode("pattern", "UTF-8").alias("__p"),
+                       F.encode(ascii_fold("pattern"), "UTF-8").alias("__pf")).withColumn(
+                           "__pkey", F.xxhash64(F.substring("__pf", 1, KEY_BYTES)))
+
+
 def byte_occurrences(rows: DataFrame, patterns: DataFrame, data: str, keep: list[str] = (),
                      shuffled: bool = False) -> DataFrame:
     """Every occurrence (overlaps included) in a BINARY column, under the case rule:
     the other columns of ``rows`` with pattern_id, idx, end_idx, n, nocase, offset,
     depth and the ``keep`` columns of the patterns. Byte offsets, ``end_idx`` exclusive.
     ``shuffled``: the ``anchor`` method."""
-    side = _pattern_side(patterns, keep).select(
-        "*", F.encode("pattern", "UTF-8").alias("__p"),
-        F.encode(ascii_fold("pattern"), "UTF-8").alias("__pf")).withColumn(
-        "__pkey", F.xxhash64(F.substring("__pf", 1, KEY_BYTES)))
+    side = _byte_side(_pattern_side(patterns, keep))
     others = [c for c in rows.columns if c != data]
     columns = [*others, "pattern_id", "idx", (F.col("idx") + F.col("n")).alias("end_idx"), "n",
                "nocase", "offset", "depth", *keep]
@@ -137,20 +142,29 @@ def byte_occurrences(rows: DataFrame, patterns: DataFrame, data: str, keep: list
     return out.unionByName(short) if shuffled else out
 
 
-def _shuffled_hits(rows: DataFrame, side: DataFrame, data: str) -> DataFrame:
-    """Positions in the bitmap of the dictionary's keys, joined to it by shuffle."""
+def _shuffled_hits(rows: DataFrame, side: DataFrame, data: str, once: bool = False) -> DataFrame:
+    """Positions in the bitmap of the dictionary's keys, joined to it by shuffle.
+
+    What is shuffled of a key shorter than ``KEY_BYTES`` is its bytes, else those that a
+    pattern may cover. ``once``: equal bytes of a row are shuffled once, without positions;
+    rows are dealt by their columns for it, so that equal bytes meet before that."""
     _, lengths, longest = _uses(side)
     bitmap, bits = hash_bitmap(side.select("__pkey"), "__pkey")
     others = [c for c in rows.columns if c != data]
-    places = in_bitmap(_places(rows, data, lengths, longest), "__key", bitmap, bits).select(
-        *others, "idx", "__key", F.expr(f"substring(__fb, __at + 1, {longest})").alias("__sf"),
-        F.expr(f"substring(__b, __at + 1, {longest})").alias("__sb"),
-        F.pmod(F.xxhash64("idx", *others), F.lit(SALTS)).alias("__salt"))
+    if once:
+        rows = rows.withColumn("__deal", F.pmod(F.xxhash64(data), F.lit(64))).repartition(*others, "__deal")
+    covered = F.expr(f"substring(__b, __at + 1, IF(__size < {KEY_BYTES}, __size, {longest}))").alias("__w")
+    places = in_bitmap(_places(rows, data, lengths, longest), "__key", bitmap, bits)
+    if once:
+        places = places.select(*others, "__deal", "__key", covered).distinct().drop("__deal")
+    else:
+        places = places.select(*others, "idx", "__key", covered)
+    salt = F.pmod(F.xxhash64(*[c for c in places.columns if c not in ("__key", "__w")]), F.lit(SALTS))
     salted = side.withColumn("__psalt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    same = F.expr("substring(__sf, 1, n)") == F.col("__pf")
-    exact = F.col("nocase") | (F.expr("substring(__sb, 1, n)") == F.col("__p"))
-    return places.join(salted.hint("merge"), (F.col("__key") == F.col("__pkey"))
-                       & (F.col("__salt") == F.col("__psalt")) & same & exact)
+    bytes_ = F.expr("substring(__w, 1, n)")
+    folded = F.encode(ascii_fold(F.decode(bytes_, "ISO-8859-1")), "ISO-8859-1")
+    exact = F.when(F.col("nocase"), folded == F.col("__pf")).otherwise(bytes_ == F.col("__p"))
+    return places.join(salted.hint("merge"), (F.col("__key") == F.col("__pkey")) & (salt == F.col("__psalt")) & exact)
 
 
 def raw_occurrences(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
@@ -217,8 +231,18 @@ def _key_hits(docs: DataFrame, patterns: DataFrame, id_col: str, text: str,
     """Equal patterns (a word listed many times) are found once, under the smallest id,
     and take their own ids only after the hits of a text are distinct."""
     heads, members = alike_patterns(patterns)
-    found = (keyword_occurrences(docs, heads, id_col, text, shuffled=shuffled)
-             .select(id_col, F.col("pattern_id").alias("__head")).distinct())
+    if shuffled:
+        heads, members = materialize(heads, "anchor-heads"), materialize(members, "anchor-members")
+        free = (F.col("offset") == 0) & (F.col("depth") == 0) & (F.octet_length("pattern") <= ANCHOR_BYTES)
+        if heads.filter(~free).isEmpty():
+            rows = docs.select(id_col, F.encode(text, "UTF-8").alias("__data"))
+            pairs = _shuffled_hits(rows, _byte_side(_pattern_side(heads)), "__data", once=True)
+        else:  # a position rule needs every position
+            pairs = keyword_occurrences(docs, heads, id_col, text, shuffled=True)
+        pairs = pairs.select(id_col, "pattern_id")
+    else:
+        pairs = keyword_occurrences(docs, heads, id_col, text).select(id_col, "pattern_id")
+    found = pairs.withColumnRenamed("pattern_id", "__head").distinct()
     return found.join(members, "__head").select(id_col, "pattern_id")
 
 

@@ -193,3 +193,17 @@ def test_chunk_edges_travel_alone(spark):
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.resource_id, r.seq, r.pattern_id, r.idx) for r in found.collect()) == [
         (1, 2, 2, -2), (1, 5, 1, -3), (1, 5, 3, -5)]
+
+
+def test_anchor_shuffles_a_texts_equal_bytes_once(spark):
+    """Shuffled candidates are distinct bytes of a text, not every position with the longest window."""
+    d = spark.createDataFrame([(1, "ab " * 5000 + "longer word abc"), (2, "AB long words"), (None, "ab")], "doc_id long, text string")
+    pats = spark.createDataFrame([(1, "ab", False, 0, 0, "x"), (2, "ab", False, 0, 0, "x"), (3, "longer word", False, 0, 0, "x"),
+                                  (4, "long word", True, 0, 0, "x"), (5, "LONG WORDS", True, 0, 0, "x"),
+                                  (6, "ab", True, 0, 0, "x")], fixtures.PATTERN_SCHEMA)
+    side = M._byte_side(M._pattern_side(pats.filter("pattern_id <> 2")))
+    rows = d.select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    assert M._shuffled_hits(rows, side, "data", once=True).count() == 8
+    assert M._shuffled_hits(rows, side, "data").count() > 10_000
+    got = sorted(map(tuple, M.keyword_hits(d, pats, strategy="anchor").collect()), key=str)
+    assert got == sorted(map(tuple, M.keyword_hits(d, pats).collect()), key=str) and len(got) == 10
