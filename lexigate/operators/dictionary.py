@@ -33,12 +33,12 @@ def categories(dictionary: DataFrame) -> DataFrame:
     return numbered.select("cat_index", "id", F.col("category").cast("int").alias("category"), "keywordlist")
 
 
-def dictionary_tokens(cats: DataFrame) -> DataFrame:
+def dictionary_tokens(cats: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Split each keyword list on ',' (empty tokens vanish, no trimming, order kept)."""
     return cats.select(
-        "cat_index", "category",
+        "cat_index", "category", *keep,
         F.posexplode(split_tokens("keywordlist")).alias("pos", "word")
-    ).select("cat_index", "category", (F.col("pos") + 1).cast("int").alias("pos"), "word")
+    ).select("cat_index", "category", *keep, (F.col("pos") + 1).cast("int").alias("pos"), "word")
 
 
 def keyword_ids(tokens: DataFrame) -> DataFrame:

@@ -605,9 +605,13 @@ def q_keyword_ids(spark, sf):
     DD, "SELECT c.id, t.pos, t.word, row_number() OVER (ORDER BY c.id, t.pos) AS token_no "
         "FROM dtok t JOIN dcats c ON t.cat_index = c.cat_index", "doc_dictionary"))
 def q_dictionary_order(spark, sf):
-    cats, toks = doc_dictionary(spark, sf)
-    t = toks.join(cats.select("cat_index", "id"), "cat_index").select("id", "pos", "word")
-    return out(global_ordinal(t, ["id", "pos"], "token_no"))
+    return out(global_ordinal(dictionary_places(doc_dictionary(spark, sf)[0]), ["id", "pos"], "token_no"))
+
+
+def dictionary_places(cats):
+    """(id, pos, word) of all tokens: whole lists are joined to their ids, then split."""
+    named = cats.drop("id").join(cats.select("cat_index", "id"), "cat_index")
+    return D.dictionary_tokens(named, ("id",)).select("id", "pos", "word")
 
 
 TEST_OCC = FPP + TEST_PP + [("tocc", O.occurrences("docs", "tpp", extra="policy, percent, "

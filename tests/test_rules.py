@@ -11,6 +11,7 @@ from lexigate.operators import dictionary as D
 from lexigate.operators import matching as M
 from lexigate.operators import requests as R
 from lexigate.operators import scoring as S
+from lexigate.plans import catalog
 from lexigate.sources import derived, fixtures
 from lexigate.streaming import operators as SO
 from lexigate.streaming import runner
@@ -207,3 +208,15 @@ def test_anchor_shuffles_a_texts_equal_bytes_once(spark):
     assert M._shuffled_hits(rows, side, "data").count() > 10_000
     got = sorted(map(tuple, M.keyword_hits(d, pats, strategy="anchor").collect()), key=str)
     assert got == sorted(map(tuple, M.keyword_hits(d, pats).collect()), key=str) and len(got) == 10
+
+
+def test_lists_are_joined_to_their_ids_before_they_are_split(spark):
+    rows = [(1, "a,b,,c"), (1, "d"), (2, ""), (None, "e"), (3, None)]
+    lists = spark.createDataFrame(rows, "id long, keywordlist string").select(
+        "id", F.lit("1").alias("groupid"), F.lit("1").alias("grouptype"), "keywordlist")
+    cats = D.categories(lists)
+    places = catalog.dictionary_places(cats)
+    plan = places._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # the tokens stand above the join
+    old = D.dictionary_tokens(cats).join(cats.select("cat_index", "id"), "cat_index").select("id", "pos", "word")
+    assert sorted(map(tuple, places.collect())) == sorted(map(tuple, old.collect()))
