@@ -37,6 +37,16 @@ def inflight_dedup_watermark(stream: DataFrame, key: Sequence[str], ts: str,
     return stream.withWatermark(ts, hold).dropDuplicatesWithinWatermark(list(key))
 
 
+# Keyed Python state pays some milliseconds for every key of every micro-batch, so a key is
+# a bucket of resources (or of request keys), and memory is that of one bucket. Not to be
+# changed for a checkpoint.
+BUCKETS = 512
+
+
+def _bucket(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(BUCKETS)).alias("bucket")
+
+
 # Rows wait in state as JSON; this keeps their microseconds.
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -46,56 +56,67 @@ def _in_time_order(stream: DataFrame, key: Sequence[str], ts: str, hold_seconds:
     """The rows of each key that ``decide`` admits, read in time order whatever the
     micro-batches they came in.
 
-    A row waits in its key's state until the watermark has passed it: no earlier row can
-    come any more. Rows are then read by (time, ``rank``, ``tie``, row). ``decide(since,
-    t, rank)`` gives (since, admitted), where ``since`` is the time in microseconds at
-    which the key went in flight, or None; it lapses after ``hold_seconds``. State is
-    bounded by the rows within the watermark's delay. Rows without a time are not read, nor
-    those at 1970-01-01 or before, where Spark's first watermark stands.
+    A row waits in state until the watermark has passed it: no earlier row can come any
+    more. Rows are then read by (time, ``rank``, ``tie``, row). ``decide(since, t, rank)``
+    gives (since, admitted), where ``since`` is the time in microseconds at which the key
+    went in flight, or None; it lapses after ``hold_seconds``. Keys are kept in ``BUCKETS``
+    states by hash; state is bounded by the rows within the watermark's delay and the keys
+    in flight. Rows without a time are not read, nor those at 1970-01-01 or before, where
+    Spark's first watermark stands.
     """
     key = list(key)
     hold_us = hold_seconds * 1_000_000
     names = [f"__k{i}" for i in range(len(key))]
+    key_type = T.StructType([T.StructField(n, stream.schema[c].dataType) for c, n in zip(key, names)])
     schema = T.StructType([f for f in stream.schema.fields if f.name in set(cols)])
+    keys = F.to_json(F.struct(*[F.col(c).alias(n) for c, n in zip(key, names)]), _JSON)
     rows = stream.filter(F.col(ts).isNotNull()).withWatermark(ts, watermark).select(
-        *[F.col(c).alias(n) for c, n in zip(key, names)], F.col(ts).alias("__ts"),
+        _bucket(*key), keys.alias("__key"), F.col(ts).alias("__ts"),
         F.unix_micros(ts).alias("__us"), rank.cast("int").alias("__rank"),
         (F.coalesce(F.col(tie).cast("long"), F.lit(0)) if tie else F.lit(0)).cast("long").alias("__tie"),
         F.to_json(F.struct(*schema.names), _JSON).alias("__row"))
-    state_schema = T.StructType([T.StructField("since", T.LongType()),
+    # One entry per key of the bucket in ``key`` and ``since``, per waiting row in the last five;
+    # ``typed`` stays empty and tells ``inflight_keys`` the types.
+    state_schema = T.StructType([T.StructField("typed", T.ArrayType(key_type)),
+                                 T.StructField("key", T.ArrayType(T.StringType())),
+                                 T.StructField("since", T.ArrayType(T.LongType())),
                                  T.StructField("us", T.ArrayType(T.LongType())),
                                  T.StructField("rank", T.ArrayType(T.LongType())),
                                  T.StructField("tie", T.ArrayType(T.LongType())),
-                                 T.StructField("row", T.ArrayType(T.StringType()))])
+                                 T.StructField("row", T.ArrayType(T.StringType())),
+                                 T.StructField("row_key", T.ArrayType(T.StringType()))])
 
     def step(k, batches, state):
-        since, waiting = None, []
+        since: dict[str, int | None] = {}
+        waiting = []
         if state.exists:
-            since, *held = state.get
-            waiting = list(zip(*held))
+            _, known, at, *held = state.get
+            since, waiting = dict(zip(known, at)), list(zip(*held))
         for pdf in batches:
-            waiting.extend(zip(*(pdf[c].tolist() for c in ("__us", "__rank", "__tie", "__row"))))
+            waiting.extend(zip(*(pdf[c].tolist() for c in ("__us", "__rank", "__tie", "__row", "__key"))))
         waiting.sort()
         now = state.getCurrentWatermarkMs()
         admitted, read = [], 0
-        for us, rank_, _, row in waiting:
+        for us, rank_, _, row, own in waiting:
             if us > now * 1000:
                 break
             read += 1
-            since, admit = decide(since, us, rank_)
+            since[own], admit = decide(since.get(own), us, rank_)
             if admit:
                 admitted.append(row)
         waiting = waiting[read:]
-        if not waiting and (since is None or since + hold_us <= now * 1000):
-            state.remove()
-        else:
-            state.update((since, *([int(w[i]) for w in waiting] for i in range(3)), [w[3] for w in waiting]))
-            wake = waiting[0][0] if waiting else since + hold_us
+        since = {own: at for own, at in since.items() if at is not None and at + hold_us > now * 1000}
+        if since or waiting:
+            state.update(([], list(since), list(since.values()), *([int(w[i]) for w in waiting] for i in range(3)),
+                          *([w[i] for w in waiting] for i in (3, 4))))
+            wake = min([*(at + hold_us for at in since.values()), *(w[0] for w in waiting[:1])])
             state.setTimeoutTimestamp(max(wake // 1000, now + 1))
+        elif state.exists:
+            state.remove()
         if admitted:
             yield pd.DataFrame({"row": admitted})
 
-    kept = (rows.groupBy(*names).applyInPandasWithState(
+    kept = (rows.groupBy("bucket").applyInPandasWithState(
         step, T.StructType([T.StructField("row", T.StringType())]), state_schema, "append",
         GroupStateTimeout.EventTimeTimeout))
     return kept.select(F.from_json("row", schema, _JSON).alias("r")).select("r.*")
@@ -162,14 +183,6 @@ CHUNK_HIT_SCHEMA = T.StructType([
 ])
 PARTS = 4  # a resource's hits are dealt over this many states
 
-# Keyed Python state pays some milliseconds for every key of every micro-batch, so a key is
-# a bucket of resources, and memory is that of one bucket. Not to be changed for a checkpoint.
-BUCKETS = 512
-
-
-def _bucket(*cols: str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(BUCKETS)).alias("bucket")
-
 
 def inflight_keys(spark: SparkSession, checkpoint: str, key: Sequence[str], hold_seconds: int,
                   batch_id: int | None = None) -> DataFrame:
@@ -181,10 +194,12 @@ def inflight_keys(spark: SparkSession, checkpoint: str, key: Sequence[str], hold
     read = spark.read.format("statestore")
     if batch_id is not None:
         read = read.option("batchId", batch_id)
-    state = read.load(checkpoint).filter("value.groupState.since IS NOT NULL")
-    since = F.timestamp_micros("value.groupState.since")
-    return state.select(*[F.col(f"key.__k{i}").alias(k) for i, k in enumerate(key)], since.alias("since"),
-                        (since + F.make_dt_interval(secs=F.lit(hold_seconds))).alias("until"))
+    state = read.load(checkpoint).select("value.groupState.*")
+    types = state.schema["typed"].dataType.elementType
+    state = (state.select(F.inline(F.arrays_zip("key", "since")))
+             .select(F.from_json("key", types, _JSON).alias("key"), F.timestamp_micros("since").alias("since")))
+    return state.select(*[F.col(f"key.__k{i}").alias(k) for i, k in enumerate(key)], "since",
+                        (F.col("since") + F.make_dt_interval(secs=F.lit(hold_seconds))).alias("until"))
 
 
 def framed_chunks(chunks: DataFrame, max_pattern_bytes: int, idle_seconds: int, watermark: str,

@@ -167,3 +167,23 @@ def test_state_is_kept_by_buckets_of_resources(spark):
     got = spark.read.parquet(found).groupBy("resource_id").agg(F.count("*").alias("n"), F.sum(F.size("patterns")).alias("p"))
     assert got.filter("resource_id >= 0 AND n = 4 AND p = 3").count() == 6000
     assert spark.read.parquet(between).filter("kind = 'end' AND resource_id >= 0").count() == 6000
+
+
+def test_request_keys_are_kept_by_buckets(spark):
+    """Many keys, few states; null and large keys stay apart, and the listing has their types."""
+    rows = spark.range(3000).select(
+        F.col("id").alias("req_id"), F.when(F.col("id") != 7, (1 << 60) + F.col("id")).alias("dst"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("h"), "id")).alias("host"), F.timestamp_seconds(F.lit(100)).alias("ts"),
+        F.lit("request").alias("kind"))
+    done = rows.filter("req_id % 10 = 0").withColumn("ts", F.timestamp_seconds(F.lit(200))).withColumn("kind", F.lit("done"))
+    end = rows.filter("req_id = 0").withColumn("host", F.lit("end")).withColumn("kind", F.lit("done")).withColumn(
+        "ts", F.timestamp_seconds(F.lit(10 ** 6)))
+    staged = runner.stage(spark, [rows, done, end], "bucket_keys")
+    kept = SO.inflight_until_done(runner.read_stream(spark, staged), ["host", "dst"], "ts", 10 ** 7, "1 day")
+    chk = runner.run_to_state(kept, "bucket_keys", staged)
+    assert spark.read.format("statestore").load(chk).count() <= SO.BUCKETS
+    listed = SO.inflight_keys(spark, chk, ["host", "dst"], 10 ** 7)
+    assert listed.schema["dst"].dataType.simpleString() == "bigint"
+    want = rows.filter("req_id % 10 <> 0").select("host", "dst").collect()
+    key = lambda r: (r.host or "", r.dst or 0)
+    assert sorted(listed.select("host", "dst").collect(), key=key) == sorted(want, key=key)
