@@ -8,8 +8,9 @@ with case and position rules applied.
 ``register_match_function`` makes a SQL table function of a pattern table instead, to be
 called with LATERAL on any text of any table. Its body is the native key join, which
 Spark decorrelates: each different text is matched once and joined back to its rows by
-the text itself, so texts are shuffled. The view leaves them in place and is the way for
-a table of large texts.
+the text itself, so every match is shuffled with its whole text. ``match_by_function``
+calls the function on short stretches of the texts instead, so that a match takes only its
+stretch along, however long the text is. The view leaves texts in place.
 """
 
 from __future__ import annotations
@@ -26,11 +27,14 @@ def register_keyword_matches(docs: DataFrame, patterns: DataFrame, name: str = "
     return name
 
 
+STRETCH_BYTES = 64  # text bytes that are shuffled with each match
 _LETTERS = "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 
 
 def register_match_function(patterns: DataFrame, name: str) -> str:
-    """A temporary function ``name(text STRING)``: TABLE (pattern_id, idx, end_idx).
+    """A temporary function ``name(text STRING, at INT DEFAULT NULL)``: TABLE (pattern_id,
+    idx, end_idx). With ``at`` the text is a stretch of bytes from that place of a text, and
+    places and position rules count from that text's start.
 
     The patterns are written and named by a view ``{name}_patterns``. Case and position
     rules hold; null and empty texts give no rows. Pieces of a text bound the positions in
@@ -47,16 +51,17 @@ def register_match_function(patterns: DataFrame, name: str) -> str:
     step = max(PIECE_BYTES, 8 * longest)
     kind = side.schema["pattern_id"].dataType.simpleString()
     spark.sql(f"""
-CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING)
+CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING, at INT DEFAULT NULL)
 RETURNS TABLE (pattern_id {kind}, idx INT, end_idx INT)
 RETURN SELECT p.pattern_id, CAST(a.start + a.place AS INT), CAST(a.start + a.place + p.n AS INT)
-FROM (SELECT start, b, fb, place, xxhash64(substring(fb, place + 1, size)) AS key
-      FROM (SELECT start, b, fb, place, explode(array({", ".join(str(int(n)) for n in lengths)})) AS size
-            FROM (SELECT start, b, fb, explode(sequence(0, least(octet_length(fb), {step}) - 1)) AS place
-                  FROM (SELECT start, b, encode(translate(decode(b, 'ISO-8859-1'), {_LETTERS}), 'ISO-8859-1') AS fb
-                        FROM (SELECT start, substring(d, start + 1, {step + longest - 1}) AS b
-                              FROM (SELECT d, explode(sequence(0, octet_length(d) - 1, {step})) AS start
-                                    FROM (SELECT encode(t, 'UTF-8') AS d) WHERE octet_length(d) > 0)))))
+FROM (SELECT start + base AS start, b, fb, place, xxhash64(substring(fb, place + 1, size)) AS key
+      FROM (SELECT start, base, b, fb, place, explode(array({", ".join(str(int(n)) for n in lengths)})) AS size
+            FROM (SELECT start, base, b, fb, explode(sequence(0, least(octet_length(fb), {step}) - 1)) AS place
+                  FROM (SELECT start, base, b, encode(translate(decode(b, 'ISO-8859-1'), {_LETTERS}), 'ISO-8859-1') AS fb
+                        FROM (SELECT start, base, substring(d, start + 1, {step + longest - 1}) AS b
+                              FROM (SELECT d, base, explode(sequence(0, octet_length(d) - 1, {step})) AS start
+                                    FROM (SELECT IF(at IS NULL, encode(t, 'UTF-8'), CAST(t AS BINARY)) AS d,
+                                                 coalesce(at, 0) AS base) WHERE octet_length(d) > 0)))))
       WHERE place + size <= octet_length(fb)) a
 JOIN {name}_patterns p ON a.key = p.key
 WHERE substring(a.fb, a.place + 1, p.n) = p.pf
@@ -64,3 +69,17 @@ WHERE substring(a.fb, a.place + 1, p.n) = p.pf
   AND p.offset >= 0 AND p.depth >= 0 AND (p.offset = 0 OR p.offset <= a.start + a.place)
   AND (p.depth = 0 OR p.offset + p.depth >= a.start + a.place + p.n)""")
     return name
+
+
+def match_by_function(texts: DataFrame, name: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The matches of ``name`` (of ``register_match_function``) in the texts: (id, pattern_id,
+    idx, end_idx), by calls on stretches of ``STRETCH_BYTES`` and what the longest pattern
+    reaches beyond them; a match is taken from the stretch in which it begins."""
+    spark = texts.sparkSession
+    longest = spark.table(f"{name}_patterns").agg(F.max("n")).first()[0] or 1
+    step = max(STRETCH_BYTES, 8 * longest)
+    cut = texts.select(id_col, F.encode(text, "UTF-8").alias("__d")).filter(F.octet_length("__d") > 0).select(
+        id_col, "__d", F.explode(F.expr(f"sequence(0, octet_length(__d) - 1, {step})")).alias("__at")).select(
+        id_col, "__at", F.expr(f"CAST(substring(__d, __at + 1, {step + longest - 1}) AS STRING)").alias("__part"))
+    return spark.sql(f"SELECT c.`{id_col}`, m.* FROM {{c}} c, LATERAL {name}(c.__part, c.__at) m "
+                     f"WHERE m.idx < c.__at + {step}", c=cut)

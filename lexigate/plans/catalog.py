@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigate.functions import code_groupid, code_grouptype
-from lexigate.functions.udtf import register_keyword_matches, register_match_function
+from lexigate.functions.udtf import match_by_function, register_keyword_matches, register_match_function
 from lexigate.operators import batches as B
 from lexigate.operators import chunks as C
 from lexigate.operators import dictionary as D
@@ -742,10 +742,10 @@ MATCH_FUNCTION_SQL = _sql(
 def q_match_function(spark, sf):
     """One table function called on two tables."""
     name = register_match_function(test_policy_patterns(spark), f"matches_{uuid.uuid4().hex[:8]}")
-    tables = {"d": derived.docs(spark, sf), "p": pages(spark, sf, "page_id", "html")}
-    return out(spark.sql(
-        f"SELECT 'documents' AS origin, d.doc_id AS row_id, m.* FROM {{d}} d, LATERAL {name}(d.text) m "
-        f"UNION ALL SELECT 'pages', p.page_id, m.* FROM {{p}} p, LATERAL {name}(p.html) m", **tables))
+    tables = {"d": match_by_function(derived.docs(spark, sf), name),
+              "p": match_by_function(pages(spark, sf, "page_id", "html"), name, "page_id", "html")}
+    return out(spark.sql("SELECT 'documents' AS origin, doc_id AS row_id, pattern_id, idx, end_idx FROM {d} "
+                         "UNION ALL SELECT 'pages', page_id, pattern_id, idx, end_idx FROM {p}", **tables))
 
 
 @query("pattern_payload", _sql(

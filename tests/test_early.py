@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexigate.api import KeywordMatcher
-from lexigate.functions.udtf import register_match_function
+from lexigate.functions.udtf import match_by_function, register_match_function
 from lexigate.operators import early, matching
 from lexigate.operators.sequence import first_match
 from lexigate.sources import fixtures
@@ -92,3 +92,18 @@ def test_inflight_keys_between_waves(spark):
     assert {"a", "b"} in early_on
     first = keys.filter("url = 'b'").select(F.unix_seconds("since"), F.unix_seconds("until")).first()
     assert tuple(first) == (110, 500_110)
+
+
+def test_match_function_takes_stretches_not_texts(spark):
+    """A match carries a short stretch to the join, not its text; hits over cuts are found once."""
+    pats = pats_of(spark, ("needle in hay", True, 0, 0), ("É", False, 0, 0), ("a", False, 100, 6), ("aa", False, 0, 0))
+    texts = [(i, "x" * (n - 5) + "Needle in hay aaa É") for i, n in enumerate(range(60, 1200, 7))]
+    texts += [(-1, "É" * 300), (-2, None), (-3, ""), (-4, "É" * 300), (None, "aa"), (None, "aa")]
+    docs = spark.createDataFrame(texts, DOCS)
+    got = match_by_function(docs, register_match_function(pats, "matches_of_stretches"))
+    want = matching.keyword_occurrences(docs, pats).select("doc_id", "pattern_id", "idx", "end_idx")
+    key = lambda r: (r[0] is None, *(v or 0 for v in r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.splitlines() if "Join Inner" in line and "<=>" in line]
+    assert joined and all("__part" in line for line in joined) and not any("text#" in line for line in joined)
