@@ -271,6 +271,29 @@ def test_copies_of_a_finding_do_not_take_the_sample(spark, monkeypatch):
     assert len(seen) == 60 and len({w[24 * 8:72 * 8] for w in seen}) > 50
 
 
+def test_all_labelled_windows_are_trained_on(spark, monkeypatch):
+    """No sample: thousands of findings, more than one shard, long candidates whole."""
+    rng = random.Random(13)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(f"a password={hexes(20)} b some-{rng.randint(1, 9)}-thing-word-{i}",) for i in range(2600)]
+    rows += [(f"token={hexes(1000)} end",)]
+    docs = spark.createDataFrame(rows, "text string")
+    windows = secret_scan._labelled(docs)
+    assert windows.filter("label = 1").count() == 2601 and windows.filter("label = 0").count() == 2600
+    assert windows.agg({"seen": "max"}).count() == 1 and max(
+        len(r["seen"]) for r in windows.collect()) == 21 * (secret_scan.BEFORE + secret_scan.BODY)
+    monkeypatch.setattr(secret_scan, "SHARD_BYTES", 1 << 17)
+    taken = []
+    plain = secret_scan.materialize
+    monkeypatch.setattr(secret_scan, "materialize", lambda df, name: taken.append((name, plain(df, name))) or taken[-1][1])
+    net = secret_scan.train(docs)
+    tables = dict(taken)
+    assert tables["secret-windows"].count() == 5201 and tables["secret-shards"].select("shard").distinct().count() > 1
+    assert tables["secret-shards"].select("seen").distinct().count() == tables["secret-windows"].filter("NOT held").count()
+    good = [secret_scan.window(f"see {s}", 4, 4 + len(s)) for s in (hexes(20) for _ in range(100))]
+    assert (net.probability(secret_scan._matrix(good)) >= net.threshold).mean() > 0.9
+
+
 def test_threshold_keeps_its_recall():
     net = secret_scan.Network.fresh(np.random.default_rng(1))
     raw = np.concatenate([np.full(20, -0.2), np.full(200, -1.0)])
