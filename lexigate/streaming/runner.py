@@ -9,12 +9,19 @@ same checkpoint.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from lexigate.session import new_folder
 
+# Every state partition costs a task and a commit in each micro-batch, also in those without
+# rows, and their number is fixed when a query first starts: one for so many bytes of what
+# has arrived by then, one for each core at least, the session's shuffle partitions at most.
+STATE_BYTES = 4 << 20
+
 
 def _folder(spark: SparkSession, kind: str, name: str) -> str:
     return new_folder(spark, f"streams/{kind}", name)
@@ -45,6 +52,27 @@ def read_stream(spark: SparkSession, staged: Staged) -> DataFrame:
     return spark.readStream.schema(staged.schema).parquet(staged.path)
 
 
+def state_partitions(spark: SparkSession, staged: tuple[Staged, ...]) -> int:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    arrived = 0
+    for s in staged:
+        place = jvm.org.apache.hadoop.fs.Path(s.path)
+        arrived += place.getFileSystem(conf).getContentSummary(place).getLength()
+    wanted = max(spark.sparkContext.defaultParallelism, math.ceil(arrived / STATE_BYTES))
+    return min(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _started(spark: SparkSession, query: DataStreamWriter, staged: tuple[Staged, ...]) -> StreamingQuery:
+    """The query, started with ``state_partitions`` (one that goes on keeps its own); it
+    takes a copy of the session's settings then, so they are put back at once."""
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions(spark, staged)))
+    try:
+        return query.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def _run(start: Callable, staged: tuple[Staged, ...]) -> None:
     while True:
         start().awaitTermination()
@@ -56,8 +84,9 @@ def run_to_parquet(stream: DataFrame, name: str, *staged: Staged, mode: str = "a
     """Run a stream over all waves of its inputs into a parquet sink; return its path."""
     spark = stream.sparkSession
     out, chk = _folder(spark, "out", name), _folder(spark, "chk", name)
-    _run(lambda: stream.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", chk).outputMode(mode).trigger(availableNow=True).start(), staged)
+    _run(lambda: _started(spark, stream.writeStream.format("parquet").option("path", out)
+                          .option("checkpointLocation", chk).outputMode(mode).trigger(availableNow=True), staged),
+         staged)
     return out
 
 
@@ -65,16 +94,16 @@ def run_to_state(stream: DataFrame, name: str, *staged: Staged) -> str:
     """Run a stream over all waves for its state: the checkpoint folder, which other
     queries read between waves too. Its rows are written and left alone."""
     chk, target = _folder(stream.sparkSession, "chk", name), _folder(stream.sparkSession, "out", name)
-    _run(lambda: stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", chk)
-         .trigger(availableNow=True).start(), staged)
+    _run(lambda: _started(stream.sparkSession, stream.writeStream.format("parquet").option("path", target)
+                          .option("checkpointLocation", chk).trigger(availableNow=True), staged), staged)
     return chk
 
 
 def run_foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], None],
                       *staged: Staged) -> None:
     chk = _folder(stream.sparkSession, "chk", name)
-    _run(lambda: stream.writeStream.foreachBatch(fn).option("checkpointLocation", chk)
-         .trigger(availableNow=True).start(), staged)
+    _run(lambda: _started(stream.sparkSession, stream.writeStream.foreachBatch(fn)
+                          .option("checkpointLocation", chk).trigger(availableNow=True), staged), staged)
 
 
 def run_hops(first: DataFrame, then: Callable[[DataFrame], DataFrame], name: str, *staged: Staged,
@@ -87,12 +116,12 @@ def run_hops(first: DataFrame, then: Callable[[DataFrame], DataFrame], name: str
     between, chk = _folder(spark, "out", f"{name}-frames"), _folder(spark, "chk", f"{name}-frames")
     out, then_chk = (None if fn else _folder(spark, "out", name)), _folder(spark, "chk", name)
     while True:
-        (first.writeStream.format("parquet").option("path", between).option("checkpointLocation", chk)
-         .trigger(availableNow=True).start().awaitTermination())
+        _started(spark, first.writeStream.format("parquet").option("path", between)
+                 .option("checkpointLocation", chk).trigger(availableNow=True), staged).awaitTermination()
         second = then(spark.readStream.schema(first.schema).parquet(between)).writeStream
         second = second.foreachBatch(fn) if fn else second.format("parquet").option("path", out)
-        (second.option("checkpointLocation", then_chk).outputMode("append").trigger(availableNow=True)
-         .start().awaitTermination())
+        _started(spark, second.option("checkpointLocation", then_chk).outputMode("append")
+                 .trigger(availableNow=True), staged).awaitTermination()
         if not any([s.arrive() for s in staged]):
             return between, out
 
