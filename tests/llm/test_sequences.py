@@ -307,3 +307,33 @@ def test_words_said_over_meet_in_few_rows(spark, monkeypatch):
         spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert {d for d in got if got[d]["n_links"]} == {15, 30} and got[30]["class_id"] == 15
     assert len(made) > 1 and sum(made[1:]) < 50 * len(rows) * (len(rows) - 1) // 2
+
+
+def test_batches_of_texts_and_regions_are_small(spark, monkeypatch):
+    """A task holds the words of one text of a batch at a time, and sends the regions of a
+    batch on in small parts, however many there are."""
+    import tracemalloc
+    rng = random.Random(31)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(300)) for _ in range(2000)]
+    docs = spark.createDataFrame([], "doc_id long, text string, node long")
+    regions = spark.createDataFrame([], "node long, lo long, hi long")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, fn, schema: fn)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    (nodes,) = passages.text_nodes(docs)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert nodes.column("n_words").to_pylist() == [300] * len(texts) and peak < 8 << 20
+
+    wanted = [{"lo": lo, "hi": hi} for lo in range(0, 288, 32) for hi in range(lo + 64, 321, 32)]
+    held = pa.RecordBatch.from_arrays(
+        [nodes.column("node"), pa.array(texts), pa.array([wanted] * len(texts))], names=["node", "text", "regions"])
+    rows = 0
+    for part in passages.region_shingles(regions, docs.select("node", "text"))(iter([held])):
+        assert part.nbytes < 6 << 20
+        if not rows:
+            s = passages.shingle_hashes(passages.word_hashes(passages.split_words(texts[0]))).astype(np.uint32)
+            for lo, hi, cut in zip(*(part.column(c).to_pylist()[:len(wanted)] for c in ("lo", "hi", "shingles"))):
+                assert cut == s[lo:hi - passages.SHINGLE + 1].tobytes()
+        rows += part.num_rows
+    assert rows == len(wanted) * len(texts)
