@@ -3,6 +3,7 @@ partner from the others before a shuffle. A false hit costs a shuffled row, neve
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,19 @@ def hash_bitmap(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
     return materialize(made.select("__bm_bucket", words.alias("__bm_words")), "bitmap"), bits
 
 
+def hash_bits(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """(bytes of the bitmap, log2 of its bits) for a test inside tasks: 256 bits for each key,
+    up to ``MAX_BITS``. Bit ``h mod 2**bits`` is bit ``% 8`` of byte ``// 8``."""
+    bits = min(MAX_BITS, max(15, (256 * keys.count()).bit_length()))
+    place = _place(F.col(column), bits)
+    made = (keys.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")))
+    table = np.zeros(1 << bits >> 3, dtype=np.uint8)
+    for row in made.collect():  # 4 KiB each
+        table[(row["bucket"] - 1) << 12:row["bucket"] << 12] = np.frombuffer(row["bits"], np.uint8)
+    return table, bits
+
+
 def in_bitmap(rows: DataFrame, column: str, bitmap: DataFrame, bits: int) -> DataFrame:
     """The rows whose hash is (or collides with one) in the bitmap."""
     place = _place(F.col(column), bits)

@@ -20,7 +20,8 @@ Hit pairs may also be had by other methods, chosen by name only:
   the dictionary is broadcast but a bitmap of key hashes (at most 16 MiB). Positions in
   the bitmap are shuffled with just the bytes that a pattern would cover and joined to the
   shuffled dictionary; keys are salted, as a usual word may be hot. Where no pattern has a
-  position rule, hit pairs need each text's bytes once: texts are dealt, then made distinct.
+  position rule, hit pairs need the bytes once a group of texts: numpy finds them in the
+  tasks (``operators/bytescan.py``), and they are shuffled with the ids of their texts.
 
 * ``contains`` - a join on native ``contains``, one test per (text, pattern).
 * ``regex``    - one trie-factored look-ahead regex per case class and block of
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 from lexigate.functions import ascii_fold, position_rule
 from lexigate.functions.text import regex_quote
 from lexigate.operators.bitmap import hash_bitmap, in_bitmap
-from lexigate.session import materialize
+from lexigate.operators.bytescan import first_windows, grouped_windows, pattern_keys, same_bytes
+from lexigate.session import DEAL_BYTES, materialize
 
 KEY_BYTES = 8
 BLOCK_BYTES = 16 << 20   # pattern bytes in one broadcast block
@@ -47,6 +49,7 @@ ROW_BYTES = 64           # counted for each pattern besides its text
 REGEX_WORDS = 20_000     # words in one trie regex
 PIECE_BYTES = 1 << 16    # text positions in one array (times the key lengths)
 ANCHOR_BYTES = 256       # longer patterns are not joined by shuffle
+GROUP_BYTES = 1 << 20    # text bytes of a group whose equal bytes are shuffled once
 SALTS = 8
 STRATEGIES = ("keys", "anchor", "contains", "regex")
 
@@ -146,19 +149,17 @@ def _shuffled_hits(rows: DataFrame, side: DataFrame, data: str, once: bool = Fal
     """Positions in the bitmap of the dictionary's keys, joined to it by shuffle.
 
     What is shuffled of a key shorter than ``KEY_BYTES`` is its bytes, else those that a
-    pattern may cover. ``once``: equal bytes of a row are shuffled once, without positions;
-    rows are dealt by their columns for it, so that equal bytes meet before that."""
+    pattern may cover. ``once``: each pattern once for the same bytes of a row (of one other
+    column), without positions (``_window_hits``)."""
+    if once:
+        (id_col,) = [c for c in rows.columns if c != data]
+        return _window_hits(rows, side, id_col, data)[0].withColumn(id_col, F.explode("__ids")).drop("__ids")
     _, lengths, longest = _uses(side)
     bitmap, bits = hash_bitmap(side.select("__pkey"), "__pkey")
     others = [c for c in rows.columns if c != data]
-    if once:
-        rows = rows.withColumn("__deal", F.pmod(F.xxhash64(data), F.lit(64))).repartition(*others, "__deal")
     covered = F.expr(f"substring(__b, __at + 1, IF(__size < {KEY_BYTES}, __size, {longest}))").alias("__w")
     places = in_bitmap(_places(rows, data, lengths, longest), "__key", bitmap, bits)
-    if once:
-        places = places.select(*others, "__deal", "__key", covered).distinct().drop("__deal")
-    else:
-        places = places.select(*others, "idx", "__key", covered)
+    places = places.select(*others, "idx", "__key", covered)
     salt = F.pmod(F.xxhash64(*[c for c in places.columns if c not in ("__key", "__w")]), F.lit(SALTS))
     salted = side.withColumn("__psalt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     bytes_ = F.expr("substring(__w, 1, n)")
@@ -167,6 +168,54 @@ def _shuffled_hits(rows: DataFrame, side: DataFrame, data: str, once: bool = Fal
     return places.join(salted.hint("merge"), (F.col("__key") == F.col("__pkey")) & (salt == F.col("__psalt")) & exact)
 
 
+def _window_hits(rows: DataFrame, side: DataFrame, id_col: str, data: str) -> tuple[DataFrame, int]:
+    """(``__group``, ``__ids``, ``__w`` and the pattern's columns: short patterns without a
+    position rule; number of tasks). Texts go by id into groups of about ``GROUP_BYTES``; a
+    window of bytes that may be a pattern is shuffled once a group, with the ids of the texts
+    that have it, to the shuffled dictionary."""
+    keyed = materialize(pattern_keys(side.drop("__pkey"), "__pf"), "anchor-keys")
+    rows = rows.select(id_col, data).filter(F.octet_length(data) > 0)
+    size = rows.agg(F.sum(F.octet_length(data))).first()[0] or 0
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(size / DEAL_BYTES))
+    group = F.pmod(F.xxhash64(id_col), F.lit(max(tasks, math.ceil(size / GROUP_BYTES)))).alias("__group")
+    dealt = rows.select(group, id_col, data).repartition(tasks, "__group").sortWithinPartitions("__group")
+    windows = grouped_windows(dealt, "__group", id_col, data, keyed).withColumn("__salt", F.pmod("__group", F.lit(SALTS)))
+    salted = keyed.withColumn("__psalt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    return windows.join(salted.hint("merge"), (F.col("__key") == F.col("__pkey"))
+                        & (F.col("__salt") == F.col("__psalt")) & same_bytes()), tasks
+
+
+def _grouped_hits(docs: DataFrame, side: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(``__ids``, pattern_id) of short patterns without a position rule: every (id, pattern) once."""
+    rows = docs.select(id_col, F.encode(text, "UTF-8").alias("__data"))
+    found, tasks = _window_hits(rows, _byte_side(side), id_col, "__data")
+    # one window in two cases, or in two parts of a text, is one hit
+    return (found.select("__group", "pattern_id", "__ids").repartition(tasks, "__group", "pattern_id")
+            .groupBy("__group", "pattern_id").agg(F.array_distinct(F.flatten(F.collect_list("__ids"))).alias("__ids"))
+            .select("__ids", "pattern_id"))
+
+
+def short_free() -> Column:
+    """Whether a pattern has no position rule and at most ``ANCHOR_BYTES``."""
+    return (F.col("offset") == 0) & (F.col("depth") == 0) & (F.octet_length("pattern") <= ANCHOR_BYTES)
+
+
+def first_occurrences(rows: DataFrame, patterns: DataFrame, data: str, after: str) -> DataFrame:
+    """The other columns of ``rows`` with pattern_id and idx: ``short_free`` patterns in a
+    BINARY column that end behind byte ``after`` (a column), each at its first place, and a
+    few at later ones too (a word in two cases; texts beyond ``SCAN_BYTES``). The dictionary is
+    broadcast in blocks as for every occurrence; only different windows become rows."""
+    side = materialize(pattern_keys(_byte_side(_pattern_side(patterns)).drop("__pkey"), "__pf"), "scan-keys")
+    others = [c for c in rows.columns if c != data]
+    size, _, _ = _uses(side)
+    out = None
+    for block in _blocks(side, size):
+        part = first_windows(rows, data, after, block).join(
+            F.broadcast(block), (F.col("__key") == F.col("__pkey")) & same_bytes()).select(*others, "pattern_id", "idx")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def raw_occurrences(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id",
                     text: str = "text", keep: list[str] = (), shuffled: bool = False) -> DataFrame:
     """Every occurrence before position rules: ``(id, pattern_id, idx, end_idx, n, offset,
@@ -233,13 +282,11 @@ def _key_hits(docs: DataFrame, patterns: DataFrame, id_col: str, text: str,
     heads, members = alike_patterns(patterns)
     if shuffled:
         heads, members = materialize(heads, "anchor-heads"), materialize(members, "anchor-members")
-        free = (F.col("offset") == 0) & (F.col("depth") == 0) & (F.octet_length("pattern") <= ANCHOR_BYTES)
-        if heads.filter(~free).isEmpty():
-            rows = docs.select(id_col, F.encode(text, "UTF-8").alias("__data"))
-            pairs = _shuffled_hits(rows, _byte_side(_pattern_side(heads)), "__data", once=True)
-        else:  # a position rule needs every position
-            pairs = keyword_occurrences(docs, heads, id_col, text, shuffled=True)
-        pairs = pairs.select(id_col, "pattern_id")
+        if heads.filter(~short_free()).isEmpty():
+            groups = _grouped_hits(docs, _pattern_side(heads), id_col, text).withColumnRenamed("pattern_id", "__head")
+            return groups.join(members, "__head").select(F.explode("__ids").alias(id_col), "pattern_id")
+        # a position rule needs every position
+        pairs = keyword_occurrences(docs, heads, id_col, text, shuffled=True).select(id_col, "pattern_id")
     else:
         pairs = keyword_occurrences(docs, heads, id_col, text).select(id_col, "pattern_id")
     found = pairs.withColumnRenamed("pattern_id", "__head").distinct()
