@@ -193,11 +193,17 @@ def first_windows(rows: DataFrame, data: str, after: str, keyed: DataFrame) -> D
         for batch in batches:
             for held in _pieces(batch.column(data), max(scan.lengths), after=batch.column(after).to_pylist()):
                 start = np.array([p[4] for p in held])
-                for h, cut, text, piece, place, _ in scan.windows([p[:4] for p in held]):
-                    own = pa.array(text)
-                    yield pa.RecordBatch.from_arrays(
-                        [*[batch.column(c).take(own) for c in others], pa.array(h.view(np.int64)), _binary(cut),
-                         pa.array((place + start[piece]).astype(np.int64))], names=[*others, "__key", "__w", "idx"])
+                found = [(text, h, place + start[piece], cut) for h, cut, text, piece, place, _ in scan.windows(
+                    [p[:4] for p in held])]
+                if not found:
+                    continue
+                text, h, idx = (np.concatenate([f[k] for f in found]) for k in range(3))
+                order = np.argsort(text, kind="stable")  # a text's windows together
+                own = pa.array(text[order])
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c).take(own) for c in others], pa.array(h[order].view(np.int64)),
+                     pa.concat_arrays([_binary(f[3]) for f in found]).take(pa.array(order)),
+                     pa.array(idx[order].astype(np.int64))], names=[*others, "__key", "__w", "idx"])
 
     return rows.mapInArrow(run, _with(rows.select(*others), __key=T.LongType(), __w=T.BinaryType(), idx=T.LongType()))
 

@@ -126,7 +126,7 @@ def _first_hits(spark, sf, patterns, name):
     frames = SO.framed_chunks(runner.read_stream(spark, staged), _longest(patterns), IDLE_SECONDS, "1 day")
     # equal patterns are matched and kept in state once; they take their own ids behind it
     heads, members = (materialize(t, "stream-patterns") for t in M.alike_patterns(patterns))
-    _, found = runner.run_hops(frames, lambda f: SO.resource_hits(SO.frame_hits(f, heads), f), name, staged)
+    _, found = runner.run_hops(frames, lambda f: SO.resource_hits(SO.first_frame_hits(f, heads), f), name, staged)
     return (_read_back(spark, found).withColumnRenamed("pattern_id", "__head").join(members, "__head")
             .select("resource_id", "pattern_id", "seq", "idx"))
 

@@ -23,7 +23,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from lexigate.functions import position_rule
 from lexigate.operators import requests as R
-from lexigate.operators.matching import byte_occurrences
+from lexigate.operators.matching import byte_occurrences, first_occurrences, short_free
 
 
 def stream_requests(payloads: DataFrame) -> DataFrame:
@@ -319,6 +319,20 @@ def frame_hits(frames: DataFrame, patterns: DataFrame, keep: Sequence[str] = ())
             .select("resource_id", "seq", "began_ms", "pattern_id", F.col("idx").cast("int").alias("idx"), *keep))
 
 
+def first_frame_hits(frames: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``frame_hits`` for ``resource_hits``, which keeps a pattern's first hit: of a pattern
+    without a position rule, all but its first places in a frame are left out where they are
+    found. ``patterns`` with all columns of the rules."""
+    dealt = (frames.filter(F.col("kind") == "frame").select("resource_id", "seq", "began_ms", "shift", "data")
+             .repartition("resource_id", "seq"))
+    ruled = patterns.filter(~short_free())
+    if patterns.filter(short_free()).isEmpty():
+        return frame_hits(frames, ruled)
+    found = first_occurrences(dealt, patterns.filter(short_free()), "data", "shift").select(
+        "resource_id", "seq", "began_ms", "pattern_id", (F.col("idx") - F.col("shift")).cast("int").alias("idx"))
+    return found if ruled.isEmpty() else found.unionByName(frame_hits(frames, ruled))
+
+
 def resource_hits(hits: DataFrame, frames: DataFrame, finished: bool = False) -> DataFrame:
     """Each pattern once per resource, at its first hit: ``CHUNK_HIT_SCHEMA``.
 
@@ -338,29 +352,31 @@ def resource_hits(hits: DataFrame, frames: DataFrame, finished: bool = False) ->
 
     def step(k, batches, state):
         seen = _read_pairs(state.get[0]) if state.exists else np.zeros((0, 2), np.int64)
-        new, ended = np.zeros((0, 4), np.int64), {}
+        new, more, ended = np.zeros((0, 3), np.int64), [], {}
         for pdf in batches:
             is_end = pdf["seq"].isna()
             ended.update(zip(zip(pdf["resource_id"][is_end].tolist(), pdf["part"][is_end].tolist()),
                              pdf["began_ms"][is_end].tolist()))
-            hit = pdf[~is_end]
+            hit = pdf[~is_end].sort_values(["resource_id", "seq"], kind="stable")  # nearly sorted is sorted sooner
             ids = [np.frombuffer(b, np.int64) for b in hit["ids"]]
             if not ids:
                 continue
             sizes = [len(i) for i in ids]
-            new = _first_of_each(np.concatenate([new, np.column_stack([
+            more.append(np.column_stack([
                 np.repeat(hit["resource_id"].to_numpy(np.int64), sizes), np.concatenate(ids),
-                np.repeat(hit["seq"].to_numpy(np.int64), sizes),
-                np.concatenate([np.frombuffer(b, np.int32) for b in hit["places"]])])]))
+                _place(np.repeat(hit["seq"].to_numpy(np.int64), sizes),
+                       np.concatenate([np.frombuffer(b, np.int32) for b in hit["places"]]).astype(np.int64))]))
+            if sum(map(len, more)) > len(new):  # so a hit is merged a few times, not once a batch
+                new, more = _first_of_each(np.concatenate([new, *more])), []
         # What was seen comes first of its pair, so only the others are news.
-        both = _first_of_each(np.concatenate([np.column_stack([seen, np.full((len(seen), 2), -1 << 62)]), new]))
-        news, pairs = both[both[:, 2] != -1 << 62], both[:, :2]
+        both = _first_of_each(np.concatenate([np.column_stack([seen, np.full(len(seen), SEEN)]), new, *more]))
+        news, pairs = both[both[:, 2] != SEEN], both[:, :2]
         over = np.zeros(len(pairs), bool)
         if ended:
             own = pd.MultiIndex.from_arrays([pairs[:, 0], np.mod(pairs[:, 1], PARTS)])
             over = own.isin(list(ended))
         if not finished and len(news):
-            yield pd.DataFrame(news, columns=CHUNK_HIT_SCHEMA.names)
+            yield pd.DataFrame(np.column_stack([news[:, :2], *_seq_idx(news[:, 2])]), columns=CHUNK_HIT_SCHEMA.names)
         elif finished and ended:
             found = {key: [] for key in ended}
             for r, pid in pairs[over].tolist():
@@ -376,8 +392,20 @@ def resource_hits(hits: DataFrame, frames: DataFrame, finished: bool = False) ->
         T.StructType([T.StructField("seen", T.BinaryType())]), "append", GroupStateTimeout.NoTimeout))
 
 
+SEEN = np.iinfo(np.int64).min  # the place of a pair that was reported before
+
+
+def _place(seq: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """(seq, idx), of 32 bits each, as one number in their order."""
+    return (seq << 32) + idx + (1 << 31)
+
+
+def _seq_idx(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place >> 32, (place & 0xFFFFFFFF) - (1 << 31)
+
+
 def _first_of_each(hits: np.ndarray) -> np.ndarray:
-    """The row with the least (seq, idx) of each (resource, pattern); sorted by these."""
+    """The row with the least place of each (resource, pattern); sorted by these."""
     hits = hits[np.lexsort(hits.T[::-1])]
     return hits[np.append(True, (hits[1:, :2] != hits[:-1, :2]).any(axis=1))[:len(hits)]]
 
